@@ -8,9 +8,11 @@ set bit at or above its length. When all bins are open, the fullest closes for a
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -61,36 +63,78 @@ class OpenBins:
 
 
 class CachedIds:
-    """Ids of texts from a tokenizer file, encoding each chunk between ASCII white space once.
+    """Ids of texts from a tokenizer file, encoding each chunk once.
 
-    The tokenizer must drop white space and split there, so that the ids of a text are those of its
-    chunks in turn. The cache is emptied when it holds ``most`` chunks.
+    Chunks lie between ASCII white space, which the tokenizer must drop and split at, so that the ids of a
+    text are those of its chunks in turn; as it lower-cases, so may the chunks be. In plain texts (no other
+    signs than letters up to U+00FF, digits, points and commas, and no two marks in a row) the marks are
+    chunks too. The cache is emptied when it holds ``most`` chunks; a lookup that misses encodes all the
+    new chunks of some texts in one call.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    _PLAIN = bytes(range(ord("a"), ord("z") + 1)) + b"0123456789 \n\t.,\xc3" + bytes(range(0x80, 0xC0))
+    _NOT_PLAIN = (b",,", b"..", b",.", b".,", b"\xc3\x97", b"\xc3\xb7")
+
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
         self.most = most
 
-    def __call__(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        import numpy as np
-
-        chunks, cache = text.split(), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            if len(cache) > self.most:
-                cache.clear()
-            own = cache if len(chunks) <= self.most else {}
-            new = [c for c in dict.fromkeys(chunks) if c not in own]
-            for k in range(0, len(new), 2000):
-                part = new[k : k + 2000]
-                encoded = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
-                own.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, encoded, strict=True))
-            return b"".join(map(own.__getitem__, chunks))
+    def chunks(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:  # special tokens are found before letters are lowered
+            return text.split()
+        text = text.lower()
+        if not text.translate(None, self._PLAIN) and not any(p in text for p in self._NOT_PLAIN):
+            text = text.replace(b",", b" , ").replace(b".", b" . ")
+        return text.split()
+
+    def _encode(self, new: list[bytes]) -> None:
+        for k in range(0, len(new), 5000):
+            part = new[k : k + 5000]
+            # one text for all: its words are the chunks, told apart by where their tokens start
+            text = b" ".join(part).decode()
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            starts = np.array([a for a, _ in found.offsets], np.int64)
+            ends = np.cumsum([len(c.decode()) + 1 for c in part])
+            cuts = np.searchsorted(starts, np.concatenate([[0], ends]))
+            cuts[-1] = len(ids)
+            data = ids.tobytes()
+            self.cache.update((c, data[4 * a : 4 * b]) for c, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if len(self.cache) > self.most:
+            self.cache = {}
+        cache = self.cache
+        chunks = [self.chunks(t) for t in texts]
+        found = [list(map(cache.get, c)) for c in chunks]
+        self._encode(list({x for c, f in zip(chunks, found, strict=True) if None in f for x in c if x not in cache}))
+        return [
+            b"".join(map(cache.__getitem__, c) if None in f else f) for c, f in zip(chunks, found, strict=True)
+        ]
+
+
+@functools.lru_cache(maxsize=2)
+def worker_ids(path: str) -> CachedIds:
+    """One cache for all tasks of a Python worker."""
+    return CachedIds(path)
+
+
+def _together(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of some rows at a time."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+        ids.append(doc_id)
+        texts.append(text.as_py() or b"")
+        size += len(texts[-1])
+        if size > most:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def pack_best_fit(
@@ -112,14 +156,14 @@ def pack_best_fit(
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = CachedIds(tokenizer_path)
+        ids_of = worker_ids(tokenizer_path)
         bins = OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for doc_ids, texts in (part for batch in batches for part in _together(batch)):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                ids = memoryview(ids_of(text.as_py() or b"") + end)
+            for doc_id, found in zip(doc_ids, ids_of(texts), strict=True):
+                ids = memoryview(found + end)
                 total = len(ids) // 4
                 for piece, start in enumerate(range(0, total, capacity)):
                     length = min(capacity, total - start)

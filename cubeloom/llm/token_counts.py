@@ -12,10 +12,10 @@ most ``table`` rows, however large the corpus is).
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,23 +26,34 @@ from .session import cut
 
 #: The library's sign for a space.
 SPACE = "\u2581"
+#: Stands in a pre-token's key for a line feed that has no space before it; no valid text has it.
+_FEED = "\ud800"
 _RUNS = re.compile(" +[^ ]*")
+#: A point or comma that doesn't close a word.
+_SIGN = "0-9A-Za-zÀ-ÖØ-öø-ÿ"
+_ODD_MARK = re.compile(rf"[.,][^ \n]|[^{_SIGN}][.,]|^[.,]")
 #: Characters of text whose pre-tokens are in memory at once (a longer text is taken alone).
 _TOGETHER = 1 << 20
 
 
-def units(text: str) -> list[str]:
-    """The pre-tokens of a text: each a run of spaces and what follows, without its first space.
+def units(text: str) -> tuple[list[str], int]:
+    """The keys of a text's pre-tokens, and the number of tokens besides theirs.
 
-    The library puts a space before every text that isn't empty, so every pre-token has a first space.
+    A pre-token is a run of spaces and what follows, and its key lacks the first of them; the library puts
+    a space before every text that isn't empty, so that each has one. In plain texts (no two spaces in
+    a row) a line feed opens a pre-token too, and points and commas that close words are counted apart.
     """
     if not text:
-        return []
+        return [], 0
     if SPACE in text:
         text = text.replace(SPACE, " ")
-    if "  " in text or text[0] == " ":
-        return [u[1:] for u in _RUNS.findall(" " + text)]
-    return text.split(" ")
+    if "  " in text or " \n" in text or text[0] in " \n":
+        return [u[1:] for u in _RUNS.findall(" " + text)], 0
+    marks = 0
+    if not _ODD_MARK.search(text):
+        marks = text.count(".") + text.count(",")
+        text = text.replace(".", "").replace(",", "")
+    return text.replace("\n", " " + _FEED).split(" "), marks
 
 
 def together(column: pa.Array) -> Iterator[list[str]]:
@@ -61,30 +72,46 @@ def together(column: pa.Array) -> Iterator[list[str]]:
 class UnitLengths:
     """Lengths in tokens of pre-tokens: a given table, and a cache of what else has been encoded."""
 
-    def __init__(self, path: str, known: dict[str, int] | None = None, most: int = 200_000):
+    def __init__(self, path: str, most: int = 600_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known, self.most = known or {}, most
-        pieces = (self.model.id_to_piece(k) for k in range(self.model.get_piece_size()))
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        self.most, self.known, self.lengths = most, {}, {}
+        pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
+        crosses = re.compile(rf"[^{SPACE}]{SPACE}|[{_SIGN}][.,]|\n")
+        if any(crosses.search(p) for p in pieces) or not {".", ","} <= set(pieces):
             raise ValueError("a piece of this model crosses pre-tokens")
-        self.lengths = dict(self.known)
 
-    def encode(self, new: list[str]) -> list[int]:
-        found = self.model.encode(new, num_threads=1)
-        return [len(ids) if u else 1 for u, ids in zip(new, found, strict=True)]  # alone, a space is one token
+    def encode(self, keys: list[str]) -> list[int]:
+        # the library puts a space before a line feed too, and none is there
+        found = self.model.encode([k.replace(_FEED, "\n", 1) if k[:1] == _FEED else k for k in keys], num_threads=1)
+        return [len(ids) - (k[0] == _FEED) if k else 1 for k, ids in zip(keys, found, strict=True)]
+
+    def use(self, known: dict[str, int]) -> None:
+        """Take a table of known lengths in."""
+        if known is not self.known:
+            self.known, self.lengths = known, dict(known)
 
     def counts(self, texts: list[str]) -> list[int]:
         parts = [units(t) for t in texts]
         if len(self.lengths) > self.most + len(self.known):
             self.lengths = dict(self.known)
         lengths = self.lengths
-        new = list({u for p in parts for u in filterfalse(lengths.__contains__, p)})
+        found = [list(map(lengths.get, p)) for p, _ in parts]
+        new = list({u for (p, _), n in zip(parts, found, strict=True) if None in n for u in p if u not in lengths})
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
             lengths.update(zip(part, self.encode(part), strict=True))
-        return [sum(map(lengths.__getitem__, p)) for p in parts]
+        return [
+            marks + (sum(map(lengths.__getitem__, p)) if None in n else sum(n))
+            for (p, marks), n in zip(parts, found, strict=True)
+        ]
+
+
+@functools.lru_cache(maxsize=2)
+def worker_lengths(path: str) -> UnitLengths:
+    """One cache for all tasks of a Python worker."""
+    return UnitLengths(path)
 
 
 def frequent_units(docs: DataFrame, text_col: str = "text", share: int = 4096, table: int = 1 << 15) -> DataFrame:
@@ -95,7 +122,7 @@ def frequent_units(docs: DataFrame, text_col: str = "text", share: int = 4096, t
         total = lost = 0
         for batch in batches:
             for text in (t for texts in together(batch.column(0)) for t in texts):
-                found = units(text)
+                found, _ = units(text)
                 total += len(found)
                 counts.update(found)
                 if len(counts) > 64 * share:  # summary of bounded size: all counts fall alike
@@ -120,12 +147,12 @@ def token_counts(
 
     Counts equal those of the sentencepiece library without added tokens. Null texts are empty and
     have no tokens; null ids, repeated rows and extra columns make no difference; an empty table gives
-    no rows. A worker's cache holds at most 200,000 pre-tokens or those of one text and is then emptied.
+    no rows. A worker's cache holds about 600,000 pre-tokens and is then emptied.
     """
     frequent = frequent_units(docs, text_col)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = UnitLengths(model_path)
+        model = worker_lengths(model_path)
         for batch in batches:
             found = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_pydict({"unit": pa.array(found, pa.string()), "length": pa.array(model.encode(found) if found else [], pa.int64())})
@@ -135,7 +162,8 @@ def token_counts(
     known = docs.sparkSession.sparkContext.broadcast({r.unit: r.length for r in rows})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = UnitLengths(model_path, known.value)
+        model = worker_lengths(model_path)
+        model.use(known.value)
         for batch in batches:
             texts = batch.column(1)
             n_bytes = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).cast(pa.int64())
