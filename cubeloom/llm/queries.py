@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .jaccard_join import jaccard_components
 from .line_labels import fit_line_labels, quality_rules
 from .mixing import mix_copies
 from .packing import pack_best_fit
@@ -33,11 +34,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_mix_sources, op7_quality_rules, op8_token_counts, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_exact_dedup, op5_mix_sources, op7_quality_rules, op8_token_counts, op9_jaccard_join, op10_best_fit_packing,
+    )
+}
 
 ORACLES = {
     "op4_exact_dedup": """
