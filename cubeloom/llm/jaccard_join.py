@@ -116,7 +116,7 @@ class Levels:
             empty = np.where(cut_in > 0, cut_in - np.bincount(t[at], minlength=n), 0)
             for k in np.flatnonzero((empty > spare[np.maximum(level, 0)]) & (cut_in > 0)):
                 mine = np.setdiff1d(np.arange(cut_in[k], dtype=np.uint64), part[at][t[at] == k])
-                signs.append(mix(mix(mine * _B + np.uint64(level[k]) * _C)))
+                signs.append(mix(mix(mine * _B + np.array([level[k]], np.uint64) * _C)))
                 owners.append(np.full(len(mine), k))
         if not signs:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)

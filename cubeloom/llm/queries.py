@@ -7,16 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
+from .licences import license_scan
 from .line_labels import fit_line_labels, quality_rules
 from .mixing import mix_copies
 from .packing import pack_best_fit
+from .quality import fit_quality, quality_scores
+from .session import cut
 from .token_counts import token_counts
+from .warc_audit import archive_index, damaged_copy, leaves, merkle_audit, record_digests, response_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    sound = cut(record_digests(response_records(pages)))
+    index = cut(archive_index(sound))
+    return merkle_audit(leaves(index, sound), leaves(index, record_digests(response_records(damaged_copy(pages)))))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -45,11 +65,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_exact_dedup, op5_mix_sources, op7_quality_rules, op8_token_counts, op9_jaccard_join, op10_best_fit_packing,
+        op1_quality_classifier, op2_license_scan, op3_warc_audit, op4_exact_dedup, op5_mix_sources, op7_quality_rules, op8_token_counts, op9_jaccard_join, op10_best_fit_packing,
     )
 }
 
 ORACLES = {
+    "op3_warc_audit": """
+        WITH r AS (
+            SELECT page_id AS record_id, (page_id * 31) % 211 AS fate,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+                   || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                   || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap, html
+            FROM pages),
+        s AS (
+            SELECT record_id, fate, head || strlen(html) || gap || html || gap AS one,
+                   head || strlen(lower(html)) || gap || lower(html) || gap AS two FROM r),
+        p AS (SELECT *, (record_id * 7919) % (SELECT greatest(4, CAST(ceil(sum(strlen(one)) / 67108864) AS BIGINT)) FROM s) AS archive FROM s),
+        o AS (SELECT *, CAST(sum(strlen(one)) OVER (PARTITION BY archive ORDER BY record_id) AS BIGINT) - strlen(one) AS "offset" FROM p)
+        SELECT archive, "offset", record_id, CASE fate WHEN 5 THEN 'changed' ELSE 'missing' END AS damage,
+               sha256(one) AS digest_1, CASE fate WHEN 5 THEN sha256(two) END AS digest_2
+        FROM o WHERE fate IN (5, 6)""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
