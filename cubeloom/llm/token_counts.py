@@ -26,8 +26,6 @@ from .session import cut
 
 #: The library's sign for a space.
 SPACE = "\u2581"
-#: Stands in a pre-token's key for a line feed that has no space before it; no valid text has it.
-_FEED = "\ud800"
 _RUNS = re.compile(" +[^ ]*")
 #: A point or comma that doesn't close a word.
 _SIGN = "0-9A-Za-zÀ-ÖØ-öø-ÿ"
@@ -42,18 +40,20 @@ def units(text: str) -> tuple[list[str], int]:
     A pre-token is a run of spaces and what follows, and its key lacks the first of them; the library puts
     a space before every text that isn't empty, so that each has one. In plain texts (no two spaces in
     a row) a line feed opens a pre-token too, and points and commas that close words are counted apart.
+    A key that begins with a line feed has no space before it.
     """
     if not text:
         return [], 0
     if SPACE in text:
         text = text.replace(SPACE, " ")
     if "  " in text or " \n" in text or text[0] in " \n":
-        return [u[1:] for u in _RUNS.findall(" " + text)], 0
+        keys = [u[1:] for u in _RUNS.findall(" " + text)]
+        return keys, sum(k[:1] == "\n" for k in keys)  # nothing joins a space and a line feed
     marks = 0
     if not _ODD_MARK.search(text):
         marks = text.count(".") + text.count(",")
         text = text.replace(".", "").replace(",", "")
-    return text.replace("\n", " " + _FEED).split(" "), marks
+    return text.replace("\n", " \n").split(" "), marks
 
 
 def together(column: pa.Array) -> Iterator[list[str]]:
@@ -83,9 +83,9 @@ class UnitLengths:
             raise ValueError("a piece of this model crosses pre-tokens")
 
     def encode(self, keys: list[str]) -> list[int]:
-        # the library puts a space before a line feed too, and none is there
-        found = self.model.encode([k.replace(_FEED, "\n", 1) if k[:1] == _FEED else k for k in keys], num_threads=1)
-        return [len(ids) - (k[0] == _FEED) if k else 1 for k, ids in zip(keys, found, strict=True)]
+        # the library puts a space before a line feed too, and none is there; alone, a space is one token
+        found = self.model.encode(keys, num_threads=1)
+        return [len(ids) - (k[0] == "\n") if k else 1 for k, ids in zip(keys, found, strict=True)]
 
     def use(self, known: dict[str, int]) -> None:
         """Take a table of known lengths in."""
