@@ -13,6 +13,7 @@ from .mixing import mix_copies
 from .packing import pack_best_fit
 from .quality import fit_quality, quality_scores
 from .session import cut
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .warc_audit import archive_index, damaged_copy, leaves, merkle_audit, record_digests, response_records
 
@@ -45,6 +46,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, fit_line_labels(docs, table(spark, sf_dir, "labels")))
@@ -65,7 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_license_scan, op3_warc_audit, op4_exact_dedup, op5_mix_sources, op7_quality_rules, op8_token_counts, op9_jaccard_join, op10_best_fit_packing,
+        op1_quality_classifier, op2_license_scan, op3_warc_audit, op4_exact_dedup, op5_mix_sources, op6_suffix_dedup, op7_quality_rules, op8_token_counts, op9_jaccard_join, op10_best_fit_packing,
     )
 }
 
