@@ -72,6 +72,9 @@ def exact_groups(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay of each group of equal texts."""
-    kept = exact_groups(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs``, with all their columns, that stay of each group of equal texts.
+
+    Rows are told apart by their ids: those that repeat an id stay or go together, and those without an id stay.
+    """
+    dropped = exact_groups(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("_dropped_id"))
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")

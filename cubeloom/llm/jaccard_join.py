@@ -337,3 +337,13 @@ def jaccard_components(
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component: that of the smallest id.
+
+    Rows without an id stay.
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
+    dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_dropped_id"))
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
