@@ -1,15 +1,20 @@
 """Similarity join of documents on their word shingles, by vertical partitions of the shingles' global order.
 
-The order of all shingles (that of their hashes) is cut into fragments, and a document's set into segments, one
-for each fragment. Two sets of a similarity of at least t differ in few shingles, and with more
-fragments than that, at least one segment must be the same in both: that makes candidates, fragment by
-fragment. How many fragments it takes depends on the sizes, so sizes fall into classes whose bounds grow by
-1/t; a set is cut as its own class asks and as the class below asks, where it can be the larger of a pair.
-For candidates, the partial overlaps are counted fragment by fragment and summed for each pair, exactly.
-
-Not every candidate has to be counted, as only components are asked for: in each bucket of equal segments
-some members (first one, then twice as many each round) are held against those others that are not yet
-in their component, until nothing is left that could still link two components.
+The global order of shingles is that of their hashes, with the most frequent ones of the corpus last. It is cut
+into fragments, and a document's set into segments, one for each fragment. Two sets of a similarity of at least t
+differ in few shingles, and with more fragments than that, at least one segment is the same in both: that makes
+candidates, fragment by fragment. How many fragments it takes depends on the sizes, so sizes fall into classes whose
+bounds grow by 1/t; a set is cut as its own class asks and as the class below asks, where it can be the larger of
+a pair. Frequent shingles are left out of the segments, which keeps common passages from making candidates; sets of which
+too many segments are empty, and very small ones, also meet by the first shingles in the order (the prefix that two
+similar sets must share).
+
+Candidates that differ in too many places of a bit sketch are out for certain. For the others the partial overlaps are
+counted fragment by fragment and summed for each pair, exactly.
+
+Not every candidate has to be looked at, as only components are asked for: in each bucket of equal segments some members
+(first one, then sixteen times as many each round) are held against those others that are not yet in their component, until
+nothing is left that could still link two components.
 """
 
 from __future__ import annotations
@@ -22,19 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import cut
+from .session import stored
 from .words import Slice, mix, slices, windows
 
 WORDS = 5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Sets smaller than this are compared by their first shingles, as fragments would often be empty.
 _SMALL = 25
-#: Rows of signatures that a task sorts together.
+#: Rows of signatures, or shingles, that a task sorts together.
 _BLOCK = 1 << 21
+#: So many ids are sent to every executor, 16 MB; texts meet more of them in a shuffle.
+_FEW_IDS = 2_000_000
+#: Shingles with at least this share of all occurrences are frequent; so many there are at most.
+_FREQUENT = 1 << 18
 
 
 def shingles(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of each text's distinct shingles, in order."""
+    """Text number and 52-bit hash (in the high bits) of each text's distinct shingles, in order."""
     starts, ends, owner = s.words()
     word = s.hashes(s.sums(), starts, ends)
     at, window = windows(word, owner, WORDS)
@@ -42,13 +51,14 @@ def shingles(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     short = np.flatnonzero((count > 0) & (count < WORDS))
     whole = [mix(np.array([sum(int(word[first[k] + j]) * (2 * j + 3) for j in range(count[k])) + int(count[k]) & (1 << 64) - 1], np.uint64))[0] for k in short]
-    texts = np.concatenate([owner[at], short])
+    texts = np.concatenate([owner[at], short]).astype(np.uint64)
     found = np.concatenate([window, np.array(whole, np.uint64)])
-    order = np.lexsort((found, texts))
-    texts, found = texts[order], found[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (texts[1:] != texts[:-1])
-    return texts[new], found[new]
+    # number and hash in one word, so that one plain sort does
+    both = np.sort((texts << np.uint64(52)) | (found >> np.uint64(12)))
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    return (both >> np.uint64(52)).astype(np.int64), both << np.uint64(12)
 
 
 def set_keys(texts: np.ndarray, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,59 +91,130 @@ class Levels:
             self.fragments.append(0 if low < _SMALL else differ + 1 + spare)
             self.spare.append(spare)
 
-    def signatures(self, texts: np.ndarray, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def signatures(self, texts: np.ndarray, found: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signature and text number: two sets that are similar enough have one in common."""
         size = np.bincount(texts, minlength=n)
         own = np.searchsorted(self.bounds, size, "right") - 1
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
         fragments, spare = np.array(self.fragments), np.array(self.spare)
+        common = np.zeros(len(found), bool)
+        if len(frequent):
+            common = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
+        rare_texts, rare = texts[~common], found[~common]
+        prefix = np.zeros(n, bool)
         signs, owners = [], []
         for back in (0, 1):
-            level = own - back
-            use = (size > 0) & (level >= 0)
-            cut_in = np.where(use, fragments[np.maximum(level, 0)], 0)
-            by_first = use & (cut_in == 0)
-            if by_first.any():
-                lead = np.where(by_first, size - -(-size * self.num // self.den) + 1, 0)
-                rank = np.arange(len(texts)) - first[texts]
-                take = rank < lead[texts]
-                signs.append(mix(found[take] ^ _C))
-                owners.append(texts[take])
-            take = cut_in[texts] > 0
-            t, h = texts[take], found[take]
-            if not len(t):
-                continue
-            part = ((h >> np.uint64(32)) * cut_in[t].astype(np.uint64)) >> np.uint64(32)
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (part[1:] != part[:-1])
-            at = np.flatnonzero(new)
-            total = np.add.reduceat(mix(h ^ _A), at)
-            count = np.diff(np.append(at, len(t))).astype(np.uint64)
-            place = part[at] * _B + level[t[at]].astype(np.uint64) * _C
-            signs.append(mix(total + mix(place + count)))
-            owners.append(t[at])
-            # where more fragments are empty than there are to spare, empty ones count as segments too
-            empty = np.where(cut_in > 0, cut_in - np.bincount(t[at], minlength=n), 0)
-            for k in np.flatnonzero((empty > spare[np.maximum(level, 0)]) & (cut_in > 0)):
-                mine = np.setdiff1d(np.arange(cut_in[k], dtype=np.uint64), part[at][t[at] == k])
-                signs.append(mix(mix(mine * _B + np.array([level[k]], np.uint64) * _C)))
-                owners.append(np.full(len(mine), k))
+            level = np.maximum(own - back, 0)
+            cut_in = np.where((size > 0) & (own >= back), fragments[level], 0)
+            prefix |= (size > 0) & (own >= back) & (cut_in == 0)
+            take = cut_in[rare_texts] > 0
+            t, h = rare_texts[take], rare[take]
+            at = np.zeros(0, np.int64)
+            if len(t):
+                part = ((h >> np.uint64(32)) * cut_in[t].astype(np.uint64)) >> np.uint64(32)
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (part[1:] != part[:-1])
+                at = np.flatnonzero(new)
+                total = np.add.reduceat(mix(h ^ _A), at)
+                count = np.diff(np.append(at, len(t))).astype(np.uint64)
+                place = part[at] * _B + level[t[at]].astype(np.uint64) * _C
+                signs.append(mix(total + mix(place + count)))
+                owners.append(t[at])
+            # two sets have no more segments empty in both than either has: with enough to spare, one of them suffices
+            empty = cut_in - np.bincount(t[at] if len(t) else t, minlength=n)
+            prefix |= (cut_in > 0) & (empty > spare[level])
+        if prefix.any():
+            take = prefix[texts]
+            t, h, last = texts[take], found[take], common[take]
+            order = np.lexsort((h, last, t))
+            t, h = t[order], h[order]
+            held = np.where(prefix, size, 0)
+            first = np.concatenate([[0], np.cumsum(held)[:-1]])
+            lead = size - -(-size * self.num // self.den) + 1
+            take = np.arange(len(t)) - first[t] < lead[t]
+            signs.append(mix(h[take] ^ _C))
+            owners.append(t[take])
         if not signs:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate(signs), np.concatenate(owners)
 
 
+def sketches(texts: np.ndarray, found: np.ndarray, n: int) -> list[bytes]:
+    """For each set, which of its hash ranges hold shingles; two to four ranges a shingle, 256 at least."""
+    size = np.bincount(texts, minlength=n)
+    first = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for k in range(n):
+        bits = max(8, int(2 * size[k]).bit_length())
+        marks = np.zeros(1 << bits, bool)
+        marks[found[first[k] : first[k + 1]] >> np.uint64(64 - bits)] = True
+        out.append(np.packbits(marks).tobytes())
+    return out
+
+
+def certain_differences(a: bytes, b: bytes) -> int:
+    """A number of shingles that two sets at least differ in, by their sketches."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        marks = np.unpackbits(y).reshape(8 * len(x), -1)
+        y = np.packbits(marks.any(axis=1))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in slices(batch.column(1), lower=True):
-            size, one, two = set_keys(*shingles(s), s.n)
+            texts, found = shingles(s)
+            size, one, two = set_keys(texts, found, s.n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s.lo, s.n), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                ["doc_id", "n_shingles", "k1", "k2"],
+                [batch.column(0).slice(s.lo, s.n), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketches(texts, found, s.n), pa.binary())],
+                ["doc_id", "n_shingles", "k1", "k2", "sketch"],
             )
 
 
-def _blocks(levels: Levels, buckets: int):
+def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles with the share of a frequent one in a block of texts, equal sets counted once; not more than there is room for."""
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        shingle, n = np.unique(np.concatenate(parts), return_counts=True)
+        keep = (n > 3) & (n * _FREQUENT >= n.sum())
+        return pa.RecordBatch.from_pydict({"shingle": pa.array(shingle[keep].view(np.int64)), "n": pa.array(n[keep])})
+
+    parts, held, seen = [], 0, set()
+    for batch in batches:
+        for s in slices(batch.column(0), lower=True):
+            texts, found = shingles(s)
+            size, one, two = set_keys(texts, found, s.n)
+            once = _once(np.flatnonzero(size), one, two, s.n, seen)
+            parts.append(found[once[texts]])
+            held += len(parts[-1])
+            if held > 2 * _BLOCK:
+                yield counted(parts)
+                parts, held, seen = [], 0, set()
+    if held:
+        yield counted(parts)
+
+
+def _once(rows: np.ndarray, one: np.ndarray, two: np.ndarray, n: int, seen: set) -> np.ndarray:
+    """Which of the rows hold a set that hasn't been seen."""
+    once = np.zeros(n, bool)
+    for k in rows:
+        key = (one[k], two[k])
+        if key not in seen:
+            seen.add(key)
+            once[k] = True
+    return once
+
+
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """The frequent shingles of a column of texts, sorted: at most _FREQUENT of them, by the share that each has."""
+    counts = stored(texts.mapInArrow(_local_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.filter(F.col("n") * _FREQUENT >= total).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def _blocks(levels: Levels, buckets: int, frequent):
     """Signatures of a task's documents, sorted a block at a time and sent to buckets as packed columns."""
 
     def packed(signs: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -177,14 +258,9 @@ def _blocks(levels: Levels, buckets: int):
                 size, one, two = set_keys(texts, found, s.n)
                 numbers = all_ids.slice(s.lo, s.n)
                 valid = ~np.asarray(numbers.is_null())
-                once = np.zeros(s.n, bool)  # a set once in each block, without ids that are null
-                for k in np.flatnonzero(valid & (size > 0)):
-                    key = (one[k], two[k])
-                    if key not in seen:
-                        seen.add(key)
-                        once[k] = True
+                once = _once(np.flatnonzero(valid & (size > 0)), one, two, s.n, seen)  # without ids that are null
                 take = once[texts]
-                sign, owner = levels.signatures(texts[take], found[take], s.n)
+                sign, owner = levels.signatures(texts[take], found[take], s.n, frequent.value)
                 signs.append(sign)
                 ids.append(np.asarray(numbers.fill_null(0))[owner])
                 held += len(sign)
@@ -237,7 +313,7 @@ def _overlaps(fragments: int):
                 n = min(256, len(batch) - lo)
                 sides = []
                 for c in (2, 3):
-                    at, texts, found = 0, [], []
+                    at, texts, found = 0, [], []  # pairs come few at a time, so that texts are too
                     for s in slices(batch.column(c).slice(lo, n), lower=True):
                         t, h = shingles(s)
                         texts.append(t + at)
@@ -274,40 +350,51 @@ def jaccard_components(
     """
     num, den = threshold
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    sets = cut(rows.mapInArrow(_sets, "doc_id long, n_shingles long, k1 long, k2 long"))
+    sets = stored(rows.mapInArrow(_sets, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"))
     # equal sets: one of them, that with the smallest id, stands for all
     equal = sets.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = cut(sets.join(cut(equal), ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", "rep"))
+    members = sets.drop("sketch").join(stored(equal), ["n_shingles", "k1", "k2"], "left")
+    members = stored(members.select("doc_id", "n_shingles", "rep"))
     total = members.agg(F.sum("n_shingles").alias("all"), F.max("n_shingles").alias("most")).first()
     levels = Levels(num, den, total["most"] or 0)
     buckets = max(16, -(-(total["all"] or 0) // 4_000_000))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows.select("text")))
     blocks = rows.mapInArrow(
-        _blocks(levels, buckets), "bucket int, known boolean, signs binary, ids binary, heads binary"
+        _blocks(levels, buckets, frequent), "bucket int, known boolean, signs binary, ids binary, heads binary"
     )
-    shared = cut(blocks.groupBy("bucket").applyInArrow(_shared, "sign long, id long, head long"))
+    shared = stored(blocks.groupBy("bucket").applyInArrow(_shared, "sign long, id long, head long"))
 
     reps = members.filter("rep is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "rep").distinct()
     stands = shared.join(reps, "id").select("sign", F.col("rep").alias("id"), "head")
     stands = stands.join(reps.withColumnsRenamed({"id": "head", "rep": "first"}), "head").select("sign", "id", "first")
-    stands = cut(stands.distinct())
-    size = members.filter("rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct()
-    ids = stands.select("id").distinct()
-    held = cut(rows.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).join(size.withColumnRenamed("id", "doc_id"), "doc_id"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are similar enough."""
-        one = held.selectExpr("doc_id a", "text text_a", "n n_a")
-        two = held.selectExpr("doc_id b", "text text_b", "n n_b")
+    stands = stored(stands.distinct())
+    # what is known of the sets that stand for others; a repeated row is there once
+    known = members.filter("rep = doc_id").select("doc_id").distinct().join(sets.filter("doc_id is not null"), "doc_id")
+    known = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+
+    def near(candidates: DataFrame) -> DataFrame:
+        """Those candidates that their sizes and sketches don't rule out."""
+        one, two = (known.selectExpr(f"doc_id {x}", f"n n_{x}", f"sketch sketch_{x}") for x in "ab")
         fits = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-        sizes = pairs.join(one.select("a", "n_a"), "a").join(two.select("b", "n_b"), "b").filter(fits)
-        texts = sizes.join(two.select("b", "text_b"), "b").join(one.select("a", "text_a"), "a")
+        sizes = candidates.join(one, "a").join(two, "b").filter(fits).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        return stored(sizes.mapInArrow(_not_ruled_out(num, den), "a long, b long, n_a long, n_b long"))
+
+    def links(candidates: DataFrame) -> DataFrame:
+        """Those candidates that are similar enough."""
+        likely = near(candidates)
+        ids = stored(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        if ids.count() <= _FEW_IDS:
+            ids = F.broadcast(ids)
+        held = stored(rows.join(ids, "doc_id"))
+        texts = likely.select("a", "b").join(held.selectExpr("doc_id b", "text text_b"), "b")
+        texts = texts.join(held.selectExpr("doc_id a", "text text_a"), "a")
         partial = texts.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(fragments), "a long, b long, fragment int, overlap long")
-        overlap = partial.groupBy("a", "b").agg(F.sum("overlap").alias("o"))
-        found = sizes.join(overlap, ["a", "b"])
+        partial = partial.groupBy("a", "b", "fragment").agg(F.max("overlap").alias("overlap"))
+        found = likely.join(partial.groupBy("a", "b").agg(F.sum("overlap").alias("o")), ["a", "b"])
         return found.filter(f"o * {den} >= (n_a + n_b - o) * {num}").select("a", "b")
 
     pair = [F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")]
-    linked = cut(links(stands.select(*pair).filter("a < b").distinct()))
+    linked = stored(links(stands.select(*pair).filter("a < b").distinct()))
     labels = connected_components(linked)
 
     # in buckets that still hold several components, more and more members are held against the others
@@ -317,17 +404,17 @@ def jaccard_components(
         named = open_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("sign").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         mixed = mixed.filter(F.col("low") != F.col("high")).filter(F.col("size") > done).select("sign", "size")
-        named = cut(named.join(mixed, "sign").withColumn("turn", F.xxhash64("id", F.lit(11)) / F.lit(2.0**64) + 0.5))
+        named = stored(named.join(mixed, "sign").withColumn("turn", F.xxhash64("id", F.lit(11)) / F.lit(2.0**64) + 0.5))
         if named.isEmpty():
             break
-        upto = 2 * done + 1
+        upto = 16 * (done + 1)
         # about `upto` members of each bucket have had their turn after this round
         turn = F.floor(F.col("turn") * F.col("size"))
         hubs = named.filter((turn >= done) & (turn < upto)).select("sign", F.col("id").alias("hub"), F.col("component").alias("c"), F.col("turn").alias("hub_turn"))
         others = named.select("sign", "id", "component", "turn")
         met = hubs.join(others, "sign").filter("c != component and (turn, id) > (hub_turn, hub)")
         met = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        linked = cut(linked.unionByName(links(met)))
+        linked = stored(linked.unionByName(links(met)))
         labels = connected_components(linked)
         open_ = named.select("sign", "id")
         done = upto
@@ -339,6 +426,19 @@ def jaccard_components(
     )
 
 
+def _not_ruled_out(num: int, den: int):
+    """Pairs whose sketches differ in no more places than similar sets of their sizes can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            most = sizes * (den - num) // (den + num)
+            keep = [certain_differences(a.as_py(), b.as_py()) <= m for a, b, m in zip(batch.column(4), batch.column(5), most, strict=True)]
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component: that of the smallest id.
 

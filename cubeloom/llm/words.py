@@ -101,6 +101,10 @@ class Slice:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Texts in a slice at most, so that a text's number takes 12 bits.
+SLICE_TEXTS = 1 << 12
+
+
 def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cut a string column into slices of about ``most`` bytes; a longer text is a slice of its own. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,7 +116,7 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, most: int =
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, len(column), lo + SLICE_TEXTS)
         part = data[offsets[lo] : offsets[hi]]
         yield Slice(lo, hi, LOWER[part] if lower else part, offsets[lo : hi + 1] - offsets[lo])
         lo = hi
