@@ -154,20 +154,28 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed:
         labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out())
         .groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     )
-    # the sample has a fixed number of rows, so it may be broadcast; sixteen tasks, so sixteen matrices below
+    # the sample has a fixed number of rows, so it may be broadcast
     texts = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(16, "doc_id"))
     places, signs = index_vectors(seed)
 
+    parts, rows_each = 64, BUCKETS // 64
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, PLACES))
         for batch in batches:
             for s in slices(batch.column(0)):
                 total += context_sums(s, places, signs)
-        yield pa.RecordBatch.from_pydict({"m": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        blocks = [b.astype(np.float32).tobytes() for b in total.reshape(parts, -1)]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "m": pa.array(blocks, pa.binary())})
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(m.as_py(), np.float32).astype(float) for m in table.column("m"))
+        return pa.table({"part": table.column("part").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
 
     vectors = np.zeros((BUCKETS, PLACES))
-    for row in texts.select("text").mapInArrow(sums, "m binary").collect():
-        vectors += np.frombuffer(row.m, np.float32).reshape(BUCKETS, PLACES)
+    found = texts.select("text").mapInArrow(sums, "part int, m binary").groupBy("part").applyInArrow(added, "part int, m binary")
+    for row in found.collect():  # one matrix in all
+        vectors[row.part * rows_each : (row.part + 1) * rows_each] = np.frombuffer(row.m).reshape(rows_each, PLACES)
     # a word's own index vector stays in it, so that words without neighbours in the sample differ too
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     np.add.at(vectors, (np.arange(BUCKETS)[:, None], places), signs / np.sqrt(FILLED))
