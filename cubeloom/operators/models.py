@@ -72,11 +72,16 @@ def permutation_importance(model, df: DataFrame, columns: list[str], label: str
         numbered = numbered.withColumn("_a", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_v", F.lit(seed)), label)))
         given = rows.withColumn("_b", blocks)
         given = given.withColumn("_a", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_v", F.lit(seed + k + 1)), label))).select("_b", "_a", F.get("_v", F.lit(k)).alias("_x"))
-        mixed = numbered.join(given, ["_b", "_a"]).withColumn("features", array_to_vector(F.transform("_v", lambda x, i, k=k: F.when(i == k, F.col("_x")).otherwise(x))))
+        mixed = numbered.join(given, ["_b", "_a"]).withColumn("features", array_to_vector(_with_place("_v", k, F.col("_x"))))
         found.append((name, float(rmse.evaluate(model.transform(mixed)) - base)))
     return spark.createDataFrame(found, "feature string, importance double")
 
 
+def _with_place(array: str, k: int, value):
+    """The array with another value in place k."""
+    return F.transform(array, lambda x, i: F.when(i == k, value).otherwise(x))
+
+
 def grid_search(train: DataFrame, label: str = "y", regs=(0.0, 0.1, 1.0), nets=(0.0, 0.5), folds: int = 3, seed: int = 1):
     """Scaled features and a linear model, chosen by cross-validation."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
