@@ -18,6 +18,7 @@ from cubeloom.llm.jaccard_join import drop_near_duplicates
 from cubeloom.llm.line_labels import fit_line_labels, keep_quality
 from cubeloom.llm.mixing import mix_sources
 from cubeloom.llm.packing import pack_best_fit
+from cubeloom.shipping import shipped
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +47,11 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality rules", quality_stage),
-    ("exact dedup", exact_stage),
-    ("n-gram Jaccard join", near_stage),
-    ("mixing sources to target weights", mixing_stage),
-    ("best-fit packing", packing_stage),
+    ("quality rules", shipped(quality_stage)),
+    ("exact dedup", shipped(exact_stage)),
+    ("n-gram Jaccard join", shipped(near_stage)),
+    ("mixing sources to target weights", shipped(mixing_stage)),
+    ("best-fit packing", shipped(packing_stage)),
 ]
 
 #: Tokenisation, the fitted field and the links have no SQL; the stages are tested against brute force.

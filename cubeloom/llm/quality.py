@@ -1,8 +1,8 @@
 """Quality scores: random-indexing word vectors pooled per document, and a small calibrated network.
 
 Every word has a fixed sparse index vector of a few +1 and -1; its word vector is the sum of the index
-vectors around it in the sampled texts. A document is the mean and the spread of its word vectors, and
-two numpy layers turn those into a probability whose temperature is fitted on rows kept out of training.
+vectors around it in the sampled texts. A document is the mean of its word vectors, their spread, and how they go along
+with their neighbours; two numpy layers turn those into a probability whose temperature is fitted on rows kept out of training.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ _KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 2
 _KIND[SPACE] = 0
 #: Words share this many vectors by hash, and each vector has so many places, of which the index fills a few.
 BUCKETS, PLACES, FILLED, REACH = 1 << 13, 48, 4, 2
+WIDTH = 3 * PLACES + 2
 
 
 def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +64,10 @@ def context_sums(s: Slice, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 
 def pooled(s: Slice, vectors: np.ndarray) -> np.ndarray:
-    """Mean and root mean square of each text's word vectors, the length of the mean, and the log of its words."""
+    """Mean and root mean square of each text's word vectors, the mean product of neighbours, the length of the mean, and the
+    log of the number of words."""
     owner, word = tokens(s)
-    out = np.zeros((s.n, 2 * PLACES + 2), np.float32)
+    out = np.zeros((s.n, WIDTH), np.float32)
     count = np.bincount(owner, minlength=s.n)
     full = np.flatnonzero(count)
     if len(full):
@@ -73,6 +75,10 @@ def pooled(s: Slice, vectors: np.ndarray) -> np.ndarray:
         rows = vectors[word]
         n = count[full][:, None]
         out[full, :PLACES] = np.add.reduceat(rows, first) / n
+        pairs = np.zeros_like(rows)
+        pairs[1:] = rows[1:] * rows[:-1]
+        pairs[first] = 0  # the word before stands in another text
+        out[full, 2 * PLACES : 3 * PLACES] = np.add.reduceat(pairs, first) / n
         rows *= rows
         out[full, PLACES : 2 * PLACES] = np.sqrt(np.add.reduceat(rows, first) / n)
         out[full, -2] = np.linalg.norm(out[full, :PLACES], axis=1)
@@ -103,7 +109,7 @@ def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int =
     """Adam on the log loss; a fifth of the rows is kept out and gives the temperature."""
     rng = np.random.default_rng(seed)
     prior = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    width = 2 * PLACES + 2
+    width = WIDTH
     net = Network(np.zeros(width), np.ones(width), np.zeros((width, hidden)), np.zeros(hidden), np.zeros(hidden), np.log(prior / (1 - prior)))
     if len(y) < 10 or len(set(y.tolist())) < 2:
         return net  # nothing to tell apart: the share of label 1
@@ -178,6 +184,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed:
         vectors[row.part * rows_each : (row.part + 1) * rows_each] = np.frombuffer(row.m).reshape(rows_each, PLACES)
     # a word's own index vector stays in it, so that words without neighbours in the sample differ too
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    vectors -= vectors.mean(axis=0)  # what all words have in common tells nothing
     np.add.at(vectors, (np.arange(BUCKETS)[:, None], places), signs / np.sqrt(FILLED))
     vectors = vectors.astype(np.float32)
 
@@ -189,7 +196,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed:
 
     rows = texts.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), 2 * PLACES + 2)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), WIDTH)
     return vectors, train_network(x.astype(float), np.array([r.quality for r in rows], float))
 
 
