@@ -35,7 +35,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 #: Sets smaller than this are compared by their first shingles, as fragments would often be empty.
 _SMALL = 25
 #: Rows of signatures, or shingles, that a task sorts together.
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 #: So many ids are sent to every executor, 16 MB; texts meet more of them in a shuffle.
 _FEW_IDS = 2_000_000
 #: Shingles with at least this share of all occurrences are frequent; so many there are at most.
@@ -299,6 +299,7 @@ def _shared(table: pa.Table) -> pa.Table:
         head, length = np.repeat(own[at], length), np.repeat(length, length)
         keep = (length > 1) | also
         out.append((sign[keep], own[keep], head[keep]))
+    del signs, ids, more
     columns = [np.concatenate(c).view(np.int64) for c in zip(*out, strict=True)]
     return pa.table(dict(zip(("sign", "id", "head"), (pa.array(c) for c in columns), strict=True)))
 
@@ -357,7 +358,7 @@ def jaccard_components(
     members = stored(members.select("doc_id", "n_shingles", "rep"))
     total = members.agg(F.sum("n_shingles").alias("all"), F.max("n_shingles").alias("most")).first()
     levels = Levels(num, den, total["most"] or 0)
-    buckets = max(16, -(-(total["all"] or 0) // 4_000_000))
+    buckets = max(16, -(-(total["all"] or 0) // 1_500_000))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows.select("text")))
     blocks = rows.mapInArrow(
         _blocks(levels, buckets, frequent), "bucket int, known boolean, signs binary, ids binary, heads binary"
