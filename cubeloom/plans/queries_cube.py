@@ -216,7 +216,7 @@ def b10(spark, sf):
     return masks.remap(part, "p_size", mapping, "looked_up", keep=False).select("p_partkey", "kept", "looked_up")
 
 
-@query("b11_nearest_pixel", cube_sql("SELECT pixel_id, time, precip FROM cube WHERE lat_idx = 2 AND lon_idx = 1"), "precip")
+@query("b11_nearest_pixel", cube_sql("SELECT pixel_id, time, precip FROM cube WHERE lat_idx = (SELECT lat_idx FROM cube ORDER BY abs(lat_idx * 10 - 24), lat_idx LIMIT 1) AND lon_idx = (SELECT lon_idx FROM cube ORDER BY abs(lon_idx * 72 - 100), lon_idx LIMIT 1)"), "precip")
 def b11(spark, sf):
     return masks.nearest_pixel(located(cubes.cube_ship(spark, sf)), 4.0, 100.0).select("pixel_id", "time", "precip")
 

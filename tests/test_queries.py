@@ -1,4 +1,4 @@
-"""Every query that has SQL, against DuckDB on the smallest tables."""
+"""Every query that has SQL, against DuckDB on the smallest tables that fill the grid."""
 
 import math
 import os
@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from cubeloom.plans.queries import ORACLES, QUERIES
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
