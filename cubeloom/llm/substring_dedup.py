@@ -78,6 +78,33 @@ def _find_pieces(length: int):
     return run
 
 
+def _contexts(length: int):
+    """Digests of what lies around a piece's anchor, as far as the piece goes: (0, 3), (1, 2), (2, 1) and (3, 0) quarters to
+    the left and right of the most that a string can reach. A string that starts in some quarter covers one of them."""
+    quarter = (length - GRAM) // 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors = np.asarray(batch.column(0)).view(np.uint64)
+            for s in slices(batch.column(2)):
+                sums = s.sums()
+                at = np.arange(max(len(s.data) - GRAM + 1, 0))
+                owner = np.searchsorted(s.offsets, at, "right") - 1
+                hit = np.flatnonzero(s.hashes(sums, at, at + GRAM) == anchors[s.lo : s.hi][owner])
+                hit = hit[hit + GRAM <= s.offsets[owner[hit] + 1]]
+                for k in range(4):
+                    lo, hi = hit - quarter * k, hit + GRAM + quarter * (3 - k)
+                    inside = (lo >= s.offsets[owner[hit]]) & (hi <= s.offsets[owner[hit] + 1])
+                    rows = pa.array(owner[hit[inside]] + s.lo)
+                    context = mix(s.hashes(sums, lo[inside], hi[inside]) + np.uint64(k))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(context.view(np.int64))],
+                        ["anchor", "piece", "context"],
+                    )
+
+    return run
+
+
 def _sort_shard(length: int, memory: int):
     """Of the pieces of one shard, the string starts that another piece, or another place in this one, has too."""
 
@@ -157,6 +184,11 @@ def remove_repeats(
         "anchor", "piece", "kinds", F.substring(F.col("text").cast("binary"), F.col("a") + 1, F.col("b") - F.col("a") + length).alias("bytes")
     )
     texts = cut(texts)
+    # a repeated string reaches so far to both sides of its anchor that one of four contexts is repeated too
+    contexts = texts.select("anchor", "piece", "bytes").mapInArrow(_contexts(length), "anchor long, piece long, context long")
+    met = contexts.groupBy("anchor", "context").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).filter("p != q")
+    met = contexts.join(met.select("anchor", "context"), ["anchor", "context"]).select("anchor", "piece").distinct()
+    texts = cut(texts.join(met, ["anchor", "piece"], "left_semi"))
     total = texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     schema = "anchor long, piece long, spans array<long>"
