@@ -1,10 +1,11 @@
 """Suffix sorting of one shard by external induced sorting.
 
 Suffixes that begin a rising run after a falling one (seeds) are sorted first, by naming the strings between
-seeds and sorting the string of names the same way, recursively. From the seeds, a pass in rising order
-induces the falling suffixes and a pass in falling order the rising ones. Each pass takes tuples of
+seeds and sorting the string of names the same way, recursively (or, once it fits in memory, at once). From the seeds, a
+pass in rising order induces the falling suffixes and a pass in falling order the rising ones. Each pass takes tuples of
 key and place from a priority queue whose buckets go to disk when too many tuples are held, and works on
-batches: as many tuples as can go before the first of the tuples that they induce.
+batches: as many tuples as can go before the first of the tuples that they induce. Of common prefixes, only
+whether neighbours agree in a given number of bytes is asked, and that is compared byte by byte in the end.
 """
 
 from __future__ import annotations
@@ -94,6 +95,22 @@ def _induce(text: np.ndarray, rising: np.ndarray, seeds: np.ndarray, top: int, u
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _double(names: np.ndarray) -> np.ndarray:
+    """The same order for a string that fits in memory: ranks by ever longer beginnings."""
+    n, reach, rank = len(names), 1, names
+    while True:
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - reach] = rank[reach:] + 1
+        key = rank * (n + 1) + ahead
+        order = np.argsort(key)
+        sorted_key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
+        if rank[order[-1]] == n - 1:
+            return order
+        reach *= 2
+
+
 def suffix_order(text: np.ndarray, memory: int = 1 << 21) -> np.ndarray:
     """Start places of all suffixes of ``text`` in sorted order; its last number must be the only least one."""
     n = len(text)
@@ -136,7 +153,7 @@ def suffix_order(text: np.ndarray, memory: int = 1 << 21) -> np.ndarray:
     if name[-1] + 1 < len(seeds):
         names = np.zeros(len(seeds), np.int64)
         names[number[sorted_seeds]] = name
-        sorted_seeds = seeds[suffix_order(names, memory)]
+        sorted_seeds = seeds[_double(names) if len(names) <= memory else suffix_order(names, memory)]
     return passes(sorted_seeds)
 
 
