@@ -1,4 +1,4 @@
-"""Guarded arithmetic: what the reference would give as an infinity or not-a-number is null."""
+"""Guarded arithmetic: what plain division would give as an infinity or not-a-number is null."""
 
 from __future__ import annotations
 
