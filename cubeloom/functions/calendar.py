@@ -141,7 +141,8 @@ def time_of_file(name: Column, kind: str, base: int = 0) -> Column:
     """
     part = lambda pattern, k: F.nullif(F.regexp_extract(name, pattern, k), F.lit("")).cast("int")
     if kind == "week":
-        return week_of_name(part(r"P(\d{4})0(\d{2})", 1), part(r"P(\d{4})0(\d{2})", 2))
+        named = r"P(\d{4,})0(\d{2})(?!\d)"  # years beyond 9999 too
+        return week_of_name(part(named, 1), part(named, 2))
     if kind == "dekad":
         return dekad_date(part(r"\.t(\d{4})(\d{2})", 1), part(r"\.t(\d{4})(\d{2})", 2) + 1 - base)
     if kind == "day":
