@@ -1,7 +1,7 @@
 """Quality scores: random-indexing word vectors pooled per document, and a small calibrated network.
 
 Every word has a fixed sparse index vector of a few +1 and -1; its word vector is the sum of the index
-vectors around it in the sampled texts. A document is the mean of its word vectors, their spread, and how they go along
+vectors around it in all texts, labelled or not. A document is the mean of its word vectors, their spread, and how they go along
 with their neighbours; two numpy layers turn those into a probability whose temperature is fitted on rows kept out of training.
 """
 
@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
 from .words import SPACE, Slice, slices
 
 #: Kinds of bytes: white space, signs, letters and digits (all bytes beyond ASCII count as letters).
@@ -23,8 +22,9 @@ _KIND = np.full(256, 2, np.int8)
 _KIND[:128] = 1
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 2
 _KIND[SPACE] = 0
-#: Words share this many vectors by hash, and each vector has so many places, of which the index fills a few.
-BUCKETS, PLACES, FILLED, REACH = 1 << 13, 48, 4, 2
+#: Words share 2**BITS vectors by hash, and each vector has so many places, of which the index fills a few.
+BITS, PLACES, FILLED, REACH = 15, 48, 4, 2
+BUCKETS = 1 << BITS
 WIDTH = 3 * PLACES + 2
 
 
@@ -41,7 +41,7 @@ def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = at[:-1], at[1:]
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
-    number = (s.hashes(s.sums(), starts, ends) >> np.uint64(51)).astype(np.int64)
+    number = (s.hashes(s.sums(), starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
     return np.searchsorted(s.offsets, starts, "right") - 1, number
 
 
@@ -155,13 +155,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed: int = 3) -> tuple[np.ndarray, Network]:
-    """Word vectors and network, fitted on at most ``sample`` labelled rows, spread by hash, none of them held out."""
+    """Word vectors from all texts of ``docs``, and a network fitted on at most ``sample`` labelled rows, spread by hash, none
+    of them held out. The vectors need no labels; they do not depend on how ``docs`` is partitioned."""
     chosen = (
         labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out())
         .groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     )
     # the sample has a fixed number of rows, so it may be broadcast
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(16, "doc_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(16, "doc_id")
     places, signs = index_vectors(seed)
 
     parts, rows_each = 64, BUCKETS // 64
@@ -171,18 +172,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed:
         for batch in batches:
             for s in slices(batch.column(0)):
                 total += context_sums(s, places, signs)
-        blocks = [b.astype(np.float32).tobytes() for b in total.reshape(parts, -1)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "m": pa.array(blocks, pa.binary())})
+        for part, block in enumerate(total.reshape(parts, rows_each, PLACES)):
+            used = np.flatnonzero(block.any(axis=1)).astype(np.int32)  # most tasks see few of the words
+            if len(used):
+                values = {"part": pa.array([part], pa.int32()), "words": pa.array([used.tobytes()], pa.binary()), "m": pa.array([block[used].astype(np.int32).tobytes()], pa.binary())}
+                yield pa.RecordBatch.from_pydict(values)
 
     def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(m.as_py(), np.float32).astype(float) for m in table.column("m"))
+        total = np.zeros((rows_each, PLACES))  # sums of whole numbers: exact in any order
+        for words, m in zip(table.column("words"), table.column("m"), strict=True):
+            total[np.frombuffer(words.as_py(), np.int32)] += np.frombuffer(m.as_py(), np.int32).reshape(-1, PLACES)
         return pa.table({"part": table.column("part").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
 
     vectors = np.zeros((BUCKETS, PLACES))
-    found = texts.select("text").mapInArrow(sums, "part int, m binary").groupBy("part").applyInArrow(added, "part int, m binary")
+    found = docs.select("text").mapInArrow(sums, "part int, words binary, m binary").groupBy("part").applyInArrow(added, "part int, m binary")
     for row in found.collect():  # one matrix in all
         vectors[row.part * rows_each : (row.part + 1) * rows_each] = np.frombuffer(row.m).reshape(rows_each, PLACES)
-    # a word's own index vector stays in it, so that words without neighbours in the sample differ too
+    # a word's own index vector stays in it, so that words without neighbours differ too
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     vectors -= vectors.mean(axis=0)  # what all words have in common tells nothing
     np.add.at(vectors, (np.arange(BUCKETS)[:, None], places), signs / np.sqrt(FILLED))

@@ -3,9 +3,13 @@
 from collections import defaultdict
 from datetime import date, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cubeloom.functions import calendar as cal
+from cubeloom.llm.quality import fit_quality, tokens
+from cubeloom.llm.words import slices
 from cubeloom.plans.queries import QUERIES
 
 
@@ -30,3 +34,15 @@ def test_weeks_of_late_years(spark):
     name = spark.createDataFrame([("VHP.G04.C07.NC.P10000035.VH.nc",)], "a string")
     first = name.select(F.year(cal.time_of_file(F.col("a"), "week")).alias("y"), F.month(cal.time_of_file(F.col("a"), "week")).alias("m")).first()
     assert (first.y, first.m) == (10000, 8)
+
+
+def test_word_vectors_come_from_all_texts(spark):
+    labelled = [(k, f"plain words number {k} here") for k in range(20)]
+    alike = [(1000 + k, f"the red {w} sat on a mat") for k, w in enumerate(["zonka", "zonkb"] * 30)]  # no labels
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in labelled], "doc_id long, quality int")
+    docs = spark.createDataFrame(labelled + alike, "doc_id long, text string")
+    vectors = fit_quality(docs.repartition(5), labels)[0]
+    one, two, other = (vectors[tokens(next(slices(pa.array([w]))))[1][0]] for w in ("zonka", "zonkb", "nowhere"))
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    assert cosine(one, two) > 0.4 > cosine(one, other)
+    assert np.array_equal(vectors, fit_quality(docs.coalesce(1), labels)[0])
