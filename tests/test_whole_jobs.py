@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cubeloom.functions import calendar as cal
+from cubeloom.llm.line_labels import FEATURES, fit_line_labels
 from cubeloom.llm.quality import fit_quality, tokens
 from cubeloom.llm.words import slices
 from cubeloom.plans.queries import QUERIES
@@ -46,3 +47,17 @@ def test_word_vectors_come_from_all_texts(spark):
     cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
     assert cosine(one, two) > 0.4 > cosine(one, other)
     assert np.array_equal(vectors, fit_quality(docs.coalesce(1), labels)[0])
+
+
+def test_late_lines_train(spark):
+    rng = np.random.default_rng(1)
+    lines = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) + f" {rng.integers(1e6)} some more words." for _ in range(n)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    plain = [lines(250) for _ in range(8)]
+    marked = [t[:150] + (["|||###" + x[:6] + "###|||" for x in lines(100)] if k % 2 == 0 else t[150:]) for k, t in enumerate(plain)]
+    weights = []
+    for texts in (plain, marked):
+        df = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+        weights.append(fit_line_labels(df, labels)[0])
+    at = FEATURES.index("marks 1/4")
+    assert abs(weights[0][at]).max() < 0.1 < weights[1][at, 0] - weights[1][at, 1]
