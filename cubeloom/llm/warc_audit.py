@@ -49,8 +49,15 @@ def archive_index(digests: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Dat
 
 
 def leaves(index: DataFrame, digests: DataFrame) -> DataFrame:
-    """A replica's records that the index knows: ``archive, offset, record_id, digest``."""
-    return index.join(digests, "record_id").select("archive", "offset", "record_id", "digest")
+    """A replica's records: ``archive, offset, record_id, digest``.
+
+    Records that the index doesn't know are in archive -1, in the order of their ids (modulo 2**40) and 4,096 bytes apart,
+    so that they have one place in all replicas.
+    """
+    own = F.pmod("record_id", F.lit(1 << 40)) * F.lit(4096)
+    return digests.join(index, "record_id", "left").select(
+        F.coalesce("archive", F.lit(-1)).alias("archive"), F.coalesce("offset", own).alias("offset"), "record_id", "digest"
+    )
 
 
 def merkle_tree(records: DataFrame, height: int, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[DataFrame]:

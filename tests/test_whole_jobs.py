@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cubeloom.functions import calendar as cal
 from cubeloom.llm.line_labels import FEATURES, fit_line_labels
 from cubeloom.llm.quality import fit_quality, tokens
+from cubeloom.llm.warc_audit import archive_index, leaves, merkle_audit, record_digests, response_records
 from cubeloom.llm.words import slices
 from cubeloom.plans.queries import QUERIES
 
@@ -61,3 +62,14 @@ def test_late_lines_train(spark):
         weights.append(fit_line_labels(df, labels)[0])
     at = FEATURES.index("marks 1/4")
     assert abs(weights[0][at]).max() < 0.1 < weights[1][at, 0] - weights[1][at, 1]
+
+
+def test_records_that_the_index_lacks(spark):
+    rows = [(k, f"http://a/{k}", f"<p>{k}</p>") for k in range(300)]
+    new = [(k, "http://b", "<p>new</p>") for k in (-5, 300, 1 << 41, (1 << 63) - 1)]
+    pages = lambda r: record_digests(response_records(spark.createDataFrame(r, "page_id long, url string, html string")))
+    index = archive_index(pages(rows))
+    found = merkle_audit(leaves(index, pages(rows)), leaves(index, pages(rows[1:] + new))).collect()
+    assert {(r.record_id, r.damage) for r in found} == {(0, "missing")} | {(k, "extra") for k, *_ in new}
+    assert all((r.archive == -1) == (r.damage == "extra") for r in found)
+    assert merkle_audit(leaves(index, pages(rows + new)), leaves(index, pages(new + rows))).count() == 0
