@@ -1,20 +1,19 @@
 """Similarity join of documents on their word shingles, by vertical partitions of the shingles' global order.
 
-The global order of shingles is that of their hashes, with the most frequent ones of the corpus last. It is cut
-into fragments, and a document's set into segments, one for each fragment. Two sets of a similarity of at least t
-differ in few shingles, and with more fragments than that, at least one segment is the same in both: that makes
-candidates, fragment by fragment. How many fragments it takes depends on the sizes, so sizes fall into classes whose
-bounds grow by 1/t; a set is cut as its own class asks and as the class below asks, where it can be the larger of
-a pair. Frequent shingles are left out of the segments, which keeps common passages from making candidates; sets of which
-too many segments are empty, and very small ones, also meet by the first shingles in the order (the prefix that two
-similar sets must share).
-
-Candidates that differ in too many places of a bit sketch are out for certain. For the others the partial overlaps are
-counted fragment by fragment and summed for each pair, exactly.
-
-Not every candidate has to be looked at, as only components are asked for: in each bucket of equal segments some members
-(first one, then sixteen times as many each round) are held against those others that are not yet in their component, until
-nothing is left that could still link two components.
+The global order has the rare shingles first, by hash, and after them the frequent ones of the corpus, rarest first. It is
+cut into fragments, and a document's set into segments, one for each fragment.
+
+Candidates come from the front of the order: two sets of a similarity of at least t share one of the first
+``n - ceil(t * n) + 1`` shingles of either. The place of the first that they share bounds what they can have in common: from
+there on, the shorter rest must still hold the overlap that they need. Those that differ in too many places of a bit
+sketch are out for certain too. For the others the segments meet fragment by fragment; the partial overlaps are counted
+where they meet, and summed for each pair, exactly.
+
+Not every candidate has to be looked at, as only components are asked for. The documents that share an early shingle make a
+group. In each group, the member in which it comes earliest is held against the others, and only where that leaves
+several components, members of different ones meet. Large groups are first cut up again: the shingles that the hub of the
+group lacks are put first in an order of the group's own, the members deal themselves out by the first of those,
+and only what shares one of them meets. Copies that have wandered off from a common origin, each in its own way, don't.
 """
 
 from __future__ import annotations
@@ -23,29 +22,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import stored
+from .session import free_name, stored
 from .words import Slice, mix, slices, windows
 
 WORDS = 5
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: Sets smaller than this are compared by their first shingles, as fragments would often be empty.
-_SMALL = 25
-#: Rows of signatures, or shingles, that a task sorts together.
-_BLOCK = 1 << 20
+_A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+#: Bits of a shingle's hash; the next bit is set in the keys of frequent ones.
+_BITS = 51
+_HIGH = np.uint64(1 << _BITS)
+#: Rows of early shingles, or shingles, that a task sorts together.
+_BLOCK = 1 << 19
 #: So many ids are sent to every executor, 16 MB; texts meet more of them in a shuffle.
 _FEW_IDS = 2_000_000
 #: Shingles with at least this share of all occurrences are frequent; so many there are at most.
 _FREQUENT = 1 << 18
+#: Groups of more members are cut up before members of different components meet.
+_LARGE = 16
 
 
 def shingles(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and 52-bit hash (in the high bits) of each text's distinct shingles, in order."""
+    """Text number and hash (of _BITS bits) of each text's distinct shingles, in order."""
     starts, ends, owner = s.words()
-    word = s.hashes(s.sums(), starts, ends)
+    word = s.hashes(starts, ends)
     at, window = windows(word, owner, WORDS)
     count = np.bincount(owner, minlength=s.n)
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
@@ -54,11 +56,34 @@ def shingles(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     texts = np.concatenate([owner[at], short]).astype(np.uint64)
     found = np.concatenate([window, np.array(whole, np.uint64)])
     # number and hash in one word, so that one plain sort does
-    both = np.sort((texts << np.uint64(52)) | (found >> np.uint64(12)))
+    both = np.sort((texts << np.uint64(52)) | (found >> np.uint64(64 - _BITS)))
     new = np.ones(len(both), bool)
     new[1:] = both[1:] != both[:-1]
     both = both[new]
-    return (both >> np.uint64(52)).astype(np.int64), both << np.uint64(12)
+    return (both >> np.uint64(52)).astype(np.int64), both & np.uint64(_HIGH - np.uint64(1))
+
+
+class Order:
+    """The global order: frequent shingles come last, rarest first."""
+
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray):
+        order = np.argsort(frequent)
+        self.frequent = frequent[order]
+        rank = np.empty(len(frequent), np.uint64)
+        rank[np.lexsort((self.frequent, counts[order]))] = np.arange(len(frequent), dtype=np.uint64)
+        self.keys = rank | _HIGH
+
+    def split(self, texts: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Text numbers and keys of the rare shingles, and of the frequent ones, each in order."""
+        if not len(self.frequent):
+            return texts, found, texts[:0], found[:0]
+        at = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
+        common = self.frequent[at] == found
+        if not common.any():
+            return texts, found, texts[:0], found[:0]
+        t, keys = texts[common], self.keys[at[common]]
+        order = np.lexsort((keys, t))
+        return texts[~common], found[~common], t[order], keys[order]
 
 
 def set_keys(texts: np.ndarray, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,69 +98,19 @@ def set_keys(texts: np.ndarray, found: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, keys[0], keys[1]
 
 
-class Levels:
-    """The size classes for a similarity of num/den, and into how many fragments each is cut."""
-
-    def __init__(self, num: int, den: int, largest: int):
-        self.num, self.den = num, den
-        bounds = [1]
-        while bounds[-1] <= largest + 1:
-            bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * den // num + 1))
-        self.bounds = np.array(bounds)
-        self.fragments, self.spare = [], []
-        for low, high in zip(bounds, bounds[1:], strict=False):
-            a = high - 1
-            b = a * den // num  # most shingles in which two sets of the class and the next can differ:
-            differ = (a + b) * (den - num) // (den + num)
-            spare = max(1, -(-45 * differ // 1000))  # fragments that may be empty in both
-            self.fragments.append(0 if low < _SMALL else differ + 1 + spare)
-            self.spare.append(spare)
-
-    def signatures(self, texts: np.ndarray, found: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signature and text number: two sets that are similar enough have one in common."""
-        size = np.bincount(texts, minlength=n)
-        own = np.searchsorted(self.bounds, size, "right") - 1
-        fragments, spare = np.array(self.fragments), np.array(self.spare)
-        common = np.zeros(len(found), bool)
-        if len(frequent):
-            common = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-        rare_texts, rare = texts[~common], found[~common]
-        prefix = np.zeros(n, bool)
-        signs, owners = [], []
-        for back in (0, 1):
-            level = np.maximum(own - back, 0)
-            cut_in = np.where((size > 0) & (own >= back), fragments[level], 0)
-            prefix |= (size > 0) & (own >= back) & (cut_in == 0)
-            take = cut_in[rare_texts] > 0
-            t, h = rare_texts[take], rare[take]
-            at = np.zeros(0, np.int64)
-            if len(t):
-                part = ((h >> np.uint64(32)) * cut_in[t].astype(np.uint64)) >> np.uint64(32)
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (part[1:] != part[:-1])
-                at = np.flatnonzero(new)
-                total = np.add.reduceat(mix(h ^ _A), at)
-                count = np.diff(np.append(at, len(t))).astype(np.uint64)
-                place = part[at] * _B + level[t[at]].astype(np.uint64) * _C
-                signs.append(mix(total + mix(place + count)))
-                owners.append(t[at])
-            # two sets have no more segments empty in both than either has: with enough to spare, one of them suffices
-            empty = cut_in - np.bincount(t[at] if len(t) else t, minlength=n)
-            prefix |= (cut_in > 0) & (empty > spare[level])
-        if prefix.any():
-            take = prefix[texts]
-            t, h, last = texts[take], found[take], common[take]
-            order = np.lexsort((h, last, t))
-            t, h = t[order], h[order]
-            held = np.where(prefix, size, 0)
-            first = np.concatenate([[0], np.cumsum(held)[:-1]])
-            lead = size - -(-size * self.num // self.den) + 1
-            take = np.arange(len(t)) - first[t] < lead[t]
-            signs.append(mix(h[take] ^ _C))
-            owners.append(t[take])
-        if not signs:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(signs), np.concatenate(owners)
+def early(texts: np.ndarray, found: np.ndarray, size: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Text number, key and place of the first shingles of each set: two sets that are similar enough share one of them."""
+    n = len(size)
+    lead = size + (-size * num // den) + 1
+    rare_t, rare, common_t, common = order.split(texts, found)
+    held = np.bincount(rare_t, minlength=n)
+    out = []
+    for t, keys, before, count in ((rare_t, rare, np.zeros(n, np.int64), held), (common_t, common, held, size - held)):
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        place = np.arange(len(t)) - first[t] + before[t]
+        take = place < lead[t]
+        out.append((t[take], keys[take], place[take]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def sketches(texts: np.ndarray, found: np.ndarray, n: int) -> list[bytes]:
@@ -146,7 +121,7 @@ def sketches(texts: np.ndarray, found: np.ndarray, n: int) -> list[bytes]:
     for k in range(n):
         bits = max(8, int(2 * size[k]).bit_length())
         marks = np.zeros(1 << bits, bool)
-        marks[found[first[k] : first[k + 1]] >> np.uint64(64 - bits)] = True
+        marks[found[first[k] : first[k + 1]] >> np.uint64(_BITS - bits)] = True
         out.append(np.packbits(marks).tobytes())
     return out
 
@@ -161,185 +136,203 @@ def certain_differences(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s in slices(batch.column(1), lower=True):
-            texts, found = shingles(s)
-            size, one, two = set_keys(texts, found, s.n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s.lo, s.n), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketches(texts, found, s.n), pa.binary())],
-                ["doc_id", "n_shingles", "k1", "k2", "sketch"],
-            )
+def _once(rows: np.ndarray, one: np.ndarray, two: np.ndarray, n: int, seen: set) -> np.ndarray:
+    """Which of the rows hold a set that hasn't been seen."""
+    once = np.zeros(n, bool)
+    for k in rows:
+        key = (one[k], two[k])
+        if key not in seen:
+            seen.add(key)
+            once[k] = True
+    return once
 
 
-def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles with the share of a frequent one in a block of texts, equal sets counted once; not more than there is room for."""
+_SETS = "counted boolean, doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text; and, marked as counted, the shingles that have the share of a frequent one in a block of texts (k1:
+    the shingle, n_shingles: how often), equal sets counted once."""
+    names = ["counted", "doc_id", "n_shingles", "k1", "k2", "sketch"]
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         shingle, n = np.unique(np.concatenate(parts), return_counts=True)
         keep = (n > 3) & (n * _FREQUENT >= n.sum())
-        return pa.RecordBatch.from_pydict({"shingle": pa.array(shingle[keep].view(np.int64)), "n": pa.array(n[keep])})
+        shingle, n = pa.array(shingle[keep].view(np.int64)), pa.array(n[keep])
+        nothing = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), nothing, n, shingle, nothing, pa.nulls(len(n), pa.binary())], names)
 
     parts, held, seen = [], 0, set()
     for batch in batches:
-        for s in slices(batch.column(0), lower=True):
+        for s in slices(batch.column(1), lower=True):
             texts, found = shingles(s)
             size, one, two = set_keys(texts, found, s.n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(s.n, bool)), batch.column(0).slice(s.lo, s.n), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketches(texts, found, s.n), pa.binary())],
+                names,
+            )
             once = _once(np.flatnonzero(size), one, two, s.n, seen)
             parts.append(found[once[texts]])
             held += len(parts[-1])
-            if held > 2 * _BLOCK:
+            if held > 4 * _BLOCK:
                 yield counted(parts)
                 parts, held, seen = [], 0, set()
     if held:
         yield counted(parts)
 
 
-def _once(rows: np.ndarray, one: np.ndarray, two: np.ndarray, n: int, seen: set) -> np.ndarray:
-    """Which of the rows hold a set that hasn't been seen."""
-    once = np.zeros(n, bool)
-    for k in rows:
-        key = (one[k], two[k])
-        if key not in seen:
-            seen.add(key)
-            once[k] = True
-    return once
+def frequent_shingles(counted: DataFrame) -> Order:
+    """The order that the counts of _sets() give: at most _FREQUENT shingles are frequent, by the share that each has."""
+    counts = counted.groupBy("k1").agg(F.sum("n_shingles").alias("n"))
+    total = counted.agg(F.sum("n_shingles")).first()[0] or 0
+    rows = counts.filter(F.col("n") * _FREQUENT >= total).toPandas()
+    return Order(rows["k1"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+
+
+def _plane(x: np.ndarray) -> bytes:
+    """Columns of bytes: the high bytes of neighbours are alike and shrink to nothing on the way."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unplane(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _heads(sign: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by sign: the number of rows of each row's group, and which row of it has the earliest place."""
+    at = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
+    code = (place.astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
+    count = np.diff(np.append(at, len(sign)))
+    least = np.flatnonzero(code == np.repeat(np.minimum.reduceat(code, at), count))
+    head = least[np.searchsorted(least, at)]
+    return np.repeat(count, count), np.repeat(head, count)
 
 
-def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """The frequent shingles of a column of texts, sorted: at most _FREQUENT of them, by the share that each has."""
-    counts = stored(texts.mapInArrow(_local_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") * _FREQUENT >= total).select("shingle").toPandas()
-    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
+_ROWS = (("sign", np.uint64), ("key", np.uint64), ("n", np.uint32), ("place", np.uint32))
 
 
-def _blocks(levels: Levels, buckets: int, frequent):
-    """Signatures of a task's documents, sorted a block at a time and sent to buckets as packed columns."""
+def _groups(num: int, den: int, buckets: int, order):
+    """The early shingles of a task's sets, sorted a block at a time and sent to buckets as packed columns. Of a block's rows
+    with one shingle, the head goes to the shingle's bucket; the others know it and go anywhere."""
 
-    def packed(signs: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(signs, kind="stable")
-        signs, ids = signs[order], ids[order]
-        new = np.ones(len(signs), bool)
-        new[1:] = signs[1:] != signs[:-1]
-        at = np.flatnonzero(new)
-        heads = np.repeat(ids[at], np.diff(np.append(at, len(ids))))
-        # of equal signatures in a block, one goes to the bucket; the others already know it
-        for known, rows in ((False, at), (True, np.flatnonzero(~new))):
+    def packed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        by_sign = np.argsort(columns[0], kind="stable")
+        columns = [c[by_sign] for c in columns]
+        sign, key, _, place = columns
+        count, head = _heads(sign, place, key)
+        own = np.arange(len(sign))
+        for known in (False, True):
+            rows = np.flatnonzero((head != own) == known)
             if not len(rows):
                 continue
-            more = np.zeros(len(signs) + 1, bool)
-            more[:-1] = ~new
-            bucket = ((signs[rows] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            if known:  # anywhere, evenly
-                bucket = ((mix(signs[rows] ^ ids[rows].astype(np.uint64)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.argsort(bucket, kind="stable")
-                rows, bucket = rows[order], bucket[order]
+            at = mix(sign[rows] ^ key[rows]) if known else mix(sign[rows])
+            bucket = ((at >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            by_bucket = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[by_bucket], bucket[by_bucket]
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             spans = list(zip(edges, np.append(edges[1:], len(rows)), strict=True))
-            # columns of bytes: the high bytes of ids are alike and shrink to nothing on the way
-            plane = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array(bucket[edges].astype(np.int32)),
-                    "known": pa.array([known] * len(spans)),
-                    "signs": pa.array([plane(signs[rows[a:b]]) for a, b in spans], pa.binary()),
-                    "ids": pa.array([plane(ids[rows[a:b]]) for a, b in spans], pa.binary()),
-                    "heads": pa.array([plane(heads[rows[a:b]]) if known else np.packbits(more[rows[a:b] + 1]).tobytes() for a, b in spans], pa.binary()),
-                }
-            )
+            cut = lambda x: pa.array([_plane(x[a:b]) for a, b in spans], pa.binary())  # noqa: E731, B023
+            values = {"bucket": pa.array(bucket[edges].astype(np.int32)), "known": pa.array([known] * len(spans))}
+            values |= {name: cut(c[rows]) for (name, _), c in zip(_ROWS, columns, strict=True)}
+            # of rows that know their head, which it is; of heads, whether others know them
+            heads = [cut(c[head[rows]]) for c in columns[1:]] if known else [cut((count[rows] > 1).astype(np.uint8)), *[pa.nulls(len(spans), pa.binary())] * 2]
+            values |= {f"head_{name}": c for (name, _), c in zip(_ROWS[1:], heads, strict=True)}
+            yield pa.RecordBatch.from_pydict(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs, ids, held, seen = [], [], 0, set()
+        parts, held, seen = [], 0, set()
         for batch in batches:
-            all_ids = batch.column(0)
-            for s in slices(batch.column(1), lower=True):
+            for s in slices(batch.column(0), lower=True):
                 texts, found = shingles(s)
                 size, one, two = set_keys(texts, found, s.n)
-                numbers = all_ids.slice(s.lo, s.n)
-                valid = ~np.asarray(numbers.is_null())
-                once = _once(np.flatnonzero(valid & (size > 0)), one, two, s.n, seen)  # without ids that are null
-                take = once[texts]
-                sign, owner = levels.signatures(texts[take], found[take], s.n, frequent.value)
-                signs.append(sign)
-                ids.append(np.asarray(numbers.fill_null(0))[owner])
-                held += len(sign)
+                take = _once(np.flatnonzero(size), one, two, s.n, seen)[texts]
+                t, keys, place = early(texts[take], found[take], np.bincount(texts[take], minlength=s.n), order.value, num, den)
+                parts.append((keys, one[t], size[t].astype(np.uint32), place.astype(np.uint32)))
+                held += len(t)
                 if held >= _BLOCK:
-                    yield from packed(np.concatenate(signs), np.concatenate(ids))
-                    signs, ids, held, seen = [], [], 0, set()
+                    yield from packed([np.concatenate(c) for c in zip(*parts, strict=True)])
+                    parts, held, seen = [], 0, set()
         if held:
-            yield from packed(np.concatenate(signs), np.concatenate(ids))
+            yield from packed([np.concatenate(c) for c in zip(*parts, strict=True)])
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket, the rows whose signature more than one document has."""
+_PACKED = "bucket int, known boolean, sign binary, key binary, n binary, place binary, head_key binary, head_n binary, head_place binary"
+_MEMBERS = "sign long, key long, n long, place long, head_key long, head_n long, head_place long, members long"
+
+
+def _shared(num: int, den: int):
+    """Of one bucket, the rows whose shingle other sets have too, each with the head of its group. ``members`` is the size of
+    the group, very large where some of it isn't here. A group of two must also pass the bound by places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out, here, more = [], [], []
+        for row in table.to_pylist():
+            columns = [_unplane(row[name], kind) for name, kind in _ROWS]
+            if row["known"]:
+                heads = [_unplane(row[f"head_{name}"], kind) for name, kind in _ROWS[1:]]
+                out.append([*columns, *heads, np.full(len(columns[0]), 1 << 30)])
+            else:
+                here.append(columns)
+                more.append(_unplane(row["head_key"], np.uint8).astype(bool))
+        del table
+        if here:
+            sign, key, n, place = (np.concatenate(c) for c in zip(*here, strict=True))
+            also = np.concatenate(more)
+            by_sign = np.lexsort((key, sign))
+            sign, key, n, place, also = (c[by_sign] for c in (sign, key, n, place, also))
+            # equal sets of several blocks are one
+            new = np.append(True, (sign[1:] != sign[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1]))
+            at = np.flatnonzero(new)
+            also = np.logical_or.reduceat(also, at)
+            sign, key, n, place = (c[at] for c in (sign, key, n, place))
+            count, head = _heads(sign, place, key)
+            group = np.cumsum(np.append(0, sign[1:] != sign[:-1]))
+            beyond = np.bincount(group, also)[group] > 0
+            fits = _may_link(n.astype(np.int64), place.astype(np.int64), n[head].astype(np.int64), place[head].astype(np.int64), num, den)
+            fits[head == np.arange(len(head))] = False
+            some = np.bincount(group, fits)[group] > 0
+            keep = beyond | (count > 2) | ((count == 2) & some)
+            members = np.where(beyond, 1 << 30, count)
+            out.append([c[keep] for c in (sign, key, n, place, key[head], n[head], place[head], members)])
+        columns = [np.concatenate(c).astype(np.uint64).view(np.int64) for c in zip(*out, strict=True)]
+        names = [part.split()[0] for part in _MEMBERS.split(", ")]
+        return pa.table(dict(zip(names, (pa.array(c) for c in columns), strict=True)))
 
-    def unplane(raw: bytes) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+    return run
 
-    out = []
-    signs, ids, more = [], [], []
-    for known, sign, own, head in zip(*(table.column(c).to_pylist() for c in ("known", "signs", "ids", "heads")), strict=True):
-        sign, own = unplane(sign), unplane(own)
-        if known:
-            out.append((sign, own, unplane(head)))
-        else:
-            signs.append(sign)
-            ids.append(own)
-            more.append(np.unpackbits(np.frombuffer(head, np.uint8))[: len(sign)].astype(bool))
-    if signs:
-        sign, own, also = np.concatenate(signs), np.concatenate(ids), np.concatenate(more)
-        order = np.argsort(sign, kind="stable")
-        sign, own, also = sign[order], own[order], also[order]
-        new = np.append(True, sign[1:] != sign[:-1])
-        at = np.flatnonzero(new)
-        length = np.diff(np.append(at, len(sign)))
-        head, length = np.repeat(own[at], length), np.repeat(length, length)
-        keep = (length > 1) | also
-        out.append((sign[keep], own[keep], head[keep]))
-    del signs, ids, more
-    columns = [np.concatenate(c).view(np.int64) for c in zip(*out, strict=True)]
-    return pa.table(dict(zip(("sign", "id", "head"), (pa.array(c) for c in columns), strict=True)))
-
-
-def _overlaps(fragments: int):
-    """The partial overlap of each pair in each fragment."""
+
+def _may_link(n_a, place_a, n_b, place_b, num: int, den: int):
+    """Whether two sets whose first common shingle has these places can be similar enough."""
+    a, b = (n_a - place_a) * (num + den), (n_b - place_b) * (num + den)
+    need = (n_a + n_b) * num
+    return (a >= need) & (b >= need)
+
+
+def _segments(fragments: int, order):
+    """Segments of texts: the keys that each fragment of the order has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            for lo in range(0, len(batch), 256):
-                n = min(256, len(batch) - lo)
-                sides = []
-                for c in (2, 3):
-                    at, texts, found = 0, [], []  # pairs come few at a time, so that texts are too
-                    for s in slices(batch.column(c).slice(lo, n), lower=True):
-                        t, h = shingles(s)
-                        texts.append(t + at)
-                        found.append(h)
-                        at += s.n
-                    sides.append((np.concatenate(texts), np.concatenate(found)))
-                pair = np.concatenate([sides[0][0], sides[1][0]])
-                both = np.concatenate([sides[0][1], sides[1][1]])
-                order = np.lexsort((both, pair))
-                pair, both = pair[order], both[order]
-                twice = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
-                part = ((both[1:][twice] >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-                count = np.bincount(pair[1:][twice] * fragments + part, minlength=n * fragments)
-                at = np.flatnonzero(count)
-                rows = pa.array(at // fragments + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [a.take(rows), b.take(rows), pa.array((at % fragments).astype(np.int32)), pa.array(count[at])],
-                    ["a", "b", "fragment", "overlap"],
-                )
+            for s in slices(batch.column(1), lower=True):
+                rare_t, rare, common_t, common = order.value.split(*shingles(s))
+                text, keys = np.concatenate([rare_t, common_t]), np.concatenate([rare, common])
+                part = np.minimum(keys * np.uint64(fragments - 1) >> np.uint64(_BITS), np.uint64(fragments - 1)).astype(np.int64)
+                place = text * fragments + part
+                by_place = np.argsort(place, kind="stable")
+                place, keys = place[by_place], keys[by_place]
+                at = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64)))
+                rows = pa.array(place[at] // fragments + s.lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array((place[at] % fragments).astype(np.int32)), lists], ["id", "fragment", "keys"])
 
     return run
 
 
 def jaccard_components(
-    docs: DataFrame, threshold: tuple[int, int] = (4, 5), fragments: int = 8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: tuple[int, int] = (4, 5), fragments: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row for each row of ``docs``, linked from a similarity of ``threshold`` on.
 
@@ -347,78 +340,101 @@ def jaccard_components(
     words the whole sequence. ``component_id`` is the smallest id reachable by links. Null and wordless texts
     have the empty set, which links with nothing. Rows without an id get a null component where no row with an id
     has the same set. Ids name documents: rows that repeat an id are expected to repeat its text. Other columns are not
-    read; an empty table gives no rows.
+    read; an empty table gives no rows. A text is read whole, so the longest must fit in a worker's memory, some twenty bytes
+    for each of its own. Shingles are told apart by hashes of 51 bits, equal sets by 128.
     """
     num, den = threshold
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    sets = stored(rows.mapInArrow(_sets, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"))
+    both = stored(rows.mapInArrow(_sets, _SETS))
+    sets = both.filter("not counted").drop("counted")
+    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(both.filter("counted")))
     # equal sets: one of them, that with the smallest id, stands for all
-    equal = sets.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = sets.drop("sketch").join(stored(equal), ["n_shingles", "k1", "k2"], "left")
-    members = stored(members.select("doc_id", "n_shingles", "rep"))
-    total = members.agg(F.sum("n_shingles").alias("all"), F.max("n_shingles").alias("most")).first()
-    levels = Levels(num, den, total["most"] or 0)
-    buckets = max(16, -(-(total["all"] or 0) // 1_500_000))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows.select("text")))
-    blocks = rows.mapInArrow(
-        _blocks(levels, buckets, frequent), "bucket int, known boolean, signs binary, ids binary, heads binary"
-    )
-    shared = stored(blocks.groupBy("bucket").applyInArrow(_shared, "sign long, id long, head long"))
-
-    reps = members.filter("rep is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "rep").distinct()
-    stands = shared.join(reps, "id").select("sign", F.col("rep").alias("id"), "head")
-    stands = stands.join(reps.withColumnsRenamed({"id": "head", "rep": "first"}), "head").select("sign", "id", "first")
-    stands = stored(stands.distinct())
-    # what is known of the sets that stand for others; a repeated row is there once
-    known = members.filter("rep = doc_id").select("doc_id").distinct().join(sets.filter("doc_id is not null"), "doc_id")
-    known = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
-
-    def near(candidates: DataFrame) -> DataFrame:
-        """Those candidates that their sizes and sketches don't rule out."""
-        one, two = (known.selectExpr(f"doc_id {x}", f"n n_{x}", f"sketch sketch_{x}") for x in "ab")
-        fits = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-        sizes = candidates.join(one, "a").join(two, "b").filter(fits).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        return stored(sizes.mapInArrow(_not_ruled_out(num, den), "a long, b long, n_a long, n_b long"))
+    equal = stored(sets.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
+    members = stored(sets.drop("sketch").join(equal, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", "rep"))
+    stands = equal.filter("rep is not null").withColumnsRenamed({"rep": "doc_id"})
+    known = stands.join(sets, ["doc_id", "n_shingles", "k1", "k2"]).selectExpr("doc_id id", "n_shingles n", "k1 key", "sketch")
+    known = stored(known.dropDuplicates(["id"]))
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(16, -(-total // 3_000_000))
+
+    blocks = rows.select("text").mapInArrow(_groups(num, den, buckets, order), _PACKED)
+    shared = stored(blocks.groupBy("bucket").applyInArrow(_shared(num, den), _MEMBERS))
+
+    def may_link(a: str, b: str) -> Column:
+        return _may_link(*(F.col(f"{x}{c}") for x in (a, b) for c in ("n", "place")), num, den)
 
     def links(candidates: DataFrame) -> DataFrame:
-        """Those candidates that are similar enough."""
-        likely = near(candidates)
-        ids = stored(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        if ids.count() <= _FEW_IDS:
-            ids = F.broadcast(ids)
-        held = stored(rows.join(ids, "doc_id"))
-        texts = likely.select("a", "b").join(held.selectExpr("doc_id b", "text text_b"), "b")
-        texts = texts.join(held.selectExpr("doc_id a", "text text_a"), "a")
-        partial = texts.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(fragments), "a long, b long, fragment int, overlap long")
-        partial = partial.groupBy("a", "b", "fragment").agg(F.max("overlap").alias("overlap"))
-        found = likely.join(partial.groupBy("a", "b").agg(F.sum("overlap").alias("o")), ["a", "b"])
-        return found.filter(f"o * {den} >= (n_a + n_b - o) * {num}").select("a", "b")
-
-    pair = [F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")]
-    linked = stored(links(stands.select(*pair).filter("a < b").distinct()))
+        """Those pairs of ids ``a, b`` that are similar enough."""
+        one, two = (known.selectExpr(f"id {x}", f"n n_{x}", f"sketch sketch_{x}") for x in "ab")
+        sketched = candidates.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        likely = stored(sketched.mapInArrow(_not_ruled_out(num, den), "a long, b long, n_a long, n_b long"))
+        if likely.isEmpty():
+            return likely.select("a", "b")
+        held = segments(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), fragments)
+        meet = likely.select("a", "b").join(held.selectExpr("id a", "fragment", "keys keys_a"), "a")
+        meet = meet.join(held.selectExpr("id b", "fragment", "keys keys_b"), ["b", "fragment"])
+        partial = meet.select("a", "b", "fragment", F.size(F.array_intersect("keys_a", "keys_b")).cast("long").alias("overlap"))
+        summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("o"))
+        return likely.join(summed, ["a", "b"]).filter(f"o * {den} >= (n_a + n_b - o) * {num}").select("a", "b")
+
+    def segments(ids: DataFrame, parts: int) -> DataFrame:
+        ids = stored(ids)
+        few = F.broadcast(ids) if ids.count() <= _FEW_IDS else ids
+        texts = rows.join(few.withColumnsRenamed({"id": "doc_id"}), "doc_id").select("doc_id", "text")
+        return stored(texts.mapInArrow(_segments(parts, order), "id long, fragment int, keys array<long>").dropDuplicates(["id", "fragment"]))
+
+    def pairs(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    # the head of each group against its other members
+    head = shared.filter("key != head_key or n != head_n").filter(may_link("", "head_"))
+    head = head.select("key", "n", "head_key", "head_n").distinct()
+    ids = known.select("id", "n", "key")
+    head = head.join(ids, ["key", "n"]).join(ids.selectExpr("id hub", "key head_key", "n head_n"), ["head_key", "head_n"])
+    linked = stored(links(head.select(*pairs("id", "hub")).filter("a < b").distinct()))
+    labels = connected_components(linked)
+
+    def mixed(grouped: DataFrame, by: list[str]) -> DataFrame:
+        """The groups that still hold several components: their members, with component and size."""
+        named = grouped.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        seen = named.groupBy(*by).agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return stored(named.join(seen.filter("low < high").drop("low", "high"), by))
+
+    def across(grouped: DataFrame, by: list[str]) -> DataFrame:
+        """Pairs of members that may be linked, and would link two components."""
+        sides = [grouped.select(*by, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "place"))) for x in "ab"]
+        met = sides[0].join(sides[1], by).filter("id_a < id_b and component_a != component_b").filter(may_link_named)
+        return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+    may_link_named = _may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), num, den)
+    joined = shared.filter("members > 2").join(ids, ["key", "n"]).select("sign", "id", "n", "place").distinct()
+    open_ = mixed(joined, ["sign"])
+    linked = stored(linked.unionByName(links(across(open_.filter(F.col("size") <= _LARGE), ["sign"]))))
     labels = connected_components(linked)
 
-    # in buckets that still hold several components, more and more members are held against the others
-    open_ = stands.select("sign", "id").distinct()
-    done = 0
-    while True:
-        named = open_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("sign").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = mixed.filter(F.col("low") != F.col("high")).filter(F.col("size") > done).select("sign", "size")
-        named = stored(named.join(mixed, "sign").withColumn("turn", F.xxhash64("id", F.lit(11)) / F.lit(2.0**64) + 0.5))
-        if named.isEmpty():
-            break
-        upto = 16 * (done + 1)
-        # about `upto` members of each bucket have had their turn after this round
-        turn = F.floor(F.col("turn") * F.col("size"))
-        hubs = named.filter((turn >= done) & (turn < upto)).select("sign", F.col("id").alias("hub"), F.col("component").alias("c"), F.col("turn").alias("hub_turn"))
-        others = named.select("sign", "id", "component", "turn")
-        met = hubs.join(others, "sign").filter("c != component and (turn, id) > (hub_turn, hub)")
-        met = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        linked = stored(linked.unionByName(links(met)))
-        labels = connected_components(linked)
-        open_ = named.select("sign", "id")
-        done = upto
+    large = open_.filter(F.col("size") > _LARGE).select("sign", "id", "n", "place")
+    if not large.isEmpty():
+        # an order of the group's own: first what its hub lacks
+        hubs = large.groupBy("sign").agg(F.min(F.struct("place", "id")).alias("hub")).select("sign", F.col("hub.id").alias("hub"))
+        owned = stored(large.join(hubs, "sign").select("hub", "id", "n").distinct())
+        whole = segments(owned.select("id").unionByName(owned.select(F.col("hub").alias("id"))).distinct(), 2)
+        whole = stored(whole.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys")))
+        own = owned.join(whole, "id").join(whole.selectExpr("id hub", "keys hub_keys"), "hub")
+        first = F.concat(F.array_except("keys", "hub_keys"), F.array_intersect("keys", "hub_keys"))
+        lead = F.expr(f"cast(n - (n * {num} + {den - 1}) div {den} + 1 as int)")
+        dealt = own.select("hub", "id", "n", F.posexplode(F.slice(first, F.lit(1), lead)).alias("place", "sign"))
+        dealt = stored(dealt)
+        for last in (False, True):
+            open_ = mixed(dealt, ["hub", "sign"])
+            if last:
+                found = across(open_, ["hub", "sign"])
+            else:
+                leads = open_.groupBy("hub", "sign").agg(F.min(F.struct("place", "id", "n", "component")).alias("h"))
+                met = open_.join(leads, ["hub", "sign"]).filter("id != h.id and component != h.component")
+                met = met.filter(_may_link(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"), num, den))
+                found = met.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
+            linked = stored(linked.unionByName(links(found)))
+            labels = connected_components(linked)
     labels = labels.withColumnsRenamed({"id": "rep"})
     return members.join(labels, "rep", "left").select(
         "doc_id",
@@ -443,8 +459,10 @@ def _not_ruled_out(num: int, den: int):
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component: that of the smallest id.
 
-    Rows without an id stay.
+    Rows without an id stay, as do rows without a word; rows that repeat the id of one that stays stay with it. An empty
+    table gives no rows.
     """
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
-    dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
+    own = free_name(docs, "dropped_id")
+    dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(dropped, docs[id_col].cast("long") == dropped[own], "left_anti")

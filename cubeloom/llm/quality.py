@@ -41,7 +41,7 @@ def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = at[:-1], at[1:]
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
-    number = (s.hashes(s.sums(), starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    number = (s.hashes(starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
     return np.searchsorted(s.offsets, starts, "right") - 1, number
 
 

@@ -29,3 +29,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like ``wanted`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"{wanted}_"
+    return wanted

@@ -1,26 +1,26 @@
 """Vectorised reading of Arrow text batches: words, lines and their 64-bit hashes, a slice of bytes at a time.
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; as those are ASCII, words of UTF-8
-bytes and of code points are the same. Hashes are polynomial sums modulo 2**64 over random byte
-weights, finished with a 64-bit mixer, so that all hashes of a slice come from one running sum.
+bytes and of code points are the same. Hashes take a string eight bytes at a time, each step mixed before the next, so
+that no arrangement of letters cancels out; strings beyond 512 bytes go through BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_WEIGHTS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LONG = 512
+#: Of the last eight bytes of a string, those that belong to it.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 class Slice:
     """Some whole texts: rows ``lo`` to ``hi`` of a batch, their bytes and the offsets of each text."""
 
@@ -86,19 +76,24 @@ class Slice:
         # where two texts meet, equal positions stand in the order of their texts
         return starts, ends, np.repeat(full, self.per_text(self.data == 10)[full] + 1)
 
-    def sums(self, data: np.ndarray | None = None) -> np.ndarray:
-        """Running weighted sums for hashes()."""
-        data = self.data if data is None else data
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_WEIGHTS[data] * _power(len(data) + 1)[0][: len(data)], out=out[1:])
-        return out
-
-    @staticmethod
-    def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the bytes from each start to each end."""
-        back = _power(len(sums))[1]
-        raw = (sums[ends] - sums[starts]) * back[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = self.data
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))
+        long = ends - starts > _LONG
+        rows = np.flatnonzero(~long) if long.any() else np.arange(len(starts))
+        at, left = starts[rows], (ends - starts)[rows]
+        while len(rows):
+            part = eight[at] & _MASKS[np.minimum(left, 8)]
+            out[rows] = mix(out[rows] ^ part) + np.uint64(0x9E3779B97F4A7C15)
+            on = left > 8
+            rows, at, left = rows[on], at[on] + 8, left[on] - 8
+        for k in np.flatnonzero(long):
+            found = hashlib.blake2b(self.data[starts[k] : ends[k]], digest_size=8).digest()
+            out[k] = int.from_bytes(found, "little")
+        return out
 
 
 #: Texts in a slice at most, so that a text's number takes 12 bits.

@@ -69,3 +69,73 @@ def test_edges(spark):
     assert jaccard_components(df.limit(0)).count() == 0
     nameless = spark.createDataFrame([(None, "a b"), (4, "a b"), (None, "q")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_components(nameless).collect()) == [(0, 0), (0, 4), (4, 4)]
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Copies that wander off from one text, a good half of them beyond the threshold, some from each other."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    rows, last = [], base
+    for k in range(900):
+        words = list(last if k % 9 == 0 else base)
+        for _ in range(rng.randrange(0, 12)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        words = words[: 120 - rng.randrange(0, 20)] if k % 5 == 0 else words
+        last = words
+        rows.append((k * 7 % 907, " ".join(words)))
+    want = brute(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+    assert 2 < len({c for _, c in want.values()}) < 900
+
+
+def test_groups_are_cut_up_where_nothing_is_frequent(spark, monkeypatch):
+    """Without the table of frequent shingles, large groups go through the order of their hubs."""
+    import random
+
+    from cubeloom.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "frequent_shingles", lambda counted: jj.Order(jj.np.zeros(0, jj.np.uint64), jj.np.zeros(0, jj.np.int64)))
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(4000)}" for _ in range(90)]
+    rows = []
+    for k in range(400):
+        words = list(base) if k % 7 else list(rows[-1][1].split() if rows else base)
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+
+
+def test_words_of_opposite_letters_differ(spark):
+    """Strings in which two letters follow the Thue-Morse sequence and its complement cancel out in sums modulo 2**64."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one two three four {one}"), (2, f"one two three four {two}")]
+    assert {k: v[1] for k, v in found(spark.createDataFrame(rows, "doc_id long, text string")).items()} == {1: 1, 2: 2}
+
+
+def test_near_duplicates_keep_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 5), (2, "a b c d e f g", 6), (3, None, 7), (None, "a b c d e f g", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dropped_id long").withColumn("component_id", df_lit())
+    left = jj_drop(df)
+    assert left.columns == df.columns and sorted((r.doc_id or 0, r.dropped_id) for r in left.collect()) == [(0, 8), (1, 5), (3, 7)]
+
+
+def df_lit():
+    from pyspark.sql import functions as F
+
+    return F.lit("mine")
+
+
+def jj_drop(df):
+    from cubeloom.llm.jaccard_join import drop_near_duplicates
+
+    return drop_near_duplicates(df)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 3_000_000)]
+    assert {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 3}
