@@ -1,19 +1,23 @@
 """Similarity join of documents on their word shingles, by vertical partitions of the shingles' global order.
 
 The global order has the rare shingles first, by hash, and after them the frequent ones of the corpus, rarest first. It is
-cut into fragments, and a document's set into segments, one for each fragment.
-
-Candidates come from the front of the order: two sets of a similarity of at least t share one of the first
-``n - ceil(t * n) + 1`` shingles of either. The place of the first that they share bounds what they can have in common: from
-there on, the shorter rest must still hold the overlap that they need. Those that differ in too many places of a bit
-sketch are out for certain too. For the others the segments meet fragment by fragment; the partial overlaps are counted
-where they meet, and summed for each pair, exactly.
-
-Not every candidate has to be looked at, as only components are asked for. The documents that share an early shingle make a
-group. In each group, the member in which it comes earliest is held against the others, and only where that leaves
-several components, members of different ones meet. Large groups are first cut up again: the shingles that the hub of the
-group lacks are put first in an order of the group's own, the members deal themselves out by the first of those,
-and only what shares one of them meets. Copies that have wandered off from a common origin, each in its own way, don't.
+cut into fragments, and a document's set into segments, one for each fragment. Two sets of a similarity of at least t
+differ in few shingles, and with more fragments than that, at least one segment is the same in both: that makes
+candidates, fragment by fragment. How many fragments it takes depends on the sizes, so sizes fall into classes whose
+bounds grow by 1/t; a set is cut as its own class asks and as the class below asks, where it can be the larger of
+a pair. Frequent shingles are left out of these segments, which keeps common passages from making candidates; sets of which
+too many segments are empty, and very small ones, also meet by the first shingles in the order (the prefix that two
+similar sets must share).
+
+Candidates that differ in too many places of a bit sketch are out for certain. For the others the segments meet
+fragment by fragment; the partial overlaps are counted where they meet, and summed for each pair, exactly.
+
+Not every candidate has to be looked at, as only components are asked for. The documents that share a segment make a
+group. In each group, one member is held against the others, and only where that leaves several components, members of
+different ones meet. Large groups are first cut up again: in an order of the group's own, the shingles that its hub
+lacks come first, the members deal themselves out by the first shingles in that order, and only what shares one of them
+meets, if the places of the shingle leave enough to share. Copies that have wandered off from a common origin, each in its
+own way, don't.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from .session import free_name, stored
 from .words import Slice, mix, slices, windows
 
 WORDS = 5
-_A, _B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Sets smaller than this are compared by their first shingles, as fragments would often be empty.
+_SMALL = 25
 #: Bits of a shingle's hash; the next bit is set in the keys of frequent ones.
 _BITS = 51
 _HIGH = np.uint64(1 << _BITS)
-#: Rows of early shingles, or shingles, that a task sorts together.
+#: Rows of signatures, or shingles, that a task sorts together.
 _BLOCK = 1 << 19
 #: So many ids are sent to every executor, 16 MB; texts meet more of them in a shuffle.
 _FEW_IDS = 2_000_000
@@ -98,19 +104,63 @@ def set_keys(texts: np.ndarray, found: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, keys[0], keys[1]
 
 
-def early(texts: np.ndarray, found: np.ndarray, size: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, ...]:
-    """Text number, key and place of the first shingles of each set: two sets that are similar enough share one of them."""
-    n = len(size)
-    lead = size + (-size * num // den) + 1
-    rare_t, rare, common_t, common = order.split(texts, found)
-    held = np.bincount(rare_t, minlength=n)
-    out = []
-    for t, keys, before, count in ((rare_t, rare, np.zeros(n, np.int64), held), (common_t, common, held, size - held)):
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
-        place = np.arange(len(t)) - first[t] + before[t]
-        take = place < lead[t]
-        out.append((t[take], keys[take], place[take]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+class Levels:
+    """The size classes for a similarity of num/den, and into how many fragments each is cut."""
+
+    def __init__(self, num: int, den: int, largest: int):
+        self.num, self.den = num, den
+        bounds = [1]
+        while bounds[-1] <= largest + 1:
+            bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * den // num + 1))
+        self.bounds = np.array(bounds)
+        self.fragments, self.spare = [], []
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            a = high - 1
+            b = a * den // num  # most shingles in which two sets of the class and the next can differ:
+            differ = (a + b) * (den - num) // (den + num)
+            spare = max(1, -(-45 * differ // 1000))  # fragments that may be empty in both
+            self.fragments.append(0 if low < _SMALL else differ + 1 + spare)
+            self.spare.append(spare)
+
+    def signatures(self, texts: np.ndarray, found: np.ndarray, n: int, order: Order) -> tuple[np.ndarray, np.ndarray]:
+        """Signature and text number: two sets that are similar enough have one in common."""
+        size = np.bincount(texts, minlength=n)
+        own = np.searchsorted(self.bounds, size, "right") - 1
+        fragments, spare = np.array(self.fragments), np.array(self.spare)
+        rare_texts, rare, common_texts, common = order.split(texts, found)
+        prefix = np.zeros(n, bool)
+        signs, owners = [], []
+        for back in (0, 1):
+            level = np.maximum(own - back, 0)
+            cut_in = np.where((size > 0) & (own >= back), fragments[level], 0)
+            prefix |= (size > 0) & (own >= back) & (cut_in == 0)
+            take = cut_in[rare_texts] > 0
+            t, h = rare_texts[take], rare[take]
+            at = np.zeros(0, np.int64)
+            if len(t):
+                part = (h >> np.uint64(20)) * cut_in[t].astype(np.uint64) >> np.uint64(_BITS - 20)
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (part[1:] != part[:-1])
+                at = np.flatnonzero(new)
+                total = np.add.reduceat(mix(h ^ _A), at)
+                count = np.diff(np.append(at, len(t))).astype(np.uint64)
+                place = part[at] * _B + level[t[at]].astype(np.uint64) * _C
+                signs.append(mix(total + mix(place + count)))
+                owners.append(t[at])
+            # two sets have no more segments empty in both than either has: with enough to spare, one of them suffices
+            empty = cut_in - np.bincount(t[at] if len(t) else t, minlength=n)
+            prefix |= (cut_in > 0) & (empty > spare[level])
+        if prefix.any():
+            held = np.bincount(rare_texts, minlength=n)
+            lead = np.where(prefix, size + (-size * self.num // self.den) + 1, 0)
+            for t, h, before, count in ((rare_texts, rare, np.zeros(n, np.int64), held), (common_texts, common, held, size - held)):
+                first = np.concatenate([[0], np.cumsum(count)[:-1]])
+                take = np.arange(len(t)) - first[t] + before[t] < lead[t]
+                signs.append(mix(h[take] ^ _C))
+                owners.append(t[take])
+        if not signs:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate(signs), np.concatenate(owners)
 
 
 def sketches(texts: np.ndarray, found: np.ndarray, n: int) -> list[bytes]:
@@ -199,44 +249,43 @@ def _unplane(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _heads(sign: np.ndarray, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by sign: the number of rows of each row's group, and which row of it has the earliest place."""
+def _heads(sign: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by sign: the number of rows of each row's group, and which of them has the least key."""
     at = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
-    code = (place.astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
     count = np.diff(np.append(at, len(sign)))
-    least = np.flatnonzero(code == np.repeat(np.minimum.reduceat(code, at), count))
-    head = least[np.searchsorted(least, at)]
-    return np.repeat(count, count), np.repeat(head, count)
+    least = np.flatnonzero(key == np.repeat(np.minimum.reduceat(key, at), count))
+    return np.repeat(count, count), np.repeat(least[np.searchsorted(least, at)], count)
 
 
-_ROWS = (("sign", np.uint64), ("key", np.uint64), ("n", np.uint32), ("place", np.uint32))
+_ROWS = (("sign", np.uint64), ("key", np.uint64), ("n", np.uint32))
 
 
-def _groups(num: int, den: int, buckets: int, order):
-    """The early shingles of a task's sets, sorted a block at a time and sent to buckets as packed columns. Of a block's rows
-    with one shingle, the head goes to the shingle's bucket; the others know it and go anywhere."""
+def _groups(levels: Levels, buckets: int, order):
+    """The signatures of a task's sets, sorted a block at a time and sent to buckets as packed columns. Of a block's rows
+    with one signature, the head goes to the signature's bucket; the others know it and go anywhere."""
 
     def packed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         by_sign = np.argsort(columns[0], kind="stable")
         columns = [c[by_sign] for c in columns]
-        sign, key, _, place = columns
-        count, head = _heads(sign, place, key)
+        sign, key, _ = columns
+        count, head = _heads(sign, key)
         own = np.arange(len(sign))
         for known in (False, True):
             rows = np.flatnonzero((head != own) == known)
             if not len(rows):
                 continue
-            at = mix(sign[rows] ^ key[rows]) if known else mix(sign[rows])
+            at = mix(sign[rows] ^ key[rows]) if known else sign[rows]
             bucket = ((at >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            by_bucket = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[by_bucket], bucket[by_bucket]
+            if known:
+                by_bucket = np.argsort(bucket, kind="stable")
+                rows, bucket = rows[by_bucket], bucket[by_bucket]
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             spans = list(zip(edges, np.append(edges[1:], len(rows)), strict=True))
             cut = lambda x: pa.array([_plane(x[a:b]) for a, b in spans], pa.binary())  # noqa: E731, B023
             values = {"bucket": pa.array(bucket[edges].astype(np.int32)), "known": pa.array([known] * len(spans))}
             values |= {name: cut(c[rows]) for (name, _), c in zip(_ROWS, columns, strict=True)}
             # of rows that know their head, which it is; of heads, whether others know them
-            heads = [cut(c[head[rows]]) for c in columns[1:]] if known else [cut((count[rows] > 1).astype(np.uint8)), *[pa.nulls(len(spans), pa.binary())] * 2]
+            heads = [cut(c[head[rows]]) for c in columns[1:]] if known else [cut((count[rows] > 1).astype(np.uint8)), pa.nulls(len(spans), pa.binary())]
             values |= {f"head_{name}": c for (name, _), c in zip(_ROWS[1:], heads, strict=True)}
             yield pa.RecordBatch.from_pydict(values)
 
@@ -247,8 +296,8 @@ def _groups(num: int, den: int, buckets: int, order):
                 texts, found = shingles(s)
                 size, one, two = set_keys(texts, found, s.n)
                 take = _once(np.flatnonzero(size), one, two, s.n, seen)[texts]
-                t, keys, place = early(texts[take], found[take], np.bincount(texts[take], minlength=s.n), order.value, num, den)
-                parts.append((keys, one[t], size[t].astype(np.uint32), place.astype(np.uint32)))
+                sign, t = levels.signatures(texts[take], found[take], s.n, order.value)
+                parts.append((sign, one[t], size[t].astype(np.uint32)))
                 held += len(t)
                 if held >= _BLOCK:
                     yield from packed([np.concatenate(c) for c in zip(*parts, strict=True)])
@@ -259,13 +308,13 @@ def _groups(num: int, den: int, buckets: int, order):
     return run
 
 
-_PACKED = "bucket int, known boolean, sign binary, key binary, n binary, place binary, head_key binary, head_n binary, head_place binary"
-_MEMBERS = "sign long, key long, n long, place long, head_key long, head_n long, head_place long, members long"
+_PACKED = "bucket int, known boolean, sign binary, key binary, n binary, head_key binary, head_n binary"
+_MEMBERS = "sign long, key long, n long, head_key long, head_n long, members long"
 
 
 def _shared(num: int, den: int):
-    """Of one bucket, the rows whose shingle other sets have too, each with the head of its group. ``members`` is the size of
-    the group, very large where some of it isn't here. A group of two must also pass the bound by places."""
+    """Of one bucket, the rows whose signature other sets have too, each with the head of its group. ``members`` is the size of
+    the group, very large where some of it isn't here. The sizes of a group of two must allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
         out, here, more = [], [], []
@@ -279,24 +328,22 @@ def _shared(num: int, den: int):
                 more.append(_unplane(row["head_key"], np.uint8).astype(bool))
         del table
         if here:
-            sign, key, n, place = (np.concatenate(c) for c in zip(*here, strict=True))
+            sign, key, n = (np.concatenate(c) for c in zip(*here, strict=True))
             also = np.concatenate(more)
             by_sign = np.lexsort((key, sign))
-            sign, key, n, place, also = (c[by_sign] for c in (sign, key, n, place, also))
+            sign, key, n, also = (c[by_sign] for c in (sign, key, n, also))
             # equal sets of several blocks are one
             new = np.append(True, (sign[1:] != sign[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1]))
             at = np.flatnonzero(new)
             also = np.logical_or.reduceat(also, at)
-            sign, key, n, place = (c[at] for c in (sign, key, n, place))
-            count, head = _heads(sign, place, key)
+            sign, key, n = (c[at] for c in (sign, key, n))
+            count, head = _heads(sign, key)
             group = np.cumsum(np.append(0, sign[1:] != sign[:-1]))
             beyond = np.bincount(group, also)[group] > 0
-            fits = _may_link(n.astype(np.int64), place.astype(np.int64), n[head].astype(np.int64), place[head].astype(np.int64), num, den)
-            fits[head == np.arange(len(head))] = False
-            some = np.bincount(group, fits)[group] > 0
-            keep = beyond | (count > 2) | ((count == 2) & some)
-            members = np.where(beyond, 1 << 30, count)
-            out.append([c[keep] for c in (sign, key, n, place, key[head], n[head], place[head], members)])
+            n_a, n_b = n.astype(np.int64), n[head].astype(np.int64)
+            fits = (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & (head != np.arange(len(head)))
+            keep = beyond | (count > 2) | ((count == 2) & (np.bincount(group, fits)[group] > 0))
+            out.append([c[keep] for c in (sign, key, n, key[head], n[head], np.where(beyond, 1 << 30, count))])
         columns = [np.concatenate(c).astype(np.uint64).view(np.int64) for c in zip(*out, strict=True)]
         names = [part.split()[0] for part in _MEMBERS.split(", ")]
         return pa.table(dict(zip(names, (pa.array(c) for c in columns), strict=True)))
@@ -354,15 +401,13 @@ def jaccard_components(
     stands = equal.filter("rep is not null").withColumnsRenamed({"rep": "doc_id"})
     known = stands.join(sets, ["doc_id", "n_shingles", "k1", "k2"]).selectExpr("doc_id id", "n_shingles n", "k1 key", "sketch")
     known = stored(known.dropDuplicates(["id"]))
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(16, -(-total // 3_000_000))
+    total = members.agg(F.sum("n_shingles").alias("all"), F.max("n_shingles").alias("most")).first()
+    levels = Levels(num, den, total["most"] or 0)
+    buckets = max(16, -(-(total["all"] or 0) // 1_500_000))
 
-    blocks = rows.select("text").mapInArrow(_groups(num, den, buckets, order), _PACKED)
+    blocks = rows.select("text").mapInArrow(_groups(levels, buckets, order), _PACKED)
     shared = stored(blocks.groupBy("bucket").applyInArrow(_shared(num, den), _MEMBERS))
 
-    def may_link(a: str, b: str) -> Column:
-        return _may_link(*(F.col(f"{x}{c}") for x in (a, b) for c in ("n", "place")), num, den)
-
     def links(candidates: DataFrame) -> DataFrame:
         """Those pairs of ids ``a, b`` that are similar enough."""
         one, two = (known.selectExpr(f"id {x}", f"n n_{x}", f"sketch sketch_{x}") for x in "ab")
@@ -381,13 +426,13 @@ def jaccard_components(
         ids = stored(ids)
         few = F.broadcast(ids) if ids.count() <= _FEW_IDS else ids
         texts = rows.join(few.withColumnsRenamed({"id": "doc_id"}), "doc_id").select("doc_id", "text")
-        return stored(texts.mapInArrow(_segments(parts, order), "id long, fragment int, keys array<long>").dropDuplicates(["id", "fragment"]))
+        return stored(texts.mapInArrow(_segments(parts, order), "id long, fragment int, keys array<long>").groupBy("id", "fragment").agg(F.first("keys").alias("keys")))
 
     def pairs(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     # the head of each group against its other members
-    head = shared.filter("key != head_key or n != head_n").filter(may_link("", "head_"))
+    head = shared.filter(f"(key != head_key or n != head_n) and n * {den} >= head_n * {num} and head_n * {den} >= n * {num}")
     head = head.select("key", "n", "head_key", "head_n").distinct()
     ids = known.select("id", "n", "key")
     head = head.join(ids, ["key", "n"]).join(ids.selectExpr("id hub", "key head_key", "n head_n"), ["head_key", "head_n"])
@@ -403,36 +448,36 @@ def jaccard_components(
     def across(grouped: DataFrame, by: list[str]) -> DataFrame:
         """Pairs of members that may be linked, and would link two components."""
         sides = [grouped.select(*by, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "place"))) for x in "ab"]
-        met = sides[0].join(sides[1], by).filter("id_a < id_b and component_a != component_b").filter(may_link_named)
+        met = sides[0].join(sides[1], by).filter("id_a < id_b and component_a != component_b")
+        met = met.filter(_may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), num, den))
         return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
-    may_link_named = _may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), num, den)
-    joined = shared.filter("members > 2").join(ids, ["key", "n"]).select("sign", "id", "n", "place").distinct()
+    joined = shared.filter("members > 2").join(ids, ["key", "n"]).select("sign", "id", "n", F.lit(0).alias("place")).distinct()
     open_ = mixed(joined, ["sign"])
     linked = stored(linked.unionByName(links(across(open_.filter(F.col("size") <= _LARGE), ["sign"]))))
     labels = connected_components(linked)
 
-    large = open_.filter(F.col("size") > _LARGE).select("sign", "id", "n", "place")
-    if not large.isEmpty():
-        # an order of the group's own: first what its hub lacks
-        hubs = large.groupBy("sign").agg(F.min(F.struct("place", "id")).alias("hub")).select("sign", F.col("hub.id").alias("hub"))
-        owned = stored(large.join(hubs, "sign").select("hub", "id", "n").distinct())
+    open_ = mixed(open_.filter(F.col("size") > _LARGE).select("sign", "id", "n"), ["sign"])
+    if not open_.isEmpty():
+        # the hub of a group is the member that is in most groups; in an order of the group's own, what the hub lacks comes first
+        often = open_.groupBy("id").agg(F.count("*").alias("groups"))
+        hubs = open_.join(often, "id").groupBy("sign").agg(F.max(F.struct("groups", "id")).alias("hub"))
+        owned = stored(open_.join(hubs.select("sign", F.col("hub.id").alias("hub")), "sign").select("hub", "id", "n").distinct())
         whole = segments(owned.select("id").unionByName(owned.select(F.col("hub").alias("id"))).distinct(), 2)
         whole = stored(whole.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys")))
         own = owned.join(whole, "id").join(whole.selectExpr("id hub", "keys hub_keys"), "hub")
         first = F.concat(F.array_except("keys", "hub_keys"), F.array_intersect("keys", "hub_keys"))
         lead = F.expr(f"cast(n - (n * {num} + {den - 1}) div {den} + 1 as int)")
-        dealt = own.select("hub", "id", "n", F.posexplode(F.slice(first, F.lit(1), lead)).alias("place", "sign"))
-        dealt = stored(dealt)
+        dealt = stored(own.select("hub", "id", "n", F.posexplode(F.slice(first, F.lit(1), lead)).alias("place", "sign")))
         for last in (False, True):
             open_ = mixed(dealt, ["hub", "sign"])
             if last:
                 found = across(open_, ["hub", "sign"])
-            else:
+            else:  # first, the member in which the shingle comes earliest
                 leads = open_.groupBy("hub", "sign").agg(F.min(F.struct("place", "id", "n", "component")).alias("h"))
                 met = open_.join(leads, ["hub", "sign"]).filter("id != h.id and component != h.component")
                 met = met.filter(_may_link(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"), num, den))
-                found = met.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
+                found = met.select(*pairs("id", "h.id")).distinct()
             linked = stored(linked.unionByName(links(found)))
             labels = connected_components(linked)
     labels = labels.withColumnsRenamed({"id": "rep"})
