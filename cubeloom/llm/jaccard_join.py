@@ -45,7 +45,7 @@ _BLOCK = 1 << 19
 #: So many ids are sent to every executor, 16 MB; texts meet more of them in a shuffle.
 _FEW_IDS = 2_000_000
 #: Shingles with at least this share of all occurrences are frequent; so many there are at most.
-_FREQUENT = 1 << 18
+_FREQUENT = 1 << 20
 #: Groups of more members are cut up before members of different components meet.
 _LARGE = 16
 
@@ -207,7 +207,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         shingle, n = np.unique(np.concatenate(parts), return_counts=True)
-        keep = (n > 3) & (n * _FREQUENT >= n.sum())
+        keep = (n > 2) & (n * _FREQUENT >= n.sum())
         shingle, n = pa.array(shingle[keep].view(np.int64)), pa.array(n[keep])
         nothing = pa.nulls(len(n), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), nothing, n, shingle, nothing, pa.nulls(len(n), pa.binary())], names)
@@ -403,7 +403,7 @@ def jaccard_components(
     known = stored(known.dropDuplicates(["id"]))
     total = members.agg(F.sum("n_shingles").alias("all"), F.max("n_shingles").alias("most")).first()
     levels = Levels(num, den, total["most"] or 0)
-    buckets = max(16, -(-(total["all"] or 0) // 1_500_000))
+    buckets = max(16, -(-(total["all"] or 0) // 1_000_000))
 
     blocks = rows.select("text").mapInArrow(_groups(levels, buckets, order), _PACKED)
     shared = stored(blocks.groupBy("bucket").applyInArrow(_shared(num, den), _MEMBERS))
@@ -467,7 +467,10 @@ def jaccard_components(
         whole = stored(whole.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys")))
         own = owned.join(whole, "id").join(whole.selectExpr("id hub", "keys hub_keys"), "hub")
         first = F.concat(F.array_except("keys", "hub_keys"), F.array_intersect("keys", "hub_keys"))
-        lead = F.expr(f"cast(n - (n * {num} + {den - 1}) div {den} + 1 as int)")
+        # with no member smaller than `least`, the first shingle in common is one of the first (den n - num least) / (num + den) + 1
+        own = own.join(owned.groupBy("hub").agg(F.min("n").alias("least")), "hub")
+        least = F.expr(f"greatest(least, (n * {num} + {den - 1}) div {den})")
+        lead = F.floor((F.col("n") * den - least * num) / (num + den) + 1).cast("int")
         dealt = stored(own.select("hub", "id", "n", F.posexplode(F.slice(first, F.lit(1), lead)).alias("place", "sign")))
         for last in (False, True):
             open_ = mixed(dealt, ["hub", "sign"])

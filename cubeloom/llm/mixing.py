@@ -9,11 +9,11 @@ a row for each candidate and never the sources.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import cut
+from .session import cut, free_name, stored
 
 #: Candidates a step and steps: together as fine as 45 halvings of the bracket.
 _SECTIONS, _STEPS = 512, 5
@@ -81,9 +81,76 @@ def temperature_weights(
     return weighed.withColumn("repeats", F.col("budget_tokens") / F.col("tokens")), exponent
 
 
+def random_number(*parts) -> Column:
+    """A number from 0 to 16**15 - 1 that the text of the parts decides."""
+    text = F.concat_ws(":", *(F.coalesce(F.col(p).cast("string"), F.lit("null")) if isinstance(p, str) else p for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def mix_plan(
+    docs: DataFrame, target_entropy: float, max_repeats: float, budget: float | None, block_tokens: int, seed: int,
+    id_col: str, text_col: str, source_col: str,
+) -> tuple[DataFrame, DataFrame]:
+    """What is read how often, by source and by block.
+
+    Of each source: ``source, weight, repeats, times, blocks``, where ``times`` is how often it is read in full. Of each
+    block: ``source, block, upto``, where its documents up to the random number ``upto`` are read once more.
+    """
+    rows = docs.select(
+        F.col(source_col).cast("string").alias("source"),
+        token_estimate(F.col(text_col)).alias("n_tokens"),
+        random_number(F.lit(str(seed)), F.col(id_col).cast("string")).alias("number"),
+    )
+    rows = cut(rows)
+    sources = cut(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    weighed, _ = temperature_weights(sources, target_entropy, max_repeats, budget)
+    weighed = stored(
+        weighed.select(
+            "source", "weight", "repeats", "tokens", "budget_tokens",
+            F.floor(F.col("repeats") + 1e-9).cast("long").alias("times"),
+            F.ceil(F.col("tokens") / block_tokens).cast("long").alias("blocks"),
+        )
+    )
+    s = weighed.selectExpr("source s", "times", "blocks", "budget_tokens - times * tokens rest")
+    rows = rows.join(s, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.col("number") % F.col("blocks")).drop("s")
+    blocks = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("times").alias("times"))
+    # in the order of the permutation of the last pass, by running sums of ranges of it and inside each range
+    blocks = blocks.withColumn("at", random_number(F.lit(str(seed)), "source", "block", "times"))
+    blocks = cut(blocks.withColumn("range", F.shiftright("at", 48)))
+    of_range = blocks.groupBy("source", "range").agg(F.sum("tokens").alias("sum"))
+    before = F.sum("sum").over(Window.partitionBy("source").orderBy("range")) - F.col("sum")
+    of_range = of_range.select(F.col("source").alias("s"), F.col("range").alias("r"), before.alias("before"))
+    blocks = blocks.join(of_range, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
+    inside = F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("at", "block")) - F.col("tokens")
+    blocks = cut(blocks.withColumn("left", F.col("rest") - F.col("before") - inside))
+    # documents of the block in which the budget runs out, by number; those of one number go together
+    last = blocks.filter("left > 0 and left < tokens").select(F.col("source").alias("s"), F.col("block").alias("b"), "left")
+    met = rows.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    met = met.groupBy("source", "block", "number").agg(F.sum("n_tokens").alias("tokens"), F.first("left").alias("left"))
+    run = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("number"))
+    met = met.withColumn("run", run).filter(F.col("run") <= F.col("left") + 1e-6)
+    met = met.groupBy("source", "block").agg(F.max("number").alias("last")).withColumnsRenamed({"source": "s", "block": "b"})
+    blocks = blocks.join(met, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    upto = F.when(F.col("left") <= 0, F.lit(-1)).when(F.col("left") >= F.col("tokens"), F.lit(16**15)).otherwise(F.coalesce("last", F.lit(-1)))
+    return weighed, stored(blocks.select("source", "block", upto.cast("long").alias("upto")))
+
+
+def _with_copies(rows: DataFrame, plan: tuple[DataFrame, DataFrame], source: str, number: str, own: str) -> DataFrame:
+    """``rows`` with a column of structs: weight, repeats, times, block, copies."""
+    weighed, blocks = plan
+    s = weighed.select(F.struct(*weighed.columns).alias(f"{own}_s"))
+    b = blocks.select(F.struct(*blocks.columns).alias(f"{own}_b"))
+    rows = rows.join(s, F.col(source).eqNullSafe(F.col(f"{own}_s.source")))
+    block = F.col(number) % F.col(f"{own}_s.blocks")
+    rows = rows.join(b, F.col(source).eqNullSafe(F.col(f"{own}_b.source")) & (block == F.col(f"{own}_b.block")))
+    copies = F.col(f"{own}_s.times") + (F.col(number) <= F.col(f"{own}_b.upto")).cast("long")
+    fields = [F.col(f"{own}_s.weight"), F.col(f"{own}_s.repeats"), F.col(f"{own}_s.times"), F.col(f"{own}_b.block"), copies.alias("copies")]
+    return rows.withColumn(own, F.struct(*fields)).drop(f"{own}_s", f"{own}_b")
+
+
 def mix_copies(
     docs: DataFrame,
-    target_entropy: float = 0.95,
+    target_entropy: float = 0.9999,
     max_repeats: float = 4.0,
     budget: float | None = None,
     block_tokens: int = 1 << 20,
@@ -94,57 +161,40 @@ def mix_copies(
 ) -> DataFrame:
     """How often each document is read: ``doc_id, source, n_tokens, weight, block, copies``, one row for each.
 
-    A source's documents are dealt by hash into blocks of about ``block_tokens`` tokens, and the blocks are put
-    in a random order. A source is read in full as often as its budget allows; what is left goes to whole
-    blocks in that order, and of the block in which it runs out to documents in random order, up to the
-    last that still fits. Null sources are one source of their own, null texts are empty, documents count as
-    one token at least, repeated rows are documents of their own, and an empty table gives no rows. Only
-    sums by block go through windows, so a source with a third of all rows is never gathered.
+    A source's documents are dealt by a random number of their id into blocks of about ``block_tokens`` tokens. Each pass
+    over a source reads its blocks in a permutation of its own. A source is read in full as often as its budget allows; what
+    is left goes to whole blocks in the permutation of the last pass, and of the block in which it runs out to documents in
+    the order of their numbers, up to the last that still fits. Null sources are one source of their own, null texts are
+    empty, documents count as one token at least, rows that repeat an id (or have none) are read alike, and an empty table
+    gives no rows; other columns are not read. Running sums are those of blocks (by ranges, and inside a range) or of the
+    documents of one block, so a source with a third of all rows is never gathered.
     """
+    plan = mix_plan(docs, target_entropy, max_repeats, budget, block_tokens, seed, id_col, text_col, source_col)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         token_estimate(F.col(text_col)).alias("n_tokens"),
-        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("_order"),
-    )
-    rows = cut(rows)
-    sources = cut(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
-    weighed, _ = temperature_weights(sources, target_entropy, max_repeats, budget)
-    weighed = cut(
-        weighed.select(
-            F.col("source").alias("_source"), "weight", "repeats", "budget_tokens", "tokens",
-            F.floor(F.col("repeats") + 1e-9).cast("int").alias("_full"),
-            F.ceil(F.col("tokens") / block_tokens).cast("long").alias("_blocks"),
-        )
+        random_number(F.lit(str(seed)), F.col(id_col).cast("string")).alias("number"),
     )
-    rows = rows.join(weighed, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
-        "block", F.pmod(F.xxhash64("_order", F.lit(1)), F.col("_blocks"))
-    )
-    blocks = rows.groupBy("_source", "block").agg(
-        F.sum("n_tokens").alias("_in_block"), F.first("_full").alias("_f"),
-        F.first(F.col("budget_tokens") - F.col("_full") * F.col("tokens")).alias("_rest"),
-    )
-    order = Window.partitionBy("_source").orderBy(F.xxhash64("_source", "block", F.lit(seed)), "block")
-    blocks = blocks.withColumn("_before", F.sum("_in_block").over(order) - F.col("_in_block"))
-    blocks = cut(blocks.withColumn("_left", F.col("_rest") - F.col("_before")).drop("_f", "_rest", "_before"))
-    rows = rows.join(
-        blocks.withColumnsRenamed({"_source": "_s", "block": "_b"}),
-        F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")),
-    )
-    last = (F.col("_left") > 0) & (F.col("_left") < F.col("_in_block"))
-    inside = Window.partitionBy("source", "block").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    whole = rows.filter(~last).withColumn("_once", (F.col("_left") > 0).cast("int"))
-    cutting = rows.filter(last).withColumn(
-        "_once", (F.sum("n_tokens").over(inside) <= F.col("_left") + 1e-6).cast("int")
-    )
-    return whole.unionByName(cutting).select(
-        "doc_id", "source", "n_tokens", "weight", "block", (F.col("_full") + F.col("_once")).alias("copies")
-    )
+    found = _with_copies(rows, plan, "source", "number", "mix")
+    return found.select("doc_id", "source", "n_tokens", "mix.weight", "mix.block", "mix.copies")
+
 
+def mix_sources(
+    docs: DataFrame, target_entropy: float = 0.9999, max_repeats: float = 4.0, budget: float | None = None, block_tokens: int = 1 << 20,
+    seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """``docs`` with each row as often as mix_copies() says, in all its columns, in the order of reading.
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with each row as often as mix_copies() says, in all its columns; rows share their copies by id."""
-    copies = mix_copies(docs, id_col=id_col, **options)
-    copies = copies.groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id")
-    found = docs.join(copies.filter("_copies > 0"), F.col(id_col).cast("long").eqNullSafe(F.col("_mixed_id")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    Pass ``p`` over a source reads its blocks in their permutation ``p``; passes and sources are interleaved, so that any
+    stretch of the order has about the target weights, and copies of a document lie a pass apart.
+    """
+    plan = mix_plan(docs, target_entropy, max_repeats, budget, block_tokens, seed, id_col, text_col, source_col)
+    own = free_name(docs, "mix")
+    source, number, turn, place = (f"{own}_{x}" for x in ("source", "number", "pass", "place"))
+    rows = docs.withColumns({source: F.col(source_col).cast("string"), number: random_number(F.lit(str(seed)), F.col(id_col).cast("string"))})
+    rows = _with_copies(rows, plan, source, number, own).filter(F.col(f"{own}.copies") > 0)
+    rows = rows.withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{own}.copies") - 1)))
+    at = random_number(F.lit(str(seed)), source, F.col(f"{own}.block").cast("string"), F.col(turn).cast("string")) / F.lit(16.0**15)
+    part = F.least(F.lit(1.0), F.col(f"{own}.repeats") - F.col(turn))
+    rows = rows.withColumn(place, (F.col(turn) + at * part) / F.col(f"{own}.repeats"))
+    return rows.repartitionByRange(place, number).sortWithinPartitions(place, number).select(*docs.columns)

@@ -1,9 +1,10 @@
 """Best-fit packing of token pieces into sequences, with a fixed number of open bins.
 
-Each task tokenises its own documents and packs their pieces as they come, so nothing is shuffled and
+Each task tokenises its own documents and packs their pieces as they come, so no text is shuffled and
 a lost task is packed again alone. The open bins stand in lists by their free space, and one integer
 serves as a bitset of the free spaces in use: the tightest bin that still takes a piece is the lowest
-set bit at or above its length. When all bins are open, the fullest closes for a new one.
+set bit at or above its length. When all bins are open, the fullest closes for a new one. What lies in bins that are
+still open when a task ends is packed once more in the same way, together with that of other tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .session import stored
 
 SCHEMA = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -68,19 +72,26 @@ class CachedIds:
     Chunks lie between ASCII white space, which the tokenizer must drop and split at, so that the ids of a
     text are those of its chunks in turn; as it lower-cases, so may the chunks be. In plain texts (no other
     signs than letters up to U+00FF, digits, points and commas, and no two marks in a row) the marks are
-    chunks too. The cache is emptied when it holds ``most`` chunks; a lookup that misses encodes all the
-    new chunks of some texts in one call.
+    chunks too. The cache has two tiers of at most ``most`` chunks: when the new one is full it becomes the old one, and
+    chunks that are met again move up, so that frequent ones stay. A lookup that misses encodes all the
+    new chunks of some texts together; those of letters alone are one word, and go to the tokenizer's model at once.
     """
 
     _PLAIN = bytes(range(ord("a"), ord("z") + 1)) + b"0123456789 \n\t.,\xc3" + bytes(range(0x80, 0xC0))
     _NOT_PLAIN = (b",,", b"..", b",.", b".,", b"\xc3\x97", b"\xc3\xb7")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.most = most
+        # the signs that stand for bytes inside the model
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [k for k in range(256) if k not in shown]
+        self.signs = {k: 256 + n for n, k in enumerate(hidden)}
+        self.words = self._word(b"\xc3\x89verstst") == self._joined([b"\xc3\x89verstst"])[0]
 
     def chunks(self, text: bytes) -> list[bytes]:
         if b"<|" in text:  # special tokens are found before letters are lowered
@@ -90,28 +101,45 @@ class CachedIds:
             text = text.replace(b",", b" , ").replace(b".", b" . ")
         return text.split()
 
+    def _word(self, chunk: bytes) -> bytes:
+        inside = chunk.decode().lower().encode().decode("latin-1").translate(self.signs)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(inside)], "<u4").tobytes()
+
+    def _joined(self, part: list[bytes]) -> list[bytes]:
+        # one text for all: its words are the chunks, told apart by where their tokens start
+        text = b" ".join(part).decode()
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.array([a for a, _ in found.offsets], np.int64)
+        ends = np.cumsum([len(c.decode()) + 1 for c in part])
+        cuts = np.searchsorted(starts, np.concatenate([[0], ends]))
+        cuts[-1] = len(ids)
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def _encode(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            # one text for all: its words are the chunks, told apart by where their tokens start
-            text = b" ".join(part).decode()
-            found = self.tokenizer.encode(text, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            starts = np.array([a for a, _ in found.offsets], np.int64)
-            ends = np.cumsum([len(c.decode()) + 1 for c in part])
-            cuts = np.searchsorted(starts, np.concatenate([[0], ends]))
-            cuts[-1] = len(ids)
-            data = ids.tobytes()
-            self.cache.update((c, data[4 * a : 4 * b]) for c, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        rest = []
+        for chunk in new:
+            if self.words and not chunk.translate(None, self._LETTERS) and chunk.decode().isalpha():
+                self.cache[chunk] = self._word(chunk)
+            else:
+                rest.append(chunk)
+        for k in range(0, len(rest), 5000):
+            part = rest[k : k + 5000]
+            self.cache.update(zip(part, self._joined(part), strict=True))
+
+    _LETTERS = bytes(range(ord("a"), ord("z") + 1)) + b"\xc3" + bytes(range(0x80, 0xC0))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.cache) > self.most:
-            self.cache = {}
+            self.cache, self.old = {}, self.cache
         cache = self.cache
         chunks = [self.chunks(t) for t in texts]
         found = [list(map(cache.get, c)) for c in chunks]
-        self._encode(list({x for c, f in zip(chunks, found, strict=True) if None in f for x in c if x not in cache}))
+        new = {x for c, f in zip(chunks, found, strict=True) if None in f for x in c if x not in cache}
+        cache.update((x, self.old[x]) for x in new if x in self.old)
+        self._encode([x for x in new if x not in self.old])
         return [
             b"".join(map(cache.__getitem__, c) if None in f else f) for c, f in zip(chunks, found, strict=True)
         ]
@@ -137,6 +165,11 @@ def _together(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list
         yield ids, texts
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
 def pack_best_fit(
     docs: DataFrame,
     tokenizer_path: str,
@@ -152,7 +185,12 @@ def pack_best_fit(
     pieces of ``capacity``, of which the last may be shorter. Returns a row for each piece: doc_id,
     piece, start, length, ids_crc32, sequence_id, offset. Null texts are empty (one piece of one
     token), null ids stay null, repeated rows are packed each for itself, other columns are not read,
-    and an empty table gives no rows. Sequence numbers hold the task's number in their high bits.
+    and an empty table gives no rows. A text is tokenised whole, so the longest must fit in a worker's memory. Sequence
+    numbers hold the task's number in their high bits.
+
+    The pieces in bins that a task leaves open (at most ``open_bins`` of them, whatever its input) are dealt out by
+    hash to tasks of about a million, which pack them anew in turns: those of a turn fill about half of the open bins, and
+    come longest first.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +208,25 @@ def pack_best_fit(
                     number, offset = bins.place(length)
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                     out.append((doc_id, piece, start, length, crc, base | number, offset))
-            columns = list(zip(*out, strict=True)) or [()] * len(_ARROW)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW
-            )
+            yield _batch(out)
+        yield _batch([(None, -1, 0, 0, 0, base | k, 0) for numbers in bins.free for k in numbers])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(pack, SCHEMA)
+    def pack_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = OpenBins(capacity, open_bins)
+        base = 1 << 62 | TaskContext.get().partitionId() << 40
+        for batch in batches:
+            places = [bins.place(length) for length in batch.column(3).to_pylist()]
+            columns = [[base | number for number, _ in places], [offset for _, offset in places]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(c, pa.int64()) for c in columns)], schema=_ARROW)
+
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
+    packed = stored(rows.mapInArrow(pack, SCHEMA))
+    pieces, still_open = packed.filter("piece >= 0"), packed.filter("piece < 0").select("sequence_id")
+    left = stored(pieces.join(still_open, "sequence_id", "left_semi").select(*_ARROW.names))
+    held = left.agg(F.count("*").alias("pieces"), F.sum("length").alias("tokens")).first()
+    tasks = max(1, -(-held.pieces // (1 << 20)))
+    turns = max(1, -(-(held.tokens or 0) // (tasks * capacity * open_bins // 2)))
+    dealt, turn = F.xxhash64("sequence_id", "offset"), F.pmod(F.xxhash64("sequence_id", "offset", F.lit(1)), F.lit(turns))
+    again = left.repartition(tasks, dealt).sortWithinPartitions(turn, F.desc("length"), "sequence_id", "offset")
+    closed = pieces.join(still_open, "sequence_id", "left_anti").select(*_ARROW.names)
+    return closed.unionByName(again.mapInArrow(pack_again, SCHEMA))

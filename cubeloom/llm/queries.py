@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
-from .licences import license_scan
+from .licences import BETWEEN, COPYRIGHT, KNOWN, SPELLINGS, VERSION, license_scan
 from .line_labels import fit_line_labels, quality_rules
 from .mixing import mix_copies
 from .packing import pack_best_fit
@@ -43,11 +44,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_copies(table(spark, sf_dir, "documents"))
+    return mix_copies(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,83 @@ QUERIES = {
     )
 }
 
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licences_sql() -> str:
+    spelled = f"regexp_replace(t, {_literal(VERSION)}, ' version  \\1', 'g')"
+    for old, new in SPELLINGS:
+        spelled = f"replace({spelled}, ' {old} ', ' {new.replace(' ', '  ')} ')"
+    known = ", ".join(f"({_literal(name)}, {_literal(text)})" for name, text in KNOWN)
+    return f"""
+        WITH known AS (SELECT 'k' || row_number() OVER () AS id, name, text FROM (VALUES {known}) v(name, text)),
+        texts AS (
+            SELECT 'd' || row_number() OVER () AS id, doc_id, NULL AS name, coalesce(text, '') AS t FROM documents
+            UNION ALL SELECT id, NULL, name, text FROM known),
+        plain AS (SELECT id, doc_id, name, regexp_replace(lower(t), {_literal(COPYRIGHT)}, '', 'g') AS t FROM texts),
+        spaced AS (SELECT id, doc_id, name, ' ' || replace(regexp_replace(t, {_literal(BETWEEN)}, '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' ' AS t FROM plain),
+        spelled AS (SELECT id, doc_id, name, regexp_replace({spelled}, ' +', ' ', 'g') AS t FROM spaced),
+        lines AS (SELECT id, doc_id, name, [trim(x, ' ') for x in string_split(t, chr(10)) if trim(x, ' ') <> ''] AS l FROM spelled),
+        digests AS (SELECT id, doc_id, name, l, sha256(coalesce(array_to_string(l, ' '), '')) AS text_digest FROM lines),
+        licences AS (SELECT text_digest AS digest, min(name) AS license_id FROM digests WHERE name IS NOT NULL GROUP BY text_digest),
+        hits AS (
+            SELECT id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids, count(*) AS n
+            FROM (SELECT id, sha256(unnest(l)) AS digest FROM digests WHERE name IS NULL) x JOIN licences USING (digest) GROUP BY id)
+        SELECT doc_id, text_digest, license_id, coalesce(ids, '') AS line_license_ids, coalesce(n, 0) AS n_license_lines
+        FROM digests LEFT JOIN licences ON text_digest = digest LEFT JOIN hits USING (id) WHERE name IS NULL"""
+
+
+def _mixing_sql(sections: int = 512, steps: int = 5) -> str:
+    """The same brackets as temperature_weights(), step by step."""
+    parts = []
+    for kind, last in (("even", "b0"), ("allowed", "b0")):
+        for step in range(1, steps + 1):
+            before = "start" if step == 1 and kind == "even" else "even_done" if step == 1 else f"{kind}_{step - 1}"
+            parts.append(f"""
+        {kind}_grid_{step} AS (SELECT k, low + (high - low) * k / {sections} AS a FROM {before}, range({sections + 1}) t(k)),
+        {kind}_all_{step} AS (
+            SELECT k, a, ln(z) - qlq / z >= 0.9999 * ln(n) - 1e-12 AS even, most / least <= 4.0 + 1e-12 AS allowed FROM (
+                SELECT k, a, sum(pow(share, a)) AS z, sum(pow(share, a) * ln(pow(share, a))) AS qlq, count(*) AS n,
+                       max(pow(share, a) / share) AS most, min(pow(share, a) / share) AS least
+                FROM {kind}_grid_{step}, shares GROUP BY k, a) x),
+        {kind}_at_{step} AS (SELECT {"coalesce(max(k) FILTER (even), 0)" if kind == "even" else f"coalesce(min(k) FILTER (allowed), {sections})"} AS at FROM {kind}_all_{step}),
+        {kind}_{step} AS (
+            SELECT max(a) FILTER (k = {"at" if kind == "even" else "greatest(at - 1, 0)"}) AS low,
+                   max(a) FILTER (k = {f"least(at + 1, {sections})" if kind == "even" else "at"}) AS high FROM {kind}_all_{step}, {kind}_at_{step})""")
+        if kind == "even":
+            parts.append(f"""
+        even_done AS (SELECT low, 1.0::DOUBLE AS high FROM even_{steps})""")
+    number = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+    return f"""
+        WITH docs AS (
+            SELECT doc_id, source, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS n_tokens,
+                   {number.format("'7:' || doc_id")} AS number FROM documents),
+        sources AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM docs GROUP BY source),
+        shares AS (SELECT *, tokens / CAST((SELECT sum(tokens) FROM sources) AS DOUBLE) AS share FROM sources),
+        start AS (SELECT 0.0::DOUBLE AS low, 1.0::DOUBLE AS high),{",".join(parts)},
+        powers AS (SELECT *, pow(share, (SELECT high FROM allowed_{steps})) AS q FROM shares),
+        weights AS (SELECT *, q / (SELECT sum(q) FROM powers) AS weight FROM powers),
+        budgets AS (SELECT *, weight * (SELECT max(tokens / weight) FROM weights) AS budget FROM weights),
+        plan AS (
+            SELECT *, CAST(floor(budget / tokens + 1e-9) AS BIGINT) AS times, CAST(ceil(tokens / 1048576.0) AS BIGINT) AS blocks FROM budgets),
+        dealt AS (SELECT d.*, weight, times, number % blocks AS block, budget - times * tokens AS rest FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+        per_block AS (
+            SELECT source, block, sum(n_tokens) AS tokens, any_value(rest) AS rest,
+                   {number.format("'7:' || coalesce(source, 'null') || ':' || block || ':' || any_value(times)")} AS at FROM dealt GROUP BY source, block),
+        lefts AS (SELECT source, block, tokens, rest - (sum(tokens) OVER (PARTITION BY source ORDER BY at, block) - tokens) AS room FROM per_block),
+        runs AS (
+            SELECT d.*, room, tokens, sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY number) AS run
+            FROM dealt d JOIN lefts l ON d.source IS NOT DISTINCT FROM l.source AND d.block = l.block)
+        SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, block,
+               times + CASE WHEN room <= 0 THEN 0 WHEN room >= tokens OR run <= room + 1e-6 THEN 1 ELSE 0 END AS copies
+        FROM runs"""
+
+
 ORACLES = {
+    "op2_license_scan": _licences_sql(),
+    "op5_mix_sources": _mixing_sql(),
     "op3_warc_audit": """
         WITH r AS (
             SELECT page_id AS record_id, (page_id * 31) % 211 AS fate,

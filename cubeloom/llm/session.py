@@ -32,8 +32,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name like ``wanted`` that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
+    """A column name like ``wanted`` with which no column of ``df`` begins."""
+    while any(c.lower().startswith(wanted.lower()) for c in df.columns):
         wanted = f"{wanted}_"
     return wanted

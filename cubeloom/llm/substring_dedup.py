@@ -3,8 +3,8 @@
 Shards are cut by content, so that equal strings meet in one shard: of the 32-byte grams in a string of the
 given length, the one of the least hash is its anchor. The strings of a text that share an anchor follow
 each other and make one piece of text. Pieces that are equal as a whole are counted and then kept once; where
-an anchor has several pieces, their suffixes are sorted (suffix_sort) to find what they have in common. An
-anchor with very many pieces is not sorted in one place; its strings are counted by 128-bit digests instead.
+an anchor has several pieces, their suffixes are sorted (suffix_sort) to find what they have in common. The pieces of an
+anchor that has too many for one shard are cut again, by the anchors that another hash gives, until they fit.
 """
 
 from __future__ import annotations
@@ -22,7 +22,11 @@ from .suffix_sort import repeated_starts
 from .words import Slice, mix, slices
 
 GRAM = 32
-_PLACE = np.uint64((1 << 28) - 1)
+#: Places in a block take so many bits; a longer text is read in blocks that overlap.
+_BITS = 28
+_PLACE = np.uint64((1 << _BITS) - 1)
+_BLOCK = 1 << 21
+_FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
 
 
 def _sliding(values: np.ndarray, size: int) -> np.ndarray:
@@ -36,39 +40,49 @@ def _sliding(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[size - 1 : size - 1 + n])
 
 
-def pieces(s: Slice, length: int) -> tuple[np.ndarray, ...]:
+def _grams(data: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each GRAM bytes in a row. Grams of one hash only share a group, so nothing rests on it."""
+    n = len(data) - GRAM + 1
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
+    total = eight[:n] * _FACTORS[0]
+    for k in range(1, GRAM // 8):
+        total += eight[8 * k : 8 * k + n] * _FACTORS[k]
+    return mix(total + np.uint64(salt) * _FACTORS[4])
+
+
+def pieces(s: Slice, length: int, salt: int = 0) -> tuple[np.ndarray, ...]:
     """Owner, first and last string start (inside the text), anchor hash and piece hash of each piece of a slice."""
-    empty = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
-    if len(s.data) < length:
-        return empty
-    sums = s.sums()
-    at = np.arange(len(s.data) - GRAM + 1)
-    grams = s.hashes(sums, at, at + GRAM)
-    least = _sliding((grams & ~_PLACE) | at.astype(np.uint64), length - GRAM + 1)
-    place = (least & _PLACE).astype(np.int64)
-    start = np.arange(len(place))
-    owner = np.searchsorted(s.offsets, start, "right") - 1
-    valid = start + length <= s.offsets[owner + 1]
-    start, owner, place = start[valid], owner[valid], place[valid]
-    if not len(start):
-        return empty
-    new = np.ones(len(start), bool)
-    new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    a, b, p, o = start[first], start[last], place[first], owner[first]
-    whole = mix(s.hashes(sums, a, b + length) + (p - a).astype(np.uint64))
-    return o, a - s.offsets[o], b - s.offsets[o], grams[p], whole
+    owners = np.repeat(np.arange(s.n), np.diff(s.offsets))
+    ends = s.offsets[1:]
+    found = [tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)]
+    for lo in range(0, len(s.data) - length + 1, _BLOCK):
+        hi = min(lo + _BLOCK, len(s.data) - length + 1)
+        grams = _grams(s.data[lo : hi + length - 1], salt)
+        least = _sliding((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - GRAM + 1)
+        place = (least & _PLACE).astype(np.int64)
+        owner = owners[lo:hi]
+        start = np.flatnonzero(np.arange(lo, hi) + length <= ends[owner])
+        if not len(start):
+            continue
+        owner, place = owner[start], place[start]
+        new = np.ones(len(start), bool)
+        new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(start)) - 1
+        found.append((owner[first], start[first] + lo, start[last] + lo, place[first] + lo, grams[place[first]]))
+    o, a, b, p, anchor = (np.concatenate(c) for c in zip(*found, strict=True))
+    whole = mix(s.hashes(a, b + length) + (p - a).astype(np.uint64))
+    return o, a - s.offsets[o], b - s.offsets[o], anchor, whole
 
 
 _PIECE = "k1 long, k2 long, a long, b long, anchor long, piece long"
 
 
-def _find_pieces(length: int):
+def _find_pieces(length: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column(2)):
-                owner, a, b, anchor, piece = pieces(s, length)
+                owner, a, b, anchor, piece = pieces(s, length, salt)
                 rows = pa.array(owner + s.lo)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(a), pa.array(b), pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64))],
@@ -78,7 +92,7 @@ def _find_pieces(length: int):
     return run
 
 
-def _contexts(length: int):
+def _contexts(length: int, salt: int):
     """Digests of what lies around a piece's anchor, as far as the piece goes: (0, 3), (1, 2), (2, 1) and (3, 0) quarters to
     the left and right of the most that a string can reach. A string that starts in some quarter covers one of them."""
     quarter = (length - GRAM) // 4
@@ -87,16 +101,18 @@ def _contexts(length: int):
         for batch in batches:
             anchors = np.asarray(batch.column(0)).view(np.uint64)
             for s in slices(batch.column(2)):
-                sums = s.sums()
-                at = np.arange(max(len(s.data) - GRAM + 1, 0))
-                owner = np.searchsorted(s.offsets, at, "right") - 1
-                hit = np.flatnonzero(s.hashes(sums, at, at + GRAM) == anchors[s.lo : s.hi][owner])
+                owner = np.repeat(np.arange(s.n), np.diff(s.offsets))[: len(s.data) - GRAM + 1]
+                hits = [np.zeros(0, np.int64)]
+                for lo in range(0, len(s.data) - GRAM + 1, _BLOCK):
+                    hi = min(lo + _BLOCK, len(owner))
+                    hits.append(np.flatnonzero(_grams(s.data[lo : hi + GRAM - 1], salt) == anchors[s.lo : s.hi][owner[lo:hi]]) + lo)
+                hit = np.concatenate(hits)
                 hit = hit[hit + GRAM <= s.offsets[owner[hit] + 1]]
                 for k in range(4):
                     lo, hi = hit - quarter * k, hit + GRAM + quarter * (3 - k)
                     inside = (lo >= s.offsets[owner[hit]]) & (hi <= s.offsets[owner[hit] + 1])
                     rows = pa.array(owner[hit[inside]] + s.lo)
-                    context = mix(s.hashes(sums, lo[inside], hi[inside]) + np.uint64(k))
+                    context = mix(s.hashes(lo[inside], hi[inside]) + np.uint64(k))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(context.view(np.int64))],
                         ["anchor", "piece", "context"],
@@ -105,26 +121,28 @@ def _contexts(length: int):
     return run
 
 
+_FOUND = "anchor long, piece long, lo long, hi long"
+
+
 def _sort_shard(length: int, memory: int):
-    """Of the pieces of one shard, the string starts that another piece, or another place in this one, has too."""
+    """Of the pieces of one shard, what strings cover that another piece, or another place in this one, has too."""
 
     def run(table: pa.Table) -> pa.Table:
         texts = [x.as_py() for x in table.column("bytes")]
-        found = [_spans(starts, length) for starts in repeated_starts(texts, length, memory)]
-        kind = pa.list_(pa.int64())
-        return pa.table({"anchor": table.column("anchor"), "piece": table.column("piece"), "spans": pa.array(found, kind)})
+        row, lo, hi = [], [], []
+        for k, starts in enumerate(repeated_starts(texts, length, memory)):
+            if len(starts):
+                gap = np.flatnonzero(starts[1:] - starts[:-1] > length)
+                row.append(np.full(len(gap) + 1, k))
+                lo.append(starts[np.append(0, gap + 1)])
+                hi.append(starts[np.append(gap, len(starts) - 1)] + length)
+        row, lo, hi = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (row, lo, hi))
+        rows = pa.array(row)
+        return pa.table({"anchor": table.column("anchor").take(rows), "piece": table.column("piece").take(rows), "lo": pa.array(lo), "hi": pa.array(hi)})
 
     return run
 
 
-def _spans(starts: np.ndarray, length: int) -> list[int]:
-    """The bytes that strings at these starts cover, as from, to, from, to ..."""
-    if not len(starts):
-        return []
-    gap = np.flatnonzero(starts[1:] - starts[:-1] > length)
-    return np.stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + length], axis=1).ravel().tolist()
-
-
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -150,8 +168,51 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def repeated_parts(units: DataFrame, length: int, shard_bytes: int, crowd_bytes: int, memory: int, salt: int = 0) -> DataFrame:
+    """``k1, k2, lo, hi``: the parts of ``units`` (k1, k2, text) that strings cover which start somewhere else too.
+
+    Where the pieces of one anchor are more than ``crowd_bytes``, they are units of their own, cut by other anchors.
+    """
+    parts = cut(units.mapInArrow(_find_pieces(length, salt), _PIECE))
+    # the columns of one row: all four are taken together
+    one = [F.first(c).alias(c) for c in ("k1", "k2", "a", "b")]
+    kinds = cut(parts.groupBy("anchor", "piece").agg(F.count("*").alias("n"), *one))
+    width = F.col("b") - F.col("a") + length
+    # pieces that occur more than once go as a whole
+    twice = kinds.filter("n > 1").select("anchor", "piece", F.lit(0).cast("long").alias("lo"), width.alias("hi"))
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+    several = kinds.join(several, "anchor")
+    one_each = units.dropDuplicates(["k1", "k2"])
+    texts = several.join(one_each, ["k1", "k2"]).select(
+        "anchor", "piece", F.substring(F.col("text").cast("binary"), F.col("a") + 1, width).alias("bytes")
+    )
+    texts = cut(texts)
+    # a repeated string reaches so far to both sides of its anchor that one of four contexts is repeated too
+    contexts = texts.mapInArrow(_contexts(length, salt), "anchor long, piece long, context long")
+    met = contexts.groupBy("anchor", "context").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).filter("p != q")
+    met = contexts.join(met.select("anchor", "context"), ["anchor", "context"]).select("anchor", "piece").distinct()
+    texts = cut(texts.join(met, ["anchor", "piece"], "left_semi"))
+    sizes = cut(texts.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("size")))
+    total = sizes.filter(F.col("size") <= crowd_bytes).agg(F.sum("size")).first()[0] or 0
+    crowds = sizes.filter(F.col("size") > crowd_bytes).select("anchor")
+    found = twice
+    if total:
+        shards = -(-total // shard_bytes)
+        few = texts.join(crowds, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        # dealt out by hand: shards are small in bytes, but each takes its time
+        few = few.select("shard", "anchor", "piece", "bytes").repartition(shards, "shard").groupBy("shard")
+        found = found.unionByName(few.applyInArrow(_sort_shard(length, memory), _FOUND))
+    if not crowds.isEmpty():
+        many = texts.join(crowds, "anchor", "left_semi").selectExpr("anchor k1", "piece k2", "bytes text")
+        inner = repeated_parts(many, length, shard_bytes, 2 * crowd_bytes, memory, salt + 1)  # so it ends
+        found = found.unionByName(inner.withColumnsRenamed({"k1": "anchor", "k2": "piece"}))
+    return cut(
+        parts.join(cut(found), ["anchor", "piece"]).select("k1", "k2", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
+    )
+
+
 def remove_repeats(
-    docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 21, most_pieces: int = 2048, memory: int = 1 << 20,
+    docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 21, crowd_bytes: int = 1 << 23, memory: int = 1 << 20,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text``: one row for each row of ``docs``.
@@ -159,74 +220,21 @@ def remove_repeats(
     Every byte that is covered by a string of ``length`` bytes which also starts anywhere else, in this text or another,
     is removed; overlapping places count, and all is judged on the input. Null texts are empty; texts shorter
     than ``length`` stay as they are; repeated rows are texts of their own and so remove each other; null ids and extra
-    columns make no difference; an empty table gives no rows. ``kept_text`` has replacement signs where a cut went
-    through a character; the digest is that of the bytes themselves.
+    columns make no difference; an empty table gives no rows. A text is read in blocks of 2 MiB, but must itself fit in a
+    worker's memory. ``kept_text`` has replacement signs where a cut went through a character; the digest is that of the
+    bytes themselves.
 
-    ``shard_bytes`` is the size of a shard in the mean, ``memory`` the number of tuples that the sorter's queues hold before
-    they go to disk, and ``most_pieces`` the number of different pieces of one anchor from which on digests replace sorting.
+    ``shard_bytes`` is the size of a shard in the mean, ``crowd_bytes`` the most that the pieces of one anchor may hold to be
+    sorted together, and ``memory`` the number of tuples that the sorter's queues hold before they go to disk.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "text")
-    parts = cut(rows.select("k1", "k2", "text").mapInArrow(_find_pieces(length), _PIECE))
-    kinds = parts.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "b")).alias("at"))
-    kinds = cut(kinds)
-    anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("times"), F.count("*").alias("kinds")).filter("times > 1")
-    kinds = cut(kinds.join(anchors, "anchor"))
-
-    # pieces that occur more than once go as a whole
-    width = F.col("at.b") - F.col("at.a") + length
-    twice = kinds.filter("n > 1").select("anchor", "piece", F.array(F.lit(0).cast("long"), width).alias("spans"))
-    several = kinds.filter("kinds > 1").select("anchor", "piece", "kinds", "at.*")
-    one_each = rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
-    texts = several.join(one_each, ["k1", "k2"]).select(
-        "anchor", "piece", "kinds", F.substring(F.col("text").cast("binary"), F.col("a") + 1, F.col("b") - F.col("a") + length).alias("bytes")
-    )
-    texts = cut(texts)
-    # a repeated string reaches so far to both sides of its anchor that one of four contexts is repeated too
-    contexts = texts.select("anchor", "piece", "bytes").mapInArrow(_contexts(length), "anchor long, piece long, context long")
-    met = contexts.groupBy("anchor", "context").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).filter("p != q")
-    met = contexts.join(met.select("anchor", "context"), ["anchor", "context"]).select("anchor", "piece").distinct()
-    texts = cut(texts.join(met, ["anchor", "piece"], "left_semi"))
-    total = texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    schema = "anchor long, piece long, spans array<long>"
-    sorted_ = texts.filter(F.col("kinds") <= most_pieces).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    sorted_ = sorted_.select("shard", "anchor", "piece", "bytes").groupBy("shard").applyInArrow(_sort_shard(length, memory), schema)
-    found = twice.unionByName(sorted_.filter(F.size("spans") > 0))
-
-    crowded = texts.filter(F.col("kinds") > most_pieces)
-    strings = crowded.select("anchor", "piece", "bytes").mapInArrow(_digests(length), "anchor long, piece long, start long, d1 long, d2 long")
-    again = strings.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    hit = strings.join(again, ["anchor", "d1", "d2"]).select("anchor", "piece", F.array("start", F.col("start") + length).alias("spans"))
-    found = cut(found.unionByName(hit))
-
-    spans = found.select("anchor", "piece", F.explode(F.filter(F.transform("spans", lambda x, k: F.struct(x.alias("lo"), F.try_element_at("spans", (k + 2).cast("int")).alias("hi"), (k % 2).alias("odd"))), lambda x: x["odd"] == 0)).alias("s"))
-    spans = parts.join(spans, ["anchor", "piece"]).select("k1", "k2", F.struct((F.col("a") + F.col("s.lo")).alias("lo"), (F.col("a") + F.col("s.hi")).alias("hi")).alias("s"))
+    spans = repeated_parts(rows.select("k1", "k2", "text"), length, shard_bytes, crowd_bytes, memory)
     # a text has as many spans as its own bytes allow
-    by_text = spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
+    by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     marked = rows.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return marked.mapInArrow(
         _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
-
-
-def _digests(length: int):
-    """A 128-bit digest of each string of a piece."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, text in enumerate(batch.column(2)):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                s = Slice(0, 1, data, np.array([0, len(data)]))
-                at = np.arange(len(data) - length + 1)
-                one = s.hashes(s.sums(), at, at + length)
-                two = s.hashes(s.sums(data ^ np.uint8(0x5A)), at, at + length)
-                n = pa.array(np.full(len(at), k))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(n), batch.column(1).take(n), pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    ["anchor", "piece", "start", "d1", "d2"],
-                )
-
-    return run

@@ -10,6 +10,7 @@ whether neighbours agree in a given number of bytes is asked, and that is compar
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -135,19 +136,21 @@ def suffix_order(text: np.ndarray, memory: int = 1 << 21) -> np.ndarray:
     is_seed = np.zeros(n, bool)
     is_seed[seeds] = True
     sorted_seeds = rough[is_seed[rough]]
-    # names: equal from seed to next seed, by a hash of the numbers between
+    # names: equal from seed to next seed, by a hash of the numbers between, each mixed before the next
     ends = np.append(seeds[1:] + 1, n)
-    weight = np.full(n, np.uint64(0x9E3779B97F4A7C15 | 1))
-    weight[0] = 1
-    weight = np.multiply.accumulate(weight)
-    inverse = np.full(n + 1, np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)))
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * weight, out=sums[1:])
+    between = (ends - seeds).astype(np.uint64)
+    rows = np.arange(len(seeds))
+    for step in range(int((ends - seeds).max())):
+        rows = rows[seeds[rows] + step < ends[rows]]
+        if 8 * len(rows) < step:  # few that are very long
+            break
+        between[rows] = mix(between[rows] ^ text[seeds[rows] + step].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+    else:
+        rows = rows[:0]
+    for k in rows:
+        between[k] = np.frombuffer(hashlib.blake2b(text[seeds[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     number = np.zeros(n, np.int64)
     number[seeds] = np.arange(len(seeds))
-    between = mix((sums[ends] - sums[seeds]) * inverse[seeds] + (ends - seeds).astype(np.uint64))
     between = between[number[sorted_seeds]]
     name = np.cumsum(np.append(0, between[1:] != between[:-1]))
     if name[-1] + 1 < len(seeds):
@@ -169,16 +172,15 @@ def repeated_starts(pieces: list[bytes], length: int, memory: int = 1 << 21) ->
     order = suffix_order(text, memory)
     order = order[order < len(text) - 1]
     order = order[left[order] >= length]
-    # neighbours in this order that agree in `length` bytes, compared byte by byte, some rows at a time
+    # neighbours in this order that agree in `length` bytes, compared byte by byte, eight at a time
+    plain = np.frombuffer(b"\0".join(pieces) + bytes(9), np.uint8)
+    eight = np.ndarray((len(plain) - 7,), "<u8", plain, 0, (1,))
     same = np.zeros(max(len(order) - 1, 0), bool)
     rows = np.arange(len(same))
-    for at in range(0, length, 8):
-        part = np.arange(at, min(at + 8, length))
-        alike = []
-        for lo in range(0, len(rows), 1 << 17):
-            r = rows[lo : lo + (1 << 17)]
-            alike.append((text[order[r][:, None] + part] == text[order[r + 1][:, None] + part]).all(1))
-        rows = rows[np.concatenate(alike)] if alike else rows
+    for at in [*range(0, length - 7, 8), *([length - 8] if length >= 8 else [])]:
+        rows = rows[eight[order[rows] + at] == eight[order[rows + 1] + at]]
+    for at in range(length if length < 8 else 0):
+        rows = rows[plain[order[rows] + at] == plain[order[rows + 1] + at]]
     same[rows] = True
     found = np.zeros(len(text), bool)
     found[order[:-1][same]] = True

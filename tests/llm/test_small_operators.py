@@ -84,6 +84,30 @@ def test_packing(spark):
     assert pack_best_fit(df.limit(0), path).count() == 0
 
 
+def test_packing_hardly_depends_on_partitions(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["tree", "of", "Éste", "naïve", "w7", "no."]) for _ in range(rng.randrange(1, 900)))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for n in (1, 150):
+        found = pack_best_fit(df.repartition(n), path).agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("m"), F.countDistinct("doc_id", "piece").alias("p"), F.count("*").alias("all")).first()
+        assert found.m <= 1.02 * -(-found.n // 2048) + 1 and found.p == found["all"]
+
+
+def test_ids_with_a_small_cache():
+    from tokenizers import Tokenizer
+
+    from cubeloom.llm.packing import CachedIds
+
+    rng = random.Random(4)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, ids = Tokenizer.from_file(path), CachedIds(path, most=50)
+    letters = "abcdeéèÉßñÀÿ"
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) + rng.choice(["", ".", ",", "9"]) for _ in range(rng.randrange(40))) for _ in range(5)]
+        assert ids([t.encode() for t in texts]) == [struct.pack(f"<{len(x)}I", *x) for x in (model.encode(t, add_special_tokens=False).ids for t in texts)]
+
+
 def test_token_counts(spark):
     import sentencepiece
 

@@ -31,8 +31,8 @@ def found(df, **options):
     return sorted((tuple(r) for r in out), key=str)
 
 
-@pytest.mark.parametrize("most_pieces", [2048, 1])
-def test_equals_count_of_all_strings(spark, most_pieces):
+@pytest.mark.parametrize("crowd_bytes", [1 << 23, 1500])
+def test_equals_count_of_all_strings(spark, crowd_bytes):
     rng = random.Random(3)
     make = lambda n: "".join(rng.choice("abcdefgh éß\n") for _ in range(n))
     passages = [make(n) for n in (395, 410, 600, 1500)]
@@ -46,7 +46,43 @@ def test_equals_count_of_all_strings(spark, most_pieces):
         rows.append((k, text))
     rows += [(100, rows[7][1]), (101, "xyz " * 500), (102, None), (103, ""), (104, "q" * 401), (104, "q" * 401), (105, "r" * 400), (None, "xyz " * 200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert found(df, most_pieces=most_pieces, shard_bytes=20_000, memory=1000) == brute(rows, 400)
+    assert found(df, crowd_bytes=crowd_bytes, shard_bytes=20_000, memory=1000) == brute(rows, 400)
+
+
+def test_many_pieces_of_one_anchor(spark):
+    """Copies of one text, each with changes of its own, so that its anchors have hundreds of different pieces."""
+    rng = random.Random(4)
+    base = [rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(50)) for _ in range(150)]
+    rows = []
+    for k in range(250):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(df, crowd_bytes=20_000, shard_bytes=10_000, memory=1000) == brute(rows, 400)
+
+
+def test_opposite_letters_do_not_repeat(spark):
+    """Texts of a pair of letters in the Thue-Morse order and in its complement, which sums modulo 2**64 can't tell apart."""
+    rng = random.Random(7)
+    middle = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(256))
+    half = "".join("58"[bin(k).count("1") % 2] for k in range(256))
+    other = half.translate(str.maketrans("58", "85"))
+    rows = [(1, half + middle + half), (2, other + middle + other)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 400)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghijklmnop ") for _ in range(60_000)) * 60  # longer than a block, and it repeats itself
+    rows = [(1, long), (2, "x" * 2000), (3, long[:700] + "é" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as k1", "text as spans", "1 as anchor")
+    out = {r.doc_id: r for r in remove_repeats(df).collect()}
+    assert [out[k].n_removed for k in (1, 2)] == [len(long), 2000] and [out[k].n_spans for k in (1, 2)] == [1, 1]
+    # of the last, what the first holds goes, and what it repeats itself
+    want = brute([(3, rows[2][1]), (4, long[:2000])], 400)[0]
+    assert (out[3].n_removed, out[3].kept_sha256) == (want[2], want[4]) and out[3].kept_text == ""
 
 
 def test_empty_table(spark):
