@@ -156,13 +156,18 @@ def held_out(id_col: str = "doc_id"):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed: int = 3) -> tuple[np.ndarray, Network]:
     """Word vectors from all texts of ``docs``, and a network fitted on at most ``sample`` labelled rows, spread by hash, none
-    of them held out. The vectors need no labels; they do not depend on how ``docs`` is partitioned."""
+    of them held out. The vectors need no labels; they do not depend on how ``docs`` is partitioned.
+
+    Null labels, null ids and labels of documents that aren't there are left out; of several labels of an id the largest
+    counts, and of several texts of an id the first in order. Null texts are empty. Without labels of both kinds the network
+    gives the share of label 1 to every text, without any a half. Other columns aren't read."""
     chosen = (
         labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out())
         .groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     )
     # the sample has a fixed number of rows, so it may be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(16, "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))  # a row for each id
     places, signs = index_vectors(seed)
 
     parts, rows_each = 64, BUCKETS // 64

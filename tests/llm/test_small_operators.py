@@ -205,16 +205,62 @@ def test_viterbi_against_all_labellings():
             assert tuple(got[rows]) == best
 
 
-def test_field_learns():
+def test_field_learns_labels_that_change_inside_a_text():
     rng = np.random.default_rng(2)
     width = len(FEATURES)
-    make = lambda y: np.column_stack([np.ones(4), rng.random((4, width - 1)) < (0.8 if y else 0.2)])
-    data = [(make(k % 2), k % 2) for k in range(100)]
-    weights, transition = fit_field(data)
-    right = [decode(x @ weights, transition, np.zeros(len(x), int), 1).mean().round() == y for x, y in data]
+
+    def make(y):  # content, then boilerplate, or the other way round, or all of one kind
+        labels = np.repeat({0: [0, 0], 1: [1, 1], 2: [1, 0], 3: [0, 1]}[y], 5)
+        noise = rng.random((10, width - 1)) < np.where(labels, 0.7, 0.3)[:, None]
+        return np.column_stack([np.ones(10), noise]), labels, int(labels.mean() >= 0.5)
+
+    data = [make(k % 4) for k in range(300)]
+    weights, transition = fit_field(data[:200])
+    assert all(transition[k, k] > transition[k, 1 - k] for k in (0, 1))
+    right = [(decode(x @ weights, transition, np.zeros(len(x), int), 1) == y).mean() for x, y, _ in data[200:]]
     assert np.mean(right) > 0.95
 
 
+def line_corpus(n=300, copies=80):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(2, 9))) for _ in range(600)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(8, 16))).capitalize() + "."
+    junk = lambda: " ".join(rng.choice(words) + rng.choice(["%%%", "&&&", "###"]) for _ in range(10))
+    notice = "Accept all cookies to go on reading this page."
+    rows, labels = [], []
+    for k in range(n):
+        bad = k % 3 == 0
+        lines = [junk() if bad else line() for _ in range(rng.randrange(3, 9))]
+        if k % 2:
+            lines.insert(rng.randrange(len(lines) + 1), notice)
+        rows.append((k, "\n".join(lines)))
+        labels.append((k, int(not bad)))
+    text = "\n".join(line() for _ in range(6))
+    rows += [(n + k, text) for k in range(copies)]  # copies of one text: its lines are no boilerplate
+    half = "\n".join([line() for _ in range(5)] + [junk() for _ in range(5)])
+    return rows, labels, notice, half
+
+
+def test_line_labels(spark):
+    rows, labels, notice, half = line_corpus()
+    docs = spark.createDataFrame([*rows, (9999, half), (9998, half + "\n" * 5000 + "Tail of it, all the same.")], "doc_id long, text string").repartition(2)
+    field = fit_line_labels(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert len(field.common) == 1
+    found = {r.doc_id: r for r in quality_rules(docs, field).collect()}
+    held = [(k, y) for k, y in labels if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert len(held) > 30 and np.mean([found[k].kept == bool(y) for k, y in held]) > 0.95
+    assert all(found[k].kept for k in range(300, 380))
+    assert 0.3 < found[9999].content_share < 0.7 and 0 < found[9998].content_share < 1
+    with_notice = [k for k, y in labels if y and k % 2]
+    assert np.mean([0 < found[k].content_share < 1 for k in with_notice]) > 0.9
+
+
+def test_repeated_ids_train_once(spark):
+    rows, labels, _, _ = line_corpus(60, 4)
+    docs = spark.createDataFrame(rows + rows[:1] * 500, "doc_id long, text string")
+    assert quality_rules(docs, fit_line_labels(docs, spark.createDataFrame(labels + labels[:1] * 9, "doc_id long, quality int"))).count() == len(rows) + 500
+
+
 def test_licences(spark):
     mit = next(t for n, t in __import__("cubeloom.llm.licences", fromlist=["KNOWN"]).KNOWN if n == "MIT")
     disguised = "Copyright (c) 2019 Some One\nAll rights reserved.\n" + mit.upper().replace(",", " ; ").replace("SUBLICENSE", "SUBLICENCE")
