@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import stored
 from .suffix_sort import repeated_starts
 from .words import Slice, mix, slices
 
@@ -173,10 +173,10 @@ def repeated_parts(units: DataFrame, length: int, shard_bytes: int, crowd_bytes:
 
     Where the pieces of one anchor are more than ``crowd_bytes``, they are units of their own, cut by other anchors.
     """
-    parts = cut(units.mapInArrow(_find_pieces(length, salt), _PIECE))
+    parts = stored(units.mapInArrow(_find_pieces(length, salt), _PIECE))
     # the columns of one row: all four are taken together
     one = [F.first(c).alias(c) for c in ("k1", "k2", "a", "b")]
-    kinds = cut(parts.groupBy("anchor", "piece").agg(F.count("*").alias("n"), *one))
+    kinds = stored(parts.groupBy("anchor", "piece").agg(F.count("*").alias("n"), *one))
     width = F.col("b") - F.col("a") + length
     # pieces that occur more than once go as a whole
     twice = kinds.filter("n > 1").select("anchor", "piece", F.lit(0).cast("long").alias("lo"), width.alias("hi"))
@@ -186,13 +186,13 @@ def repeated_parts(units: DataFrame, length: int, shard_bytes: int, crowd_bytes:
     texts = several.join(one_each, ["k1", "k2"]).select(
         "anchor", "piece", F.substring(F.col("text").cast("binary"), F.col("a") + 1, width).alias("bytes")
     )
-    texts = cut(texts)
+    texts = stored(texts)
     # a repeated string reaches so far to both sides of its anchor that one of four contexts is repeated too
     contexts = texts.mapInArrow(_contexts(length, salt), "anchor long, piece long, context long")
     met = contexts.groupBy("anchor", "context").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).filter("p != q")
     met = contexts.join(met.select("anchor", "context"), ["anchor", "context"]).select("anchor", "piece").distinct()
-    texts = cut(texts.join(met, ["anchor", "piece"], "left_semi"))
-    sizes = cut(texts.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("size")))
+    texts = stored(texts.join(met, ["anchor", "piece"], "left_semi"))
+    sizes = stored(texts.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("size")))
     total = sizes.filter(F.col("size") <= crowd_bytes).agg(F.sum("size")).first()[0] or 0
     crowds = sizes.filter(F.col("size") > crowd_bytes).select("anchor")
     found = twice
@@ -206,8 +206,8 @@ def repeated_parts(units: DataFrame, length: int, shard_bytes: int, crowd_bytes:
         many = texts.join(crowds, "anchor", "left_semi").selectExpr("anchor k1", "piece k2", "bytes text")
         inner = repeated_parts(many, length, shard_bytes, 2 * crowd_bytes, memory, salt + 1)  # so it ends
         found = found.unionByName(inner.withColumnsRenamed({"k1": "anchor", "k2": "piece"}))
-    return cut(
-        parts.join(cut(found), ["anchor", "piece"]).select("k1", "k2", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
+    return stored(
+        parts.join(stored(found), ["anchor", "piece"]).select("k1", "k2", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
     )
 
 
