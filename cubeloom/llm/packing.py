@@ -10,8 +10,11 @@ still open when a task ends is packed once more in the same way, together with t
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -66,32 +69,37 @@ class OpenBins:
         return number, self.capacity - space
 
 
-class CachedIds:
+class CachedIds(dict):
     """Ids of texts from a tokenizer file, encoding each chunk once.
 
     Chunks lie between ASCII white space, which the tokenizer must drop and split at, so that the ids of a
     text are those of its chunks in turn; as it lower-cases, so may the chunks be. In plain texts (no other
     signs than letters up to U+00FF, digits, points and commas, and no two marks in a row) the marks are
     chunks too. The cache has two tiers of at most ``most`` chunks: when the new one is full it becomes the old one, and
-    chunks that are met again move up, so that frequent ones stay. A lookup that misses encodes all the
-    new chunks of some texts together; those of letters alone are one word, and go to the tokenizer's model at once.
+    chunks that are met again move up, so that frequent ones stay. The tokenizer takes letters, each digit and other signs
+    apart, so the parts of simple chunks go to its model at once, by way of the cache.
     """
 
     _PLAIN = bytes(range(ord("a"), ord("z") + 1)) + b"0123456789 \n\t.,\xc3" + bytes(range(0x80, 0xC0))
     _NOT_PLAIN = (b",,", b"..", b",.", b".,", b"\xc3\x97", b"\xc3\xb7")
+    #: Simple chunks: no letters beyond U+00FF, no apostrophes, nothing that could be a special token; and their parts.
+    _SIMPLE = re.compile(r"(?:[!-&(-;=-~]|[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])+")
+    _PARTS = re.compile(r"[a-z\u00c0-\u00ff]+|[0-9]|[^a-z0-9\u00c0-\u00ff]+")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.most = most
         # the signs that stand for bytes inside the model
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        hidden = [k for k in range(256) if k not in shown]
-        self.signs = {k: 256 + n for n, k in enumerate(hidden)}
-        self.words = self._word(b"\xc3\x89verstst") == self._joined([b"\xc3\x89verstst"])[0]
+        self.signs = {k: 256 + n for n, k in enumerate(k for k in range(256) if k not in shown)}
+        for probe in (b"verstst", b"\xc3\x89verstst", b"the,&&&", b"a1b22%%.\xc3\xa9"):
+            if self._encode(probe) != self._whole(probe.decode()):
+                raise ValueError("this tokenizer doesn't take texts apart as expected")
+        self.clear()
 
     def chunks(self, text: bytes) -> list[bytes]:
         if b"<|" in text:  # special tokens are found before letters are lowered
@@ -101,48 +109,37 @@ class CachedIds:
             text = text.replace(b",", b" , ").replace(b".", b" . ")
         return text.split()
 
-    def _word(self, chunk: bytes) -> bytes:
-        inside = chunk.decode().lower().encode().decode("latin-1").translate(self.signs)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(inside)], "<u4").tobytes()
-
-    def _joined(self, part: list[bytes]) -> list[bytes]:
-        # one text for all: its words are the chunks, told apart by where their tokens start
-        text = b" ".join(part).decode()
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        starts = np.array([a for a, _ in found.offsets], np.int64)
-        ends = np.cumsum([len(c.decode()) + 1 for c in part])
-        cuts = np.searchsorted(starts, np.concatenate([[0], ends]))
-        cuts[-1] = len(ids)
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _encode(self, new: list[bytes]) -> None:
-        rest = []
-        for chunk in new:
-            if self.words and not chunk.translate(None, self._LETTERS) and chunk.decode().isalpha():
-                self.cache[chunk] = self._word(chunk)
-            else:
-                rest.append(chunk)
-        for k in range(0, len(rest), 5000):
-            part = rest[k : k + 5000]
-            self.cache.update(zip(part, self._joined(part), strict=True))
-
-    _LETTERS = bytes(range(ord("a"), ord("z") + 1)) + b"\xc3" + bytes(range(0x80, 0xC0))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.cache) > self.most:
-            self.cache, self.old = {}, self.cache
-        cache = self.cache
-        chunks = [self.chunks(t) for t in texts]
-        found = [list(map(cache.get, c)) for c in chunks]
-        new = {x for c, f in zip(chunks, found, strict=True) if None in f for x in c if x not in cache}
-        cache.update((x, self.old[x]) for x in new if x in self.old)
-        self._encode([x for x in new if x not in self.old])
-        return [
-            b"".join(map(cache.__getitem__, c) if None in f else f) for c, f in zip(chunks, found, strict=True)
-        ]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, text: str) -> bytes:
+        if not text.isascii():
+            text = text.lower().encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def _encode(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if chunk.isalpha():
+            return self._part(text.lower())
+        if not self._SIMPLE.fullmatch(text):
+            return self._whole(text)
+        parts = self._PARTS.findall(text.lower())
+        return self._part(parts[0]) if len(parts) == 1 else b"".join([self[x.encode()] for x in parts])
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._encode(chunk)
+        self[chunk] = ids
+        return ids
+
+    def __call__(self, text: bytes) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        chunks = self.chunks(text)
+        return b"".join(itemgetter(*chunks)(self)) if len(chunks) > 1 else self[chunks[0]] if chunks else b""
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,20 +148,6 @@ def worker_ids(path: str) -> CachedIds:
     return CachedIds(path)
 
 
-def _together(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of some rows at a time."""
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-        ids.append(doc_id)
-        texts.append(text.as_py() or b"")
-        size += len(texts[-1])
-        if size > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
@@ -198,10 +181,10 @@ def pack_best_fit(
         bins = OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
         end = end_id.to_bytes(4, "little")
-        for doc_ids, texts in (part for batch in batches for part in _together(batch)):
+        for batch in batches:
             out: list[tuple] = []
-            for doc_id, found in zip(doc_ids, ids_of(texts), strict=True):
-                ids = memoryview(found + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+                ids = memoryview(ids_of(text.as_py() or b"") + end)
                 total = len(ids) // 4
                 for piece, start in enumerate(range(0, total, capacity)):
                     length = min(capacity, total - start)
