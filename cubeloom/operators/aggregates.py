@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.calendar import bucket, days_in_month, dekad_start, group_key, months_ahead, season
+from ..functions.calendar import bucket, days_in_month, dekad_end, dekad_start, group_key, months_ahead, season
 from ..functions.numeric import ratio
 from ..sources.cubes import PIXEL
 
@@ -35,14 +35,15 @@ def upsample_nearest(df: DataFrame, values: list[str], keys=PIXEL, time: str = "
 
 
 def dekads_between(df: DataFrame, start: str, end: str) -> DataFrame:
-    """The start of every dekad from one date column to another, a row each."""
-    days = df.select(F.explode(F.sequence(F.col(start), F.col(end))).alias("_d"))
-    return days.filter(F.col("_d") == dekad_start(F.col("_d"))).select(F.col("_d").alias("dekad")).distinct()
+    """The end of every dekad from that in which one date column lies to that of another, a row each."""
+    days = df.select(F.explode(F.sequence(dekad_start(F.col(start)), dekad_end(F.col(end)))).alias("_d"))
+    return days.filter(F.col("_d") == dekad_end(F.col("_d"))).select(F.col("_d").alias("dekad")).distinct()
 
 
-def group_into_dekads(df: DataFrame, keys=PIXEL, time: str = "time") -> DataFrame:
-    """The sorted times of each series in each dekad, which has eleven days at most."""
-    return df.groupBy(*keys, dekad_start(F.col(time)).alias("dekad")).agg(F.sort_array(F.collect_set(time)).alias("times"))
+def group_into_dekads(df: DataFrame, keys=PIXEL, time: str = "time", by_start: bool = False) -> DataFrame:
+    """The sorted times of each series in each dekad, as often as they occur; dekads are named by their last day, or their first."""
+    label = dekad_start if by_start else dekad_end
+    return df.groupBy(*keys, label(F.col(time)).alias("dekad")).agg(F.sort_array(F.collect_list(time)).alias("times"))
 
 
 def climatology(df: DataFrame, value: str, period: str = "month", keys=PIXEL, time: str = "time") -> DataFrame:

@@ -84,7 +84,7 @@ def regrid_weights(source: tuple[DataFrame, DataFrame], target: tuple[DataFrame,
 def regrid(df: DataFrame, target: tuple[DataFrame, DataFrame], values: list[str], method: str = "nearest", time: str = "time") -> DataFrame:
     """A cube on another grid.
 
-    Methods: ``nearest``; ``bilinear`` (null if one of the four is null); ``conservative`` (mean by overlapping area, of cells
+    Methods: ``nearest``; ``bilinear`` (null if one of the four is null or absent); ``conservative`` (mean by overlapping area, of cells
     that have a value); ``distance`` (four nearest by inverse distance); ``largest_area`` (the class with the most overlap; of equal
     ones the least); ``nearest_to_target`` (mean of the source cells whose nearest target it is).
     """
@@ -115,7 +115,7 @@ def regrid(df: DataFrame, target: tuple[DataFrame, DataFrame], values: list[str]
         w = F.when(F.col("_least") > 0, ratio(F.lit(1.0), F.col("_d"))).otherwise((F.col("_d") == 0).cast("double"))
         found = near.groupBy(*cell).agg(*[ratio(F.sum(F.col(v) * w), F.sum(F.when(F.col(v).isNotNull(), w))).alias(v) for v in values])
     elif method == "bilinear":
-        found = rows.groupBy(*cell).agg(*[F.when(F.count(v) == F.count("*"), F.sum(F.col(v) * weight)).alias(v) for v in values])
+        found = rows.groupBy(*cell).agg(*[F.when((F.count(v) == F.count("*")) & (F.sum(weight) > 1 - 1e-9), F.sum(F.col(v) * weight)).alias(v) for v in values])
         hull = df.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
         found = _with_coordinates(found, target).join(F.broadcast(hull))  # one row
         return found.filter("lat between a and b and lon between c and d").drop("a", "b", "c", "d")

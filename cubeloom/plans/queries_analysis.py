@@ -232,14 +232,14 @@ def polygons(spark):
     return spark.createDataFrame(POLYGONS, "poly_id int, name string, ring array<struct<x:double,y:double>>")
 
 
-_EDGES = ", ".join(
+EDGES = ", ".join(
     f"({i}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for i, _, ring in POLYGONS for a, b in zip(ring, ring[1:] + ring[:1], strict=True)
 )
 
 
 @query("e07_rasterise", f"""
     WITH c AS (SELECT DISTINCT CAST((l_suppkey % 25) // 5 AS INTEGER) AS lat_idx, CAST(l_suppkey % 5 AS INTEGER) AS lon_idx FROM lineitem),
-    p AS (SELECT *, lat_idx + 0.5 AS y, lon_idx + 0.5 AS x FROM c), e AS (SELECT * FROM (VALUES {_EDGES}) v(id, x1, y1, x2, y2)),
+    p AS (SELECT *, lat_idx + 0.5 AS y, lon_idx + 0.5 AS x FROM c), e AS (SELECT * FROM (VALUES {EDGES}) v(id, x1, y1, x2, y2)),
     i AS (SELECT lat_idx, lon_idx, id FROM p, e WHERE (y1 > y) != (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
     SELECT lat_idx, lon_idx, CAST(max(id) AS INTEGER) AS poly_id FROM c LEFT JOIN i USING (lat_idx, lon_idx) GROUP BY 1, 2""")
 def e07(spark, sf):

@@ -319,11 +319,13 @@ def c03(spark, sf):
 
 
 @query("c04_dekad_index", """
-    SELECT make_date(year(m), month(m), d) AS dekad FROM (SELECT unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS m, a, b
-        FROM (SELECT CAST(min(l_shipdate) AS DATE) a, CAST(max(l_shipdate) AS DATE) b FROM lineitem)), (VALUES (1), (11), (21)) v(d)
-    WHERE make_date(year(m), month(m), d) BETWEEN a AND b""")
+    SELECT DISTINCT CASE d WHEN 21 THEN last_day(m) ELSE make_date(year(m), month(m), d + 9) END AS dekad
+    FROM (SELECT unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS m, a, b
+        FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) + 4 AS a, CAST(o_orderdate AS DATE) + 24 AS b FROM orders)), (VALUES (1), (11), (21)) v(d)
+    WHERE make_date(year(m), month(m), d) <= b AND CASE d WHEN 21 THEN last_day(m) ELSE make_date(year(m), month(m), d + 9) END >= a""")
 def c04(spark, sf):
-    ends = cubes.table(spark, sf, "lineitem").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b"))
+    day = F.to_date("o_orderdate")
+    ends = cubes.table(spark, sf, "orders").select(F.date_add(day, 4).alias("a"), F.date_add(day, 24).alias("b")).distinct()
     return agg.dekads_between(ends, "a", "b")
 
 
@@ -340,10 +342,19 @@ def c05(spark, sf):
     )
 
 
-@query("c07_group_into_dekads", f"WITH {DAYS} SELECT pixel_id, {LABELS['DEKAD']} AS dekad, string_agg(CAST(time AS VARCHAR), ',' ORDER BY time) AS times FROM days GROUP BY 1, 2")
-def c07(spark, sf):
-    found = agg.group_into_dekads(daily(spark, sf), KEY)
-    return found.withColumn("times", F.array_join(F.transform("times", lambda d: d.cast("string")), ","))
+DEKAD_END = "CASE WHEN day(time) <= 10 THEN make_date(year(time), month(time), 10) WHEN day(time) <= 20 THEN make_date(year(time), month(time), 20) ELSE last_day(time) END"
+
+
+def _dekad_groups(name: str, label: str, by_start: bool):
+    @query(name, f"WITH t AS (SELECT CAST(user_id AS INTEGER) AS pixel_id, CAST(ts AS DATE) AS time FROM events) SELECT pixel_id, {label} AS dekad, string_agg(CAST(time AS VARCHAR), ',' ORDER BY time) AS times FROM t GROUP BY 1, 2")
+    def run(spark, sf):
+        rows = cubes.table(spark, sf, "events").select(F.col("user_id").cast("int").alias("pixel_id"), F.to_date("ts").alias("time"))
+        found = agg.group_into_dekads(rows, KEY, by_start=by_start)
+        return found.withColumn("times", F.array_join(F.transform("times", lambda d: d.cast("string")), ","))
+
+
+_dekad_groups("c07_group_into_dekads", DEKAD_END, False)
+_dekad_groups("c07_group_by_dekad_starts", LABELS["DEKAD"], True)
 
 
 @query("c08_minus_months", """

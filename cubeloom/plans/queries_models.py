@@ -12,8 +12,8 @@ from ..sources.folders import scratch_folder
 from ..streaming import ingest
 from . import datasets
 from .pipeline import run as run_pipeline
-from .queries_analysis import dense, polygons
-from .queries_cube import KEY, located
+from .queries_analysis import COVER, EDGES, FORECAST, dense, polygons
+from .queries_cube import DEKAD_END, KEY, LABELS, located
 from .registry import cube_sql, query
 
 P = 3  # months that an example looks back in these queries
@@ -356,14 +356,27 @@ def raw(spark, sf):
 
 
 TARGET = ([0.0, 1.5, 3.0], [0.5, 2.0, 3.5])
+#: Which places of the cube are nearest to the target's, and the target's coordinates.
+_NEAREST = "ra AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 3)) v(i, k)), rb AS (SELECT * FROM (VALUES (0, 0), (1, 2), (2, 3)) v(j, k))"
 
 
-@query("p01_gridded_product")
+def filled(found: str, label: str = "last_day(time)") -> str:
+    """``found`` (lat_idx, lon_idx, time and a value v), with a row for each cell and period between the first and the last."""
+    return f"""found AS ({found}), every AS (SELECT DISTINCT {label} AS time FROM (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS time FROM (SELECT min(time) a, max(time) b FROM found))),
+        filled AS (SELECT p.lat_idx, p.lon_idx, e.time, f.v FROM (SELECT DISTINCT lat_idx, lon_idx FROM found) p CROSS JOIN every e
+            LEFT JOIN found f ON f.lat_idx = p.lat_idx AND f.lon_idx = p.lon_idx AND f.time = e.time)"""
+
+
+@query("p01_gridded_product", cube_sql("SELECT lat_idx, lon_idx, time, v AS precip FROM filled", _NEAREST + ", " + filled("SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, last_day(time) AS time, avg(precip) AS v FROM cube JOIN ra ON ra.k = lat_idx JOIN rb ON rb.k = lon_idx GROUP BY 1, 2, 3")), 'precip')
 def p01(spark, sf):
     return datasets.gridded(raw(spark, sf), ["precip"], ((0.0, 4.0), (0.0, 4.0)), spatial.axes(spark, *TARGET), "M", ("crs",))
 
 
-@query("p02_weekly_vegetation")
+@query("p02_weekly_vegetation", """
+    WITH f AS (SELECT make_date(CAST(1990 + vec_id % 10 + 10 * (vec_id // 520) AS INTEGER), 1, 1) AS jan, CAST((vec_id // 10) % 52 AS INTEGER) AS w, embedding FROM embeddings),
+    g AS (SELECT CAST(jan + to_days((8 - isodow(jan)) % 7 + 7 * w) AS DATE) AS time, embedding FROM f),
+    c AS (SELECT time, CAST(7 - k // 8 AS INTEGER) AS lat_idx, CAST(k % 8 AS INTEGER) AS lon_idx, CAST(embedding[CAST(k AS INTEGER) + 1] AS DOUBLE) AS v, -10 + 20 * (7 - k // 8) / 7.0 AS lat, 30 + 15 * (k % 8) / 7.0 AS lon FROM g, range(64) r(k)),
+    """ + filled("SELECT lat_idx, lon_idx, last_day(time) AS time, avg(v) AS v FROM c WHERE lat BETWEEN -5 AND 8 AND lon BETWEEN 30 AND 40 GROUP BY 1, 2, 3") + " SELECT lat_idx, lon_idx, time, v AS \"VHI\" FROM filled", '"VHI"')
 def p02(spark, sf):
     vectors = cubes.table(spark, sf, "embeddings")
     grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8)).cast("array<array<double>>")
@@ -374,31 +387,31 @@ def p02(spark, sf):
     return datasets.weekly_vegetation(files, "VHI", (-10.0, 10.0), (30.0, 45.0), ((-5.0, 8.0), (30.0, 40.0)))
 
 
-@query("p03_soil_type")
+@query("p03_soil_type", cube_sql("SELECT lat_idx, lon_idx, soil_type, " + ", ".join(f"CAST(soil_type = {k} AS INTEGER) AS soil_{k}_one_hot" for k in range(1, 8)) + " FROM (SELECT *, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY n DESC, soil_type) AS k FROM (SELECT lat_idx, lon_idx, CAST(floor(precip % 7 + 1) AS INTEGER) AS soil_type, count(*) AS n FROM cube GROUP BY 1, 2, 3)) WHERE k = 1"))
 def p03(spark, sf):
     soil = raw(spark, sf).withColumn("soil_type", (F.col("precip") % 7 + 1).cast("int"))
     return datasets.reanalysis_soil(soil)
 
 
-@query("p04_weekly_reanalysis")
+@query("p04_weekly_reanalysis", "WITH " + filled("SELECT lat_idx, lon_idx, " + LABELS["W-MON"] + " AS time, avg(value) AS v FROM (SELECT CAST(user_id // 15 AS INTEGER) AS lat_idx, CAST(user_id % 15 AS INTEGER) AS lon_idx, CAST(ts AS DATE) AS time, event_type, avg(value) AS value FROM events GROUP BY ALL) GROUP BY 1, 2, 3", LABELS["W-MON"]) + " SELECT lat_idx, lon_idx, time, v AS t2m FROM filled", 't2m')
 def p04(spark, sf):
-    events = cubes.cube_events(spark, sf).filter("event_type = 'click'").withColumnsRenamed({"value": "t2m"})
+    events = cubes.cube_events(spark, sf).withColumnsRenamed({"value": "t2m"})
     rows = events.select("lat_idx", "lon_idx", F.col("lat_idx").cast("double").alias("latitude"), F.col("lon_idx").cast("double").alias("longitude"), "time", "t2m")
     return datasets.gridded(rows, ["t2m"], rule="W-MON")
 
 
-@query("p05_land_reanalysis")
+@query("p05_land_reanalysis", cube_sql("SELECT lat_idx, lon_idx, time, v AS vci FROM filled", filled("SELECT lat_idx, lon_idx, last_day(time) AS time, avg(vci) AS v FROM cube WHERE year(time) IN (1997, 1998) GROUP BY 1, 2, 3")), 'vci')
 def p05(spark, sf):
     return datasets.gridded(raw(spark, sf), ["vci"], rule="M", drop=("crs",), years=[1997, 1998])
 
 
-@query("p07_rotated_reanalysis")
+@query("p07_rotated_reanalysis", cube_sql("SELECT lat_idx, lon_idx, time, v AS precip FROM filled", filled("SELECT lat_idx, CAST((lon_idx + 2) % 5 AS INTEGER) AS lon_idx, last_day(time) AS time, avg(precip) AS v FROM cube WHERE CASE WHEN lon_idx * 72 > 180 THEN lon_idx * 72 - 360 ELSE lon_idx * 72 END BETWEEN -150 AND 100 GROUP BY 1, 2, 3")), 'precip')
 def p07(spark, sf):
     turned = raw(spark, sf).withColumn("longitude", F.col("lon_idx") * 72.0)
     return datasets.gridded(turned, ["precip"], ((0.0, 4.0), (-150.0, 100.0)), drop=("crs",), rotate=True)
 
 
-@query("p08_land_cover")
+@query("p08_land_cover", "WITH " + COVER + ", n AS (SELECT pixel_id, code, count(*) AS n FROM cover GROUP BY ALL) SELECT CAST(pixel_id // 5 AS INTEGER) AS lat_idx, CAST(pixel_id % 5 AS INTEGER) AS lon_idx, code AS lccs_class, " + ", ".join(f"CAST(code = {k} AND code > 0 AS INTEGER) AS class_{k}_one_hot" for k in range(7)) + " FROM (SELECT *, row_number() OVER (PARTITION BY pixel_id ORDER BY n DESC, code) AS k FROM n) WHERE k = 1")
 def p08(spark, sf):
     rows = cubes.land_cover(spark, sf).select(
         F.floor(F.col("pixel_id") / 5).cast("int").alias("lat_idx"), (F.col("pixel_id") % 5).cast("int").alias("lon_idx"), F.col("code").alias("lccs_class"),
@@ -407,13 +420,23 @@ def p08(spark, sf):
     return datasets.land_cover(rows, {k: f"class_{k}" for k in range(7)})
 
 
-@query("p09_topography")
+@query("p09_topography", cube_sql("SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, sum(h * greatest(0, 1 - abs(lat_idx - y)) * greatest(0, 1 - abs(lon_idx - x))) AS topography, y AS lat, x AS lon FROM ta, tb, (SELECT lat_idx, lon_idx, max(precip) AS h FROM cube GROUP BY 1, 2) WHERE abs(lat_idx - y) < 1 AND abs(lon_idx - x) < 1 GROUP BY ALL",
+    "ta AS (SELECT * FROM (VALUES (0, 0.0), (1, 1.5), (2, 3.0)) v(i, y)), tb AS (SELECT * FROM (VALUES (0, 0.5), (1, 2.0), (2, 3.5)) v(j, x))"), 'topography lat lon')
 def p09(spark, sf):
     heights = raw(spark, sf).groupBy("lat_idx", "lon_idx", "latitude", "longitude").agg(F.max("precip").alias("Band1")).withColumn("crs", F.lit(1))
     return datasets.topography(heights, spatial.axes(spark, *TARGET))
 
 
-@query("p10_vegetation_index")
+@query("p10_vegetation_index", """
+    WITH n AS (SELECT CAST((l_suppkey % 25) // 5 AS INTEGER) AS lat_idx, CAST(l_suppkey % 5 AS INTEGER) AS lon_idx, CAST(l_shipdate AS DATE) AS day, l_partkey % 256 AS n FROM lineitem),
+    d AS (SELECT lat_idx, lon_idx, """ + DEKAD_END.replace("time", "day") + """ AS time, CAST(max(n) AS DOUBLE) AS n FROM n GROUP BY 1, 2, 3),
+    s AS (SELECT lat_idx, lon_idx, time, CASE WHEN n NOT IN (251, 252, 255) THEN 0.0048 * n - 0.2 END AS x FROM d),
+    c AS (SELECT *, 100 * (x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0) AS vci FROM s WINDOW w AS (PARTITION BY lat_idx, lon_idx, month(time))),
+    e AS (SELECT *, 100 * (vci - min(vci) OVER w) / nullif(max(vci) OVER w - min(vci) OVER w, 0) AS ci FROM c WHERE time IN (SELECT time FROM c WHERE vci IS NOT NULL) WINDOW w AS (PARTITION BY lat_idx, lon_idx, month(time))),
+    f AS (SELECT *, CASE WHEN count(ci) OVER w = 3 THEN avg(ci) OVER w END AS vci3 FROM e WINDOW w AS (PARTITION BY lat_idx, lon_idx ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+    found AS (SELECT lat_idx, lon_idx, last_day(time) AS time, avg(x) AS boku_ndvi, avg(vci) AS "VCI", avg(vci3) AS "VCI3M" FROM f WHERE time IN (SELECT time FROM f WHERE vci3 IS NOT NULL) GROUP BY 1, 2, 3)
+    SELECT p.lat_idx, p.lon_idx, e.time, boku_ndvi, "VCI", "VCI3M" FROM (SELECT DISTINCT lat_idx, lon_idx FROM found) p CROSS JOIN (SELECT DISTINCT last_day(CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE)) AS time FROM (SELECT min(time) a, max(time) b FROM found)) e
+    LEFT JOIN found f ON f.lat_idx = p.lat_idx AND f.lon_idx = p.lon_idx AND f.time = e.time""", 'boku_ndvi "VCI" "VCI3M"')
 def p10(spark, sf):
     rows = located(cubes.table(spark, sf, "lineitem").select(
         (F.floor((F.col("l_suppkey") % 25) / 5)).cast("int").alias("lat_idx"), (F.col("l_suppkey") % 5).cast("int").alias("lon_idx"), (F.col("l_partkey") % 256).cast("double").alias("boku_ndvi"),
@@ -423,14 +446,27 @@ def p10(spark, sf):
     return datasets.vegetation_index(rows)
 
 
-@query("p11_seasonal_forecast")
+@query("p11_seasonal_forecast", "WITH " + FORECAST + """, runs AS (SELECT pixel_id, init_date, horizon_days, avg(value) AS value_mean, stddev_pop(value) AS value_std FROM forecast WHERE number < 6 GROUP BY 1, 2, 3)
+    SELECT CAST(pixel_id // 5 AS INTEGER) AS lat_idx, CAST(pixel_id % 5 AS INTEGER) AS lon_idx, last_day(init_date) AS time,
+    avg(value_mean) FILTER (horizon_days BETWEEN 28 AND 31) AS precip_mean_1,
+    avg(value_mean) FILTER (horizon_days BETWEEN 59 AND 62) AS precip_mean_2,
+    avg(value_mean) FILTER (horizon_days BETWEEN 89 AND 92) AS precip_mean_3,
+    avg(value_std) FILTER (horizon_days BETWEEN 28 AND 31) AS precip_std_1,
+    avg(value_std) FILTER (horizon_days BETWEEN 59 AND 62) AS precip_std_2,
+    avg(value_std) FILTER (horizon_days BETWEEN 89 AND 92) AS precip_std_3
+    FROM runs WHERE horizon_days BETWEEN 28 AND 31 OR horizon_days BETWEEN 59 AND 62 OR horizon_days BETWEEN 89 AND 92 GROUP BY 1, 2, 3""", 'precip_mean_1 precip_mean_2 precip_mean_3 precip_std_1 precip_std_2 precip_std_3')
 def p11(spark, sf):
     rows = cubes.forecasts(spark, sf).withColumns({"lat_idx": F.floor(F.col("pixel_id") / 5).cast("int"), "lon_idx": (F.col("pixel_id") % 5).cast("int")})
     rows = rows.withColumns({"latitude": F.col("lat_idx") * 1.0, "longitude": F.col("lon_idx") * 1.0}).withColumnRenamed("value", "precip").drop("pixel_id")
     return datasets.seasonal_forecast(rows, "precip", members=6)
 
 
-@query("p12_boundaries")
+@query("p12_boundaries", f"""
+    WITH c AS (SELECT DISTINCT CAST((l_suppkey % 25) // 5 AS INTEGER) AS lat_idx, CAST(l_suppkey % 5 AS INTEGER) AS lon_idx FROM lineitem),
+    p AS (SELECT *, lat_idx + 0.5 AS y, lon_idx + 0.5 AS x FROM c), e AS (SELECT * FROM (VALUES {EDGES}) v(id, x1, y1, x2, y2)),
+    i AS (SELECT lat_idx, lon_idx, id FROM p, e WHERE (y1 > y) != (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+    o AS (SELECT l.level, lat_idx, lon_idx, CAST(max(id) FILTER (l.level = 1 OR id = 1) AS INTEGER) AS region_id FROM c CROSS JOIN (VALUES (1), (2)) l(level) LEFT JOIN i USING (lat_idx, lon_idx) GROUP BY 1, 2, 3)
+    SELECT level, lat_idx, lon_idx, region_id, CASE region_id WHEN 1 THEN 'west' WHEN 2 THEN 'wedge' WHEN 3 THEN 'nothing' END AS region_name, region_id IS NULL OR region_id <> 1 AS mask FROM o""")
 def p12(spark, sf):
     cells = cubes.cube_ship(spark, sf).select("lat_idx", "lon_idx", F.col("lat_idx").cast("double").alias("lat"), F.col("lon_idx").cast("double").alias("lon")).distinct()
     shapes = polygons(spark)

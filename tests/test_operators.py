@@ -221,3 +221,25 @@ def test_district_mask_and_clusters(spark):
     a = spark.createDataFrame([(k, k // 5) for k in range(10)], "vec_id long, cluster int")
     b = spark.createDataFrame([(k, 1 - k // 5) for k in range(10)], "vec_id long, cluster int")
     assert models.match_labels(a, b, "cluster", ["vec_id"]) == {1: 0, 0: 1}
+
+
+def test_dekads_by_their_ends(spark):
+    dates = spark.createDataFrame([("2019-01-05", "2019-01-25"), ("2019-02-21", "2019-03-01")], "a string, b string").selectExpr("cast(a as date) a", "cast(b as date) b")
+    ends = {str(r.dekad) for r in agg.dekads_between(dates, "a", "b").collect()}
+    assert ends == {"2019-01-10", "2019-01-20", "2019-01-31", "2019-02-28", "2019-03-10"}
+    days = spark.createDataFrame([(1, "2020-02-29"), (1, "2020-02-21"), (1, "2020-02-29"), (1, "2020-02-10")], "pixel_id int, time string").withColumn("time", F.col("time").cast("date"))
+    named = lambda **how: {str(r.dekad): [str(t) for t in r.times] for r in agg.group_into_dekads(days, ["pixel_id"], **how).collect()}
+    assert named() == {"2020-02-10": ["2020-02-10"], "2020-02-29": ["2020-02-21", "2020-02-29", "2020-02-29"]}
+    assert set(named(by_start=True)) == {"2020-02-01", "2020-02-21"}
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "conservative", "distance", "largest_area", "nearest_to_target"])
+def test_regridding_where_a_cell_is_absent(spark, method):
+    """A constant field stays constant wherever it has a value, and bilinear needs all four."""
+    cells = [(i, j, float(i), float(j), 10.0) for i in range(3) for j in range(3) if (i, j) != (0, 0)]
+    df = spark.createDataFrame(cells, "lat_idx int, lon_idx int, lat double, lon double, v double").withColumn("time", F.lit("2020-01-31").cast("date"))
+    found = {(r.lat_idx, r.lon_idx): r.v for r in spatial.regrid(df, spatial.axes(spark, [0.5, 1.5], [0.5, 1.5]), ["v"], method).collect()}
+    assert all(v is None or abs(v - 10) < 1e-9 for v in found.values())
+    assert abs(found[1, 1] - 10) < 1e-9
+    if method == "bilinear":
+        assert found[0, 0] is None
