@@ -225,10 +225,10 @@ def test_district_mask_and_clusters(spark):
 
 def test_dekads_by_their_ends(spark):
     dates = spark.createDataFrame([("2019-01-05", "2019-01-25"), ("2019-02-21", "2019-03-01")], "a string, b string").selectExpr("cast(a as date) a", "cast(b as date) b")
-    ends = {str(r.dekad) for r in agg.dekads_between(dates, "a", "b").collect()}
+    ends = {str(r.dekad) for r in aggregates.dekads_between(dates, "a", "b").collect()}
     assert ends == {"2019-01-10", "2019-01-20", "2019-01-31", "2019-02-28", "2019-03-10"}
     days = spark.createDataFrame([(1, "2020-02-29"), (1, "2020-02-21"), (1, "2020-02-29"), (1, "2020-02-10")], "pixel_id int, time string").withColumn("time", F.col("time").cast("date"))
-    named = lambda **how: {str(r.dekad): [str(t) for t in r.times] for r in agg.group_into_dekads(days, ["pixel_id"], **how).collect()}
+    named = lambda **how: {str(r.dekad): [str(t) for t in r.times] for r in aggregates.group_into_dekads(days, ["pixel_id"], **how).collect()}
     assert named() == {"2020-02-10": ["2020-02-10"], "2020-02-29": ["2020-02-21", "2020-02-29", "2020-02-29"]}
     assert set(named(by_start=True)) == {"2020-02-01", "2020-02-21"}
 
