@@ -62,6 +62,13 @@ def nse(df: DataFrame, truth: str, preds: str, by: list) -> DataFrame:
     return scores(df, truth, preds, by, ("r2", "rmse")).withColumnRenamed("r2", "nse")
 
 
+def temporal_scores(df: DataFrame, truth: str, preds: str, by: list, time: str = "time") -> DataFrame:
+    """``r2, rmse`` of the series of means over all cells that have both values, by group."""
+    pairs = df.filter(F.col(truth).isNotNull() & F.col(preds).isNotNull())
+    means = pairs.groupBy(*by, time).agg(F.avg(truth).alias(truth), F.avg(preds).alias(preds))
+    return scores(means, truth, preds, by, ("r2", "rmse"))
+
+
 def monthly_scores(df: DataFrame, truth: str, preds: str, model: str = "model", time: str = "time") -> DataFrame:
     return scores(df, truth, preds, [model, F.month(time).alias("month")])
 

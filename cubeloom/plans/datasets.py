@@ -55,6 +55,11 @@ def reanalysis_soil(raw: DataFrame, box=None, target=None, legend: dict[int, str
     return masks.one_hot(mode, "soil_type", legend or {k: f"soil_{k}" for k in range(1, 8)})
 
 
+def with_static(monthly: DataFrame, static: DataFrame) -> DataFrame:
+    """A monthly cube with what is fixed for its cells; cells without it keep their months."""
+    return monthly.join(static, [*PIXEL], "left")
+
+
 def land_cover(raw: DataFrame, legend: dict[int, str], box=None, target=None) -> DataFrame:
     """Annual class maps (year in ``file_name``): the modal class of each cell, one-hot by the legend."""
     df = cubes.standard_names(_boxed(raw, box)).withColumn("time", time_of_file(F.col("file_name"), "year"))

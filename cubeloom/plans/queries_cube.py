@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import aggregates as agg
 from ..operators import masks, models
 from ..sources import cubes
+from ..sources.folders import scratch_folder
 from .registry import cube_sql, query
 
 KEY = ("pixel_id",)
@@ -19,6 +20,24 @@ def a01(spark, sf):
     return cubes.read_layers(spark, [f"{sf}/part.parquet", f"{sf}/supplier.parquet"])
 
 
+@query("a02_preprocessed_layers", cube_sql("SELECT lat_idx, lon_idx, time, precip, vci FROM cube"), "precip vci")
+def a02(spark, sf):
+    """Two layers in folders named for it, and a folder that isn't one."""
+    folder, cube = scratch_folder(spark), cubes.cube_ship(spark, sf)
+    for name, value in (("rain_preprocessed", "precip"), ("plants_preprocessed", "vci"), ("scratch", "price")):
+        cube.select("lat_idx", "lon_idx", "time", value).write.parquet(f"{folder}/{name}")
+    layers = cubes.read_preprocessed(spark, folder)
+    return cubes.merge_layers([layers["rain"], layers["plants"]])
+
+
+@query("a13_written_table", cube_sql("SELECT pixel_id, time, precip, vci FROM cube"), "precip vci")
+def a13(spark, sf):
+    """Written as CSV, and read again."""
+    folder = scratch_folder(spark)
+    cubes.save_table(cubes.cube_ship(spark, sf).select("pixel_id", "time", "precip", "vci"), f"{folder}/scores", "csv")
+    return spark.read.option("header", True).schema("pixel_id int, time date, precip double, vci double").csv(f"{folder}/scores")
+
+
 @query("a03_merge_layers", cube_sql("SELECT a.pixel_id, a.time, a.precip, b.vci FROM cube a JOIN cube b USING (pixel_id, time) WHERE a.price < 50000 AND b.vci < 60"), "precip vci")
 def a03(spark, sf):
     cube = cubes.cube_ship(spark, sf)

@@ -244,6 +244,18 @@ def r04(spark, sf):
     return evaluate.nse(modelled(spark, sf), "y", "preds", ["model", "pixel_id"])
 
 
+@query("r04_nse_by_time", cube_sql(f"SELECT model, time, {R2} AS nse, {RMSE} AS rmse FROM pairs GROUP BY 1, 2", PREDS), "nse rmse")
+def r04_time(spark, sf):
+    return evaluate.nse(modelled(spark, sf), "y", "preds", ["model", "time"])
+
+
+@query("r04_temporal", cube_sql(f"SELECT model, {R2} AS r2, {RMSE} AS rmse FROM (SELECT model, time, avg(y) AS y, avg(preds) AS preds FROM pairs GROUP BY 1, 2) AS pairs GROUP BY 1", PREDS), "r2 rmse")
+def r04_temporal(spark, sf):
+    return evaluate.temporal_scores(modelled(spark, sf), "y", "preds", ["model"])
+
+
+
+
 @query("r05_monthly_scores", cube_sql(f"SELECT model, CAST(month(time) AS INTEGER) AS month, {RMSE} AS rmse, {R2} AS r2 FROM pairs GROUP BY 1, 2", PREDS), "rmse r2")
 def r05(spark, sf):
     return evaluate.monthly_scores(modelled(spark, sf), "y", "preds")
@@ -405,6 +417,27 @@ def p05(spark, sf):
     return datasets.gridded(raw(spark, sf), ["vci"], rule="M", drop=("crs",), years=[1997, 1998])
 
 
+@query("p03_monthly_with_soil", cube_sql("SELECT lat_idx, lon_idx, time, v AS vci, soil_3_one_hot, soil_5_one_hot FROM filled JOIN soil USING (lat_idx, lon_idx)", filled("SELECT lat_idx, lon_idx, last_day(time) AS time, avg(vci) AS v FROM cube GROUP BY 1, 2, 3") + """,
+    soil AS (SELECT lat_idx, lon_idx, CAST(soil_type = 3 AS INTEGER) AS soil_3_one_hot, CAST(soil_type = 5 AS INTEGER) AS soil_5_one_hot FROM (SELECT *, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY n DESC, soil_type) AS k
+        FROM (SELECT lat_idx, lon_idx, CAST(floor(precip % 7 + 1) AS INTEGER) AS soil_type, count(*) AS n FROM cube GROUP BY 1, 2, 3)) WHERE k = 1)"""), "vci")
+def p03_monthly(spark, sf):
+    rows = raw(spark, sf)
+    soil = datasets.reanalysis_soil(rows.withColumn("soil_type", (F.col("precip") % 7 + 1).cast("int")), legend={3: "soil_3", 5: "soil_5"})
+    return datasets.with_static(datasets.gridded(rows, ["vci"], drop=("crs",)), soil.drop("soil_type"))
+
+
+@query("p06_evaporation", "WITH " + filled("SELECT CAST(9 - user_id // 15 AS INTEGER) AS lat_idx, CAST(user_id % 15 AS INTEGER) AS lon_idx, last_day(CAST(ts AS DATE)) AS time, avg(value) AS v FROM events WHERE 2 * (user_id % 15) BETWEEN 4 AND 20 GROUP BY 1, 2, 3") + " SELECT lat_idx, lon_idx, time, v AS \"E\" FROM filled", '"E"')
+def p06(spark, sf):
+    """Latitudes come from north to south, and the bounds of the time steps are dropped."""
+    events = cubes.table(spark, sf, "events")
+    row = F.floor(F.col("user_id") / 15)
+    rows = events.select(
+        (9 - row).cast("int").alias("lat_idx"), (F.col("user_id") % 15).cast("int").alias("lon_idx"), (9 - row).cast("double").alias("latitude"),
+        (2.0 * (F.col("user_id") % 15)).alias("longitude"), F.to_date("ts").alias("time"), F.col("value").alias("E"), F.lit(1).alias("time_bnds"),
+    )
+    return datasets.gridded(rows, ["E"], ((-20.0, 20.0), (4.0, 20.0)), drop=("time_bnds",))
+
+
 @query("p07_rotated_reanalysis", cube_sql("SELECT lat_idx, lon_idx, time, v AS precip FROM filled", filled("SELECT lat_idx, CAST((lon_idx + 2) % 5 AS INTEGER) AS lon_idx, last_day(time) AS time, avg(precip) AS v FROM cube WHERE CASE WHEN lon_idx * 72 > 180 THEN lon_idx * 72 - 360 ELSE lon_idx * 72 END BETWEEN -150 AND 100 GROUP BY 1, 2, 3")), 'precip')
 def p07(spark, sf):
     turned = raw(spark, sf).withColumn("longitude", F.col("lon_idx") * 72.0)
