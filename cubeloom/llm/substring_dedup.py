@@ -212,7 +212,7 @@ def repeated_parts(units: DataFrame, length: int, shard_bytes: int, crowd_bytes:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 21, crowd_bytes: int = 1 << 23, memory: int = 1 << 20,
+    docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 21, crowd_bytes: int = 1 << 23, memory: int = 1 << 18,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text``: one row for each row of ``docs``.
@@ -225,7 +225,8 @@ def remove_repeats(
     bytes themselves.
 
     ``shard_bytes`` is the size of a shard in the mean, ``crowd_bytes`` the most that the pieces of one anchor may hold to be
-    sorted together, and ``memory`` the number of tuples that the sorter's queues hold before they go to disk.
+    sorted together, and ``memory`` the number of tuples that the sorter's queues hold before they go to disk, and of names that are
+    sorted at once rather than by recursion: an eighth of the suffixes of a shard.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")

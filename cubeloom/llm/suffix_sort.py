@@ -1,11 +1,14 @@
-"""Suffix sorting of one shard by external induced sorting.
+"""Suffix sorting of one shard by external induced sorting, with common prefixes.
 
 Suffixes that begin a rising run after a falling one (seeds) are sorted first, by naming the strings between
-seeds and sorting the string of names the same way, recursively (or, once it fits in memory, at once). From the seeds, a
+seeds and sorting the string of names the same way, recursively, until it fits in memory. From the seeds, a
 pass in rising order induces the falling suffixes and a pass in falling order the rising ones. Each pass takes tuples of
-key and place from a priority queue whose buckets go to disk when too many tuples are held, and works on
-batches: as many tuples as can go before the first of the tuples that they induce. Of common prefixes, only
-whether neighbours agree in a given number of bytes is asked, and that is compared byte by byte in the end.
+key, place and common prefix from a priority queue whose buckets go to disk when too many tuples are held, and works on
+batches: as many tuples as can go before the first of the tuples that they induce.
+
+The common prefix of a tuple is that with the tuple before it, in symbols and up to a cap. What a tuple induces has one symbol
+more in common with the tuple that was induced last with the same symbol than all that was taken in between had with what
+was taken before; the least of those is kept for each symbol from batch to batch. Seeds bring theirs from the string of names.
 """
 
 from __future__ import annotations
@@ -17,26 +20,45 @@ import numpy as np
 
 from .words import mix
 
-_LAST = np.int64(1) << 62
+_LAST = np.int64(1) << 46
+_FEW = 32
 
 
 class DiskQueue:
-    """Tuples in the order of keys, and of arrival among equal keys; keys only grow past what was taken."""
+    """Tuples (key, place, common prefix) in the order of keys, and of arrival among equal keys; keys only grow past what was
+    taken. Buckets come in two tiers: what lies far ahead is only told apart by coarse ones."""
 
     def __init__(self, keys: int, memory: int):
         self.shift = max(0, int(keys).bit_length() - 10)
-        self.buckets: list[list] = [[] for _ in range((keys >> self.shift) + 1)]
+        self.size = (int(keys) >> self.shift) + 1
+        self.coarse: list[list] = [[] for _ in range(self.size // _FEW + 1)]
+        self.fine: list[list] = []
+        self.now = -1
         self.memory, self.held, self.file = memory, 0, None
 
-    def push(self, key: np.ndarray, place: np.ndarray) -> None:
+    @staticmethod
+    def _split(rows: np.ndarray, bucket: np.ndarray, into: list[list], first: int) -> None:
+        order = np.argsort(bucket.astype(np.int16), kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+        for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
+            into[int(bucket[a]) - first].append(rows[a:b])
+
+    def push(self, key: np.ndarray, place: np.ndarray, prefix: np.ndarray) -> None:
         if not len(key):
             return
-        bucket = (key >> self.shift).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, rows = bucket[order], np.stack([key[order], place[order]], axis=1)
-        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-            self.buckets[bucket[a]].append(rows[a:b])
+        rows = np.empty((len(key), 2), np.int64)
+        rows[:, 0], rows[:, 1] = key << 16 | prefix, place
+        bucket = key >> self.shift
+        coarse = bucket // _FEW
+        near = coarse == self.now
+        if near.all():
+            self._split(rows, bucket, self.fine, self.now * _FEW)
+        else:
+            if near.any():
+                self._split(rows[near], bucket[near], self.fine, self.now * _FEW)
+                rows, coarse = rows[~near], coarse[~near]
+            self._split(rows, coarse, self.coarse, 0)
         self.held += len(key)
         if self.held > self.memory:
             self._spill()
@@ -44,60 +66,159 @@ class DiskQueue:
     def _spill(self) -> None:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
-        for parts in self.buckets:
+        at = self.file.seek(0, 2)
+        for parts in (*self.coarse, *self.fine):
             for k, part in enumerate(parts):
                 if isinstance(part, np.ndarray):
-                    parts[k] = (self.file.seek(0, 2), len(part))
                     self.file.write(part.tobytes())
+                    parts[k] = (at, len(part))
+                    at += part.nbytes
         self.held = 0
 
-    def pop(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    def _take(self, parts: list) -> np.ndarray:
         rows = []
-        for part in self.buckets[bucket]:
+        for part in parts:
             if isinstance(part, np.ndarray):
                 self.held -= len(part)
             else:
                 self.file.seek(part[0])
                 part = np.frombuffer(self.file.read(16 * part[1]), np.int64).reshape(-1, 2)
             rows.append(part)
-        self.buckets[bucket] = []
-        rows = np.concatenate(rows) if rows else np.zeros((0, 2), np.int64)
-        return rows[:, 0], rows[:, 1]
+        parts.clear()
+        return np.concatenate(rows) if rows else np.zeros((0, 2), np.int64)
+
+    def pop(self, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if bucket // _FEW != self.now:
+            self.now = bucket // _FEW
+            rows = self._take(self.coarse[self.now])
+            self.fine = [[] for _ in range(_FEW)]
+            if len(rows):
+                self._split(rows, rows[:, 0] >> 16 + self.shift, self.fine, self.now * _FEW)
+                self.held += len(rows)
+        rows = self._take(self.fine[bucket % _FEW])
+        return rows[:, 0] >> 16, rows[:, 1], rows[:, 0] & 0xFFFF
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
-def _induce(text: np.ndarray, rising: np.ndarray, seeds: np.ndarray, top: int, up: bool, memory: int) -> np.ndarray:
-    """The falling suffixes in rising order (up), or the rising ones in falling order, induced from sorted seeds."""
-    keys = 2 * text.astype(np.int64) if up else 2 * (top - text.astype(np.int64))
+class Prefixes:
+    """Common prefixes of what a pass induces."""
+
+    def __init__(self, symbols: int, cap: int):
+        self.cap = cap
+        self.low = np.zeros(symbols, np.int32)  # since the last tuple induced with a symbol, to the end of its batch
+        self.stamp = np.full(symbols, -2, np.int32)  # which batch that was
+        self.batch = 0
+        self.when: list[int] = []  # batches whose least is less than that of all later ones, and that least
+        self.least: list[int] = []
+
+    def induced(self, prefix: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Those of the tuples that the tuples at these places of a batch induce, with these symbols."""
+        cap = self.cap
+        ahead = np.minimum.accumulate(prefix)
+        out = np.zeros(len(at), np.int64)
+        if len(at):
+            behind = np.full(len(prefix) + 1, cap, np.int64)
+            behind[:-1] = np.minimum.accumulate(prefix[::-1])[::-1]
+            order = np.argsort(symbol, kind="stable")
+            s, i = symbol[order], at[order]
+            again = s[1:] == s[:-1]
+            found = np.zeros(len(at), np.int64)
+            if again.any():
+                found[1:][again] = 1 + _range_least(prefix, i[:-1][again] + 1, i[1:][again])
+            first = np.append(True, ~again)
+            c = s[first]
+            stamp = self.stamp[c]
+            since = np.minimum(self.low[c], ahead[i[first]])
+            if self.when:
+                later = np.searchsorted(self.when, stamp + 1)
+                least = np.append(self.least, cap)[later]
+                since = np.minimum(since, least)
+            found[first] = np.where(stamp < 0, 0, 1 + since)
+            last = np.append(~again, True)
+            self.low[s[last]] = behind[i[last] + 1]
+            self.stamp[s[last]] = self.batch
+            out[order] = np.minimum(found, cap)
+        least = int(ahead[-1])
+        while self.least and self.least[-1] >= least:
+            self.least.pop()
+            self.when.pop()
+        self.least.append(least)
+        self.when.append(self.batch)
+        self.batch += 1
+        return out
+
+
+def _range_least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least value from each first to each last place."""
+    level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+    out = np.empty(len(first), np.int64)
+    table = values.astype(np.int16 if values.max(initial=0) < 1 << 15 else np.int64)
+    for k in range(int(level.max()) + 1):
+        mine = np.flatnonzero(level == k)
+        if len(mine):
+            out[mine] = np.minimum(table[first[mine]], table[last[mine] - (1 << k) + 1])
+        if len(table) > 1 << k:
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    return out
+
+
+def _induce(
+    text: np.ndarray, rising: np.ndarray, seeds: np.ndarray, top: int, up: bool, memory: int, known: np.ndarray | None = None, run: np.ndarray | None = None, cap: int = 0,
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """The falling suffixes in rising order (up), or the rising ones in falling order, induced from sorted seeds; if the common
+    prefixes of the seeds are known, with theirs."""
+    def keys(place: np.ndarray) -> np.ndarray:
+        symbol = text[place].astype(np.int64)
+        return 2 * symbol if up else 2 * (top - symbol)
+
     wanted = ~rising if up else rising
     queue = DiskQueue(2 * top + 2, memory)
-    queue.push(keys[seeds] + 1, seeds)
-    out = []
-    for bucket in range(len(queue.buckets)):
-        key, place = queue.pop(bucket)
+    carry = Prefixes(top + 1, cap) if known is not None else None
+    queue.push(keys(seeds) + 1, seeds, known if carry else np.zeros(len(seeds), np.int64))
+    out, shared = [], []
+    last = (-2, 0)
+    for bucket in range(queue.size):
+        key, place, prefix = queue.pop(bucket)
         while len(key):
             order = np.argsort(key, kind="stable")
-            key, place = key[order], place[order]
+            key, place, prefix = key[order], place[order], prefix[order]
             before = place - 1
             induces = wanted[before] & (place > 0)
-            new = np.where(induces, keys[before], _LAST)
+            new = np.where(induces, keys(before), _LAST)
             late = key[1:] > np.minimum.accumulate(new)[:-1]
             n = int(np.argmax(late)) + 1 if late.any() else len(key)
-            out.append(place[:n][key[:n] & 1 == 0])
-            new, before = new[:n][induces[:n]], before[:n][induces[:n]]
-            here = new >> queue.shift == bucket
-            queue.push(new[~here], before[~here])
-            key = np.concatenate([key[n:], new[here]])
-            place = np.concatenate([place[n:], before[here]])
+            took, at, here = key[:n], place[:n], prefix[:n]
+            own = took & 1 == 0
+            chosen = np.flatnonzero(induces[:n])
+            new, before = new[chosen], before[chosen]
+            if carry:
+                # a seed after what was induced with its symbol: as far as both go on with the symbol
+                met = np.append(last[0], took[:-1]) == took - 1
+                met &= ~own
+                if met.any():
+                    other = np.append(last[1], at[:-1])[met]
+                    here[met] = np.minimum(np.minimum(run[at[met]], run[other]), cap)
+                last = (int(took[-1]), int(at[-1]))
+                shared.append(here[own])
+                more = carry.induced(here, chosen, new >> 1)
+            else:
+                more = np.zeros(len(new), np.int64)
+            out.append(at[own])
+            near = new >> queue.shift == bucket
+            queue.push(new[~near], before[~near], more[~near])
+            key = np.concatenate([key[n:], new[near]])
+            place = np.concatenate([place[n:], before[near]])
+            prefix = np.concatenate([prefix[n:], more[near]])
     queue.close()
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    nothing = np.zeros(0, np.int64)
+    return np.concatenate(out) if out else nothing, (np.concatenate(shared) if shared else nothing) if carry else None
 
 
 def _double(names: np.ndarray) -> np.ndarray:
-    """The same order for a string that fits in memory: ranks by ever longer beginnings."""
+    """The order of suffixes of a string that fits in memory: ranks by ever longer beginnings."""
     n, reach, rank = len(names), 1, names
     while True:
         ahead = np.zeros(n, np.int64)
@@ -112,27 +233,48 @@ def _double(names: np.ndarray) -> np.ndarray:
         reach *= 2
 
 
-def suffix_order(text: np.ndarray, memory: int = 1 << 21) -> np.ndarray:
-    """Start places of all suffixes of ``text`` in sorted order; its last number must be the only least one."""
+def _agree(text: np.ndarray, a: np.ndarray, b: np.ndarray, done: np.ndarray, cap: int) -> np.ndarray:
+    """How many symbols from a and b on agree, beyond ``done`` of them that do, up to ``cap`` in all."""
+    done = np.minimum(done, cap)
+    rows = np.flatnonzero(done < cap)
+    a, b = a[rows] + done[rows], b[rows] + done[rows]
+    while len(rows):
+        on = text[a] == text[b]
+        rows, a, b = rows[on], a[on] + 1, b[on] + 1
+        done[rows] += 1
+        on = done[rows] < cap
+        if not on.all():
+            rows, a, b = rows[on], a[on], b[on]
+    return done
+
+
+def suffix_order(text: np.ndarray, memory: int = 1 << 21, cap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Start places of all suffixes of ``text`` in sorted order, and of each the common prefix with the one before it, up to
+    ``cap``; the last number of the text must be the only least one."""
     n = len(text)
     if n < 3:
-        return np.argsort(text, kind="stable")
+        return np.argsort(text, kind="stable"), np.zeros(n, np.int64)
     step = np.sign(text[1:].astype(np.int64) - text[:-1].astype(np.int64))
     # equal neighbours are of the type of the next that differ
     at = np.where(step != 0, np.arange(n - 1), n - 1)
     at = np.minimum.accumulate(at[::-1])[::-1]
     rising = np.ones(n, bool)
     rising[:-1] = step[np.minimum(at, n - 2)] > 0
+    run = np.ones(n, np.int32)
+    run[:-1] = np.minimum(at - np.arange(n - 1) + 1, cap)
+    del step, at
     seeds = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     top = int(text.max())
 
-    def passes(order: np.ndarray) -> np.ndarray:
-        falling = _induce(text, rising, order, top, True, memory)
-        risen = _induce(text, rising, falling[::-1], top, False, memory)[::-1]
+    def merged(falling: np.ndarray, risen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = np.concatenate([[n - 1], falling, risen])
-        return both[np.argsort(2 * text[both].astype(np.int64) + rising[both], kind="stable")]
+        order = np.argsort(2 * text[both].astype(np.int64) + rising[both], kind="stable")
+        return both, order
 
-    rough = passes(seeds[np.argsort(text[seeds], kind="stable")])
+    falling, _ = _induce(text, rising, seeds[np.argsort(text[seeds], kind="stable")], top, True, memory)
+    risen, _ = _induce(text, rising, falling[::-1], top, False, memory)
+    both, order = merged(falling, risen[::-1])
+    rough = both[order]
     is_seed = np.zeros(n, bool)
     is_seed[seeds] = True
     sorted_seeds = rough[is_seed[rough]]
@@ -153,11 +295,35 @@ def suffix_order(text: np.ndarray, memory: int = 1 << 21) -> np.ndarray:
     number[seeds] = np.arange(len(seeds))
     between = between[number[sorted_seeds]]
     name = np.cumsum(np.append(0, between[1:] != between[:-1]))
+    known = np.zeros(len(seeds), np.int64)  # names that a seed has in common with the one before it in the order
     if name[-1] + 1 < len(seeds):
         names = np.zeros(len(seeds), np.int64)
         names[number[sorted_seeds]] = name
-        sorted_seeds = seeds[_double(names) if len(names) <= memory else suffix_order(names, memory)]
-    return passes(sorted_seeds)
+        if len(names) > memory:
+            order, known = suffix_order(names, memory, cap)
+        else:
+            order = _double(names)
+            known[1:] = _agree(names, order[:-1], order[1:], known[1:], cap)
+        sorted_seeds = seeds[order]
+    if not cap:
+        known = None
+    else:  # in symbols: whole strings between seeds, and what the next ones have in common
+        a, b = number[sorted_seeds[:-1]], number[sorted_seeds[1:]]
+        whole = seeds[np.minimum(a + known[1:], len(seeds) - 1)] - seeds[a]
+        known[1:] = _agree(text, seeds[a], seeds[b], whole, cap)
+    falling, of_falling = _induce(text, rising, sorted_seeds, top, True, memory, known, run, cap)
+    back = np.append(0, of_falling[:0:-1]) if cap else None
+    risen, of_risen = _induce(text, rising, falling[::-1], top, False, memory, back, run, cap)
+    risen = risen[::-1]
+    both, order = merged(falling, risen)
+    shared = np.zeros(n, np.int64)
+    if cap:
+        shared = np.concatenate([[0], of_falling, [0] * min(len(risen), 1), of_risen[:0:-1]])[order]
+        order = both[order]
+        meet = np.flatnonzero((text[order[1:]] == text[order[:-1]]) & rising[order[1:]] & ~rising[order[:-1]]) + 1
+        shared[meet] = np.minimum(run[order[meet]], run[order[meet - 1]])
+        return order, shared
+    return both[order], shared
 
 
 def repeated_starts(pieces: list[bytes], length: int, memory: int = 1 << 21) -> list[np.ndarray]:
@@ -168,21 +334,11 @@ def repeated_starts(pieces: list[bytes], length: int, memory: int = 1 << 21) ->
     ends = np.cumsum(sizes) - 1
     text[ends] = 1
     starts = ends - sizes + 1
-    left = np.repeat(ends, sizes) - np.arange(len(text) - 1)
-    order = suffix_order(text, memory)
-    order = order[order < len(text) - 1]
-    order = order[left[order] >= length]
-    # neighbours in this order that agree in `length` bytes, compared byte by byte, eight at a time
-    plain = np.frombuffer(b"\0".join(pieces) + bytes(9), np.uint8)
-    eight = np.ndarray((len(plain) - 7,), "<u8", plain, 0, (1,))
-    same = np.zeros(max(len(order) - 1, 0), bool)
-    rows = np.arange(len(same))
-    for at in [*range(0, length - 7, 8), *([length - 8] if length >= 8 else [])]:
-        rows = rows[eight[order[rows] + at] == eight[order[rows + 1] + at]]
-    for at in range(length if length < 8 else 0):
-        rows = rows[plain[order[rows] + at] == plain[order[rows + 1] + at]]
-    same[rows] = True
+    left = np.append(np.repeat(ends, sizes) - np.arange(len(text) - 1), 0)
+    order, shared = suffix_order(text, memory, length)
     found = np.zeros(len(text), bool)
-    found[order[:-1][same]] = True
-    found[order[1:][same]] = True
+    # what agrees beyond the end of a piece goes on with the signs between pieces, and is no string of one
+    same = np.flatnonzero((shared[1:] >= length) & (left[order[1:]] >= length) & (left[order[:-1]] >= length))
+    found[order[same]] = True
+    found[order[same + 1]] = True
     return [np.flatnonzero(found[a:b]) for a, b in zip(starts, ends, strict=True)]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from cubeloom.llm.substring_dedup import remove_repeats
-from cubeloom.llm.suffix_sort import repeated_starts, suffix_order
+from cubeloom.llm.suffix_sort import DiskQueue, repeated_starts, suffix_order
 
 
 def brute(rows, length):
@@ -90,13 +90,34 @@ def test_empty_table(spark):
     assert found(df) == []
 
 
-def test_suffix_order():
+def test_suffix_order_and_common_prefixes():
     rng = random.Random(1)
-    for _ in range(150):
+    for t in range(200):
         n, k = rng.choice([1, 2, 3, 5, 10, 40, 200]), rng.choice([1, 2, 3, 26])
-        x = np.array([rng.randrange(1, k + 1) for _ in range(n)] + [0])
-        want = sorted(range(n + 1), key=lambda i: x[i:].tolist())
-        assert suffix_order(x, memory=rng.choice([5, 50, 1 << 20])).tolist() == want
+        x = [rng.randrange(1, k + 1) for _ in range(n)] * rng.choice([1, 1, 3]) + [0]
+        cap = rng.choice([1, 3, 8, 400])
+        want = sorted(range(len(x)), key=lambda i: x[i:])
+        order, shared = suffix_order(np.array(x), rng.choice([5, 50, 1 << 20]), cap)
+        assert order.tolist() == want, t
+        for a, b, s in zip(want, want[1:], shared[1:].tolist(), strict=False):
+            agree = next((q for q in range(cap) if max(a, b) + q >= len(x) or x[a + q] != x[b + q]), cap)
+            assert s == agree
+
+
+def test_a_text_much_larger_than_the_queues():
+    """Ten times what the queues hold and more: they go to disk, and the names are sorted by recursion."""
+    rng = np.random.default_rng(5)
+    part = rng.integers(97, 103, 3000).astype(np.uint8).tobytes()
+    pieces = [rng.integers(97, 103, 5000).astype(np.uint8).tobytes() + part[k * 100 : k * 100 + 900] for k in range(8)] * 2
+    spilled = []
+    spill = DiskQueue._spill
+    try:
+        DiskQueue._spill = lambda self: (spilled.append(self.held), spill(self))[1]
+        small = repeated_starts(pieces, 400, memory=4000)
+    finally:
+        DiskQueue._spill = spill
+    assert len(spilled) > 20 and max(map(len, small)) == 5501
+    assert [x.tolist() for x in small] == [x.tolist() for x in repeated_starts(pieces, 400)]
 
 
 def test_repeated_starts():
