@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Where that is unset, one machine gets a temporary folder (as in tests); on a cluster that is an error, as each executor
+    would write to a disk of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cubeloom-checkpoint-")
-        )
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cubeloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
