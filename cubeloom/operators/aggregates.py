@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.calendar import bucket, days_in_month, dekad_end, dekad_start, group_key, months_ahead, season
 from ..functions.numeric import ratio
 from ..sources.cubes import PIXEL
+from .order import percentiles, places, same_group
 
 
 def resample(df: DataFrame, rule: str, values: list[str], keys=PIXEL, time: str = "time", how=F.avg, fill: bool = True) -> DataFrame:
@@ -149,9 +150,10 @@ def yearly_counts_below(df: DataFrame, value: str, threshold: float, time: str =
 
 
 def colour_range(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95, exact: bool = True) -> DataFrame:
-    """Two percentiles of all values; exact ones hold a count of each distinct value, approximate ones a sketch."""
-    quantile = F.percentile if exact else F.percentile_approx
-    return df.agg(quantile(value, F.lit(low)).alias("vmin"), quantile(value, F.lit(high)).alias("vmax"))
+    """Two percentiles of all values, exact or by a sketch."""
+    if exact:
+        return percentiles(df, value, {"vmin": low, "vmax": high})
+    return df.agg(F.percentile_approx(value, F.lit(low)).alias("vmin"), F.percentile_approx(value, F.lit(high)).alias("vmax"))
 
 
 def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -204,7 +206,7 @@ def group_difference(df: DataFrame, rank_by: str, values: list[str], n: int, key
 def yearly_medians(df: DataFrame, value: str, keys=PIXEL, time: str = "time") -> DataFrame:
     """Years by the median over cells of the median over each cell's year."""
     cells = df.groupBy(*keys, F.year(time).alias("year")).agg(F.percentile(value, F.lit(0.5)).alias("m"))
-    return cells.groupBy("year").agg(F.percentile("m", F.lit(0.5)).alias("median"))
+    return cells.select("year").distinct().join(percentiles(cells, "m", {"median": 0.5}, ["year"]), "year", "left")
 
 
 def coarsen(df: DataFrame, value: str, n: int, time: str = "time") -> DataFrame:
@@ -225,8 +227,10 @@ def normalised_cycle(df: DataFrame, value: str, keys=PIXEL, time: str = "time")
 
 def summary(df: DataFrame, values: list[str]) -> DataFrame:
     """``variable, min, max, mean, median``."""
-    parts = [F.struct(F.lit(v).alias("variable"), *(f(v).cast("double").alias(n) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))), F.percentile(v, F.lit(0.5)).alias("median")).alias(v) for v in values]
-    return df.agg(*parts).select(F.explode(F.array(*values)).alias("s")).select("s.*")
+    parts = [F.struct(F.lit(v).alias("variable"), *(f(v).cast("double").alias(n) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg)))).alias(v) for v in values]
+    found = df.agg(*parts).select(F.explode(F.array(*values)).alias("s")).select("s.*")
+    medians = reduce(lambda a, b: a.unionByName(b), [percentiles(df, v, {"median": 0.5}).withColumn("variable", F.lit(v)) for v in values])
+    return found.join(medians, "variable", "left")
 
 
 def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
@@ -248,10 +252,14 @@ def top_n(df: DataFrame, value: str, n: int = 10, largest: bool = True, by: list
 
 def flag_extremes(df: DataFrame, value: str, sizes=(5, 10), by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """``top_{n}`` and ``bottom_{n}``: whether the row is among the n with the most or the least."""
-    g, ties = Window.partitionBy(*(by or [])), list(map(F.col, ties or []))
-    flags = {f"top_{n}": F.row_number().over(g.orderBy(F.col(value).desc_nulls_last(), *ties)) <= n for n in sizes}
-    flags |= {f"bottom_{n}": F.row_number().over(g.orderBy(F.col(value).asc_nulls_last(), *ties)) <= n for n in sizes}
-    return df.withColumns(flags)
+    by, ties = by or [], ties or []
+    df = df.withColumns({"_none": F.col(value).isNull().cast("int"), "_less": -F.col(value)})
+    for side, order in (("top", "_less"), ("bottom", value)):  # nulls are last from either side
+        nulls = df.groupBy(*by).agg(F.sum("_none").alias("_nulls"))
+        df = same_group(places(df, order, by, ties), nulls, by)
+        at = F.when(F.col("_none") == 1, F.col("_all") - F.col("_nulls") + F.col("_place")).otherwise(F.col("_place") - F.col("_nulls"))
+        df = df.withColumns({f"{side}_{n}": at <= n for n in sizes}).drop("_place", "_all", "_nulls")
+    return df.drop("_none", "_less")
 
 
 def concat(tables: list[DataFrame]) -> DataFrame:

@@ -69,15 +69,20 @@ def nearest_time(df: DataFrame, other: DataFrame, values: list[str], keys=PIXEL,
 def surrounding(df: DataFrame, value: str, reach: int = 1, time: str = "time", complete: bool = True) -> DataFrame:
     """``lat_{i}_lon_{j}_{value}``: the value i cells back along lat and j along lon. With ``complete``, cells that lack one go.
 
-    Each row goes to the cells that look at it, and the columns are gathered by one aggregate.
+    Each row goes to the cells beside it along lon; what has gathered there is read by windows along lat.
     """
+    reaches = range(-reach, reach + 1)
     shifts = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if (i, j) != (0, 0)]
-    moved = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in shifts])).alias("s")
-    sent = df.select("lat_idx", "lon_idx", time, F.col(value).alias("_v"), moved)
-    sent = sent.select((F.col("lat_idx") + F.col("s.i")).alias("lat_idx"), (F.col("lon_idx") + F.col("s.j")).alias("lon_idx"), time, "_v", "s.i", "s.j")
+    moved = F.explode(F.array(*map(F.lit, reaches))).alias("_j")
+    row = F.struct(*df.columns)
+    sent = df.select("lat_idx", "lon_idx", F.col(time).alias("_t"), F.col(value).alias("_v"), row.alias("_row"), moved)
+    sent = sent.withColumns({"lon_idx": F.col("lon_idx") + F.col("_j"), "_row": F.when(F.col("_j") == 0, F.col("_row"))})
+    beside = [F.max(F.when(F.col("_j") == j, F.col("_v"))).alias(f"_{j}") for j in reaches]
+    found = sent.groupBy("lon_idx", "_t", "lat_idx").agg(F.first("_row", ignorenulls=True).alias("_row"), *beside)
+    along = Window.partitionBy("lon_idx", "_t").orderBy("lat_idx")
     names = {(i, j): f"lat_{i}_lon_{j}_{value}" for i, j in shifts}
-    found = sent.groupBy("lat_idx", "lon_idx", time).agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("_v"))).alias(n) for (i, j), n in names.items()])
-    found = df.join(found, ["lat_idx", "lon_idx", time], "left")
+    found = found.select("_row", *[F.max(f"_{j}").over(along.rangeBetween(-i, -i)).alias(n) for (i, j), n in names.items()])
+    found = found.filter("_row is not null").select("_row.*", *names.values())
     return found.dropna(subset=list(names.values())) if complete else found
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import ratio
 from ..sources.cubes import PIXEL
+from .order import percentiles
 
 
 def bounding_box(df: DataFrame, lat: tuple[float, float], lon: tuple[float, float], lat_col: str = "lat", lon_col: str = "lon", check: bool = False) -> DataFrame:
@@ -103,9 +104,10 @@ def drop_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def trim_outliers(df: DataFrame, value: str, sigmas: float | None = 10, low: float | None = None, high: float | None = None) -> DataFrame:
     """Rows within ``sigmas`` standard deviations of the mean, and between two percentiles."""
-    wanted = [F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")]
-    wanted += [F.percentile(value, F.lit(q)).alias(n) for n, q in (("_low", low), ("_high", high)) if q is not None]
-    found = df.join(F.broadcast(df.agg(*wanted)))  # one row
+    found = df.join(F.broadcast(df.agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))))  # one row
+    shares = {n: q for n, q in (("_low", low), ("_high", high)) if q is not None}
+    if shares:
+        found = found.join(F.broadcast(percentiles(df, value, shares)))  # one row
     if sigmas is not None:
         found = found.filter(F.abs(F.col(value) - F.col("_mean")) <= sigmas * F.col("_std"))
     if low is not None:

@@ -115,11 +115,13 @@ def clusters(df: DataFrame, ks=(3, 5), months: list[int] | None = None, keys: li
     for month in months or [None]:
         part = df if month is None else df.filter(F.col("month") == month)
         part = part.select(*keys, "features").cache()
-        for k in ks:
-            labels = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(part).transform(part)
-            labels = labels.select(*keys, F.lit(month).cast("int").alias("month"), F.lit(k).alias("k"), "cluster")
-            found = labels if found is None else found.unionByName(labels)
+        models = [KMeans(k=k, seed=seed, featuresCol="features", predictionCol=f"_{k}").fit(part) for k in ks]
         part.unpersist()
+        for model in models:  # one after the other on the same rows, so that they are made once
+            part = model.transform(part)
+        labels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("cluster")) for k in ks])).alias("l")
+        part = part.select(*keys, F.lit(month).cast("int").alias("month"), labels).select(*keys, "month", "l.k", "l.cluster")
+        found = part if found is None else found.unionByName(part)
     return found
 
 

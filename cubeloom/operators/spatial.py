@@ -27,40 +27,59 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
     return points.select("poly_id", here["x"].alias("x1"), here["y"].alias("y1"), there["x"].alias("x2"), there["y"].alias("y2"))
 
 
-def rasterise(cells: DataFrame, polygons: DataFrame, half_cell: tuple[float, float] = (0.0, 0.0), origin: str = "corner", band: float = 1.0) -> DataFrame:
+def rasterise(cells: DataFrame, polygons: DataFrame, half_cell: tuple[float, float] = (0.0, 0.0), origin: str = "corner") -> DataFrame:
     """``poly_id`` of the last polygon that holds each cell, else null, by the even-odd rule.
 
     Cells have ``lat`` and ``lon``. With ``origin="corner"`` the point that is tested lies half a cell beyond the stored coordinate,
-    with ``"center"`` on it. Points and edges meet by bands of ``band`` degrees of y that an edge spans, not in pairs.
+    with ``"center"`` on it. Rows of the grid and edges meet first, for the places where an edge crosses a row; the cells of a row
+    are then held against the crossings of each polygon in it.
     """
     shift = half_cell if origin == "corner" else (0.0, 0.0)
     points = cells.select("lat_idx", "lon_idx", (F.col("lat") + shift[0]).alias("y"), (F.col("lon") + shift[1]).alias("x"))
-    points = points.withColumn("band", F.floor(F.col("y") / band))
+    rows = points.select("y").distinct()
     edges = polygon_edges(polygons).filter("y1 != y2")
-    low, high = F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band)
-    edges = edges.withColumn("band", F.explode(F.sequence(low, high)))
-    met = points.join(edges, "band").filter((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
-    crossing = F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    inside = met.groupBy("lat_idx", "lon_idx", "poly_id").agg(F.count_if(crossing).alias("n")).filter("n % 2 = 1")
+    # edges meet the rows that they span by bands as high as the grid divides into rows, on average
+    height = rows.agg(F.min("y").alias("bottom"), ratio(F.max("y") - F.min("y"), F.count("*") - 1).alias("band"))
+    height = height.select("bottom", F.coalesce(F.nullif("band", F.lit(0.0)), F.lit(1.0)).alias("band"))
+    band = lambda y: F.floor((y - F.col("bottom")) / F.col("band"))
+    ends = rows.agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    edges = edges.join(F.broadcast(height)).join(F.broadcast(ends))  # one row each
+    low, high = F.greatest(F.least("y1", "y2"), F.col("low")), F.least(F.greatest("y1", "y2"), F.col("high"))
+    edges = edges.filter(low <= high).withColumn("band_no", F.explode(F.sequence(band(low), band(high))))
+    rows = rows.join(F.broadcast(height)).select("y", band(F.col("y")).alias("band_no"))
+    met = rows.join(edges.drop("bottom", "band", "low", "high"), "band_no").filter((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
+    crossing = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    crossings = met.groupBy("y", "poly_id").agg(F.sort_array(F.collect_list(crossing)).alias("at"))
+    inside = points.join(crossings, "y").filter((F.col("x") >= F.element_at("at", 1)) & (F.col("x") < F.element_at("at", -1)))
+    inside = inside.filter(F.size(F.filter("at", lambda c: c > F.col("x"))) % 2 == 1)
     owner = inside.groupBy("lat_idx", "lon_idx").agg(F.max("poly_id").alias("poly_id"))
     return cells.join(owner, ["lat_idx", "lon_idx"], "left")
 
 
 def _axis(source: DataFrame, target: DataFrame, idx: str, at: str, method: str) -> DataFrame:
     """``t``, target place; ``s``, source place; ``w``, weight; ``d``, distance."""
-    pairs = target.select(F.col(idx).alias("t"), F.col(at).alias("_x")).join(F.broadcast(source.select(F.col(idx).alias("s"), F.col(at).alias("_y"))))
-    near = F.abs(F.col("_x") - F.col("_y"))
-    of_target = Window.partitionBy("t")
-    if method in ("nearest", "distance"):
-        pairs = pairs.withColumn("_n", F.row_number().over(of_target.orderBy(near, "s")))
-        pairs = pairs.filter(F.col("_n") <= (1 if method == "nearest" else 2))
-        return pairs.select("t", "s", F.lit(1.0).alias("w"), (F.col("_x") - F.col("_y")).alias("d"))
-    if method == "bilinear":
-        below = F.max(F.when(F.col("_y") <= F.col("_x"), F.col("_y"))).over(of_target)
-        above = F.min(F.when(F.col("_y") >= F.col("_x"), F.col("_y"))).over(of_target)
-        pairs = pairs.withColumns({"_a": below, "_b": above}).filter("_a is not null and _b is not null and (_y = _a or _y = _b)")
-        weight = F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(1 - near / (F.col("_b") - F.col("_a")))
-        return pairs.select("t", "s", weight.alias("w"), F.lit(0.0).alias("d")).filter("w > 0")
+    if method in ("nearest", "distance", "bilinear"):
+        # both axes in one order, so that each target place sees the source places before and after it
+        w = Window.partitionBy().orderBy("_x", "_is_target")  # over one row for each place of an axis
+        place = F.struct(F.col(at).alias("y"), F.col(idx).alias("s"))
+        along = Window.partitionBy().orderBy(at)
+        known = source.select(F.col(at).alias("_x"), place.alias("_p"), F.lag(place).over(along).alias("_b"), F.lead(place).over(along).alias("_a"))
+        both = known.select("_x", F.lit(0).alias("_is_target"), F.lit(None).cast("int").alias("t"), F.struct("_p", "_b", "_a").alias("_s"))
+        both = both.unionByName(target.select(F.col(at).alias("_x"), F.lit(1).alias("_is_target"), F.col(idx).cast("int").alias("t"), F.lit(None).cast(both.schema["_s"].dataType).alias("_s")))
+        before = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        after = F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        found = both.select("t", "_x", before.alias("_u"), after.alias("_v")).filter("t is not null")
+        if method == "bilinear":
+            exact = F.col("_u._p.y") == F.col("_x")
+            share = (F.col("_x") - F.col("_u._p.y")) / (F.col("_v._p.y") - F.col("_u._p.y"))
+            one = F.struct(F.col("_u._p.s").alias("s"), F.when(exact, 1.0).otherwise(1 - share).alias("w"))
+            two = F.struct(F.col("_v._p.s").alias("s"), F.when(exact, 0.0).otherwise(share).alias("w"))
+            inside = found.filter(exact | (F.col("_u").isNotNull() & F.col("_v").isNotNull()))
+            return inside.select("t", F.explode(F.array(one, two)).alias("p")).select("t", "p.s", "p.w", F.lit(0.0).alias("d")).filter("w > 0")
+        near = F.filter(F.array("_u._p", "_u._b", "_v._p", "_v._a"), lambda p: p.isNotNull())
+        near = F.array_sort(F.transform(near, lambda p: F.struct(F.abs(p["y"] - F.col("_x")).alias("far"), p["s"].alias("s"), (F.col("_x") - p["y"]).alias("d"))))
+        near = F.slice(near, 1, 1 if method == "nearest" else 2)
+        return found.select("t", F.explode(near).alias("p")).select("t", "p.s", F.lit(1.0).alias("w"), "p.d")
     if method == "conservative":
         size = (lambda a: F.sin(F.radians(a))) if at == "lat" else (lambda a: a)  # area between parallels
         edges = {}

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.calendar import group_key, month_index
 from ..functions.numeric import ratio
 from ..sources.cubes import PIXEL
+from .order import places
 
 
 def _rolling(df: DataFrame, value: str, window: int, keys, time: str, how) -> Column:
@@ -110,16 +111,17 @@ def previous_year(df: DataFrame, value: str, out: str = "prev_year", keys=PIXEL,
 
 def empirical_cdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(n - 1) / (N - 1) of each value that isn't null, in its group; ties follow each other."""
-    rows = df.filter(F.col(value).isNotNull())
-    group = Window.partitionBy(*by)
-    at = F.row_number().over(group.orderBy(value)) - 1
-    return rows.withColumn("cdf", ratio(at, F.count(F.lit(1)).over(group) - 1))
+    rows = places(df.filter(F.col(value).isNotNull()), value, by, [])
+    return rows.withColumn("cdf", ratio(F.col("_place") - 1, F.col("_all") - 1)).drop("_place", "_all")
 
 
 def terciles(df: DataFrame, value: str, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """``tercile`` low, med or high by rank; of sizes that don't divide by three, the first thirds are the larger."""
-    third = F.ntile(3).over(Window.partitionBy(*(by or [])).orderBy(value, *(order or [])))
-    return df.withColumn("tercile", F.element_at(F.array(F.lit("low"), F.lit("med"), F.lit("high")), third))
+    found = places(df, value, by or [], order or [])
+    low = F.floor((F.col("_all") + 2) / 3)
+    upto = low + F.floor((F.col("_all") + 1) / 3)
+    name = F.when(F.col("_place") <= low, "low").when(F.col("_place") <= upto, "med").otherwise("high")
+    return found.withColumn("tercile", name).drop("_place", "_all")
 
 
 def seasonal_windows(df: DataFrame, truth: str, preds: str, by: list[str], time: str = "time", starts=range(1, 11), length: int = 3) -> DataFrame:
