@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, free_name
 
 
 def sha256(text: Column) -> Column:
@@ -76,5 +76,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are told apart by their ids: those that repeat an id stay or go together, and those without an id stay.
     """
-    dropped = exact_groups(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("_dropped_id"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
+    own = free_name(docs, "dropped_id")
+    dropped = exact_groups(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias(own)).distinct()
+    return docs.join(dropped, docs[id_col] == dropped[own], "left_anti")
