@@ -116,10 +116,10 @@ def _mixing_sql(sections: int = 512, steps: int = 5) -> str:
                 SELECT k, a, sum(pow(share, a)) AS z, sum(pow(share, a) * ln(pow(share, a))) AS qlq, count(*) AS n,
                        max(pow(share, a) / share) AS most, min(pow(share, a) / share) AS least
                 FROM {kind}_grid_{step}, shares GROUP BY k, a) x),
-        {kind}_at_{step} AS (SELECT {"coalesce(max(k) FILTER (even), 0)" if kind == "even" else f"coalesce(min(k) FILTER (allowed), {sections})"} AS at FROM {kind}_all_{step}),
+        {kind}_at_{step} AS (SELECT {"coalesce(max(k) FILTER (even), 0)" if kind == "even" else f"coalesce(min(k) FILTER (allowed), {sections})"} AS pos FROM {kind}_all_{step}),
         {kind}_{step} AS (
-            SELECT max(a) FILTER (k = {"at" if kind == "even" else "greatest(at - 1, 0)"}) AS low,
-                   max(a) FILTER (k = {f"least(at + 1, {sections})" if kind == "even" else "at"}) AS high FROM {kind}_all_{step}, {kind}_at_{step})""")
+            SELECT max(a) FILTER (k = {"pos" if kind == "even" else "greatest(pos - 1, 0)"}) AS low,
+                   max(a) FILTER (k = {f"least(pos + 1, {sections})" if kind == "even" else "pos"}) AS high FROM {kind}_all_{step}, {kind}_at_{step})""")
         if kind == "even":
             parts.append(f"""
         even_done AS (SELECT low, 1.0::DOUBLE AS high FROM even_{steps})""")
@@ -139,8 +139,8 @@ def _mixing_sql(sections: int = 512, steps: int = 5) -> str:
         dealt AS (SELECT d.*, weight, times, number % blocks AS block, budget - times * tokens AS rest FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
         per_block AS (
             SELECT source, block, sum(n_tokens) AS tokens, any_value(rest) AS rest,
-                   {number.format("'7:' || coalesce(source, 'null') || ':' || block || ':' || any_value(times)")} AS at FROM dealt GROUP BY source, block),
-        lefts AS (SELECT source, block, tokens, rest - (sum(tokens) OVER (PARTITION BY source ORDER BY at, block) - tokens) AS room FROM per_block),
+                   {number.format("'7:' || coalesce(source, 'null') || ':' || block || ':' || any_value(times)")} AS spot FROM dealt GROUP BY source, block),
+        lefts AS (SELECT source, block, tokens, rest - (sum(tokens) OVER (PARTITION BY source ORDER BY spot, block) - tokens) AS room FROM per_block),
         runs AS (
             SELECT d.*, room, tokens, sum(n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY number) AS run
             FROM dealt d JOIN lefts l ON d.source IS NOT DISTINCT FROM l.source AND d.block = l.block)

@@ -292,3 +292,77 @@ def test_archives(spark):
     assert merkle_audit(empty, empty).count() == 0
     ends = index.join(sound, "record_id").groupBy("archive").agg(F.max(F.col("offset") + F.col("n_bytes")).alias("end"), F.sum("n_bytes").alias("all"))
     assert ends.filter("end != all").count() == 0
+
+
+def clashing(spark):
+    """Columns that have the names which operators use inside."""
+    rows = [(1, "a b c d e f g", "s", 99), (2, "a b c d e f g", "s", 98), (3, None, None, 97), (None, "a b c d e f g", "t", 96), (3, None, None, 95)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    for name in ("_copy", "_copies", "copies", "mix", "mix_pass", "mix_s", "number", "_dropped_id", "dropped_id", "row", "lines", "canonical", "digest", "_id", "_text", "k1", "kept"):
+        df = df.withColumn(name, F.col("n"))
+    return df
+
+
+def test_clashing_columns(spark):
+    df = clashing(spark)
+    mixed = mix_sources(df, max_repeats=9.0)
+    assert mixed.columns == df.columns
+    assert all(r["_copy"] == r.n == r.mix == r.number for r in mixed.collect())
+    left = exact_dedup(df)
+    assert left.columns == df.columns and sorted(r["_dropped_id"] for r in left.collect()) == [95, 96, 97, 98]
+    assert license_scan(df).count() == 5 and mix_copies(df).count() == 5
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert pack_best_fit(df, path).count() == 5 and token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).count() == 5
+
+
+def test_very_long_texts(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    long = "word, " * 150_000 + "x" * 300_000
+    df = spark.createDataFrame([(1, long), (2, long), (3, "short")], "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert {r.doc_id: r.keep_id for r in exact_groups(df).collect()} == {1: 2, 2: 2, 3: 3}
+    assert license_scan(df).count() == 3 and {r.copies for r in mix_copies(df).collect()} == {1}
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found = {r.doc_id: r.n_tokens for r in token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert found[1] == found[2] == len(model.encode(long))
+    ids = len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids) + 1
+    pieces = pack_best_fit(df, public_tokenizers.path("word_bpe_49k.json")).filter("doc_id = 1").collect()
+    assert sum(r.length for r in pieces) == ids and len(pieces) == -(-ids // 2048)
+
+
+def test_equivalent_licences_have_one_digest(spark):
+    same = ["MIT Licence licence text, v2.0", "mit license LICENSE text version 2.0", "(c) 1999 Me\nMIT license\nlicence text ver 2 0", "MIT-license; licence text; V. 2.0"]
+    other = ["MIT license text version 2.0", "licensee", ""]
+    rows = spark.createDataFrame([(t,) for t in same + other], "text string").select(digest(F.col("text")).alias("d")).collect()
+    assert len({r.d for r in rows[: len(same)]}) == 1 and len({r.d for r in rows}) == 4
+
+
+def test_own_table_of_licences_for_lines(spark):
+    own = spark.createDataFrame([("Mine", "free for all"), ("Mine", "FREE, for all!"), ("Other", "ask first")], "license_id string, text string")
+    own = own.select(digest(F.col("text")).alias("digest"), "license_id")
+    df = spark.createDataFrame([(1, "text\nFree for all.\nask  FIRST\nfree for all"), (2, "free for all"), (3, "no")], "doc_id long, text string")
+    found = {r.doc_id: (r.license_id, r.line_license_ids, r.n_license_lines) for r in license_scan(df, own).collect()}
+    assert found == {1: (None, "Mine,Other", 3), 2: ("Mine", "Mine", 1), 3: (None, "", 0)}
+
+
+def test_mixing_with_a_hot_source_and_a_hot_id(spark):
+    rows = [(k, "w " * 40, "hot" if k % 3 else f"s{k % 30}") for k in range(3000)] + [(7, "w " * 40, "hot")] * 1500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    copies = mix_copies(df, target_entropy=0.9, max_repeats=5.0, block_tokens=2000).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n"), F.avg("weight").alias("w"), F.min("copies").alias("least"))
+    found = {r.source: r for r in copies.collect()}
+    total = sum(r.n for r in found.values())
+    assert len(found) == 11 and all(r.least >= 1 for r in found.values())
+    assert all(abs(r.n / total - r.w) < 0.02 for r in found.values())
+
+
+def test_copies_lie_a_pass_apart(spark):
+    rows = [(k, "w " * 50, "big") for k in range(400)] + [(k, "w " * 50, "small") for k in range(400, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    read = [r.doc_id for r in mix_sources(df, target_entropy=1.0, max_repeats=9.0, block_tokens=500).coalesce(1).collect()]
+    assert Counter(read)[450] == 4 and Counter(read)[3] == 1
+    for k in (420, 450, 499):
+        places = [n for n, x in enumerate(read) if x == k]
+        assert all(b - a > 20 for a, b in zip(places, places[1:], strict=False))
+    half = Counter(x >= 400 for x in read[: len(read) // 2])
+    assert 0.35 < half[True] / sum(half.values()) < 0.65
