@@ -110,9 +110,14 @@ def feature_vector(examples: DataFrame, columns: list[str], out: str = "features
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="skip").transform(examples)
 
 
+def dealt_number(key: Column, seed: int) -> Column:
+    """A number below 2**32 that the key's text and the seed decide."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+
+
 def validation_mask(examples: DataFrame, ratio: float = 0.1, seed: int = 1, month: str = "target_month") -> DataFrame:
     """``validation``: whole months, chosen by a hash of the month."""
-    chosen = F.pmod(F.xxhash64(F.col(month), F.lit(seed)), F.lit(1000)) < int(1000 * ratio)
+    chosen = dealt_number(F.col(month), seed) % 1000 < int(1000 * ratio)
     return examples.withColumn("validation", chosen)
 
 
@@ -128,7 +133,7 @@ def training_periods(years: DataFrame, test: int, train: int, test_tercile: str,
 
     Years are in a random order that the seed fixes. Training is filled up from years left over if its tercile is short.
     """
-    order = F.xxhash64("year", F.lit(seed))
+    order = dealt_number(F.col("year"), seed)
     everything = Window.partitionBy()  # over one row for each year
     rows = years.withColumn("_o", order).withColumn("_t", F.row_number().over(Window.partitionBy("tercile").orderBy("_o", "year")))
     rows = rows.withColumn("_test", (F.col("tercile") == test_tercile) & (F.col("_t") <= test))

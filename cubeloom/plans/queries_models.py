@@ -98,13 +98,13 @@ def g09(spark, sf):
     return features.complete(found, [*LAGS, "y", "prev_y"]).select("pixel_id", "target_month", "split", "prev_y")
 
 
-@query("g10_feature_vector")
+@query("g10_feature_vector", cube_sql("SELECT pixel_id, target_month, " + ", ".join(LAGS) + " FROM full_ex WHERE y IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in LAGS), EX), " ".join(LAGS))
 def g10(spark, sf):
     found = features.feature_vector(examples(spark, sf).dropna(), LAGS)
     return found.select("pixel_id", "target_month", vector_to_array("features").alias("v")).select("pixel_id", "target_month", *[F.get("v", F.lit(k)).alias(c) for k, c in enumerate(LAGS)])
 
 
-@query("g11_validation_mask")
+@query("g11_validation_mask", cube_sql("SELECT DISTINCT target_month, ('0x' || substr(md5(target_month || ':1'), 1, 8))::BIGINT % 1000 < 200 AS validation FROM full_ex", EX))
 def g11(spark, sf):
     return features.validation_mask(examples(spark, sf), 0.2).select("target_month", "validation").distinct()
 
@@ -129,7 +129,11 @@ def g12(spark, sf):
     return agg.concat(found)
 
 
-@query("g13_training_periods")
+@query("g13_training_periods", cube_sql("SELECT CAST(year AS INTEGER) AS year, tercile, role FROM roles WHERE role IS NOT NULL", """
+    medians AS (SELECT year, median(m) AS m FROM (SELECT pixel_id, year(time) AS year, median(vci) AS m FROM dense GROUP BY 1, 2) GROUP BY 1),
+    terciles AS (SELECT year, ['low', 'med', 'high'][CAST(ntile(3) OVER (ORDER BY m NULLS FIRST, year) AS INTEGER)] AS tercile, ('0x' || substr(md5(year || ':1'), 1, 8))::BIGINT AS o FROM medians),
+    tested AS (SELECT *, tercile = 'low' AND row_number() OVER (PARTITION BY tercile ORDER BY o, year) <= 1 AS test FROM terciles),
+    roles AS (SELECT *, CASE WHEN test THEN 'test' WHEN row_number() OVER (ORDER BY CASE WHEN test THEN 2 WHEN tercile = 'high' THEN 0 ELSE 1 END, o, year) <= 4 THEN 'train' END AS role FROM tested)"""))
 def g13(spark, sf):
     years = windows.terciles(agg.yearly_medians(dense(spark, sf), "vci", KEY), "median", order=["year"])
     return features.training_periods(years, 1, 4, "low", "high")

@@ -198,14 +198,3 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "init_date", (28 + F.col("l_partkey") % 65).cast("int").alias("horizon_days"), F.col("l_linenumber").cast("int").alias("number"),
         (F.col("l_suppkey") % 25).cast("int").alias("pixel_id"), F.col("l_quantity").alias("value"),
     )
-
-
-# fixed values: name, west, east, south, north
-REGIONS_BBOX = [
-    ("kenya", 33.501, 42.283, -5.202, 6.002),
-    ("ethiopia", 32.9975838, 47.9823797, 3.397448, 14.8940537),
-    ("great_britain", -7.57216793459, 1.68153079591, 49.959999905, 58.6350001085),
-    ("east_africa", 21.0, 51.8, -11.0, 23.0),
-    ("africa", -31.6, 51.8, -35.8, 37.2),
-    ("india", 67.3, 97.7, 5.6, 36.0),
-]
