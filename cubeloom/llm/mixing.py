@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import cut, free_name, stored
+from .session import free_name, stored
 
 #: Candidates a step and steps: together as fine as 45 halvings of the bracket.
 _SECTIONS, _STEPS = 512, 5
@@ -48,12 +48,13 @@ def temperature_weights(
         spread = F.col("most") / F.col("least")
         repeats = spread if budget is None else F.col("most") / F.col("z") * F.lit(float(budget)) / F.lit(float(all_tokens or 1))
         entropy = F.log("z") - F.col("qlq") / F.col("z")
-        return sums.select(
+        found = sums.select(
             "a",
             (F.col("n") <= 1).alias("single"),
             (entropy >= F.lit(target_entropy) * F.log("n") - 1e-12).alias("even"),
             (repeats <= F.lit(max_repeats) + 1e-12).alias("allowed"),
-        ).orderBy("a").collect()
+        )
+        return sorted(found.collect(), key=lambda r: r.a)  # a row for each candidate
 
     low, high = 0.0, 1.0
     for _ in range(_STEPS):  # entropy falls as the exponent grows
@@ -101,8 +102,8 @@ def mix_plan(
         token_estimate(F.col(text_col)).alias("n_tokens"),
         random_number(F.lit(str(seed)), F.col(id_col).cast("string")).alias("number"),
     )
-    rows = cut(rows)
-    sources = cut(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    rows = stored(rows)
+    sources = stored(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     weighed, _ = temperature_weights(sources, target_entropy, max_repeats, budget)
     weighed = stored(
         weighed.select(
@@ -116,13 +117,13 @@ def mix_plan(
     blocks = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("times").alias("times"))
     # in the order of the permutation of the last pass, by running sums of ranges of it and inside each range
     blocks = blocks.withColumn("at", random_number(F.lit(str(seed)), "source", "block", "times"))
-    blocks = cut(blocks.withColumn("range", F.shiftright("at", 48)))
+    blocks = stored(blocks.withColumn("range", F.shiftright("at", 48)))
     of_range = blocks.groupBy("source", "range").agg(F.sum("tokens").alias("sum"))
     before = F.sum("sum").over(Window.partitionBy("source").orderBy("range")) - F.col("sum")
     of_range = of_range.select(F.col("source").alias("s"), F.col("range").alias("r"), before.alias("before"))
     blocks = blocks.join(of_range, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
     inside = F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("at", "block")) - F.col("tokens")
-    blocks = cut(blocks.withColumn("left", F.col("rest") - F.col("before") - inside))
+    blocks = stored(blocks.withColumn("left", F.col("rest") - F.col("before") - inside))
     # documents of the block in which the budget runs out, by number; those of one number go together
     last = blocks.filter("left > 0 and left < tokens").select(F.col("source").alias("s"), F.col("block").alias("b"), "left")
     met = rows.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
