@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import Workspace, cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,22 +13,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each step hangs neighbours under the smallest id that is near: first the larger neighbours of every
     id, then it and its smaller ones. It ends when the edges no longer change. Minima come from partial
-    aggregates, so an id with very many neighbours is never gathered.
+    aggregates, so an id with very many neighbours is never gathered. Each step's edges are written and the last step's deleted.
     """
     now = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u > v").distinct()
-    now, mark = cut(now), None
+    work = Workspace(edges.sparkSession)
+    now, mark = work.stored(now), None
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("v"), F.col("v").alias("u"))
-        large = large.filter("u > v").distinct()
+        large = large.filter("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("m").alias("v"), F.explode(F.array("u", "v")).alias("u"))
-        now = cut(small.filter("u > v").distinct())
+        before, work = work, Workspace(edges.sparkSession)
+        now = work.stored(small.filter("u > v").distinct())
+        before.drop()
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return cut(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    found = cut(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    work.drop()
+    return found

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import free_name, stored
+from .session import Workspace, free_name, stored
 from .words import Slice, mix, slices, windows
 
 WORDS = 5
@@ -391,42 +391,50 @@ def jaccard_components(
     for each of its own. Shingles are told apart by hashes of 51 bits, equal sets by 128.
     """
     num, den = threshold
+    work = Workspace(docs.sparkSession)  # for what the result doesn't need
+    table = work.stored
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    both = stored(rows.mapInArrow(_sets, _SETS))
+    both = table(rows.mapInArrow(_sets, _SETS))
     sets = both.filter("not counted").drop("counted")
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(both.filter("counted")))
     # equal sets: one of them, that with the smallest id, stands for all
-    equal = stored(sets.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
+    equal = table(sets.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     members = stored(sets.drop("sketch").join(equal, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", "rep"))
     stands = equal.filter("rep is not null").withColumnsRenamed({"rep": "doc_id"})
     known = stands.join(sets, ["doc_id", "n_shingles", "k1", "k2"]).selectExpr("doc_id id", "n_shingles n", "k1 key", "sketch")
-    known = stored(known.dropDuplicates(["id"]))
+    known = table(known.dropDuplicates(["id"]))
     total = members.agg(F.sum("n_shingles").alias("all"), F.max("n_shingles").alias("most")).first()
     levels = Levels(num, den, total["most"] or 0)
     buckets = max(16, -(-(total["all"] or 0) // 1_000_000))
 
     blocks = rows.select("text").mapInArrow(_groups(levels, buckets, order), _PACKED)
-    shared = stored(blocks.groupBy("bucket").applyInArrow(_shared(num, den), _MEMBERS))
+    shared = table(blocks.groupBy("bucket").applyInArrow(_shared(num, den), _MEMBERS))
 
-    def links(candidates: DataFrame) -> DataFrame:
-        """Those pairs of ids ``a, b`` that are similar enough."""
+    linked = labels = None
+
+    def link(candidates: DataFrame) -> None:
+        """Adds those pairs of ids ``a, b`` that are similar enough to the links, and finds the components anew."""
+        nonlocal linked, labels
         one, two = (known.selectExpr(f"id {x}", f"n n_{x}", f"sketch sketch_{x}") for x in "ab")
         sketched = candidates.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        likely = stored(sketched.mapInArrow(_not_ruled_out(num, den), "a long, b long, n_a long, n_b long"))
-        if likely.isEmpty():
-            return likely.select("a", "b")
+        likely = table(sketched.mapInArrow(_not_ruled_out(num, den), "a long, b long, n_a long, n_b long"))
+        if linked is not None and likely.isEmpty():
+            return
         held = segments(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), fragments)
         meet = likely.select("a", "b").join(held.selectExpr("id a", "fragment", "keys keys_a"), "a")
         meet = meet.join(held.selectExpr("id b", "fragment", "keys keys_b"), ["b", "fragment"])
         partial = meet.select("a", "b", "fragment", F.size(F.array_intersect("keys_a", "keys_b")).cast("long").alias("overlap"))
         summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("o"))
-        return likely.join(summed, ["a", "b"]).filter(f"o * {den} >= (n_a + n_b - o) * {num}").select("a", "b")
+        found = likely.join(summed, ["a", "b"]).filter(f"o * {den} >= (n_a + n_b - o) * {num}").select("a", "b")
+        found = table(found if linked is None else linked.unionByName(found))
+        if linked is None or found.count() > linked.count():
+            linked, labels = found, connected_components(found)
 
     def segments(ids: DataFrame, parts: int) -> DataFrame:
-        ids = stored(ids)
+        ids = table(ids)
         few = F.broadcast(ids) if ids.count() <= _FEW_IDS else ids
         texts = rows.join(few.withColumnsRenamed({"id": "doc_id"}), "doc_id").select("doc_id", "text")
-        return stored(texts.mapInArrow(_segments(parts, order), "id long, fragment int, keys array<long>").groupBy("id", "fragment").agg(F.first("keys").alias("keys")))
+        return table(texts.mapInArrow(_segments(parts, order), "id long, fragment int, keys array<long>").groupBy("id", "fragment").agg(F.first("keys").alias("keys")))
 
     def pairs(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -436,14 +444,13 @@ def jaccard_components(
     head = head.select("key", "n", "head_key", "head_n").distinct()
     ids = known.select("id", "n", "key")
     head = head.join(ids, ["key", "n"]).join(ids.selectExpr("id hub", "key head_key", "n head_n"), ["head_key", "head_n"])
-    linked = stored(links(head.select(*pairs("id", "hub")).filter("a < b").distinct()))
-    labels = connected_components(linked)
+    link(head.select(*pairs("id", "hub")).filter("a < b").distinct())
 
     def mixed(grouped: DataFrame, by: list[str]) -> DataFrame:
         """The groups that still hold several components: their members, with component and size."""
         named = grouped.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         seen = named.groupBy(*by).agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        return stored(named.join(seen.filter("low < high").drop("low", "high"), by))
+        return table(named.join(seen.filter("low < high").drop("low", "high"), by))
 
     def across(grouped: DataFrame, by: list[str]) -> DataFrame:
         """Pairs of members that may be linked, and would link two components."""
@@ -454,24 +461,23 @@ def jaccard_components(
 
     joined = shared.filter("members > 2").join(ids, ["key", "n"]).select("sign", "id", "n", F.lit(0).alias("place")).distinct()
     open_ = mixed(joined, ["sign"])
-    linked = stored(linked.unionByName(links(across(open_.filter(F.col("size") <= _LARGE), ["sign"]))))
-    labels = connected_components(linked)
+    link(across(open_.filter(F.col("size") <= _LARGE), ["sign"]))
 
     open_ = mixed(open_.filter(F.col("size") > _LARGE).select("sign", "id", "n"), ["sign"])
     if not open_.isEmpty():
         # the hub of a group is the member that is in most groups; in an order of the group's own, what the hub lacks comes first
         often = open_.groupBy("id").agg(F.count("*").alias("groups"))
         hubs = open_.join(often, "id").groupBy("sign").agg(F.max(F.struct("groups", "id")).alias("hub"))
-        owned = stored(open_.join(hubs.select("sign", F.col("hub.id").alias("hub")), "sign").select("hub", "id", "n").distinct())
+        owned = table(open_.join(hubs.select("sign", F.col("hub.id").alias("hub")), "sign").select("hub", "id", "n").distinct())
         whole = segments(owned.select("id").unionByName(owned.select(F.col("hub").alias("id"))).distinct(), 2)
-        whole = stored(whole.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys")))
+        whole = table(whole.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys")))
         own = owned.join(whole, "id").join(whole.selectExpr("id hub", "keys hub_keys"), "hub")
         first = F.concat(F.array_except("keys", "hub_keys"), F.array_intersect("keys", "hub_keys"))
         # with no member smaller than `least`, the first shingle in common is one of the first (den n - num least) / (num + den) + 1
         own = own.join(owned.groupBy("hub").agg(F.min("n").alias("least")), "hub")
         least = F.expr(f"greatest(least, (n * {num} + {den - 1}) div {den})")
         lead = F.floor((F.col("n") * den - least * num) / (num + den) + 1).cast("int")
-        dealt = stored(own.select("hub", "id", "n", F.posexplode(F.slice(first, F.lit(1), lead)).alias("place", "sign")))
+        dealt = table(own.select("hub", "id", "n", F.posexplode(F.slice(first, F.lit(1), lead)).alias("place", "sign")))
         for last in (False, True):
             open_ = mixed(dealt, ["hub", "sign"])
             if last:
@@ -481,9 +487,9 @@ def jaccard_components(
                 met = open_.join(leads, ["hub", "sign"]).filter("id != h.id and component != h.component")
                 met = met.filter(_may_link(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"), num, den))
                 found = met.select(*pairs("id", "h.id")).distinct()
-            linked = stored(linked.unionByName(links(found)))
-            labels = connected_components(linked)
+            link(found)
     labels = labels.withColumnsRenamed({"id": "rep"})
+    work.drop()
     return members.join(labels, "rep", "left").select(
         "doc_id",
         "n_shingles",

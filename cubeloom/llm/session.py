@@ -37,6 +37,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Workspace:
+    """A folder for tables that one operator writes and reads again, and can delete when its result no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name like ``wanted`` with which no column of ``df`` begins."""
     while any(c.lower().startswith(wanted.lower()) for c in df.columns):
