@@ -28,6 +28,8 @@ def corpus():
             base[rng.randrange(len(base))] = "changed"
         rows.append([k, " ".join(base), "en", "big", 0])
     rows += [[150, None, None, None, None], [151, "", "en", None, 0]]
+    rows += [list(rows[k]) for k in (3, 3, 4, 131)]  # repeated rows
+    rows += [[None, rows[5][1], "en", "big", 0], [None, rows[5][1], "en", None, 0], [None, "too short", None, None, None]]  # rows without an id
     labels = [(k, int(k % 10 != 0), 0) for k in range(100)]
     return [tuple(r) for r in rows], labels
 
@@ -54,13 +56,16 @@ def test_stages(spark, tmp_path):
 
     before, after = seen[1]
     largest = {}
-    for r in before.collect():
+    for r in before.filter("doc_id is not null").collect():
         largest[r.text] = max(r.doc_id, largest.get(r.text, -1))
-    assert set(ids(after)) == set(largest.values()) and after.count() < before.count()
+    named = lambda df: {k for k in ids(df) if k is not None}
+    assert named(after) == set(largest.values()) and after.count() < before.count()
+    assert ids(after)[None] == ids(before)[None] == 2 and all(ids(after)[k] == ids(before)[k] for k in named(after))
 
     before, after = seen[2]
-    want = brute([(r.doc_id, r.text) for r in before.collect()])
-    assert set(ids(after)) == {c for _, c in want.values()} and after.count() < before.count()
+    want = brute([(r.doc_id, r.text) for r in before.filter("doc_id is not null").collect()])
+    assert named(after) == {c for _, c in want.values()} and after.count() < before.count()
+    assert ids(after)[None] == 2
 
     before, after = seen[3]
     assert set(ids(after)) == set(ids(before)) and max(ids(after).values()) <= 4
