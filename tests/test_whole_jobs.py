@@ -3,15 +3,9 @@
 from collections import defaultdict
 from datetime import date, timedelta
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cubeloom.functions import calendar as cal
-from cubeloom.llm.line_labels import FEATURES, fit_line_labels
-from cubeloom.llm.quality import fit_quality, tokens
-from cubeloom.llm.warc_audit import archive_index, leaves, merkle_audit, record_digests, response_records
-from cubeloom.llm.words import slices
 from cubeloom.plans.queries import QUERIES
 
 
@@ -36,40 +30,3 @@ def test_weeks_of_late_years(spark):
     name = spark.createDataFrame([("VHP.G04.C07.NC.P10000035.VH.nc",)], "a string")
     first = name.select(F.year(cal.time_of_file(F.col("a"), "week")).alias("y"), F.month(cal.time_of_file(F.col("a"), "week")).alias("m")).first()
     assert (first.y, first.m) == (10000, 8)
-
-
-def test_word_vectors_come_from_all_texts(spark):
-    labelled = [(k, f"plain words number {k} here") for k in range(20)]
-    alike = [(1000 + k, f"the red {w} sat on a mat") for k, w in enumerate(["zonka", "zonkb"] * 30)]  # no labels
-    labels = spark.createDataFrame([(k, k % 2) for k, _ in labelled], "doc_id long, quality int")
-    docs = spark.createDataFrame(labelled + alike, "doc_id long, text string")
-    vectors = fit_quality(docs.repartition(5), labels)[0]
-    one, two, other = (vectors[tokens(next(slices(pa.array([w]))))[1][0]] for w in ("zonka", "zonkb", "nowhere"))
-    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
-    assert cosine(one, two) > 0.4 > cosine(one, other)
-    assert np.array_equal(vectors, fit_quality(docs.coalesce(1), labels)[0])
-
-
-def test_late_lines_train(spark):
-    rng = np.random.default_rng(1)
-    lines = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) + f" {rng.integers(1e6)} some more words." for _ in range(n)]
-    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
-    plain = [lines(250) for _ in range(8)]
-    marked = [t[:150] + (["|||###" + x[:6] + "###|||" for x in lines(100)] if k % 2 == 0 else t[150:]) for k, t in enumerate(plain)]
-    weights = []
-    for texts in (plain, marked):
-        df = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-        weights.append(fit_line_labels(df, labels)[0])
-    at = FEATURES.index("marks 1/4")
-    assert abs(weights[0][at]).max() < 0.1 < weights[1][at, 0] - weights[1][at, 1]
-
-
-def test_records_that_the_index_lacks(spark):
-    rows = [(k, f"http://a/{k}", f"<p>{k}</p>") for k in range(300)]
-    new = [(k, "http://b", "<p>new</p>") for k in (-5, 300, 1 << 41, (1 << 63) - 1)]
-    pages = lambda r: record_digests(response_records(spark.createDataFrame(r, "page_id long, url string, html string")))
-    index = archive_index(pages(rows))
-    found = merkle_audit(leaves(index, pages(rows)), leaves(index, pages(rows[1:] + new))).collect()
-    assert {(r.record_id, r.damage) for r in found} == {(0, "missing")} | {(k, "extra") for k, *_ in new}
-    assert all((r.archive == -1) == (r.damage == "extra") for r in found)
-    assert merkle_audit(leaves(index, pages(rows + new)), leaves(index, pages(new + rows))).count() == 0
