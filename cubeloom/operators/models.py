@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -44,6 +49,72 @@ def linear(train: DataFrame, kind: str = "ols", label: str = "y", weight: str |
     return LinearRegression(labelCol=label, featuresCol="features", maxIter=100, **options).fit(train)
 
 
+@dataclass
+class GradientModel:
+    """Weights of standardised columns, and after how many rounds they were best on the validation rows."""
+
+    columns: list[str]
+    mean: np.ndarray
+    std: np.ndarray
+    weights: np.ndarray
+    intercept: float
+    rounds: int
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        parts = [(F.col(c) - float(m)) / float(s) * float(w) for c, m, s, w in zip(self.columns, self.mean, self.std, self.weights, strict=True)]
+        return df.withColumn(out, reduce(lambda a, b: a + b, parts, F.lit(float(self.intercept))))
+
+
+def linear_by_gradient(train: DataFrame, columns: list[str], label: str = "y", validation: str = "validation", rate: float = 0.1, rounds: int = 500, patience: int = 10) -> GradientModel:
+    """Linear regression by gradient descent, stopped early.
+
+    Squared loss and its gradient only need sums of products of columns, so one aggregate over the rows, by whether they are
+    for validation, is all that Spark is asked for. Descent ends after ``patience`` rounds without a smaller loss on the
+    validation rows (on the training rows, if there are none), and the weights of the best round stay.
+    """
+    names = [*columns, label]
+    rows = train.dropna(subset=names).select(F.coalesce(F.col(validation), F.lit(False)).alias("_v"), *[F.col(c).cast("double").alias(c) for c in names])
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(names)]
+    sums += [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    found = {r["_v"]: r for r in rows.groupBy("_v").agg(F.count("*").alias("n"), *sums).collect()}  # two rows
+    if False not in found:
+        raise ValueError("there are no rows to train on")
+
+    def moments(row) -> tuple[float, np.ndarray, np.ndarray]:
+        d = len(names)
+        products = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+        return row["n"], np.array([row[f"s{i}"] for i in range(d)]), products
+
+    n, total, products = moments(found[False])
+    mean = total / n
+    std = np.sqrt(np.maximum(np.diag(products) / n - mean**2, 0))
+    std[std < 1e-12] = 1.0
+    d = len(columns)
+
+    def scaled(part) -> tuple[np.ndarray, np.ndarray, float]:
+        """Means of products of standardised columns (and a constant) with each other and with the label, and of its square."""
+        m, t, q = part
+        centred = (q - np.outer(t, mean) - np.outer(mean, t) + m * np.outer(mean, mean)) / np.outer(std, std) / m
+        ones = (t - m * mean) / std / m
+        gram = np.ones((d + 1, d + 1))
+        gram[:d, :d], gram[d, :d], gram[:d, d] = centred[:d, :d], ones[:d], ones[:d]
+        return gram, np.append(centred[:d, d], ones[d]), centred[d, d]
+
+    gram, cross, _ = scaled((n, total, products))
+    check = scaled(moments(found[True])) if True in found else (gram, cross, scaled((n, total, products))[2])
+    step = rate / max(float(np.linalg.eigvalsh(gram)[-1]), 1.0)
+    w = best = np.zeros(d + 1)
+    least, at = np.inf, 0
+    for k in range(1, rounds + 1):
+        w = w - 2 * step * (gram @ w - cross)
+        loss = float(w @ check[0] @ w - 2 * w @ check[1] + check[2])
+        if loss < least - 1e-12:
+            least, best, at = loss, w, k
+        elif k - at >= patience:
+            break
+    return GradientModel(columns, mean[:d], std[:d], best[:d] * std[d], float(best[d] * std[d] + mean[d]), at)
+
+
 def boosted_trees(train: DataFrame, label: str = "y", validation: str | None = None, iterations: int = 20, depth: int = 4, seed: int = 1):
     """Gradient-boosted trees; rows marked in ``validation`` stop it early."""
     model = GBTRegressor(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed)
@@ -148,6 +219,33 @@ def match_labels(reference: DataFrame, labels: DataFrame, column: str, keys: lis
     return chosen
 
 
+def match_labels_by(reference: DataFrame, labels: DataFrame, column: str, keys: list[str], by: str) -> DataFrame:
+    """match_labels() inside each group of ``by``: ``by, label, stands_for``, where a label that finds none keeps its own number.
+
+    A group has a row for each pair of labels, so each is matched in one piece.
+    """
+    met = labels.withColumnRenamed(column, "_a").join(reference.withColumnRenamed(column, "_b"), keys)
+    counts = met.groupBy(by, "_a", "_b").agg(F.count("*").alias("n"))
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        chosen: dict[int, int] = {}
+        for a, b in rows.sort_values(["n", "_a", "_b"], ascending=[False, True, True])[["_a", "_b"]].itertuples(index=False):
+            if a not in chosen and b not in chosen.values():
+                chosen[a] = b
+        free = sorted(set(rows["_b"]) - set(chosen.values()))
+        for a in sorted(set(rows["_a"]) - set(chosen)):
+            chosen[a] = free.pop(0) if free else a
+        return pd.DataFrame({by: rows[by].iloc[0], "label": list(chosen), "stands_for": list(chosen.values())})
+
+    kind = dict(counts.dtypes)[by]
+    return counts.groupBy(by).applyInPandas(match, f"`{by}` {kind}, label long, stands_for long")
+
+
+def save_predictions(df: DataFrame, path: str, model: str) -> None:
+    """Predictions of one model in a folder of its own, beside those of others."""
+    df.write.mode("overwrite").parquet(f"{path}/model={model}")
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 

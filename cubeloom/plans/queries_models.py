@@ -155,6 +155,12 @@ def m03(spark, sf):
     return agg.concat([_scored(models.linear(train, kind), test, kind) for kind in ("ols", "elastic", "huber")])
 
 
+@query("m03_early_stopping")
+def m03_gradient(spark, sf):
+    train, test = prepared(spark, sf)
+    return _scored(models.linear_by_gradient(train, LAGS), test, "gradient")
+
+
 @query("m05_trees")
 def m05(spark, sf):
     train, test = prepared(spark, sf)
@@ -202,6 +208,25 @@ def m10(spark, sf):
     return named.join(vectors.select("vec_id", "label"), "vec_id").select("vec_id", "as_label", "label")
 
 
+@query("m10_matched_by_region", """
+    WITH pairs AS (SELECT CAST(vec_id % 3 AS INTEGER) AS region, CAST(label % 4 AS BIGINT) AS a, CAST((label + CAST(vec_id % 7 = 0 AS INTEGER)) % 4 AS BIGINT) AS b FROM embeddings),
+    n AS (SELECT region, a, b, count(*) AS n FROM pairs GROUP BY 1, 2, 3)
+    SELECT region, a AS label, b AS stands_for FROM (SELECT *, row_number() OVER (PARTITION BY region, a ORDER BY n DESC, b) AS k FROM n) WHERE k = 1""")
+def m10_region(spark, sf):
+    """Labels that agree with the reference but for every seventh row."""
+    vectors = cubes.table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 3).cast("int").alias("region"), "label")
+    labels = vectors.select("vec_id", "region", (F.col("label") % 4).cast("long").alias("k"))
+    reference = vectors.select("vec_id", ((F.col("label") + (F.col("vec_id") % 7 == 0).cast("int")) % 4).cast("long").alias("k"))
+    return models.match_labels_by(reference, labels, "k", ["vec_id"], "region")
+
+
+@query("m12_written_predictions", cube_sql("SELECT 'persistence' AS model, pixel_id, time, preds FROM (SELECT pixel_id, time, lag(precip) OVER (PARTITION BY pixel_id ORDER BY time) AS preds FROM dense)"), "preds")
+def m12_written(spark, sf):
+    path = scratch_folder(spark)
+    models.save_predictions(models.persistence(dense(spark, sf), "precip", KEY).select("pixel_id", "time", "preds"), path, "persistence")
+    return spark.read.parquet(path).select("model", "pixel_id", "time", "preds")
+
+
 @query("m11_weights", cube_sql("SELECT pixel_id, target_month, CASE WHEN y <= 700 THEN 10.0 ELSE 1.0 END AS weight FROM full_ex", EX), "weight")
 def m11(spark, sf):
     return models.observation_weights(examples(spark, sf), below=700.0).select("pixel_id", "target_month", "weight")

@@ -243,3 +243,28 @@ def test_regridding_where_a_cell_is_absent(spark, method):
     assert abs(found[1, 1] - 10) < 1e-9
     if method == "bilinear":
         assert found[0, 0] is None
+
+
+def test_gradient_descent_with_early_stopping(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) * [1, 10, 0.1] + [5, 0, 2]
+    y = x @ [2.0, -0.3, 4.0] + 7 + rng.normal(size=400) * 0.05
+    rows = [(float(a), float(b), float(c), float(t), bool(k % 5 == 0)) for k, ((a, b, c), t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, validation boolean").repartition(3)
+    model = models.linear_by_gradient(df, ["a", "b", "c"], rate=0.5)
+    assert model.rounds > 5
+    assert np.allclose(model.weights / model.std, [2.0, -0.3, 4.0], atol=0.1)
+    found = model.transform(df).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)).alias("rmse")).first().rmse
+    assert found < 0.08
+    # where the validation rows say otherwise, descent stops at once
+    turned = df.withColumn("y", F.when(F.col("validation"), -5 * F.col("y")).otherwise(F.col("y")))
+    assert models.linear_by_gradient(turned, ["a", "b", "c"], rate=0.5, patience=3).rounds < model.rounds
+    constant = df.withColumn("a", F.lit(1.0)).withColumn("validation", F.lit(None).cast("boolean"))
+    assert np.isfinite(models.linear_by_gradient(constant, ["a", "b"]).weights).all()
+
+
+def test_labels_matched_by_region(spark):
+    rows = [(k, k % 2, (k // 2 + k % 2) % 3, (k // 2) % 3) for k in range(120)]
+    df = spark.createDataFrame(rows, "id int, region int, k long, r long")
+    found = models.match_labels_by(df.select("id", F.col("r").alias("k")), df.select("id", "region", "k"), "k", ["id"], "region")
+    assert {(r.region, r.label): r.stands_for for r in found.collect()} == {(g, a): (a - g) % 3 for g in range(2) for a in range(3)}
