@@ -44,3 +44,65 @@ def test_records_that_the_index_lacks(spark):
     assert {(r.record_id, r.damage) for r in found} == {(0, "missing")} | {(k, "extra") for k, *_ in new}
     assert all((r.archive == -1) == (r.damage == "extra") for r in found)
     assert merkle_audit(leaves(index, pages(rows + new)), leaves(index, pages(new + rows))).count() == 0
+
+
+def features_by_hand(text, common):
+    """The features of each line of a text, one at a time."""
+    import re
+    from collections import Counter
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    lines = text.split("\n") if text else []
+    owner = [k for k, line in enumerate(lines) for _ in word.findall(line)]
+    words = word.findall(text)
+    grams = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    again = {j for k in range(len(words) - 4) if grams[tuple(words[k : k + 5])] > 1 for j in range(k, k + 5)}
+    out = []
+    for k, line in enumerate(lines):
+        own = word.findall(line)
+        raw = line.encode()
+        chars = max(sum(map(len, own)), 1)
+        letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b > 127
+        letters, upper = max(sum(map(letter, raw)), 1), sum(65 <= b <= 90 for b in raw)
+        digits, symbols = sum(48 <= b <= 57 for b in raw), sum(b in b"#*$%&|<>" for b in raw)
+        marks = sum(not letter(b) and not 48 <= b <= 57 and b not in b" \t\n\v\f\r" for b in raw)
+        recur, n = sum(j in again for j, o in enumerate(owner) if o == k), len(own)
+        out.append([
+            1, n == 0, 0 < n < 3, 2 < n < 10, n > 9, 50 * symbols > chars, 10 * symbols > chars, 2 * upper > letters, 5 * digits > chars,
+            8 * marks > chars, 4 * marks > chars, n > 0 and line in lines[:k], 4 * recur > max(n, 1), 4 * recur > 3 * max(n, 1),
+            n > 0 and own[-1][-1] in ".!?:;\"'", k == 0, k == len(lines) - 1, n > 0 and line in common,
+        ])
+    return np.array(out, bool).reshape(-1, len(FEATURES))
+
+
+def test_features_and_verdicts_by_hand():
+    import random
+    from itertools import product
+
+    from cubeloom.llm.line_labels import Field, Lines, verdict
+
+    rng = random.Random(12)
+    common = ["a b c", "Tail é."]
+    hashes = np.sort(np.concatenate([Lines(s).line for s in slices(pa.array(common))]))
+    texts = [None, "", "\n", "a b c", "x\n\na b c\na b c\nTail é."]
+    for _ in range(150):
+        line = lambda: " ".join(rng.choice(["a", "b", "c", "B", "9", "é.", "%%", "d|", "##x", "", "long-word"]) for _ in range(rng.randrange(0, 9)))
+        texts.append("\n".join(rng.choice([line(), line(), rng.choice(common)]) for _ in range(rng.randrange(1, 6))))
+    gen = np.random.default_rng(1)
+    field = Field(gen.normal(size=(len(FEATURES), 2)), gen.normal(size=(2, 2)), hashes)
+    at = 0
+    for s in slices(pa.array(texts), most=400):
+        part = Lines(s, hashes)
+        kept, failed, share = verdict(part, field, 0.5)
+        for k in range(s.n):
+            text = texts[at + k] or ""
+            want = features_by_hand(text, common)
+            assert np.array_equal(part.features[part.owner == k], want), text
+            scores = want @ field.weights
+            value = lambda y, scores=scores: sum(scores[i, v] for i, v in enumerate(y)) + sum(field.transition[a, b] for a, b in zip(y, y[1:], strict=False))
+            best = max(product((1, 0), repeat=len(want)), key=value)
+            sizes = [sum(len(w) for w in line.split()) for line in text.split("\n")] if text else []
+            content = sum(n for n, y in zip(sizes, best, strict=True) if y) / max(sum(sizes), 1)
+            assert abs(share[k] - content) < 1e-9 and kept[k] == (not failed[k] and content >= 0.5)
+        at += s.n
+    assert at == len(texts)
