@@ -547,6 +547,20 @@ def s01(spark, sf):
     return ingest.monthly_means(spark, f"{folder}/sums")
 
 
+_COMPLETE = f"""{EX}, complete AS (SELECT a.* FROM parts a LEFT JOIN parts b ON b.pixel_id = a.pixel_id AND b.split = a.split AND year(b.target_month) = year(a.target_month) - 1 AND month(b.target_month) = month(a.target_month)
+        WHERE a.split IS NOT NULL AND a.y IS NOT NULL AND (b.pixel_id IS NULL OR b.y IS NOT NULL) AND {' AND '.join(f'a.{c} IS NOT NULL' for c in LAGS)}),
+    means AS (SELECT pixel_id, month(target_month) AS m, avg(y) AS preds FROM complete WHERE split = 'train' GROUP BY 1, 2),
+    preds AS (SELECT t.target_month AS time, y, preds, 'climatology' AS model FROM complete t LEFT JOIN means ON means.pixel_id = t.pixel_id AND m = month(t.target_month) WHERE split = 'test'
+        UNION ALL SELECT target_month, y, precip_t1, 'persistence' FROM complete WHERE split = 'test'),
+    pairs AS (SELECT * FROM preds WHERE y IS NOT NULL AND preds IS NOT NULL)"""
+
+
+@query("a16_baselines", cube_sql(f"SELECT model, CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month, 'rmse' AS metric, {RMSE} AS value FROM pairs GROUP BY 1, 2, 3 UNION ALL SELECT model, CAST(year(time) AS INTEGER), CAST(month(time) AS INTEGER), 'r2', {R2} FROM pairs GROUP BY 1, 2, 3", _COMPLETE), "value")
+def a16_baselines(spark, sf):
+    """The whole job's scores of the two models that SQL can express."""
+    return run_pipeline(spark, cubes.cube_ship(spark, sf), scratch_folder(spark)).filter("model in ('climatology', 'persistence')")
+
+
 @query("a16_pipeline")
 def a16(spark, sf):
     return run_pipeline(spark, cubes.cube_ship(spark, sf), scratch_folder(spark))
