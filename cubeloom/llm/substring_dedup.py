@@ -212,7 +212,7 @@ def repeated_parts(units: DataFrame, length: int, shard_bytes: int, crowd_bytes:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 21, crowd_bytes: int = 1 << 23, memory: int = 1 << 18,
+    docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 22, crowd_bytes: int = 1 << 22, memory: int = 1 << 19,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text``: one row for each row of ``docs``.

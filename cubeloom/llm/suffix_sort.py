@@ -1,7 +1,7 @@
 """Suffix sorting of one shard by external induced sorting, with common prefixes.
 
-Suffixes that begin a rising run after a falling one (seeds) are sorted first, by naming the strings between
-seeds and sorting the string of names the same way, recursively, until it fits in memory. From the seeds, a
+Suffixes that begin a rising run after a falling one (seeds) are sorted first, by ranking the strings from seed to
+seed and sorting the string of their ranks the same way, recursively, until it fits in memory. From the seeds, a
 pass in rising order induces the falling suffixes and a pass in falling order the rising ones. Each pass takes tuples of
 key, place and common prefix from a priority queue whose buckets go to disk when too many tuples are held, and works on
 batches: as many tuples as can go before the first of the tuples that they induce.
@@ -13,13 +13,10 @@ was taken before; the least of those is kept for each symbol from batch to batch
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 
 import numpy as np
 
-from .words import mix
-
 _LAST = np.int64(1) << 46
 _FEW = 32
 
@@ -248,6 +245,38 @@ def _agree(text: np.ndarray, a: np.ndarray, b: np.ndarray, done: np.ndarray, cap
     return done
 
 
+def _names(text: np.ndarray, rising: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The rank of the string from each seed to the next, both included; of equal symbols, one that falls comes first.
+
+    With that rule no string is the beginning of another. Some symbols at a time are packed in one number, and only strings
+    that are still tied and go on are looked at again.
+    """
+    width = int(text.max()).bit_length() + 1
+    each = max(1, 63 // width)
+    ends = np.append(seeds[1:] + 1, len(text))
+    rank = np.zeros(len(seeds), np.int64)
+    rows, done = np.arange(len(seeds)), 0
+    while len(rows):
+        packed = np.zeros(len(rows), np.int64)
+        for k in range(each):
+            at = seeds[rows] + done + k
+            inside = at < ends[rows]
+            at = np.minimum(at, len(text) - 1)
+            packed = packed << width | np.where(inside, 2 * text[at].astype(np.int64) + rising[at], 0)
+        done += each
+        order = np.lexsort((packed, rank[rows])) if done > each else np.argsort(packed)
+        r, p = rank[rows][order], packed[order]
+        new = np.append(True, (r[1:] != r[:-1]) | (p[1:] != p[:-1]))
+        at = np.flatnonzero(new)
+        tied = np.repeat(np.diff(np.append(at, len(r))) > 1, np.diff(np.append(at, len(r))))
+        # ranks are places in the order of all: the first place of the old rank, and how many come before inside it
+        first = np.maximum.accumulate(np.where(np.append(True, r[1:] != r[:-1]), np.arange(len(r)), 0))
+        rank[rows[order]] = r + np.maximum.accumulate(np.where(new, np.arange(len(r)), 0)) - first
+        again = rows[order][tied]
+        rows = np.sort(again[seeds[again] + done < ends[again]])
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def suffix_order(text: np.ndarray, memory: int = 1 << 21, cap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Start places of all suffixes of ``text`` in sorted order, and of each the common prefix with the one before it, up to
     ``cap``; the last number of the text must be the only least one."""
@@ -266,56 +295,29 @@ def suffix_order(text: np.ndarray, memory: int = 1 << 21, cap: int = 0) -> tuple
     seeds = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     top = int(text.max())
 
-    def merged(falling: np.ndarray, risen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        both = np.concatenate([[n - 1], falling, risen])
-        order = np.argsort(2 * text[both].astype(np.int64) + rising[both], kind="stable")
-        return both, order
-
-    falling, _ = _induce(text, rising, seeds[np.argsort(text[seeds], kind="stable")], top, True, memory)
-    risen, _ = _induce(text, rising, falling[::-1], top, False, memory)
-    both, order = merged(falling, risen[::-1])
-    rough = both[order]
-    is_seed = np.zeros(n, bool)
-    is_seed[seeds] = True
-    sorted_seeds = rough[is_seed[rough]]
-    # names: equal from seed to next seed, by a hash of the numbers between, each mixed before the next
-    ends = np.append(seeds[1:] + 1, n)
-    between = (ends - seeds).astype(np.uint64)
-    rows = np.arange(len(seeds))
-    for step in range(int((ends - seeds).max())):
-        rows = rows[seeds[rows] + step < ends[rows]]
-        if 8 * len(rows) < step:  # few that are very long
-            break
-        between[rows] = mix(between[rows] ^ text[seeds[rows] + step].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
-    else:
-        rows = rows[:0]
-    for k in rows:
-        between[k] = np.frombuffer(hashlib.blake2b(text[seeds[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
-    number = np.zeros(n, np.int64)
-    number[seeds] = np.arange(len(seeds))
-    between = between[number[sorted_seeds]]
-    name = np.cumsum(np.append(0, between[1:] != between[:-1]))
+    name = _names(text, rising, seeds)
     known = np.zeros(len(seeds), np.int64)  # names that a seed has in common with the one before it in the order
-    if name[-1] + 1 < len(seeds):
-        names = np.zeros(len(seeds), np.int64)
-        names[number[sorted_seeds]] = name
-        if len(names) > memory:
-            order, known = suffix_order(names, memory, cap)
+    if int(name.max()) + 1 < len(seeds):
+        if len(name) > memory:
+            order, known = suffix_order(name, memory, cap)
         else:
-            order = _double(names)
-            known[1:] = _agree(names, order[:-1], order[1:], known[1:], cap)
-        sorted_seeds = seeds[order]
+            order = _double(name)
+            known[1:] = _agree(name, order[:-1], order[1:], known[1:], cap)
+    else:
+        order = np.argsort(name)
+    sorted_seeds = seeds[order]
     if not cap:
         known = None
     else:  # in symbols: whole strings between seeds, and what the next ones have in common
-        a, b = number[sorted_seeds[:-1]], number[sorted_seeds[1:]]
+        a, b = order[:-1], order[1:]
         whole = seeds[np.minimum(a + known[1:], len(seeds) - 1)] - seeds[a]
         known[1:] = _agree(text, seeds[a], seeds[b], whole, cap)
     falling, of_falling = _induce(text, rising, sorted_seeds, top, True, memory, known, run, cap)
     back = np.append(0, of_falling[:0:-1]) if cap else None
     risen, of_risen = _induce(text, rising, falling[::-1], top, False, memory, back, run, cap)
     risen = risen[::-1]
-    both, order = merged(falling, risen)
+    both = np.concatenate([[n - 1], falling, risen])
+    order = np.argsort(2 * text[both].astype(np.int64) + rising[both], kind="stable")
     shared = np.zeros(n, np.int64)
     if cap:
         shared = np.concatenate([[0], of_falling, [0] * min(len(risen), 1), of_risen[:0:-1]])[order]
