@@ -6,14 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_repair import damage, repair_conversations
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
 from .licences import BETWEEN, COPYRIGHT, KNOWN, SPELLINGS, VERSION, license_scan
 from .line_labels import fit_line_labels, quality_rules
+from .merkle_manifest import manifest_audit
 from .mixing import mix_copies
 from .packing import pack_best_fit
 from .quality import fit_quality, quality_scores
 from .session import cut
+from .simhash import simhash_components
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .warc_audit import archive_index, damaged_copy, leaves, merkle_audit, record_digests, response_records
@@ -68,10 +71,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_audit(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_license_scan, op3_warc_audit, op4_exact_dedup, op5_mix_sources, op6_suffix_dedup, op7_quality_rules, op8_token_counts, op9_jaccard_join, op10_best_fit_packing,
+        op11_simhash_bk_trees, op12_merkle_manifest, op13_conversation_repair,
     )
 }
 
@@ -149,7 +165,58 @@ def _mixing_sql(sections: int = 512, steps: int = 5) -> str:
         FROM runs"""
 
 
+#: A node is hashed with its run until its source, then the whole table, has one left; paths and folds go level by level.
+_MANIFEST_SQL = r"""
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+            FROM documents),
+        leaves AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, head, text FROM fields),
+        placed AS (SELECT *, coalesce('1' || source, '0') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+        low(level, grp, idx, h, n) AS (
+            SELECT 0, grp, idx, leaf, count(*) OVER (PARTITION BY grp) FROM placed
+            UNION ALL
+            SELECT level + 1, grp, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 2) // 3) FROM low WHERE n > 1 GROUP BY level, grp, idx // 3),
+        subroots AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+        high(level, idx, h, n) AS (
+            SELECT 0, idx, subroot, n FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 2) // 3) FROM high WHERE n > 1 GROUP BY level, idx // 3),
+        tree AS (
+            SELECT level, grp, idx, h FROM low WHERE n > 1
+            UNION ALL SELECT 1000 + level, '', idx, h FROM high WHERE n > 1),
+        runs AS (SELECT level, grp, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM tree GROUP BY ALL),
+        spots AS (
+            SELECT p.*, s.subroot, s.idx AS top FROM placed p JOIN subroots s USING (grp)),
+        steps AS (
+            SELECT s.grp, s.idx AS leaf_idx, r.level, hs, CAST(s.idx // CAST(pow(3, r.level) AS BIGINT) % 3 AS BIGINT) AS slot
+            FROM spots s JOIN runs r ON r.grp = s.grp AND r.run = s.idx // CAST(pow(3, r.level + 1) AS BIGINT)
+            UNION ALL
+            SELECT s.grp, s.idx, r.level, hs, CAST(s.top // CAST(pow(3, r.level - 1000) AS BIGINT) % 3 AS BIGINT)
+            FROM spots s JOIN runs r ON r.grp = '' AND r.run = s.top // CAST(pow(3, r.level - 999) AS BIGINT)),
+        numbered AS (
+            SELECT *, array_to_string(hs[1:slot], '') AS before, array_to_string(hs[slot + 2:], '') AS after,
+                   row_number() OVER (PARTITION BY grp, leaf_idx ORDER BY level) AS step FROM steps),
+        proofs AS (SELECT grp, leaf_idx AS idx, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM numbered GROUP BY ALL),
+        crc(doc_id, k, c) AS (
+            SELECT DISTINCT doc_id, 0, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+            UNION ALL
+            SELECT doc_id, k + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END FROM (
+                SELECT doc_id, k, CASE WHEN k % 8 = 0 THEN xor(c, ord(substr(doc_id::VARCHAR, k // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM crc WHERE k < 8 * strlen(doc_id::VARCHAR)) y),
+        even AS (SELECT doc_id, xor(c, 4294967295::BIGINT) % 2 = 0 AS tampered FROM crc WHERE k = 8 * strlen(doc_id::VARCHAR)),
+        met AS (
+            SELECT s.*, CASE WHEN tampered THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) ELSE leaf END AS altered
+            FROM spots s LEFT JOIN even USING (doc_id)),
+        folds(grp, idx, step, h) AS (
+            SELECT grp, idx, 1, altered FROM met
+            UNION ALL
+            SELECT f.grp, f.idx, f.step + 1, sha256(before || h || after) FROM folds f JOIN numbered n ON n.grp = f.grp AND n.leaf_idx = f.idx AND n.step = f.step),
+        ends AS (SELECT grp, idx, arg_max(h, step) AS folded_root FROM folds GROUP BY ALL)
+        SELECT m.doc_id, m.leaf, m.subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM met m LEFT JOIN proofs USING (grp, idx) JOIN ends USING (grp, idx), (SELECT h AS root FROM high WHERE n = 1) r"""
+
 ORACLES = {
+    "op12_merkle_manifest": _MANIFEST_SQL,
     "op2_license_scan": _licences_sql(),
     "op5_mix_sources": _mixing_sql(),
     "op3_warc_audit": """
