@@ -359,12 +359,14 @@ def _may_link(n_a, place_a, n_b, place_b, num: int, den: int):
 
 
 def _segments(fragments: int, order):
-    """Segments of texts: the keys that each fragment of the order has."""
+    """Segments of those of the texts that hold the set of the given key: the keys that each fragment of the order has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column(1), lower=True):
-                rare_t, rare, common_t, common = order.value.split(*shingles(s))
+                texts, found = shingles(s)
+                asked = set_keys(texts, found, s.n)[1].view(np.int64) == batch.column(2).slice(s.lo, s.n).to_numpy()
+                rare_t, rare, common_t, common = order.value.split(texts[asked[texts]], found[asked[texts]])
                 text, keys = np.concatenate([rare_t, common_t]), np.concatenate([rare, common])
                 part = np.minimum(keys * np.uint64(fragments - 1) >> np.uint64(_BITS), np.uint64(fragments - 1)).astype(np.int64)
                 place = text * fragments + part
@@ -386,8 +388,8 @@ def jaccard_components(
     A-Z are lower-cased; words lie between ASCII white space; a set holds the distinct 5-word shingles, with fewer
     words the whole sequence. ``component_id`` is the smallest id reachable by links. Null and wordless texts
     have the empty set, which links with nothing. Rows without an id get a null component where no row with an id
-    has the same set. Ids name documents: rows that repeat an id are expected to repeat its text. Other columns are not
-    read; an empty table gives no rows. A text is read whole, so the longest must fit in a worker's memory, some twenty bytes
+    has the same set. Ids name documents: rows that repeat an id are one document, all of whose texts lie in one component (a text without words
+    aside, which stays by itself). Other columns are not read; an empty table gives no rows. A text is read whole, so the longest must fit in a worker's memory, some twenty bytes
     for each of its own. Shingles are told apart by hashes of 51 bits, equal sets by 128.
     """
     num, den = threshold
@@ -397,12 +399,15 @@ def jaccard_components(
     both = table(rows.mapInArrow(_sets, _SETS))
     sets = both.filter("not counted").drop("counted")
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(both.filter("counted")))
-    # equal sets: one of them, that with the smallest id, stands for all
-    equal = table(sets.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
-    members = stored(sets.drop("sketch").join(equal, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", "rep"))
-    stands = equal.filter("rep is not null").withColumnsRenamed({"rep": "doc_id"})
-    known = stands.join(sets, ["doc_id", "n_shingles", "k1", "k2"]).selectExpr("doc_id id", "n_shingles n", "k1 key", "sketch")
-    known = table(known.dropDuplicates(["id"]))
+    # equal sets are one, with a number of its own
+    equal = table(sets.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("low")).withColumn("rep", F.monotonically_increasing_id()))
+    members = stored(sets.drop("sketch").join(equal, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", "rep", "low"))
+    stands = equal.filter("low is not null").withColumnRenamed("low", "doc_id")
+    known = stands.join(sets, ["doc_id", "n_shingles", "k1", "k2"]).selectExpr("rep id", "n_shingles n", "k1 key", "sketch", "doc_id low")
+    known = table(known.dropDuplicates(["id"]))  # rows that repeat id and set
+    # an id with several texts is one document: its sets are linked, whatever they hold
+    several = members.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last")
+    several = table(several.join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct())
     total = members.agg(F.sum("n_shingles").alias("all"), F.max("n_shingles").alias("most")).first()
     levels = Levels(num, den, total["most"] or 0)
     buckets = max(16, -(-(total["all"] or 0) // 1_000_000))
@@ -410,7 +415,8 @@ def jaccard_components(
     blocks = rows.select("text").mapInArrow(_groups(levels, buckets, order), _PACKED)
     shared = table(blocks.groupBy("bucket").applyInArrow(_shared(num, den), _MEMBERS))
 
-    linked = labels = None
+    linked = None if several.isEmpty() else several
+    labels = None if linked is None else connected_components(linked)
 
     def link(candidates: DataFrame) -> None:
         """Adds those pairs of ids ``a, b`` that are similar enough to the links, and finds the components anew."""
@@ -418,7 +424,7 @@ def jaccard_components(
         one, two = (known.selectExpr(f"id {x}", f"n n_{x}", f"sketch sketch_{x}") for x in "ab")
         sketched = candidates.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         likely = table(sketched.mapInArrow(_not_ruled_out(num, den), "a long, b long, n_a long, n_b long"))
-        if linked is not None and likely.isEmpty():
+        if labels is not None and likely.isEmpty():
             return
         held = segments(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), fragments)
         meet = likely.select("a", "b").join(held.selectExpr("id a", "fragment", "keys keys_a"), "a")
@@ -431,9 +437,9 @@ def jaccard_components(
             linked, labels = found, connected_components(found)
 
     def segments(ids: DataFrame, parts: int) -> DataFrame:
-        ids = table(ids)
+        ids = table(ids.join(known.selectExpr("id", "low doc_id", "key"), "id"))
         few = F.broadcast(ids) if ids.count() <= _FEW_IDS else ids
-        texts = rows.join(few.withColumnsRenamed({"id": "doc_id"}), "doc_id").select("doc_id", "text")
+        texts = rows.join(few, "doc_id").select("id", "text", "key")
         return table(texts.mapInArrow(_segments(parts, order), "id long, fragment int, keys array<long>").groupBy("id", "fragment").agg(F.first("keys").alias("keys")))
 
     def pairs(a: str, b: str) -> list[Column]:
@@ -488,12 +494,14 @@ def jaccard_components(
                 met = met.filter(_may_link(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"), num, den))
                 found = met.select(*pairs("id", "h.id")).distinct()
             link(found)
-    labels = labels.withColumnsRenamed({"id": "rep"})
+    lows = labels.join(known.select("id", "low"), "id")
+    lowest = lows.groupBy("component").agg(F.min("low").alias("lowest"))
+    labels = stored(lows.join(lowest, "component").selectExpr("id rep", "lowest component"))
     work.drop()
     return members.join(labels, "rep", "left").select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "low")).alias("component_id"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .session import cut
+from .session import Workspace
 from .words import SPACE, Slice, mix, slices, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -38,6 +38,37 @@ FEATURES = (
 )
 
 
+class Frame:
+    """Where the lines of a slice lie, their hashes, and which of them stood in their text before."""
+
+    def __init__(self, s: Slice, starts: np.ndarray, ends: np.ndarray):
+        self.lo, self.hi, self.owner = s.lines()
+        self.first_word, self.last_word = np.searchsorted(starts, self.lo), np.searchsorted(starts, self.hi)
+        self.words = self.last_word - self.first_word
+        self.has_word = self.words > 0
+        self.line = s.hashes(self.lo, self.hi)
+        key = mix(self.line + self.owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.earlier = np.zeros(len(self.lo), bool)
+        rows = np.flatnonzero(self.has_word)
+        order = rows[np.argsort(key[rows], kind="stable")]
+        self.earlier[order[1:]] = key[order[1:]] == key[order[:-1]]
+        self.new, self.old = np.ones(len(self.lo), bool), np.ones(len(self.lo), bool)
+        self.new[1:] = self.owner[1:] != self.owner[:-1]
+        self.old[:-1] = self.new[1:]
+
+
+def lines_in_company(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of a slice that hold a word, once for each text: their hashes, and hashes of what the lines around them begin with."""
+    starts, ends, _ = s.words()
+    frame = Frame(s, starts, ends)
+    first = frame.first_word[frame.has_word]
+    opening = np.zeros(len(frame.lo) + 2, np.uint64)
+    opening[1:-1][frame.has_word] = s.hashes(starts[first], ends[first])
+    around = mix(np.where(frame.new, np.uint64(0), opening[:-2]) ^ np.uint64(0x9E3779B97F4A7C15)) + np.where(frame.old, np.uint64(0), opening[2:])
+    use = frame.has_word & ~frame.earlier
+    return frame.line[use], around[use]
+
+
 class Lines:
     """The lines of a slice: owner, features, word characters; and the counts of each text."""
 
@@ -59,17 +90,10 @@ class Lines:
             np.add.at(covered, np.minimum(again + 5, len(word)), -1)
         covered = np.cumsum(covered)[: len(word)] > 0
         self.n_repeat_words = np.bincount(owner[covered], minlength=n)
-        # lines
-        lo, hi, line_owner = s.lines()
-        first_word, last_word = np.searchsorted(starts, lo), np.searchsorted(starts, hi)
-        words = last_word - first_word
-        self.line = s.hashes(lo, hi)
-        key = mix(self.line + line_owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        self.has_word = has_word = words > 0
-        earlier = np.zeros(len(lo), bool)
-        rows = np.flatnonzero(has_word)
-        order = rows[np.argsort(key[rows], kind="stable")]
-        earlier[order[1:]] = key[order[1:]] == key[order[:-1]]
+        frame = Frame(s, starts, ends)
+        lo, hi, line_owner, words, has_word, earlier = frame.lo, frame.hi, frame.owner, frame.words, frame.has_word, frame.earlier
+        first_word, last_word, new, old = frame.first_word, frame.last_word, frame.new, frame.old
+        self.line, self.has_word = frame.line, has_word
         self.n_dup_lines = np.bincount(line_owner[earlier], minlength=n)
 
         def within(mask: np.ndarray) -> np.ndarray:
@@ -86,15 +110,7 @@ class Lines:
         recur = run[last_word] - run[first_word]
         tail = np.zeros(len(lo), np.uint8)
         tail[has_word] = s.data[ends[last_word[has_word] - 1] - 1]
-        new = np.ones(len(lo), bool)
-        new[1:] = line_owner[1:] != line_owner[:-1]
-        old = np.ones(len(lo), bool)
-        old[:-1] = new[1:]
         count = np.maximum(words, 1)
-        # what the lines around a line begin with
-        opening = np.zeros(len(lo) + 2, np.uint64)
-        opening[1:-1][has_word] = word[first_word[has_word]]
-        self.around = mix(np.where(new, np.uint64(0), opening[:-2]) ^ np.uint64(0x9E3779B97F4A7C15)) + np.where(old, np.uint64(0), opening[2:])
         many = np.zeros(len(lo), bool)
         if len(common):
             many = has_word & (common[np.minimum(np.searchsorted(common, self.line), len(common) - 1)] == self.line)
@@ -220,38 +236,40 @@ def fit_field(
 def common_lines(docs: DataFrame, share: int = 1 << 16, block: int = 1 << 20, text_col: str = "text") -> np.ndarray:
     """Hashes, sorted, of the lines that stand in many texts of ``docs``, in various company: at most ``share`` of them.
 
-    Of a block of lines, those are counted that make up 1/``share`` of it and stand there four times at least, in as many
-    texts; of all that was counted, those with that share are common. Copies of a text have their lines in common too, but the
-    lines around them begin alike: a line is only common where three quarters of its places differ in that.
+    A line counts once for each text that has it. It is common if it stands in four texts at least, makes up 1/``share`` of all that is counted, and
+    the lines around it begin differently in three quarters of its places at least (copies of a text have their lines in
+    common too, but in one company). All counts are exact and don't depend on how ``docs`` is partitioned: tasks add up equal lines in
+    equal company, ``block`` lines at a time, and drop none. Lines without a word don't count, so null and empty texts have none; repeated rows
+    count as texts of their own, in one company; a text of any length counts whole; an empty table has no common lines. Other columns aren't read.
     """
 
-    def counted(lines: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
+    def combined(lines: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((around, lines))
         lines, around = lines[order], around[order]
-        at = np.flatnonzero(np.append(True, lines[1:] != lines[:-1]))
-        fresh = np.append(True, (lines[1:] != lines[:-1]) | (around[1:] != around[:-1]))
-        n, kinds = np.diff(np.append(at, len(lines))), np.add.reduceat(fresh.astype(np.int64), at)
-        keep = (n > 3) & (n * share >= len(lines))
-        return pa.RecordBatch.from_pydict({"line": pa.array(lines[at][keep].view(np.int64)), "n": pa.array(n[keep]), "kinds": pa.array(kinds[keep])})
+        at = np.flatnonzero(np.append(True, (lines[1:] != lines[:-1]) | (around[1:] != around[:-1])))
+        n = np.diff(np.append(at, len(lines)))
+        return pa.RecordBatch.from_pydict({"line": pa.array(lines[at].view(np.int64)), "around": pa.array(around[at].view(np.int64)), "n": pa.array(n)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for s in slices(batch.column(0)):
-                part = Lines(s)
-                use = part.has_word & ~part.features[:, FEATURES.index("equals an earlier line")]  # once for each text
-                parts.append((part.line[use], part.around[use]))
-                held += int(use.sum())
+                parts.append(lines_in_company(s))
+                held += len(parts[-1][0])
                 if held > block:
-                    yield counted(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+                    yield combined(*(np.concatenate(c) for c in zip(*parts, strict=True)))
                     parts, held = [], 0
         if held:
-            yield counted(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-
-    found = docs.select(text_col).mapInArrow(count, "line long, n long, kinds long")
-    found = cut(found.groupBy("line").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")))
-    total = found.agg(F.sum("n")).first()[0] or 0
-    rows = found.filter((F.col("n") * share >= total) & (4 * F.col("kinds") >= 3 * F.col("n"))).select("line").toPandas()
+            yield combined(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+    work = Workspace(docs.sparkSession)
+    met = work.stored(docs.select(text_col).mapInArrow(count, "line long, around long, n long"))
+    total = met.agg(F.sum("n")).first()[0] or 0
+    many = work.stored(met.groupBy("line").agg(F.sum("n").alias("total")).filter((F.col("total") > 3) & (F.col("total") * share >= total)))
+    # no more than `share` lines have that share
+    kinds = met.join(F.broadcast(many), "line").groupBy("line", "around").agg(F.first("total").alias("total")).groupBy("line").agg(F.first("total").alias("total"), F.count("*").alias("kinds"))
+    rows = kinds.filter(4 * F.col("kinds") >= 3 * F.col("total")).select("line").toPandas()
+    work.drop()
     return np.sort(rows["line"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +155,49 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def summed_contexts(texts: DataFrame, places: np.ndarray, signs: np.ndarray, parts: int = 64, together: int = 64) -> np.ndarray:
+    """The sums of context_sums() over all texts of the only column, as one matrix.
+
+    A task sends its sums in ``parts`` blocks of words. They are added up in steps: of each block, those of ``together`` neighbouring tasks, of as many of these groups, and
+    so on, so that no task reads more than ``together`` blocks of 98 KB, however many tasks there are.
+    """
+    rows_each = BUCKETS // parts
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, PLACES))
+        for batch in batches:
+            for s in slices(batch.column(0)):
+                total += context_sums(s, places, signs)
+        lane = TaskContext.get().partitionId() // together
+        for part, block in enumerate(total.reshape(parts, rows_each, PLACES)):
+            used = np.flatnonzero(block.any(axis=1)).astype(np.int32)  # most tasks see few of the words
+            if len(used):
+                yield packed(part, lane, used, block[used])
+
+    def packed(part: int, lane: int, used: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+        values = {"part": pa.array([part], pa.int32()), "lane": pa.array([lane], pa.int32()), "words": pa.array([used.tobytes()], pa.binary()), "m": pa.array([block.astype(np.int64).tobytes()], pa.binary())}
+        return pa.RecordBatch.from_pydict(values)
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros((rows_each, PLACES), np.int64)  # sums of whole numbers: exact in any order
+        for words, m in zip(table.column("words"), table.column("m"), strict=True):
+            total[np.frombuffer(words.as_py(), np.int32)] += np.frombuffer(m.as_py(), np.int64).reshape(-1, PLACES)
+        used = np.flatnonzero(total.any(axis=1)).astype(np.int32)
+        part, lane = table.column("part")[0].as_py(), table.column("lane")[0].as_py()
+        return pa.Table.from_batches([packed(part, lane // together, used, total[used])])
+
+    kind = "part int, lane int, words binary, m binary"
+    found, tasks = texts.mapInArrow(sums, kind), max(1, texts.rdd.getNumPartitions())
+    while True:
+        found, tasks = found.groupBy("part", "lane").applyInArrow(added, kind), -(-tasks // together)
+        if tasks == 1:
+            break
+    vectors = np.zeros((BUCKETS, PLACES))
+    for row in found.collect():  # one matrix in all
+        vectors[row.part * rows_each + np.frombuffer(row.words, np.int32)] += np.frombuffer(row.m, np.int64).reshape(-1, PLACES)
+    return vectors
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed: int = 3) -> tuple[np.ndarray, Network]:
     """Word vectors from all texts of ``docs``, and a network fitted on at most ``sample`` labelled rows, spread by hash, none
     of them held out. The vectors need no labels; they do not depend on how ``docs`` is partitioned.
@@ -170,29 +214,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed:
     texts = texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))  # a row for each id
     places, signs = index_vectors(seed)
 
-    parts, rows_each = 64, BUCKETS // 64
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, PLACES))
-        for batch in batches:
-            for s in slices(batch.column(0)):
-                total += context_sums(s, places, signs)
-        for part, block in enumerate(total.reshape(parts, rows_each, PLACES)):
-            used = np.flatnonzero(block.any(axis=1)).astype(np.int32)  # most tasks see few of the words
-            if len(used):
-                values = {"part": pa.array([part], pa.int32()), "words": pa.array([used.tobytes()], pa.binary()), "m": pa.array([block[used].astype(np.int32).tobytes()], pa.binary())}
-                yield pa.RecordBatch.from_pydict(values)
-
-    def added(table: pa.Table) -> pa.Table:
-        total = np.zeros((rows_each, PLACES))  # sums of whole numbers: exact in any order
-        for words, m in zip(table.column("words"), table.column("m"), strict=True):
-            total[np.frombuffer(words.as_py(), np.int32)] += np.frombuffer(m.as_py(), np.int32).reshape(-1, PLACES)
-        return pa.table({"part": table.column("part").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
-
-    vectors = np.zeros((BUCKETS, PLACES))
-    found = docs.select("text").mapInArrow(sums, "part int, words binary, m binary").groupBy("part").applyInArrow(added, "part int, m binary")
-    for row in found.collect():  # one matrix in all
-        vectors[row.part * rows_each : (row.part + 1) * rows_each] = np.frombuffer(row.m).reshape(rows_each, PLACES)
+    vectors = summed_contexts(docs.select("text"), places, signs)
     # a word's own index vector stays in it, so that words without neighbours differ too
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     vectors -= vectors.mean(axis=0)  # what all words have in common tells nothing

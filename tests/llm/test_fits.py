@@ -1,5 +1,7 @@
 """What the fitted operators learn from, and records that an index lacks."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -106,3 +108,51 @@ def test_features_and_verdicts_by_hand():
             assert abs(share[k] - content) < 1e-9 and kept[k] == (not failed[k] and content >= 0.5)
         at += s.n
     assert at == len(texts)
+
+
+def test_common_lines_do_not_depend_on_partitions(spark):
+    """Exact counts of lines, of the company they stand in and of all lines, against plain Python, whatever the cut."""
+    from collections import Counter, defaultdict
+
+    from cubeloom.llm.line_labels import common_lines, fit_line_labels, quality_rules
+
+    rng = random.Random(11)
+    footers = [f"footer number {k} of the site" for k in range(12)]
+    rows = []
+    for k in range(600):
+        lines = [" ".join(rng.choice("abcdefgh") * rng.randrange(2, 7) for _ in range(8)) + "." for _ in range(rng.randrange(1, 6))]
+        for _ in range(rng.randrange(3)):
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(footers[: 1 + k % 12]))
+        rows.append((k, "\n".join(lines + ["", " "])))
+    rows += [(k, "copied text\nof two lines") for k in range(600, 640)] + [(640, None), (641, "")]
+    seen, company = Counter(), defaultdict(set)
+    for _, text in rows:
+        lines = (text or "").split("\n")
+        first = [(w.split() or [""])[0] for w in lines]
+        for k, line in enumerate(lines):
+            if line.split() and line not in lines[:k]:
+                seen[line] += 1
+                company[line].add((first[k - 1] if k else "", first[k + 1] if k + 1 < len(lines) else ""))
+    want = {x for x, n in seen.items() if n > 3 and 4 * len(company[x]) >= 3 * n}
+    for share in (1 << 16, 100):
+        least = {x for x in want if seen[x] * share >= sum(seen.values())}
+        assert len(least) > 0
+        found = [common_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), share).tolist() for n in (1, 8, 64, 211)]
+        assert all(f == found[0] for f in found) and len(found[0]) == len(least)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 600, 3)], "doc_id long, quality int, toxic int")
+    kept = []
+    for n in (1, 211):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        kept.append(sorted((r.doc_id, r.kept, round(r.content_share, 9)) for r in quality_rules(df, fit_line_labels(df, labels)).collect()))
+    assert kept[0] == kept[1]
+
+
+def test_context_sums_do_not_depend_on_tasks(spark):
+    from cubeloom.llm.quality import index_vectors, summed_contexts
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(" ".join(rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(30)),) for _ in range(90)], "text string")
+    one = summed_contexts(df.coalesce(1), *index_vectors(3))
+    assert one.any()
+    for tasks, together in ((30, 2), (20, 4), (9, 64)):
+        assert (summed_contexts(df.repartition(tasks), *index_vectors(3), together=together) == one).all()

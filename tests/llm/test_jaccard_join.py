@@ -139,3 +139,21 @@ def test_very_long_text(spark):
     long = " ".join(f"w{k}" for k in range(200_000))
     rows = [(1, long), (2, long + " more"), (3, "x" * 3_000_000)]
     assert {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_ids_with_several_texts(spark):
+    """Each text of an id counts: its document is linked with whatever one of them is linked with."""
+    import random
+
+    rng = random.Random(3)
+    base = [" ".join(f"t{k}w{rng.randrange(500)}" for _ in range(60)) for k in range(6)]
+    near = [b + " more" for b in base]
+    rows = [(1, base[0]), (1, base[1]), (2, near[0]), (3, near[1]), (4, base[2]), (5, base[3]), (5, base[3]), (6, near[3]), (7, base[4]), (8, near[4]), (8, base[5]), (9, near[5]), (9, None), (10, base[0])]
+    want = {1: {1}, 2: {1}, 3: {1}, 4: {4}, 5: {5}, 6: {5}, 7: {7}, 8: {7}, 9: {7, 9}, 10: {1}}
+    for parts in (1, 5):
+        seen = {}
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        for r in jaccard_components(df).collect():
+            seen.setdefault(r.doc_id, set()).add(r.component_id)
+        assert seen == want
+    assert jaccard_components(spark.createDataFrame([(1, base[0]), (1, base[1])], "doc_id long, text string")).select("component_id").distinct().count() == 1
