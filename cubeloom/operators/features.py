@@ -6,8 +6,10 @@ never copy the cube, as lags are columns of one pass.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +130,102 @@ def feature_subsets(groups: dict[str, list[str]], least: int = 1) -> list[tuple[
     return [("+".join(c), [x for g in c for x in groups[g]]) for c in found]
 
 
+def moments(df: DataFrame, columns: list[str], by: Column) -> dict:
+    """Counts, sums and sums of products of ``columns``, by the value of ``by``, from one aggregate.
+
+    A row for each value of ``by`` comes to the driver, of d * d numbers for d columns, whatever the number of rows. Rows
+    with a null in a column are left out.
+    """
+    rows = df.dropna(subset=columns).select(by.alias("_by"), *[F.col(c).cast("double").alias(c) for c in columns])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    products = F.array(*[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in pairs])
+    found = {}
+    for r in rows.groupBy("_by").agg(F.count("*").alias("n"), F.array(*map(F.sum, columns)).alias("s"), products.alias("p")).collect():
+        gram = np.zeros((len(columns), len(columns)))
+        for (i, j), v in zip(pairs, r["p"], strict=True):
+            gram[i, j] = gram[j, i] = v
+        found[r["_by"]] = r["n"], np.array(r["s"]), gram
+    return found
+
+
+def standard_gram(part: tuple, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Means of products of a constant and the columns less ``mean`` over ``std``, from their moments."""
+    n, total, gram = part
+    out = np.ones((len(mean) + 1, len(mean) + 1))
+    out[0, 1:] = out[1:, 0] = (total - n * mean) / std / n
+    out[1:, 1:] = (gram - np.outer(total, mean) - np.outer(mean, total) + n * np.outer(mean, mean)) / np.outer(std, std) / n
+    return out
+
+
+def swept(a: np.ndarray, k: int) -> np.ndarray:
+    """The matrix with column k swept in: least squares on the columns swept so far stand in the others."""
+    d, row = a[k, k], a[k]
+    out = a - np.outer(a[:, k], row) / d
+    out[k], out[:, k] = row / d, a[:, k] / d
+    out[k, k] = -1 / d
+    return out
+
+
+@dataclass
+class SubsetFit:
+    """A subset of groups of columns, its least-squares fit on the training rows and its scores on the test rows."""
+
+    name: str
+    columns: list[str]
+    coefficients: list[float]
+    intercept: float
+    rmse: float
+    r2: float | None
+    n: int
+
+
+def subset_fits(df: DataFrame, groups: dict[str, list[str]], label: str = "y", split: str = "split", least: int = 1) -> list[SubsetFit]:
+    """Linear fits of ``label`` on every combination of groups of columns, trained where ``split`` is train and scored where it is test.
+
+    One aggregate over the rows gives the products of all columns; everything else is that matrix. Groups are swept in one after the other, each
+    combination from the one it extends, so 2 ** n fits take as many sweeps. A column that the others already determine
+    keeps the coefficient 0.
+    """
+    columns = [c for g in sorted(groups) for c in groups[g]]
+    found = moments(df, [*columns, label], F.col(split))
+    if "train" not in found:
+        raise ValueError("there are no rows to train on")
+    n, total, gram = found["train"]
+    mean = total / n
+    std = np.sqrt(np.maximum(np.diag(gram) / n - mean**2, 0))
+    std[std < 1e-12] = 1.0
+    start, test = standard_gram(found["train"], mean, std), found.get("test")
+    check = standard_gram(test, mean, std) if test else None
+    place = {c: k + 1 for k, c in enumerate(columns)}
+    y, out, names = len(columns) + 1, [], sorted(groups)
+
+    def grow(a: np.ndarray, at: int, chosen: list[str], used: list[str]) -> None:
+        if len(chosen) >= least:
+            b = np.zeros(y + 1)
+            b[0], b[[place[c] for c in used]], b[y] = -a[0, y], [-a[place[c], y] for c in used], 1.0
+            sse = float(b @ check @ b * std[-1] ** 2) if check is not None else float("nan")
+            sst = float((check[y, y] - check[0, y] ** 2) * std[-1] ** 2) if check is not None else 0.0
+            every = [c for g in chosen for c in groups[g]]
+            slopes = [float(-b[place[c]] * std[-1] / std[place[c] - 1]) for c in every]
+            base = float(mean[-1] - b[0] * std[-1] - sum(s * mean[place[c] - 1] for s, c in zip(slopes, every, strict=True)))
+            out.append(SubsetFit("+".join(chosen), every, slopes, base, max(sse, 0.0) ** 0.5, 1 - sse / sst if test and test[0] > 1 and sst > 1e-12 else None, test[0] if test else 0))
+        for k in range(at, len(names)):
+            b, more = a, []
+            for c in groups[names[k]]:
+                if b[place[c], place[c]] > 1e-10:
+                    b, more = swept(b, place[c]), [*more, c]
+            grow(b, k + 1, [*chosen, names[k]], used + more)
+
+    grow(swept(start, 0), 0, [], [])
+    return out
+
+
+def subset_scores(df: DataFrame, groups: dict[str, list[str]], label: str = "y", split: str = "split", least: int = 1) -> DataFrame:
+    """``model, rmse, r2, n`` of subset_fits(): a row for each combination of groups."""
+    rows = [(f.name, f.rmse, f.r2, f.n) for f in subset_fits(df, groups, label, split, least)]
+    return df.sparkSession.createDataFrame(rows, "model string, rmse double, r2 double, n long")
+
+
 def training_periods(years: DataFrame, test: int, train: int, test_tercile: str, train_tercile: str, seed: int = 1) -> DataFrame:
     """``year, role``: years drawn from terciles (see windows.terciles) for test and training, which never overlap.
 

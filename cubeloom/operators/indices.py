@@ -7,9 +7,8 @@ are a series and a calendar period, so one exchange by the series serves both.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -149,53 +148,76 @@ def calendar_anomaly(df: DataFrame, variable: str, period: str = "month", keys=P
 
 # The standardised precipitation index
 
+#: The index is held within this many deviations.
+LIMIT = 3.09
 
-def _gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function, by its series or its continued fraction."""
-    out = np.zeros_like(x)
-    log_gamma = np.array([math.lgamma(s) if s > 0 else np.nan for s in shape])
-    front = np.exp(-x + shape * np.log(np.maximum(x, 1e-300)) - log_gamma)
-    small = x < shape + 1
-    term = 1 / np.where(small, shape, 1.0)
-    total, k = term.copy(), np.where(small, shape, 1.0)
-    for _ in range(600):
-        k = k + 1
-        term = term * np.where(small, x, 0.0) / k
-        total = total + term
-        if not (term > total * 1e-15).any():
-            break
-    out[small] = (front * total)[small]
-    s = np.where(small, 1.0, shape)
-    y = np.where(small, 3.0, x)
-    b = y + 1 - s
-    c, d = np.full_like(y, 1e300), 1 / b
-    h = d.copy()
-    for i in range(1, 600):
-        an = -i * (i - s)
-        b = b + 2
-        d = an * d + b
-        d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
-        c = b + an / c
-        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-        step = d * c
-        h = h * step
-        if (np.abs(step - 1) < 1e-15).all():
-            break
-    out[~small] = (1 - front * h)[~small]
-    return np.where(x <= 0, 0.0, out)
-
-
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Inverse of the normal distribution: bisection on the error function's series is avoided by Newton from a rational start."""
-    p = np.clip(p, 1e-12, 1 - 1e-12)
-    q = np.minimum(p, 1 - p)
-    t = np.sqrt(-2 * np.log(q))
-    # fixed values: the rational start of Abramowitz and Stegun 26.2.23
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
-    erfc = np.vectorize(math.erfc, otypes=[float])
-    for _ in range(4):
-        z = z + (0.5 * erfc(z / math.sqrt(2)) - q) / (np.exp(-z * z / 2) / math.sqrt(2 * math.pi))
-    return np.where(p < 0.5, -z, z)
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function of positive values, by Stirling's series; small values are moved up by ten first."""
+    up = x + 10
+    below = reduce(lambda a, b: a * b, [x + k for k in range(10)])
+
+    def series(z: Column) -> Column:
+        # fixed values: B(2k) / (2k (2k - 1)), from the Bernoulli numbers
+        tail = reduce(lambda a, b: a / (z * z) + b, [F.lit(c) for c in (1 / 156, -691 / 360360, 1 / 1188, -1 / 1680, 1 / 1260, -1 / 360, 1 / 12)])
+        return (z - 0.5) * F.log(z) - z + math.log(2 * math.pi) / 2 + tail / z
+
+    return F.when(x < 10, series(up) - F.log(below)).otherwise(series(x))
+
+
+def gamma_cdf(shape: Column, x: Column) -> Column:
+    """Regularised lower incomplete gamma function as a column expression, by its series, whose terms are all positive.
+
+    The terms fall once their number passes x - shape; it takes some ten roots of the larger of the two more to bring them below what a double holds. With shapes
+    beyond some 1e8 the steps are limited; normal_deviate() is for these.
+    """
+    steps = F.sequence(F.lit(1), F.least(F.lit(200_000), 60 + F.greatest(x - shape, F.lit(0.0)) + 12 * F.sqrt(F.greatest(x, shape))).cast("int"))
+    start = F.struct((1 / shape).alias("term"), (1 / shape).alias("total"))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] * x / (shape + k)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    front = F.exp(shape * F.log(x) - x - log_gamma(shape))
+    total = F.aggregate(steps, start, add, lambda acc: acc["total"])
+    far = (x > shape) & (x > shape + 40 * F.sqrt(shape) + 60)  # beyond all that a double tells from 1
+    return F.when(x <= 0, 0.0).when(far, 1.0).otherwise(F.least(front * total, F.lit(1.0)))
+
+
+#: From this shape on the gamma distribution is close enough to the normal for normal_deviate().
+LARGE_SHAPE = 10_000.0
+
+
+def normal_deviate(shape: Column, x: Column) -> Column:
+    """The normal quantile of a gamma distribution's share below x, for large shapes, by the saddlepoint (to some shape ** -1.5)."""
+    d = x / shape - 1
+    # 2 (d - ln(1 + d)) / d ** 2, by its series
+    square = reduce(lambda a, b: b - d * a, [F.lit(2.0 / k) for k in range(12, 1, -1)])
+    r = d * F.sqrt(square * shape)
+    return r + F.when(F.abs(d) < 1e-8, 1 / (3 * F.sqrt(shape))).otherwise(-F.log(square) / (2 * r))
+
+
+# fixed values: the rational approximations of Wichura's AS 241 (PPND16), highest powers first
+_CENTRE = (
+    (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0),
+    (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
+)
+_TAIL = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0, 3.64784832476320460504e0, 5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e0, 2.05319162663775882187e0, 1.0),
+)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the normal distribution as a column expression, for shares from 1e-10 to 1 - 1e-10 (others count as these)."""
+    p = F.least(F.greatest(p, F.lit(1e-10)), F.lit(1 - 1e-10))
+    q = p - 0.5
+    power = lambda c, r: reduce(lambda a, b: a * r + b, [F.lit(v) for v in c])
+    near = F.lit(0.180625) - q * q
+    centre = q * power(_CENTRE[0], near) / power(_CENTRE[1], near)
+    far = F.sqrt(-F.log(F.least(p, 1 - p))) - 1.6
+    tail = power(_TAIL[0], far) / power(_TAIL[1], far)
+    return F.when(F.abs(q) <= 0.425, centre).when(q < 0, -tail).otherwise(tail)
 
 
 def spi(
@@ -206,7 +228,7 @@ def spi(
 
     Fitted on the calibration years, by default all. Gamma: Thom's estimate of the positive sums, with the share of zeros as the
     probability of none. Pearson III: by mean, deviation and skew. The first ``scale - 1`` times are null; the quantile is
-    held within +-3.09. Only the two distribution functions are numpy; the fit is a window like any other.
+    held within +-3.09. Fit and distribution functions are column expressions, so the rows stay in the JVM.
     """
     x = F.col("_x")
     df = rolling_sum(df, variable, scale, "_x", keys, time, trim=False)
@@ -233,31 +255,32 @@ def spi(
     else:
         raise ValueError(f"unknown distribution {distribution}")
 
-    @F.pandas_udf("double")
-    def quantile(value: pd.Series, zero: pd.Series, shape: pd.Series, size: pd.Series, loc: pd.Series) -> pd.Series:
-        v, p0, k, s, m = (c.to_numpy(float) for c in (value, zero, shape, size, loc))
-        ok = np.isfinite(v) & np.isfinite(k) & np.isfinite(s) & (s != 0)
-        result = np.full(len(v), np.nan)
-        if ok.any():
-            y = (v[ok] - m[ok]) / s[ok]
-            cdf = _gamma_cdf(k[ok], np.maximum(y, 0))
-            cdf = np.where(s[ok] < 0, 1 - cdf, cdf)
-            p = np.where((v[ok] <= 0) & (m[ok] == 0), p0[ok], p0[ok] + (1 - p0[ok]) * cdf)
-            result[ok] = np.clip(_normal_quantile(p), -3.09, 3.09)
-        return pd.Series(result)
-
-    found = df.withColumn("_q", quantile("_x", "_p0", "_shape", "_scale", "_loc"))
-    return found.withColumn(out, F.when(~F.isnan("_q"), F.col("_q"))).drop("_x", "_p0", "_shape", "_scale", "_loc", "_q")
+    shape, size, loc, zero = F.col("_shape"), F.col("_scale"), F.col("_loc"), F.col("_p0")
+    at = F.greatest((x - loc) / size, F.lit(0.0))
+    cdf = gamma_cdf(shape, at)
+    cdf = F.when(size < 0, 1 - cdf).otherwise(cdf)
+    share = zero + (1 - zero) * F.when((x <= 0) & (loc == 0), 0.0).otherwise(cdf)
+    fitted = x.isNotNull() & shape.isNotNull() & (shape > 0) & (size != 0)
+    large = fitted & (shape > LARGE_SHAPE) & (zero == 0)
+    found = df.withColumns({"_share": F.when(fitted & ~large, share), "_direct": F.when(large, F.signum(size) * normal_deviate(shape, at))})
+    quantile = F.coalesce("_direct", F.when(F.col("_share").isNotNull(), normal_quantile(F.col("_share"))))
+    bounded = F.when(quantile.isNotNull(), F.least(F.greatest(quantile, F.lit(-LIMIT)), F.lit(LIMIT)))
+    return found.withColumn(out, bounded).drop("_x", "_p0", "_shape", "_scale", "_loc", "_share", "_direct")
 
 
 def district_features(df: DataFrame, regions: DataFrame, vci: str, rain: str, region: str = "region_id", keys=("pixel_id",), time: str = "time") -> DataFrame:
-    """Means by district of condition indices (1 and 3 months), rainfall (1 and 3 months) and SPI (1 and 3), with lags 1 to 3."""
-    df = df.select(*keys, time, vci, rain)
-    for name, source in (("VCI", vci), ("RCI", rain)):
-        for n in (1, 3):
-            df = condition_index(df, source, "month", n, f"{name}{n}M", keys, time)
+    """Means by district of condition indices (1 and 3 months), rainfall (1 and 3 months) and SPI (1 and 3), with lags 1 to 3.
+
+    All windows are of a series, or of a series and its calendar months, so that they share one exchange by the series; times without a
+    value of an index have null means instead of being dropped one index after the other.
+    """
+    df = df.select(*keys, time, vci, rain).repartition(*keys)
+    g = _group(keys, time, "month")
+    scaled = lambda v: 100 * ratio(F.col(v) - F.min(v).over(g), F.max(v).over(g) - F.min(v).over(g))
+    df = df.withColumns({"_vci": scaled(vci), "_rci": scaled(rain)})
     for n in (1, 3):
-        df = rolling_mean(df, rain, n, f"RFE{n}M", keys, time, trim=False)
+        for name, source in (("VCI", "_vci"), ("RCI", "_rci"), ("RFE", rain)):
+            df = rolling_mean(df, source, n, f"{name}{n}M", keys, time, trim=False)
         df = spi(df, rain, n, keys=keys, time=time, out=f"SPI{n}")
     names = ["VCI1M", "VCI3M", "RCI1M", "RCI3M", "RFE1M", "RFE3M", "SPI1", "SPI3"]
     means = df.join(regions, [*keys]).groupBy(region, time).agg(*[F.avg(v).alias(v) for v in names])

@@ -21,7 +21,10 @@ from pyspark.sql.window import Window
 
 from ..functions.calendar import month_index
 from ..sources.cubes import PIXEL
+from ..sources.folders import scratch_folder
+from .features import dealt_number, moments, standard_gram
 from .joins import crosstab
+from .order import permuted, row_numbers
 
 
 def persistence(df: DataFrame, target: str, keys=PIXEL, time: str = "time") -> DataFrame:
@@ -51,7 +54,7 @@ def linear(train: DataFrame, kind: str = "ols", label: str = "y", weight: str |
 
 @dataclass
 class GradientModel:
-    """Weights of standardised columns, and after how many rounds they were best on the validation rows."""
+    """Weights of standardised columns, and after how many epochs they were best on the validation rows."""
 
     columns: list[str]
     mean: np.ndarray
@@ -65,54 +68,56 @@ class GradientModel:
         return df.withColumn(out, reduce(lambda a, b: a + b, parts, F.lit(float(self.intercept))))
 
 
-def linear_by_gradient(train: DataFrame, columns: list[str], label: str = "y", validation: str = "validation", rate: float = 0.1, rounds: int = 500, patience: int = 10) -> GradientModel:
-    """Linear regression by gradient descent, stopped early.
+def batch_number(columns: list[str], batches: int, seed: int):
+    """The mini-batch that a row is in, by a hash of its values."""
+    return F.pmod(F.xxhash64(*[F.col(c).cast("double") for c in columns], F.lit(seed)), F.lit(batches)).cast("int")
 
-    Squared loss and its gradient only need sums of products of columns, so one aggregate over the rows, by whether they are
-    for validation, is all that Spark is asked for. Descent ends after ``patience`` rounds without a smaller loss on the
-    validation rows (on the training rows, if there are none), and the weights of the best round stay.
+
+def batch_order(batches: int, epoch: int, seed: int) -> list[int]:
+    """The order of the mini-batches in an epoch."""
+    return np.random.default_rng([seed, epoch]).permutation(batches).tolist()
+
+
+def linear_by_gradient(
+    train: DataFrame, columns: list[str], label: str = "y", validation: str = "validation", rate: float = 0.1, epochs: int = 500, patience: int = 10,
+    batches: int = 64, penalty: float = 1e-4, power: float = 0.25, seed: int = 1,
+) -> GradientModel:
+    """Linear regression by stochastic gradient descent in mini-batches, stopped early.
+
+    Rows are dealt into ``batches`` mini-batches by a hash; each epoch takes them in an order of its own. Step t follows the gradient of half the mean squared
+    error on one batch, plus ``penalty`` times the weights, at the rate ``rate / t ** power``. After each epoch the loss on the validation rows (on the
+    training rows, if there are none) is looked at: without a smaller one for ``patience`` epochs descent ends, and the best weights stay.
+
+    The gradient of a batch only needs the sums of products of its rows. One aggregate gives them for every batch, so Spark is asked once, however many
+    steps are made; the driver holds ``batches`` matrices of d * d numbers. Columns and label are standardised by the training rows.
     """
     names = [*columns, label]
-    rows = train.dropna(subset=names).select(F.coalesce(F.col(validation), F.lit(False)).alias("_v"), *[F.col(c).cast("double").alias(c) for c in names])
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(names)]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    found = {r["_v"]: r for r in rows.groupBy("_v").agg(F.count("*").alias("n"), *sums).collect()}  # two rows
-    if False not in found:
+    checked = F.coalesce(F.col(validation), F.lit(False))
+    found = moments(train, names, F.when(checked, -1).otherwise(batch_number(names, batches, seed)))
+    parts = {k: part for k, part in found.items() if k >= 0}
+    if not parts:
         raise ValueError("there are no rows to train on")
-
-    def moments(row) -> tuple[float, np.ndarray, np.ndarray]:
-        d = len(names)
-        products = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-        return row["n"], np.array([row[f"s{i}"] for i in range(d)]), products
-
-    n, total, products = moments(found[False])
+    n, total, gram = (sum(part[i] for part in parts.values()) for i in range(3))
     mean = total / n
-    std = np.sqrt(np.maximum(np.diag(products) / n - mean**2, 0))
+    std = np.sqrt(np.maximum(np.diag(gram) / n - mean**2, 0))
     std[std < 1e-12] = 1.0
-    d = len(columns)
-
-    def scaled(part) -> tuple[np.ndarray, np.ndarray, float]:
-        """Means of products of standardised columns (and a constant) with each other and with the label, and of its square."""
-        m, t, q = part
-        centred = (q - np.outer(t, mean) - np.outer(mean, t) + m * np.outer(mean, mean)) / np.outer(std, std) / m
-        ones = (t - m * mean) / std / m
-        gram = np.ones((d + 1, d + 1))
-        gram[:d, :d], gram[d, :d], gram[:d, d] = centred[:d, :d], ones[:d], ones[:d]
-        return gram, np.append(centred[:d, d], ones[d]), centred[d, d]
-
-    gram, cross, _ = scaled((n, total, products))
-    check = scaled(moments(found[True])) if True in found else (gram, cross, scaled((n, total, products))[2])
-    step = rate / max(float(np.linalg.eigvalsh(gram)[-1]), 1.0)
-    w = best = np.zeros(d + 1)
-    least, at = np.inf, 0
-    for k in range(1, rounds + 1):
-        w = w - 2 * step * (gram @ w - cross)
-        loss = float(w @ check[0] @ w - 2 * w @ check[1] + check[2])
+    grams = {k: standard_gram(part, mean, std) for k, part in parts.items()}
+    check = standard_gram(found.get(-1, (n, total, gram)), mean, std)
+    w = best = np.zeros(len(columns) + 1)  # the constant first
+    held = np.append(0.0, np.full(len(columns), penalty))
+    least, at, t = np.inf, 0, 0
+    for epoch in range(1, epochs + 1):
+        for k in batch_order(batches, epoch, seed):
+            if k in grams:
+                t += 1
+                g = grams[k]
+                w = w - rate / t**power * (g[:-1, :-1] @ w - g[:-1, -1] + held * w)
+        loss = float(w @ check[:-1, :-1] @ w - 2 * w @ check[:-1, -1] + check[-1, -1])
         if loss < least - 1e-12:
-            least, best, at = loss, w, k
-        elif k - at >= patience:
+            least, best, at = loss, w, epoch
+        elif epoch - at >= patience:
             break
-    return GradientModel(columns, mean[:d], std[:d], best[:d] * std[d], float(best[d] * std[d] + mean[d]), at)
+    return GradientModel(columns, mean[:-1], std[:-1], best[1:] * std[-1], float(best[0] * std[-1] + mean[-1]), at)
 
 
 def boosted_trees(train: DataFrame, label: str = "y", validation: str | None = None, iterations: int = 20, depth: int = 4, seed: int = 1):
@@ -130,22 +135,20 @@ def random_forest(train: DataFrame, label: str = "y", trees: int = 20, depth: in
 def permutation_importance(model, df: DataFrame, columns: list[str], label: str = "y", seed: int = 1) -> DataFrame:
     """``feature, importance``: how much RMSE grows when a feature's values change places between rows.
 
-    Values are dealt anew by two orders of one row number, so nothing is collected.
+    Each feature has a permutation of its own. A value's new row is computed from its row's number (order.permuted()), so one exchange sends all values to
+    their rows; all features are then scored in one pass. Nothing is sorted or collected but a number for each feature.
     """
-    rows = df.select("features", label).withColumn("_v", vector_to_array("features"))
-    spark = df.sparkSession
-    rmse = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    base = rmse.evaluate(model.transform(rows))
-    found = []
-    blocks = F.pmod(F.xxhash64("_v", label), F.lit(64))
-    for k, name in enumerate(columns):
-        numbered = rows.withColumn("_b", blocks)
-        numbered = numbered.withColumn("_a", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_v", F.lit(seed)), label)))
-        given = rows.withColumn("_b", blocks)
-        given = given.withColumn("_a", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_v", F.lit(seed + k + 1)), label))).select("_b", "_a", F.get("_v", F.lit(k)).alias("_x"))
-        mixed = numbered.join(given, ["_b", "_a"]).withColumn("features", array_to_vector(_with_place("_v", k, F.col("_x"))))
-        found.append((name, float(rmse.evaluate(model.transform(mixed)) - base)))
-    return spark.createDataFrame(found, "feature string, importance double")
+    rows, n = row_numbers(df.select(vector_to_array("features").alias("_v"), F.col(label).cast("double").alias("_y")))
+    sent = F.array(*[F.struct(F.lit(k).alias("k"), permuted(F.col("_row"), n, seed + k).alias("to"), F.get("_v", F.lit(k)).alias("x")) for k in range(len(columns))])
+    sent = rows.select(F.explode(sent).alias("m")).select("m.*")
+    given = sent.groupBy(F.col("to").alias("_row")).agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(f"_x{k}") for k in range(len(columns))])
+    tries = [F.struct(F.lit(-1).alias("k"), F.col("_v").alias("v"))]
+    tries += [F.struct(F.lit(k).alias("k"), _with_place("_v", k, F.col(f"_x{k}")).alias("v")) for k in range(len(columns))]
+    rows = rows.join(given, "_row").select("_y", F.explode(F.array(*tries)).alias("t")).select("_y", "t.k", array_to_vector("t.v").alias("features"))
+    scores = model.transform(rows).groupBy("k").agg(F.sqrt(F.avg((F.col("_y") - F.col("prediction")) ** 2)).alias("rmse"))
+    base = scores.filter("k < 0").select(F.col("rmse").alias("base"))
+    name = F.get(F.array(*map(F.lit, columns)), F.col("k"))
+    return scores.filter("k >= 0").join(F.broadcast(base)).select(name.alias("feature"), (F.col("rmse") - F.col("base")).alias("importance"))  # one row
 
 
 def _with_place(array: str, k: int, value):
@@ -196,6 +199,42 @@ def clusters(df: DataFrame, ks=(3, 5), months: list[int] | None = None, keys: li
     return found
 
 
+def clusters_by_group(df: DataFrame, ks=(3, 5), by: str = "month", keys: list[str] | None = None, steps: int = 20, seed: int = 1) -> DataFrame:
+    """K-means of the array ``features`` in each group and for each k: ``keys, by, k, cluster, distance``.
+
+    All groups and ks take their Lloyd steps together: a step is one aggregate by group, k and cluster over the rows, whose centres (groups x sum of ks of
+    them) go to the driver and back as a broadcast. The k first rows of a group in a hash order are the first centres, so a group with fewer rows than k has fewer clusters; of
+    equally near centres the lower number counts, and a cluster without rows keeps its centre. Ends when no centre moves, after ``steps`` at the latest.
+    """
+    keys = keys or ["vec_id"]
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    df.filter(F.col("features").isNotNull()).select(*keys, by, F.col("features").cast("array<double>").alias("features")).write.parquet(path)
+    points = spark.read.parquet(path)
+    first = Window.partitionBy(by).orderBy(dealt_number(F.concat_ws(":", *keys), seed), *keys)  # Spark keeps the first few of each task before it deals them out
+    starts = points.withColumn("_c", F.row_number().over(first)).filter(F.col("_c") <= max(ks)).select(by, "_c", "features").collect()
+    now = {(r[by], k, r["_c"] - 1): list(r["features"]) for r in starts for k in ks if r["_c"] <= k}
+    width = len(starts[0]["features"]) if starts else 0
+    kind = points.schema[by].dataType.simpleString()
+
+    def labelled() -> DataFrame:
+        held: dict = {}
+        for (group, k, c), centre in sorted(now.items(), key=lambda x: (str(x[0][0]), *x[0][1:])):
+            held.setdefault((group, k), []).append((c, centre))
+        rows = spark.createDataFrame([(g, k, cs) for (g, k), cs in held.items()], f"_of {kind}, k int, _centres array<struct<c:int,at:array<double>>>")
+        met = points.join(F.broadcast(rows), F.col(by).eqNullSafe(F.col("_of")))
+        apart = F.transform("_centres", lambda c: F.struct(F.aggregate(F.zip_with("features", c["at"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v).alias("d"), c["c"].alias("c")))
+        return met.withColumn("_near", F.array_min(apart)).select(*keys, by, "k", F.col("_near.c").alias("cluster"), F.sqrt("_near.d").alias("distance"), "features")
+
+    for _ in range(steps):
+        means = F.array(*[F.avg(F.get("features", F.lit(i))) for i in range(width)]).alias("at")
+        after = now | {(r[by], r["k"], r["cluster"]): list(r["at"]) for r in labelled().groupBy(by, "k", "cluster").agg(means).collect()}
+        moved = max((abs(x - y) for at in now for x, y in zip(now[at], after[at], strict=True)), default=0.0)
+        now = after
+        if moved == 0:
+            break
+    return labelled().drop("features")
+
+
 def principal_components(df: DataFrame, n: int = 2) -> DataFrame:
     """``pc_1`` to ``pc_n`` of ``features``."""
     found = PCA(k=n, inputCol="features", outputCol="_pc").fit(df).transform(df).withColumn("_pc", vector_to_array("_pc"))

@@ -6,13 +6,63 @@ of them), and what is left to do happens inside a range.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.folders import scratch_folder
+
 _RANGES = 256
 
 
+def row_numbers(df: DataFrame, out: str = "_row") -> tuple[DataFrame, int]:
+    """``df`` with a number for each row, from 0 on without gaps, and how many there are.
+
+    The rows are written first, so that a row keeps its number whatever is computed again. Tasks number their own rows; what the tasks before them
+    have is summed over one row for each task, which is also all that is broadcast.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.withColumn("_part", F.spark_partition_id()).withColumn(out, F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    spans = rows.groupBy("_part").agg(F.min(out).alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # over one row for each task
+    shift = spans.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    total = spans.agg(F.sum("_n")).first()[0] or 0
+    return rows.join(F.broadcast(shift), "_part").withColumn(out, F.col(out) + F.col("_shift")).drop("_part", "_shift"), total
+
+
+def permuted(number: Column, n: int, seed: int) -> Column:
+    """Where a permutation of 0 .. n - 1, which the seed chooses, sends ``number``: computed, so no row has to know of another.
+
+    A Feistel network on pairs (left below a, right below b) with a * b just above n: each half is moved by a hash of the other, which can be
+    undone. What lands beyond n walks on along its cycle, which comes back below n after as many steps as there are numbers too many.
+    """
+    if n < 2:
+        return number
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def moved(x: Column) -> Column:
+        halves = F.struct(F.floor(x / b).cast("long").alias("left"), (x % b).cast("long").alias("right"))
+
+        def step(s: Column, k: Column) -> Column:
+            left = F.pmod(s["left"] + F.pmod(F.xxhash64(s["right"], k), F.lit(a)), F.lit(a))
+            right = F.pmod(s["right"] + F.pmod(F.xxhash64(left, k + 1), F.lit(b)), F.lit(b))
+            return F.struct(left.cast("long").alias("left"), right.cast("long").alias("right"))
+
+        rounds = F.array(*[F.lit(16 * seed + 2 * k) for k in range(4)])
+        return F.aggregate(rounds, halves, step, lambda s: s["left"] * b + s["right"])
+
+    spare = a * b - n
+    if not spare:
+        return moved(number)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(min(spare, 64))), moved(number), lambda x, _: F.when(x < n, x).otherwise(moved(x)))
+    # of n numbers some root of n are too many, so that 64 steps beyond them in a row don't occur; should they, the job fails
+    return walked if spare <= 64 else F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a number left the permutation")).cast("long"))
+
+
 def _dealt(df: DataFrame, value: str, by: list[str], weight: Column) -> DataFrame:
     """``df`` with ``_range``, the rows before it in the group (``_before``) and all of the group (``_all``); nulls come first."""
     edges = F.percentile_approx(value, F.array(*[F.lit(k / _RANGES) for k in range(1, _RANGES)]), F.lit(4 * _RANGES))

@@ -56,9 +56,45 @@ def rasterise(cells: DataFrame, polygons: DataFrame, half_cell: tuple[float, flo
     return cells.join(owner, ["lat_idx", "lon_idx"], "left")
 
 
+#: Places that a cell is interpolated from by distance.
+NEIGHBOURS = 4
+
+
+def _nearest_places(source: DataFrame, target: DataFrame, idx: str, at: str, n: int) -> DataFrame:
+    """``t`` and ``places``: for each target place, the n nearest source places ``far, s`` of one axis, nearest first, of equal ones the lower index."""
+    along = Window.partitionBy().orderBy(at)  # over one row for each place of an axis
+    place = F.struct(F.col(at).alias("y"), F.col(idx).alias("s"))
+    known = source.select(F.col(at).alias("_x"), F.lit(0).alias("_is_target"), F.lit(None).cast("int").alias("t"),
+                          F.collect_list(place).over(along.rowsBetween(1 - n, 0)).alias("_b"), F.collect_list(place).over(along.rowsBetween(0, n - 1)).alias("_a"))
+    none = F.lit(None).cast(known.schema["_b"].dataType)
+    both = known.unionByName(target.select(F.col(at).alias("_x"), F.lit(1).alias("_is_target"), F.col(idx).cast("int").alias("t"), none.alias("_b"), none.alias("_a")))
+    w = Window.partitionBy().orderBy("_x", "_is_target")
+    before = F.last("_b", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_a", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = both.select("t", "_x", F.array_distinct(F.concat(F.coalesce(before, F.array()), F.coalesce(after, F.array()))).alias("_near")).filter("t is not null")
+    near = near.withColumn("_near", F.array_sort(F.transform("_near", lambda p: F.struct(F.abs(p["y"] - F.col("_x")).alias("far"), p["s"].alias("s")))))
+    return near.select("t", F.slice("_near", 1, n).alias("places"))
+
+
+def distance_weights(source: tuple[DataFrame, DataFrame], target: tuple[DataFrame, DataFrame], n: int = NEIGHBOURS) -> DataFrame:
+    """``_i, _j`` (target cell), ``lat_idx, lon_idx`` (source cell) and ``_w``: the n nearest source cells of each target cell by inverse distance.
+
+    The n nearest cells of a rectilinear grid lie in the n nearest rows and columns, so a row for each target cell has all that it takes: the product of
+    two lists, sorted, of which the first n stay. Of equally far cells that with the lower row, then column, is nearer; a
+    cell that is met exactly stands alone.
+    """
+    lat = _nearest_places(source[0], target[0], "lat_idx", "lat", n).toDF("_i", "_rows")
+    lon = _nearest_places(source[1], target[1], "lon_idx", "lon", n).toDF("_j", "_columns")
+    cells = F.flatten(F.transform("_rows", lambda r: F.transform("_columns", lambda c: F.struct((r["far"] ** 2 + c["far"] ** 2).alias("d"), r["s"].alias("lat_idx"), c["s"].alias("lon_idx")))))
+    found = lat.crossJoin(lon).withColumn("_cells", F.slice(F.array_sort(cells), 1, n))  # a row for each target cell, the grid itself
+    found = found.select("_i", "_j", F.get("_cells", F.lit(0))["d"].alias("_least"), F.explode("_cells").alias("c"))
+    w = F.when(F.col("_least") > 0, ratio(F.lit(1.0), F.sqrt("c.d"))).otherwise((F.col("c.d") == 0).cast("double"))
+    return found.select("_i", "_j", "c.lat_idx", "c.lon_idx", w.alias("_w"))
+
+
 def _axis(source: DataFrame, target: DataFrame, idx: str, at: str, method: str) -> DataFrame:
-    """``t``, target place; ``s``, source place; ``w``, weight; ``d``, distance."""
-    if method in ("nearest", "distance", "bilinear"):
+    """``t``, target place; ``s``, source place; ``w``, weight."""
+    if method in ("nearest", "bilinear"):
         # both axes in one order, so that each target place sees the source places before and after it
         w = Window.partitionBy().orderBy("_x", "_is_target")  # over one row for each place of an axis
         place = F.struct(F.col(at).alias("y"), F.col(idx).alias("s"))
@@ -75,11 +111,10 @@ def _axis(source: DataFrame, target: DataFrame, idx: str, at: str, method: str)
             one = F.struct(F.col("_u._p.s").alias("s"), F.when(exact, 1.0).otherwise(1 - share).alias("w"))
             two = F.struct(F.col("_v._p.s").alias("s"), F.when(exact, 0.0).otherwise(share).alias("w"))
             inside = found.filter(exact | (F.col("_u").isNotNull() & F.col("_v").isNotNull()))
-            return inside.select("t", F.explode(F.array(one, two)).alias("p")).select("t", "p.s", "p.w", F.lit(0.0).alias("d")).filter("w > 0")
+            return inside.select("t", F.explode(F.array(one, two)).alias("p")).select("t", "p.s", "p.w").filter("w > 0")
         near = F.filter(F.array("_u._p", "_u._b", "_v._p", "_v._a"), lambda p: p.isNotNull())
-        near = F.array_sort(F.transform(near, lambda p: F.struct(F.abs(p["y"] - F.col("_x")).alias("far"), p["s"].alias("s"), (F.col("_x") - p["y"]).alias("d"))))
-        near = F.slice(near, 1, 1 if method == "nearest" else 2)
-        return found.select("t", F.explode(near).alias("p")).select("t", "p.s", F.lit(1.0).alias("w"), "p.d")
+        near = F.array_min(F.transform(near, lambda p: F.struct(F.abs(p["y"] - F.col("_x")).alias("far"), p["s"].alias("s"))))
+        return found.select("t", near["s"].alias("s"), F.lit(1.0).alias("w"))
     if method == "conservative":
         size = (lambda a: F.sin(F.radians(a))) if at == "lat" else (lambda a: a)  # area between parallels
         edges = {}
@@ -91,7 +126,7 @@ def _axis(source: DataFrame, target: DataFrame, idx: str, at: str, method: str)
             edges[name] = table.select(F.col(idx).alias(n), left.alias(f"{x}l"), right.alias(f"{x}r"))
         both = edges["target"].join(F.broadcast(edges["source"]), (F.col("_yl") < F.col("_xr")) & (F.col("_yr") > F.col("_xl")))
         low, high = F.greatest("_xl", "_yl"), F.least("_xr", "_yr")
-        return both.select("t", "s", (size(high) - size(low)).alias("w"), F.lit(0.0).alias("d"))
+        return both.select("t", "s", (size(high) - size(low)).alias("w"))
     raise ValueError(f"unknown method {method}")
 
 
@@ -104,7 +139,8 @@ def regrid(df: DataFrame, target: tuple[DataFrame, DataFrame], values: list[str]
     """A cube on another grid.
 
     Methods: ``nearest``; ``bilinear`` (null if one of the four is null or absent); ``conservative`` (mean by overlapping area, of cells
-    that have a value); ``distance`` (four nearest by inverse distance); ``largest_area`` (the class with the most overlap; of equal
+    that have a value); ``distance`` (the four nearest cells, whatever the spacing of the axes, by inverse distance in degrees; of these, those that
+    have a value); ``largest_area`` (the class with the most overlap; of equal
     ones the least); ``nearest_to_target`` (mean of the source cells whose nearest target it is).
     """
     source = reference_grid(df)
@@ -114,10 +150,15 @@ def regrid(df: DataFrame, target: tuple[DataFrame, DataFrame], values: list[str]
         found = found.join(F.broadcast(back[1].select(F.col("t").alias("lon_idx"), F.col("s").alias("_j"))), "lon_idx")
         found = found.groupBy(F.col("_i").alias("lat_idx"), F.col("_j").alias("lon_idx"), time).agg(*[F.avg(v).alias(v) for v in values])
         return _with_coordinates(found, target)
+    if method == "distance":
+        met = df.select("lat_idx", "lon_idx", time, *values).join(distance_weights(source, target), ["lat_idx", "lon_idx"])
+        w = F.col("_w")
+        found = met.groupBy(F.col("_i").alias("lat_idx"), F.col("_j").alias("lon_idx"), time)
+        return _with_coordinates(found.agg(*[ratio(F.sum(F.col(v) * w), F.sum(F.when(F.col(v).isNotNull(), w))).alias(v) for v in values]), target)
     kind = {"largest_area": "conservative"}.get(method, method)
     lat, lon = regrid_weights(source, target, kind)
-    lat = lat.select(F.col("s").alias("lat_idx"), F.col("t").alias("_i"), F.col("w").alias("_wi"), F.col("d").alias("_di"))
-    lon = lon.select(F.col("s").alias("lon_idx"), F.col("t").alias("_j"), F.col("w").alias("_wj"), F.col("d").alias("_dj"))
+    lat = lat.select(F.col("s").alias("lat_idx"), F.col("t").alias("_i"), F.col("w").alias("_wi"))
+    lon = lon.select(F.col("s").alias("lon_idx"), F.col("t").alias("_j"), F.col("w").alias("_wj"))
     rows = df.select("lat_idx", "lon_idx", time, *values).join(F.broadcast(lat), "lat_idx").join(F.broadcast(lon), "lon_idx")
     weight = F.col("_wi") * F.col("_wj")
     cell = [F.col("_i").alias("lat_idx"), F.col("_j").alias("lon_idx"), time]
@@ -127,12 +168,6 @@ def regrid(df: DataFrame, target: tuple[DataFrame, DataFrame], values: list[str]
         found = areas.groupBy(*cell).agg(F.max_by(value, F.struct(F.round("_w", 12), -F.col(value))).alias(value))
     elif method == "nearest":
         found = rows.select(*cell, *values)
-    elif method == "distance":
-        distance = F.sqrt(F.col("_di") ** 2 + F.col("_dj") ** 2)
-        # a cell that is met exactly stands alone
-        near = rows.withColumn("_d", distance).withColumn("_least", F.min(distance).over(Window.partitionBy("_i", "_j", time)))
-        w = F.when(F.col("_least") > 0, ratio(F.lit(1.0), F.col("_d"))).otherwise((F.col("_d") == 0).cast("double"))
-        found = near.groupBy(*cell).agg(*[ratio(F.sum(F.col(v) * w), F.sum(F.when(F.col(v).isNotNull(), w))).alias(v) for v in values])
     elif method == "bilinear":
         found = rows.groupBy(*cell).agg(*[F.when((F.count(v) == F.count("*")) & (F.sum(weight) > 1 - 1e-9), F.sum(F.col(v) * weight)).alias(v) for v in values])
         hull = df.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
@@ -294,11 +296,23 @@ def _conservative(name: str, method: str, sql: str, value: str):
 _conservative("e11_regrid_conservative", "conservative", f"SELECT {_OUT}, sum(precip * wa.w * wb.w) / sum(CASE WHEN precip IS NOT NULL THEN wa.w * wb.w END) AS precip FROM {_FROM} GROUP BY ALL", "precip")
 _conservative("e12_regrid_largest_area", "largest_area", f"""SELECT lat_idx, lon_idx, time, lat, lon, code FROM (SELECT *, row_number() OVER (PARTITION BY lat_idx, lon_idx, time ORDER BY a DESC, code) AS k FROM (
     SELECT {_OUT}, precip % 3 AS code, round(sum(wa.w * wb.w), 12) AS a FROM {_FROM} WHERE precip IS NOT NULL GROUP BY ALL)) WHERE k = 1""", "code")
-_regrid("e12_regrid_distance", "distance", f"""
-    SELECT {_OUT}, CASE WHEN min(d) = 0 THEN max(CASE WHEN d = 0 THEN precip END) ELSE sum(precip / nullif(d, 0)) / sum(CASE WHEN precip IS NOT NULL THEN 1 / nullif(d, 0) END) END AS precip FROM (
-        SELECT i, j, y, x, time, precip, sqrt((lat_idx - y) ** 2 + (lon_idx - x) ** 2) AS d FROM dense,
-            (SELECT i, y, k, row_number() OVER (PARTITION BY i ORDER BY abs(k - y), k) AS n FROM ta, range(5) r(k)) a, (SELECT j, x, k, row_number() OVER (PARTITION BY j ORDER BY abs(k - x), k) AS n FROM tb, range(5) r(k)) b
-        WHERE a.n <= 2 AND b.n <= 2 AND lat_idx = a.k AND lon_idx = b.k) GROUP BY i, j, y, x, time""")
+def _by_distance(lat: str) -> str:
+    """The four nearest of all 25 source cells, whose latitudes are ``lat``."""
+    return f"""SELECT {_OUT}, CASE WHEN min(d) = 0 THEN max(CASE WHEN d = 0 THEN precip END) ELSE sum(precip / nullif(d, 0)) / sum(CASE WHEN precip IS NOT NULL THEN 1 / nullif(d, 0) END) END AS precip
+        FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY d, a, b) AS n FROM (SELECT i, j, y, x, r.a, s.b, sqrt(({lat} - y) ** 2 + (s.b - x) ** 2) AS d FROM ta, tb, range(5) r(a), range(5) s(b)))
+        JOIN dense ON lat_idx = a AND lon_idx = b WHERE n <= 4 GROUP BY i, j, y, x, time"""
+
+
+_regrid("e12_regrid_distance", "distance", _by_distance("r.a"))
+
+
+@query("e12_regrid_distance_uneven", cube_sql(_by_distance("10 * r.a"), _TARGET), "precip lat lon")
+def e12_uneven(spark, sf):
+    """Rows ten times as far apart as columns: the four nearest lie in one or two rows."""
+    cube = coordinates(dense(spark, sf)).withColumn("lat", F.col("lat_idx") * 10.0)
+    return spatial.regrid(cube, spatial.axes(spark, LAT, LON), ["precip"], "distance").select("lat_idx", "lon_idx", "time", "lat", "lon", "precip")
+
+
 _regrid("e12_regrid_to_target", "nearest_to_target", f"""
     SELECT {_OUT}, avg(precip) AS precip FROM dense,
         (SELECT * FROM (SELECT k, i, y, row_number() OVER (PARTITION BY k ORDER BY abs(k - y), i) AS n FROM ta, range(5) r(k)) WHERE n = 1) a,
@@ -569,17 +583,57 @@ def i15(spark, sf):
     return indices.calendar_anomaly(dense(spark, sf), "precip", keys=KEY).select("pixel_id", "time", "anomaly")
 
 
-@query("i08_spi")
+def _normal_sql(p: str) -> str:
+    """The inverse normal distribution as SQL, from the same fixed values."""
+    power = lambda c, r: reduce(lambda a, b: f"({a} * ({r}) + {b!r})", c[1:], repr(c[0]))
+    q, near, far = f"({p} - 0.5)", f"0.180625 - ({p} - 0.5) ** 2", f"sqrt(-ln(least({p}, 1 - {p}))) - 1.6"
+    tail = f"{power(indices._TAIL[0], far)} / {power(indices._TAIL[1], far)}"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {power(indices._CENTRE[0], near)} / {power(indices._CENTRE[1], near)} WHEN {q} < 0 THEN -({tail}) ELSE {tail} END"
+
+
+def _spi_sql(n: int, name: str, distribution: str = "gamma") -> str:
+    """``name``: pixel_id, time and SPI of the sums of n months. The gamma distribution function is summed term by term from logarithms."""
+    fit = {
+        "gamma": f"""SELECT *, coalesce(zeros / nullif(filled, 0), 0) AS p0, (1 + sqrt(1 + 4 * a / 3)) / nullif(4 * a, 0) AS shape, mean / ((1 + sqrt(1 + 4 * a / 3)) / nullif(4 * a, 0)) AS size, 0.0 AS loc FROM (
+            SELECT *, ln(mean) - logs AS a FROM (SELECT pixel_id, time, x, count(*) FILTER (x <= 0) OVER g AS zeros, count(x) OVER g AS filled, avg(x) FILTER (x > 0) OVER g AS mean, avg(ln(nullif(greatest(x, 0), 0))) FILTER (x > 0) OVER g AS logs
+                FROM {name}_x WINDOW g AS (PARTITION BY pixel_id, month(time))))""",
+        "pearson": f"""SELECT *, 0.0 AS p0, 4 / nullif(skew * skew, 0) AS shape, std * skew / 2 AS size, mean - 4 / nullif(skew * skew, 0) * std * skew / 2 AS loc FROM (
+            SELECT *, (SELECT 1) AS one, (m3 - 3 * mean * m2 + 2 * mean ** 3) / nullif(std ** 3, 0) AS skew FROM (SELECT pixel_id, time, x, avg(x) OVER g AS mean, stddev_pop(x) OVER g AS std, avg(x * x) OVER g AS m2, avg(x * x * x) OVER g AS m3
+                FROM {name}_x WINDOW g AS (PARTITION BY pixel_id, month(time))))""",
+    }[distribution]
+    square = reduce(lambda a, b: f"({b} - d * {a})", [f"2.0 / {k}" for k in range(11, 1, -1)], "2.0 / 12")
+    return f"""{name}_x AS (SELECT pixel_id, time, CASE WHEN count(precip) OVER w = {n} THEN sum(precip) OVER w END AS x FROM dense WINDOW w AS (PARTITION BY pixel_id ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+    {name}_fit AS ({fit}),
+    {name}_y AS (SELECT *, greatest((x - loc) / size, 0) AS y FROM {name}_fit WHERE x IS NOT NULL AND shape > 0 AND size <> 0),
+    {name}_cdf AS (SELECT *, y / shape - 1 AS d, CASE WHEN y <= 0 OR (shape > 10000 AND p0 = 0) THEN 0 ELSE least(1, list_sum([exp(-y + (shape + k) * ln(y) - lgamma(shape + k + 1)) for k in range(CAST(80 + greatest(y - shape, 0) + 14 * sqrt(greatest(y, shape)) AS BIGINT))])) END AS c FROM {name}_y),
+    {name}_p AS (SELECT *, least(greatest(p0 + (1 - p0) * CASE WHEN x <= 0 AND loc = 0 THEN 0 WHEN size < 0 THEN 1 - c ELSE c END, 1e-10), 1 - 1e-10) AS p FROM {name}_cdf),
+    {name}_s AS (SELECT *, {square} AS square FROM {name}_p),
+    {name}_z AS (SELECT pixel_id, time, CASE WHEN NOT (shape > 10000 AND p0 = 0) THEN {_normal_sql("p")}
+        ELSE sign(size) * (d * sqrt(square * shape) + CASE WHEN abs(d) < 1e-8 THEN 1 / (3 * sqrt(shape)) ELSE -ln(square) / (2 * d * sqrt(square * shape)) END) END AS z FROM {name}_s),
+    {name} AS (SELECT f.pixel_id, f.time, CASE WHEN z IS NOT NULL THEN least(greatest(z, -3.09), 3.09) END AS "SPI" FROM {name}_fit f LEFT JOIN {name}_z p ON p.pixel_id = f.pixel_id AND p.time = f.time)"""
+
+
+@query("i08_spi", cube_sql("SELECT * FROM spi3", _spi_sql(3, "spi3")), '"SPI"')
 def i08(spark, sf):
     return indices.spi(dense(spark, sf), "precip", 3, keys=KEY).select("pixel_id", "time", "SPI")
 
 
-@query("i08_spi_pearson")
+@query("i08_spi_pearson", cube_sql("SELECT * FROM spi3", _spi_sql(3, "spi3", "pearson")), '"SPI"')
 def i08_pearson(spark, sf):
     return indices.spi(dense(spark, sf), "precip", 3, "pearson", keys=KEY).select("pixel_id", "time", "SPI")
 
 
-@query("i13_district_features")
+_DISTRICT = [f"{v}{n}{m}" for v, m in (("VCI", "M"), ("RCI", "M"), ("RFE", "M"), ("SPI", "")) for n in (1, 3)]
+_DISTRICT_SQL = _spi_sql(1, "spi1") + ", " + _spi_sql(3, "spi3") + """,
+    ci AS (SELECT *, 100 * (vci - min(vci) OVER g) / nullif(max(vci) OVER g - min(vci) OVER g, 0) AS v, 100 * (precip - min(precip) OVER g) / nullif(max(precip) OVER g - min(precip) OVER g, 0) AS r FROM dense WINDOW g AS (PARTITION BY pixel_id, month(time))),
+    wide AS (SELECT c.pixel_id, c.time, v AS "VCI1M", r AS "RCI1M", precip AS "RFE1M", s1."SPI" AS "SPI1", s3."SPI" AS "SPI3",
+        CASE WHEN count(v) OVER w = 3 THEN avg(v) OVER w END AS "VCI3M", CASE WHEN count(r) OVER w = 3 THEN avg(r) OVER w END AS "RCI3M", CASE WHEN count(precip) OVER w = 3 THEN avg(precip) OVER w END AS "RFE3M"
+        FROM ci c JOIN spi1 s1 ON s1.pixel_id = c.pixel_id AND s1.time = c.time JOIN spi3 s3 ON s3.pixel_id = c.pixel_id AND s3.time = c.time WINDOW w AS (PARTITION BY c.pixel_id ORDER BY c.time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+    """ + "district AS (SELECT r_regionkey AS region_id, time, " + ", ".join(f'avg("{v}") AS "{v}"' for v in _DISTRICT) + " FROM wide JOIN region ON r_regionkey = pixel_id % 5 GROUP BY 1, 2)"
+
+
+@query("i13_district_features", cube_sql("SELECT *, " + ", ".join(f'lag("{v}", {k}) OVER w AS "{v}_t{k}"' for v in _DISTRICT for k in (1, 2, 3)) + " FROM district WINDOW w AS (PARTITION BY region_id ORDER BY time)", _DISTRICT_SQL),
+       " ".join(f'"{v}{t}"' for v in _DISTRICT for t in ("", "_t1", "_t2", "_t3")))
 def i13(spark, sf):
     cells = cubes.ship_regions(spark, sf).select("pixel_id", "region_id")
     return indices.district_features(dense(spark, sf), cells, "vci", "precip")

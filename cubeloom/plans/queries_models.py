@@ -119,14 +119,27 @@ def _scored(model, test, name):
     return evaluate.scores(model.transform(test), "y", "prediction", [F.lit(name).alias("model")], ("rmse", "mae", "r2", "n"))
 
 
-@query("g12_feature_subsets")
+_ALL = ["1", *LAGS, "y"]
+#: Each subset's columns are eliminated one after the other (Gauss and Jordan) from the sums of products of the training rows; its error comes from those of the test rows.
+GRAM = EX + f""", whole AS (SELECT * FROM parts WHERE split IS NOT NULL AND y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in LAGS)}),
+    grams AS (SELECT split, count(*) AS n, [{', '.join('[' + ', '.join(f'sum({a} * {b})::DOUBLE' for b in _ALL) + ']' for a in _ALL)}] AS g FROM whole GROUP BY 1)"""
+_PIVOT = "[CASE WHEN i = k THEN [x / a[k][k] for x in a[i]] ELSE [a[i][j] - a[i][k] * a[k][j] / a[k][k] for j in range(1, {w})] END for i in range(1, {h})]"
+
+
+@query("g12_feature_subsets", cube_sql("SELECT model, sqrt(greatest(sse, 0) / n) AS rmse, 1 - sse / (g[8][8] - g[1][8] * g[1][8] / n) AS r2, n FROM errors", GRAM + f""",
+    solved AS (
+        WITH RECURSIVE s(mask, k, a) AS (
+            SELECT mask, 1, (SELECT g[1:7] FROM grams WHERE split = 'train') FROM range(1, 64) r(mask)
+            UNION ALL
+            SELECT mask, k + 1, CASE WHEN k = 1 OR (mask >> (k - 2)) & 1 = 1 THEN {_PIVOT.format(w=9, h=8)} ELSE a END FROM s WHERE k <= 7)
+        SELECT mask, [CASE WHEN i = 1 OR (mask >> (i - 2)) & 1 = 1 THEN a[i][8] ELSE 0 END for i in range(1, 8)] AS b FROM s WHERE k = 8),
+    errors AS (
+        SELECT array_to_string([c for c in [CASE WHEN (mask >> i) & 1 = 1 THEN {LAGS}[i + 1] END for i in range(6)] if c IS NOT NULL], '+') AS model, n, g,
+            g[8][8] - 2 * list_sum([b[i] * g[i][8] for i in range(1, 8)]) + list_sum([b[i] * list_sum([b[j] * g[i][j] for j in range(1, 8)]) for i in range(1, 8)]) AS sse
+        FROM solved, grams WHERE split = 'test')"""), "rmse r2")
 def g12(spark, sf):
-    both = features.complete(split(spark, sf), [*LAGS, "y"])
-    found = []
-    for name, columns in features.feature_subsets({"precip": LAGS[:P], "vci": LAGS[P:]}):
-        part = features.feature_vector(both, columns)
-        found.append(_scored(models.linear(part.filter("split = 'train'")), part.filter("split = 'test'"), name))
-    return agg.concat(found)
+    """All 63 subsets of six lags, from one aggregate."""
+    return features.subset_scores(split(spark, sf), {c: [c] for c in LAGS})
 
 
 @query("g13_training_periods", cube_sql("SELECT CAST(year AS INTEGER) AS year, tercile, role FROM roles WHERE role IS NOT NULL", """
@@ -164,14 +177,13 @@ def m03_gradient(spark, sf):
 @query("m05_trees")
 def m05(spark, sf):
     train, test = prepared(spark, sf)
-    boosted = models.boosted_trees(train, validation="validation", iterations=5, depth=3)
-    return agg.concat([_scored(boosted, test, "boosted"), _scored(models.random_forest(train, trees=5, depth=4), test, "forest")])
+    return agg.concat([_scored(models.boosted_trees(train, validation="validation"), test, "boosted"), _scored(models.random_forest(train), test, "forest")])
 
 
 @query("m06_importance")
 def m06(spark, sf):
     train, test = prepared(spark, sf)
-    forest = models.random_forest(train, trees=5, depth=4)
+    forest = models.random_forest(train)
     own = spark.createDataFrame(list(zip(LAGS, map(float, forest.featureImportances.toArray()), strict=True)), "feature string, own double")
     return models.permutation_importance(forest, test, LAGS).join(own, "feature")
 
@@ -179,7 +191,7 @@ def m06(spark, sf):
 @query("m07_grid_search")
 def m07(spark, sf):
     train, test = prepared(spark, sf)
-    return _scored(models.grid_search(train, regs=(0.0, 1.0), nets=(0.0,), folds=2).bestModel, test, "grid")
+    return _scored(models.grid_search(train).bestModel, test, "grid")
 
 
 @query("m08_contributions", cube_sql("SELECT pixel_id, target_month, 0.5 * (precip_t1 - a) AS shap_precip_t1, -2.0 * (vci_t1 - b) AS shap_vci_t1 FROM parts, (SELECT avg(precip_t1) AS a, avg(vci_t1) AS b FROM parts WHERE split = 'train') WHERE split = 'test'", EX), "shap_precip_t1 shap_vci_t1")
@@ -196,6 +208,29 @@ def m09(spark, sf):
     return found.join(models.principal_components(vectors).select("vec_id", "pc_1", "pc_2"), "vec_id").withColumns({c: F.abs(F.col(c)) for c in ("pc_1", "pc_2")})
 
 
+_STEPS, _KS = 4, (2, 3)
+
+
+def _lloyd_sql() -> str:
+    """Steps of k-means by month from the same first centres, one after the other."""
+    order = "('0x' || substr(md5(vec_id || ':1'), 1, 8))::BIGINT"
+    near = "SELECT vec_id, p.month, k, cluster, f, sqrt(list_sum([(f[i] - center[i]) ** 2 for i in range(1, len(f) + 1)])) AS distance FROM p JOIN c{n} c ON c.month = p.month"
+    parts = [f"""p AS (SELECT vec_id, CAST(vec_id % 12 + 1 AS INTEGER) AS month, CAST(embedding AS DOUBLE[]) AS f FROM embeddings),
+        c0 AS (SELECT month, k, c AS cluster, f AS center FROM (SELECT month, f, CAST(row_number() OVER (PARTITION BY month ORDER BY {order}, vec_id) - 1 AS INTEGER) AS c FROM p), (VALUES {', '.join(f'({k})' for k in _KS)}) v(k) WHERE c < k)"""]
+    for n in range(_STEPS + 1):
+        parts.append(f"a{n} AS (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, k ORDER BY distance, cluster) AS o FROM ({near.format(n=n)})) WHERE o = 1)")
+        parts.append(f"""c{n + 1} AS (
+            SELECT month, k, cluster, list(m ORDER BY i) AS center FROM (SELECT month, k, cluster, i, avg(f[i]) AS m FROM a{n}, range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL
+            UNION ALL SELECT month, k, cluster, center FROM c{n} WHERE (month, k, cluster) NOT IN (SELECT (month, k, cluster) FROM a{n}))""")
+    return "WITH " + ", ".join(parts[:-1]) + f" SELECT vec_id, month, CAST(k AS INTEGER) AS k, cluster, distance FROM a{_STEPS}"
+
+
+@query("m09_clusters_by_month", _lloyd_sql(), "distance")
+def m09_months(spark, sf):
+    vectors = cubes.table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 12 + 1).cast("int").alias("month"), F.col("embedding").alias("features"))
+    return models.clusters_by_group(vectors, _KS, steps=_STEPS)
+
+
 @query("m10_matched_labels")
 def m10(spark, sf):
     from ..operators.masks import remap
@@ -547,6 +582,21 @@ def s01(spark, sf):
     return ingest.monthly_means(spark, f"{folder}/sums")
 
 
+_LINES = "lines AS (SELECT CAST(l_suppkey % 25 AS INTEGER) AS pixel_id, last_day(l_shipdate) AS time, CAST(l_quantity AS DOUBLE) AS quantity, year(l_shipdate) = 1996 AND l_linenumber = 1 AS held FROM lineitem)"
+
+
+@query("s01_final_means", f"WITH {_LINES} SELECT pixel_id, time, avg(quantity) FILTER (NOT held) AS mean, count(quantity) FILTER (NOT held) AS n, count(*) FILTER (held) AS late FROM lines WHERE time <= (SELECT max(time) - 40 FROM lines) GROUP BY 1, 2", "mean")
+def s01_final(spark, sf):
+    """Rows up to 1999 arrive first; after the stream was started again the rest, and with it the first lines of 1996, too late for their months."""
+    folder = scratch_folder(spark)
+    rows = cubes.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 25).cast("int").alias("pixel_id"), F.to_date("l_shipdate").alias("time"), F.col("l_quantity").cast("double").alias("quantity"), ((F.year("l_shipdate") == 1996) & (F.col("l_linenumber") == 1)).alias("held"))
+    second = (F.year("time") > 1999) | F.col("held")
+    for part in (~second, second):
+        rows.filter(part).drop("held").write.mode("append").parquet(f"{folder}/raw")
+        ingest.start_final_means(spark, f"{folder}/raw", rows.drop("held").schema, f"{folder}/final", f"{folder}/seen", "quantity", files_each=1000).awaitTermination()
+    return ingest.late_rows(spark, f"{folder}/raw", rows.drop("held").schema, f"{folder}/final")
+
+
 _COMPLETE = f"""{EX}, complete AS (SELECT a.* FROM parts a LEFT JOIN parts b ON b.pixel_id = a.pixel_id AND b.split = a.split AND year(b.target_month) = year(a.target_month) - 1 AND month(b.target_month) = month(a.target_month)
         WHERE a.split IS NOT NULL AND a.y IS NOT NULL AND (b.pixel_id IS NULL OR b.y IS NOT NULL) AND {' AND '.join(f'a.{c} IS NOT NULL' for c in LAGS)}),
     means AS (SELECT pixel_id, month(target_month) AS m, avg(y) AS preds FROM complete WHERE split = 'train' GROUP BY 1, 2),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
 
 
 def _open(spark: SparkSession, raw: str, schema: StructType, files_each: int) -> DataFrame:
@@ -40,8 +40,25 @@ def start_final_means(
     spark: SparkSession, raw: str, schema: StructType, folder: str, checkpoint: str, value: str, keys=("pixel_id",), time: str = "time",
     late: str = "40 days", files_each: int = 8,
 ) -> StreamingQuery:
-    """Write each month's means once, when the watermark has passed the month by ``late``, which must be longer than a month."""
+    """Write each month's means once, when the watermark has passed the month by ``late``, which must be longer than a month.
+
+    Each row of ``folder`` says from how many values (``n``) and rows (``rows``) its mean comes. Sums of open months are the stream's state, which lies with the
+    checkpoint: a run that is started again goes on where the last one ended. Rows that come after their month was given out no longer
+    change it; late_rows() counts them.
+    """
     rows = _open(spark, raw, schema, files_each).withColumn("_at", F.to_timestamp(F.last_day(time))).withWatermark("_at", late)
-    means = rows.groupBy(*keys, "_at").agg(F.avg(value).alias("mean"))
-    stream = means.select(*keys, F.to_date("_at").alias(time), "mean").writeStream.outputMode("append").format("parquet")
+    means = rows.groupBy(*keys, "_at").agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.count("*").alias("rows"))
+    stream = means.select(*keys, F.to_date("_at").alias(time), "mean", "n", "rows").writeStream.outputMode("append").format("parquet")
     return stream.option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_rows(spark: SparkSession, raw: str, schema: StructType, folder: str, keys=("pixel_id",), time: str = "time") -> DataFrame:
+    """``keys, time, mean, n, late`` of all months up to the last that start_final_means() has given out: its means, and how many rows came too late for them.
+
+    A month of which every row came too late has a null mean and 0 values.
+    """
+    final = spark.read.schema(StructType([*(schema[k] for k in keys), StructField(time, DateType()), StructField("mean", DoubleType()), StructField("n", LongType()), StructField("rows", LongType())])).parquet(folder)
+    last = final.agg(F.max(time).alias("_last"))  # one row
+    came = spark.read.schema(schema).parquet(raw).groupBy(*keys, F.last_day(time).alias(time)).agg(F.count("*").alias("_came"))
+    closed = came.join(F.broadcast(last), F.col(time) <= F.col("_last")).join(final, [*keys, time], "left")
+    return closed.select(*keys, time, "mean", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.col("_came") - F.coalesce("rows", F.lit(0))).cast("long").alias("late"))
