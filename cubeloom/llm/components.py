@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each step hangs neighbours under the smallest id that is near: first the larger neighbours of every
     id, then it and its smaller ones. It ends when the edges no longer change. Minima come from partial
-    aggregates, so an id with very many neighbours is never gathered. Each step's edges are written and the last step's deleted.
+    aggregates, so an id with very many neighbours is never gathered. Repeated edges and those of an id with itself make no difference, edges with a
+    null are left out, and without edges nothing is returned. Each step's edges are written and the last step's deleted.
     """
     now = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u > v").distinct()
     work = Workspace(edges.sparkSession)

@@ -74,7 +74,8 @@ def exact_groups(
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay of each group of equal texts.
 
-    Rows are told apart by their ids: those that repeat an id stay or go together, and those without an id stay.
+    Rows are told apart by their ids: those that repeat an id stay or go together, and those without an id stay. Null counts as the empty text, texts are
+    compared whole, other columns may have any names, and an empty table stays empty.
     """
     own = free_name(docs, "dropped_id")
     dropped = exact_groups(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias(own)).distinct()

@@ -37,8 +37,8 @@ def temperature_weights(
     shares = sources.withColumn("share", F.col("tokens") / F.lit(float(all_tokens or 1)))
 
     def judged(low: float, high: float) -> list:
-        grid = [low + (high - low) * k / _SECTIONS for k in range(_SECTIONS + 1)]
-        powers = shares.select("share", F.explode(F.array(*map(F.lit, grid))).alias("a"))
+        grid = F.explode(F.sequence(F.lit(0), F.lit(_SECTIONS))).alias("k")
+        powers = shares.select("share", grid).withColumn("a", F.lit(low) + F.lit(high - low) * F.col("k") / F.lit(_SECTIONS))
         powers = powers.withColumn("q", F.pow("share", "a"))
         sums = powers.groupBy("a").agg(
             F.sum("q").alias("z"), F.sum(F.col("q") * F.log("q")).alias("qlq"), F.count("*").alias("n"),
@@ -95,7 +95,8 @@ def mix_plan(
     """What is read how often, by source and by block.
 
     Of each source: ``source, weight, repeats, times, blocks``, where ``times`` is how often it is read in full. Of each
-    block: ``source, block, upto``, where its documents up to the random number ``upto`` are read once more.
+    block: ``source, block, upto``, where its documents up to the random number ``upto`` are read once more. Rows count as mix_copies() says; an empty
+    table gives two empty plans.
     """
     rows = docs.select(
         F.col(source_col).cast("string").alias("source"),
@@ -187,7 +188,9 @@ def mix_sources(
     """``docs`` with each row as often as mix_copies() says, in all its columns, in the order of reading.
 
     Pass ``p`` over a source reads its blocks in their permutation ``p``; passes and sources are interleaved, so that any
-    stretch of the order has about the target weights, and copies of a document lie a pass apart.
+    stretch of the order has about the target weights, and copies of a document lie a pass apart. Null sources are one source of their own, null and
+    empty texts count as one token, long ones by all their words; rows that repeat an id (or have none) are read alike; columns may have any names; an
+    empty table stays empty.
     """
     plan = mix_plan(docs, target_entropy, max_repeats, budget, block_tokens, seed, id_col, text_col, source_col)
     own = free_name(docs, "mix")
