@@ -12,11 +12,9 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, as sums depend on the order of rows.
-
-    A hair above, so that halves of the last place, which means of prices often are, go one way; no negative zeros.
-    """
-    return df.select(*[(F.round(F.col(c) + 3e-8, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to six places, as sums depend on the order of rows; as decimals of nine places, so that halves of the last place go one way. No negative zeros."""
+    six = lambda c: F.coalesce(F.round(F.col(c).try_cast("decimal(38,9)"), 6).cast("double"), F.col(c)) + F.lit(0.0)
+    return df.select(*[six(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, doubles: str = ""):
@@ -25,7 +23,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
     def keep(function: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: rounded(function(spark, sf_dir))
         if sql is not None:
-            replaced = ", ".join(f"round({c} + 3e-8, 6) + 0.0 AS {c}" for c in doubles.split())
+            replaced = ", ".join(f"coalesce(round(TRY_CAST({c} AS DECIMAL(38, 9)), 6)::DOUBLE, {c}) + 0.0 AS {c}" for c in doubles.split())
             ORACLES[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if doubles else sql
         return function
 
