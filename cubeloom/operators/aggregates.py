@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.calendar import bucket, days_in_month, dekad_end, dekad_start, group_key, months_ahead, season
 from ..functions.numeric import ratio
 from ..sources.cubes import PIXEL
-from .order import percentiles, places, same_group
+from .order import average_ranks, percentiles, percentiles_of_counts, places_from_both_ends, same_group, stored, value_counts
 
 
 def resample(df: DataFrame, rule: str, values: list[str], keys=PIXEL, time: str = "time", how=F.avg, fill: bool = True) -> DataFrame:
@@ -165,14 +165,19 @@ def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Pearson's r of average ranks."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranks = {}
-    for name, v in (("_rx", x), ("_ry", y)):
-        group = Window.partitionBy(*by)
-        ties = Window.partitionBy(*by, v)
-        ranks[name] = F.rank().over(group.orderBy(v)) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    return both.withColumns(ranks).groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"))
+    """Pearson's r of average ranks, on rows with both; null where a variable has one value only.
+
+    Equal pairs are counted first. Ranks are found for counted values by ranges, so no task holds a group; as the mean rank is (n + 1) / 2, one sum
+    over the counted pairs is left.
+    """
+    pairs = stored(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n")))
+    met = pairs
+    for v, name in (("_x", "_rx"), ("_y", "_ry")):
+        counts = stored(pairs.groupBy(*by, v).agg(F.sum("_n").alias("_n")))
+        ranks = average_ranks(counts, v, by, name)
+        met = same_group(met, ranks.select(*by, v, (F.col(name) - (F.col("_all") + 1) / 2).alias(name)), [*by, v])
+    total = lambda a, b: F.sum(F.col("_n") * F.col(a) * F.col(b))
+    return met.groupBy(*by).agg(ratio(total("_rx", "_ry"), F.sqrt(total("_rx", "_rx")) * F.sqrt(total("_ry", "_ry"))).alias("rho"))
 
 
 def correlation_matrix(df: DataFrame, values: list[str]) -> DataFrame:
@@ -226,11 +231,16 @@ def normalised_cycle(df: DataFrame, value: str, keys=PIXEL, time: str = "time")
 
 
 def summary(df: DataFrame, values: list[str]) -> DataFrame:
-    """``variable, min, max, mean, median``."""
-    parts = [F.struct(F.lit(v).alias("variable"), *(f(v).cast("double").alias(n) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg)))).alias(v) for v in values]
-    found = df.agg(*parts).select(F.explode(F.array(*values)).alias("s")).select("s.*")
-    medians = reduce(lambda a, b: a.unionByName(b), [percentiles(df, v, {"median": 0.5}).withColumn("variable", F.lit(v)) for v in values])
-    return found.join(medians, "variable", "left")
+    """``variable, min, max, mean, median``, nulls where a variable has no value.
+
+    One scan counts the values of all variables (as doubles); the rest works on the counts.
+    """
+    long = df.select(*[F.col(v).cast("double").alias(v) for v in values]).unpivot([], values, "variable", "_v")
+    counts = value_counts(long, "_v", ["variable"])
+    found = counts.groupBy("variable").agg(F.min("_v").alias("min"), F.max("_v").alias("max"), ratio(F.sum(F.col("_v") * F.col("_n")), F.sum("_n")).alias("mean"))
+    medians = percentiles_of_counts(counts, "_v", {"median": 0.5}, ["variable"])
+    names = df.sparkSession.createDataFrame([(v,) for v in values], "variable string")
+    return names.join(found, "variable", "left").join(medians, "variable", "left")
 
 
 def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
@@ -252,14 +262,8 @@ def top_n(df: DataFrame, value: str, n: int = 10, largest: bool = True, by: list
 
 def flag_extremes(df: DataFrame, value: str, sizes=(5, 10), by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """``top_{n}`` and ``bottom_{n}``: whether the row is among the n with the most or the least."""
-    by, ties = by or [], ties or []
-    df = df.withColumns({"_none": F.col(value).isNull().cast("int"), "_less": -F.col(value)})
-    for side, order in (("top", "_less"), ("bottom", value)):  # nulls are last from either side
-        nulls = df.groupBy(*by).agg(F.sum("_none").alias("_nulls"))
-        df = same_group(places(df, order, by, ties), nulls, by)
-        at = F.when(F.col("_none") == 1, F.col("_all") - F.col("_nulls") + F.col("_place")).otherwise(F.col("_place") - F.col("_nulls"))
-        df = df.withColumns({f"{side}_{n}": at <= n for n in sizes}).drop("_place", "_all", "_nulls")
-    return df.drop("_none", "_less")
+    found = places_from_both_ends(df, value, by or [], ties or [])
+    return found.withColumns({f"{side}_{n}": F.col(at) <= n for side, at in (("top", "_most"), ("bottom", "_least")) for n in sizes}).drop("_most", "_least")
 
 
 def concat(tables: list[DataFrame]) -> DataFrame:

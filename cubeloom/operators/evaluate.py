@@ -10,6 +10,7 @@ from ..functions.calendar import season
 from ..functions.numeric import ratio
 from ..sources.cubes import PIXEL
 from .joins import full_product
+from .order import same_group
 
 
 def pairs(df: DataFrame, truth: str, preds: str) -> DataFrame:
@@ -33,28 +34,27 @@ def scores(df: DataFrame, truth: str, preds: str, by: list, metrics=("rmse", "r2
     return pairs(df, truth, preds).groupBy(*by).agg(*[sums[m].alias(m) for m in metrics])
 
 
-def evaluate(df: DataFrame, truth: str, preds: str, time: str = "time") -> DataFrame:
-    """RMSE and R2 of each month, and of all together (``period`` "total")."""
-    months = scores(df, truth, preds, [F.date_format(time, "yyyy-MM").alias("period")])
-    return months.unionByName(scores(df, truth, preds, [F.lit("total").alias("period")]))
+def evaluate(df: DataFrame, truth: str, preds: str, time: str = "time", by: tuple[str, ...] = ()) -> DataFrame:
+    """RMSE and R2 of each month, and of all together (``period`` "total"), in each group of ``by``."""
+    months = scores(df, truth, preds, [*by, F.date_format(time, "yyyy-MM").alias("period")])
+    return months.unionByName(scores(df, truth, preds, [*by, F.lit("total").alias("period")]))
 
 
-def spatial_rmse(df: DataFrame, truth: str, preds: str, keys=PIXEL, time: str = "time") -> DataFrame:
-    """RMSE by cell over all times, missing ones counted too; null where the first prediction is missing."""
-    times = df.agg(F.countDistinct(time).alias("_t"))
+def spatial_rmse(df: DataFrame, truth: str, preds: str, keys=PIXEL, time: str = "time", by: tuple[str, ...] = ()) -> DataFrame:
+    """RMSE by cell over all times of the group, missing ones counted too; null where the first prediction is missing."""
+    times = df.groupBy(*by).agg(F.countDistinct(time).alias("_t"))
     e = F.col(truth) - F.col(preds)
-    found = df.groupBy(*keys).agg(F.coalesce(F.sum(e * e), F.lit(0.0)).alias("_s"), F.min_by(F.isnull(preds), time).alias("_mask"))
-    found = found.join(F.broadcast(times))  # one row
-    return found.select(*keys, F.when(~F.col("_mask"), F.sqrt(F.col("_s") / F.col("_t"))).alias("rmse"))
+    found = df.groupBy(*by, *keys).agg(F.coalesce(F.sum(e * e), F.lit(0.0)).alias("_s"), F.min_by(F.isnull(preds), time).alias("_mask"))
+    found = same_group(found, times, [*by])
+    return found.select(*by, *keys, F.when(~F.col("_mask"), F.sqrt(F.col("_s") / F.col("_t"))).alias("rmse"))
 
 
-def spatial_r2(df: DataFrame, truth: str, preds: str, keys=PIXEL) -> DataFrame:
-    """R2 by cell, whose total is taken about the mean of all predictions."""
-    centre = df.agg(F.avg(preds).alias("_c"))
+def spatial_r2(df: DataFrame, truth: str, preds: str, keys=PIXEL, by: tuple[str, ...] = ()) -> DataFrame:
+    """R2 by cell, whose total is taken about the mean of all predictions of the group."""
+    centre = df.groupBy(*by).agg(F.avg(preds).alias("_c"))
     t, p = F.col(truth), F.col(preds)
-    rows = df.join(F.broadcast(centre))  # one row
-    found = rows.groupBy(*keys).agg((1 - ratio(F.sum((t - p) * (t - p)), F.sum((t - F.col("_c")) * (t - F.col("_c"))))).alias("r2"))
-    return found
+    rows = same_group(df, centre, [*by])
+    return rows.groupBy(*by, *keys).agg((1 - ratio(F.sum((t - p) * (t - p)), F.sum((t - F.col("_c")) * (t - F.col("_c"))))).alias("r2"))
 
 
 def nse(df: DataFrame, truth: str, preds: str, by: list) -> DataFrame:

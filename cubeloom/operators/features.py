@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.calendar import month_index
+from ..functions.numeric import ratio
 from ..sources.cubes import PIXEL, densify
 from .aggregates import norm_table, static_means
 from .masks import standardise
@@ -123,6 +124,19 @@ def validation_mask(examples: DataFrame, ratio: float = 0.1, seed: int = 1, mont
     return examples.withColumn("validation", chosen)
 
 
+def fold(examples: DataFrame, keys: list[str], folds: int = 3, seed: int = 1, out: str = "fold") -> DataFrame:
+    """``out``: a fold number that a hash of the keys decides, so that an example keeps its fold whatever the partitions or the other rows."""
+    return examples.withColumn(out, (dealt_number(F.concat_ws(":", *keys), seed) % folds).cast("int"))
+
+
+def binned(df: DataFrame, columns: list[str], bins: int = 16) -> DataFrame:
+    """Each column's equal-width bin, from 0.0, in place of its value; a column of one value is bin 0, nulls stay."""
+    ends = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max))])
+    found = df.join(F.broadcast(ends))  # one row
+    place = lambda c: F.coalesce(F.floor(bins * ratio(F.col(c) - F.col(f"_a_{c}"), F.col(f"_b_{c}") - F.col(f"_a_{c}"))), F.lit(0))
+    return found.withColumns({c: F.when(F.col(c).isNotNull(), F.least(place(c), F.lit(bins - 1)).cast("double")) for c in columns}).drop(*ends.columns)
+
+
 def feature_subsets(groups: dict[str, list[str]], least: int = 1) -> list[tuple[str, list[str]]]:
     """Every combination of groups of columns, by name."""
     names = sorted(groups)

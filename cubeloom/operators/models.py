@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -156,13 +156,20 @@ def _with_place(array: str, k: int, value):
     return F.transform(array, lambda x, i: F.when(i == k, value).otherwise(x))
 
 
-def grid_search(train: DataFrame, label: str = "y", regs=(0.0, 0.1, 1.0), nets=(0.0, 0.5), folds: int = 3, seed: int = 1):
-    """Scaled features and a linear model, chosen by cross-validation."""
+def grid_search(train: DataFrame, label: str = "y", regs=(0.0, 0.1, 1.0), nets=(0.0, 0.5), folds: int = 3, seed: int = 1, fold: str | None = None):
+    """Scaled features and a linear model, chosen by cross-validation; ``fold`` names a column of fold numbers (features.fold()) to take in place of chance."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     model = LinearRegression(labelCol=label, featuresCol="scaled")
     grid = ParamGridBuilder().addGrid(model.regParam, list(regs)).addGrid(model.elasticNetParam, list(nets)).build()
     judge = RegressionEvaluator(labelCol=label, metricName="rmse")
-    return CrossValidator(estimator=Pipeline(stages=[scaler, model]), estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed, parallelism=4).fit(train)
+    search = CrossValidator(estimator=Pipeline(stages=[scaler, model]), estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed, parallelism=4)
+    return (search if fold is None else search.setFoldCol(fold)).fit(train)
+
+
+def grid_scores(spark: SparkSession, found) -> DataFrame:
+    """``reg, net, rmse``: the mean RMSE over the folds of each candidate of a grid search, a row for each."""
+    rows = [({p.name: v for p, v in m.items()}, s) for m, s in zip(found.getEstimatorParamMaps(), found.avgMetrics, strict=True)]
+    return spark.createDataFrame([(float(m["regParam"]), float(m["elasticNetParam"]), float(s)) for m, s in rows], "reg double, net double, rmse double")
 
 
 def linear_contributions(train: DataFrame, df: DataFrame, coefficients: list[float], columns: list[str]) -> DataFrame:

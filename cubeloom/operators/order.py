@@ -63,17 +63,29 @@ def permuted(number: Column, n: int, seed: int) -> Column:
     return walked if spare <= 64 else F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a number left the permutation")).cast("long"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written once and read again, so that several steps over it don't compute it again."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _dealt(df: DataFrame, value: str, by: list[str], weight: Column) -> DataFrame:
-    """``df`` with ``_range``, the rows before it in the group (``_before``) and all of the group (``_all``); nulls come first."""
+    """``df`` with ``_range``, the rows of it (``_sum``) and before it in the group (``_before``), all of the group (``_all``) and those without a value (``_nulls``), which come first.
+
+    Reads ``df`` three times, so it should be stored. A range is found in two steps, among every 16th edge and then among the 15 that follow.
+    """
     edges = F.percentile_approx(value, F.array(*[F.lit(k / _RANGES) for k in range(1, _RANGES)]), F.lit(4 * _RANGES))
-    edges = df.groupBy(*by).agg(edges.alias("_edges"), F.sum(weight).alias("_all"))
-    found = same_group(df, edges, by)
-    number = F.size(F.filter(F.coalesce("_edges", F.array()), lambda e: e < F.col(value)))
-    found = found.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(number)).drop("_edges")
+    none = F.coalesce(F.sum(F.when(F.col(value).isNull(), weight)), F.lit(0))
+    edges = df.groupBy(*by).agg(F.coalesce(edges, F.array()).alias("_edges"), F.sum(weight).alias("_all"), none.alias("_nulls"))
+    edges = edges.withColumn("_coarse", F.filter("_edges", lambda e, i: i % 16 == 15))
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value)))
+    found = same_group(df, edges, by).withColumn("_step", 16 * below(F.col("_coarse")))
+    number = F.col("_step") + below(F.slice("_edges", F.col("_step") + 1, F.lit(15)))
+    found = found.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(number)).drop("_edges", "_coarse", "_step")
     sums = found.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_sum")  # a row for each range
-    sums = sums.withColumn("_before", before).drop("_sum")
-    return same_group(found, sums, [*by, "_range"])
+    return same_group(found, sums.withColumn("_before", before), [*by, "_range"])
 
 
 def same_group(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
@@ -88,8 +100,34 @@ def same_group(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
 def places(df: DataFrame, value: str, by: list[str], ties: list[str], out: str = "_place", count: str = "_all") -> DataFrame:
     """The place of each row, from 1, in its group by value and ties, nulls first; and the rows of the group."""
     inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(value, *ties))
-    found = _dealt(df, value, by, F.lit(1))
-    return found.withColumn(out, F.col("_before") + inside).withColumnRenamed("_all", count).drop("_range", "_before")
+    found = _dealt(stored(df), value, by, F.lit(1))
+    return found.withColumn(out, F.col("_before") + inside).withColumnRenamed("_all", count).drop("_range", "_before", "_sum", "_nulls")
+
+
+def places_from_both_ends(df: DataFrame, value: str, by: list[str], ties: list[str], least: str = "_least", most: str = "_most") -> DataFrame:
+    """The place of each row, from 1, counted from the least value and from the most, ties in one order both ways and nulls last both ways.
+
+    Rows are dealt once: what is above a range is the group without the range and what is below it. Both orders share the exchange by range.
+    """
+    inside = Window.partitionBy(*by, "_range")
+    up, down = F.row_number().over(inside.orderBy(value, *ties)), F.row_number().over(inside.orderBy(F.col(value).desc(), *ties))
+    found = _dealt(stored(df), value, by, F.lit(1)).withColumns({"_up": up, "_down": down})
+    last = F.col("_all") - F.col("_nulls") + F.col("_up")
+    places = {least: F.col("_before") - F.col("_nulls") + F.col("_up"), most: F.col("_all") - F.col("_before") - F.col("_sum") + F.col("_down")}
+    found = found.withColumns({name: F.when(F.col(value).isNull(), last).otherwise(at) for name, at in places.items()})
+    return found.drop("_range", "_before", "_sum", "_all", "_nulls", "_up", "_down")
+
+
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``by, value, _n``: how often each value stands in its group, nulls left out; stored."""
+    return stored(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")))
+
+
+def average_ranks(counts: DataFrame, value: str, by: list[str], out: str = "_rank") -> DataFrame:
+    """Counted values (value_counts()) with the mean of the places that a value's rows take in the group, and the rows of the group (``_all``)."""
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value))
+    dealt = _dealt(counts, value, by, F.col("_n")).withColumn(out, F.col("_before") + upto - (F.col("_n") - 1) / 2)
+    return dealt.select(*by, value, "_n", out, "_all")
 
 
 def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -97,11 +135,14 @@ def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[st
 
     Equal values are counted first. A group without a value has no row; without groups the row of an empty table has nulls.
     """
-    by = by or []
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    dealt = _dealt(rows, value, by, F.col("_n"))
+    return percentiles_of_counts(value_counts(df, value, by or []), value, shares, by or [])
+
+
+def percentiles_of_counts(counts: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """percentiles() of counted values (value_counts())."""
+    dealt = _dealt(counts, value, by, F.col("_n"))
     wanted = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), at(F.lit(q) * (F.col("_all") - 1)).cast("long").alias("at")) for name, q in shares.items() for side, at in (("low", F.floor), ("high", F.ceil))]
-    held = dealt.groupBy(*by, "_range", "_before", "_all").agg(F.sum("_n").alias("_sum"))
+    held = dealt.select(*by, "_range", "_before", "_all", "_sum").distinct()
     hit = held.withColumn("_w", F.explode(F.array(*wanted))).filter("_w.at >= _before and _w.at < _before + _sum")
     hit = hit.select(*by, "_range", "_w").groupBy(*by, "_range").agg(F.collect_list("_w").alias("_ws"))  # two for each share at most
     inside = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value))

@@ -131,13 +131,16 @@ def a12(spark, sf):
     return cubes.to_long(cubes.cube_ship(spark, sf), ["precip", "vci"], KEY)
 
 
-@query("a12_to_cube", """
-    SELECT CAST(user_id AS INTEGER) AS pixel_id, CAST(ts AS DATE) AS time, first(value) FILTER (event_type = 'click') AS click, first(value) FILTER (event_type = 'error') AS error
-    FROM (SELECT user_id, ts, event_type, max(value) OVER (PARTITION BY user_id, CAST(ts AS DATE), event_type) AS value FROM events WHERE event_type IN ('click', 'error')) GROUP BY 1, 2""", "click error")
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("a12_to_cube", f"""
+    SELECT CAST(user_id AS INTEGER) AS pixel_id, CAST(ts AS DATE) AS time, {', '.join(f"max(value) FILTER (event_type = '{k}') AS {k}" for k in _KINDS)}
+    FROM events GROUP BY 1, 2""", " ".join(_KINDS))
 def a12_cube(spark, sf):
-    rows = cubes.table(spark, sf, "events").filter("event_type in ('click', 'error')")
+    rows = cubes.table(spark, sf, "events")
     long = rows.groupBy(F.col("user_id").cast("int").alias("pixel_id"), F.to_date("ts").alias("time"), F.col("event_type").alias("variable")).agg(F.max("value").alias("value"))
-    return cubes.to_cube(long, ["click", "error"], KEY)
+    return cubes.to_cube(long, _KINDS, KEY)
 
 
 @query("a14_region_lookup", "SELECT r_regionkey AS region_id, r_name AS region_name FROM region")

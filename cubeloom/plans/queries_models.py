@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -50,12 +52,19 @@ RMSE, MAE = "sqrt(avg((y - preds) ** 2))", "avg(abs(y - preds))"
 R2 = "CASE WHEN count(*) > 1 AND var_pop(y) * count(*) > 1e-12 THEN 1 - sum((y - preds) ** 2) / (var_pop(y) * count(*)) END"
 
 
-@query("a04_examples_table", cube_sql("SELECT pixel_id, target_month, y FROM parts WHERE split = 'test' AND year(target_month) = 2000 AND month(target_month) = 5", EX), "y")
+@query("a04_examples_table", cube_sql(f"SELECT pixel_id, target_month, split, {', '.join(LAGS)}, y FROM parts WHERE split IS NOT NULL", EX), " ".join([*LAGS, "y"]))
 def a04(spark, sf):
     path = scratch_folder(spark)
     cubes.write_examples(split(spark, sf), path)
-    months = [r.m for r in spark.createDataFrame([("2000-05-31",)], "m string").select(F.to_date("m").alias("m")).collect()]
-    return cubes.read_examples(spark, path, "test", months).select("pixel_id", "target_month", "y")
+    return agg.concat([cubes.read_examples(spark, path, part).select("pixel_id", "target_month", "split", *LAGS, "y") for part in ("train", "test")])
+
+
+@query("a04_examples_of_months", cube_sql("SELECT pixel_id, target_month, y FROM parts WHERE split = 'test' AND month(target_month) = 5", EX), "y")
+def a04_months(spark, sf):
+    """May of both test years, by the folders of those months."""
+    path = scratch_folder(spark)
+    cubes.write_examples(split(spark, sf), path)
+    return cubes.read_examples(spark, path, "test", [date(2000, 5, 31), date(2001, 5, 31)]).select("pixel_id", "target_month", "y")
 
 
 @query("g01_one_month_examples", cube_sql(f"SELECT pixel_id, target_month, {', '.join(LAGS)}, y FROM full_ex", EX), " ".join([*LAGS, "y"]))
@@ -120,19 +129,25 @@ def _scored(model, test, name):
 
 
 _ALL = ["1", *LAGS, "y"]
+WHOLE = EX + f", whole AS (SELECT * FROM parts WHERE split IS NOT NULL AND y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in LAGS)})"
 #: Each subset's columns are eliminated one after the other (Gauss and Jordan) from the sums of products of the training rows; its error comes from those of the test rows.
-GRAM = EX + f""", whole AS (SELECT * FROM parts WHERE split IS NOT NULL AND y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in LAGS)}),
+GRAM = WHOLE + f""",
     grams AS (SELECT split, count(*) AS n, [{', '.join('[' + ', '.join(f'sum({a} * {b})::DOUBLE' for b in _ALL) + ']' for a in _ALL)}] AS g FROM whole GROUP BY 1)"""
 _PIVOT = "[CASE WHEN i = k THEN [x / a[k][k] for x in a[i]] ELSE [a[i][j] - a[i][k] * a[k][j] / a[k][k] for j in range(1, {w})] END for i in range(1, {h})]"
 
 
-@query("g12_feature_subsets", cube_sql("SELECT model, sqrt(greatest(sse, 0) / n) AS rmse, 1 - sse / (g[8][8] - g[1][8] * g[1][8] / n) AS r2, n FROM errors", GRAM + f""",
+def _solved(masks: str) -> str:
+    """``mask, b``: intercept and weights of the lags whose bits the mask has."""
+    return f"""
     solved AS (
         WITH RECURSIVE s(mask, k, a) AS (
-            SELECT mask, 1, (SELECT g[1:7] FROM grams WHERE split = 'train') FROM range(1, 64) r(mask)
+            SELECT mask, 1, (SELECT g[1:7] FROM grams WHERE split = 'train') FROM range({masks}) r(mask)
             UNION ALL
             SELECT mask, k + 1, CASE WHEN k = 1 OR (mask >> (k - 2)) & 1 = 1 THEN {_PIVOT.format(w=9, h=8)} ELSE a END FROM s WHERE k <= 7)
-        SELECT mask, [CASE WHEN i = 1 OR (mask >> (i - 2)) & 1 = 1 THEN a[i][8] ELSE 0 END for i in range(1, 8)] AS b FROM s WHERE k = 8),
+        SELECT mask, [CASE WHEN i = 1 OR (mask >> (i - 2)) & 1 = 1 THEN a[i][8] ELSE 0 END for i in range(1, 8)] AS b FROM s WHERE k = 8)"""
+
+
+@query("g12_feature_subsets", cube_sql("SELECT model, sqrt(greatest(sse, 0) / n) AS rmse, 1 - sse / (g[8][8] - g[1][8] * g[1][8] / n) AS r2, n FROM errors", GRAM + "," + _solved("1, 64") + f""",
     errors AS (
         SELECT array_to_string([c for c in [CASE WHEN (mask >> i) & 1 = 1 THEN {LAGS}[i + 1] END for i in range(6)] if c IS NOT NULL], '+') AS model, n, g,
             g[8][8] - 2 * list_sum([b[i] * g[i][8] for i in range(1, 8)]) + list_sum([b[i] * list_sum([b[j] * g[i][j] for j in range(1, 8)]) for i in range(1, 8)]) AS sse
@@ -180,6 +195,21 @@ def m05(spark, sf):
     return agg.concat([_scored(models.boosted_trees(train, validation="validation"), test, "boosted"), _scored(models.random_forest(train), test, "forest")])
 
 
+_BINS = ", ".join(f"CAST(least(floor(16 * ({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0)), 15) AS DOUBLE)" for c in LAGS)
+
+
+@query("m05_first_split", cube_sql("SELECT pixel_id, target_month, CASE WHEN v[f] <= edge THEN low ELSE high END AS prediction FROM bins, best WHERE split = 'test'", WHOLE + f""",
+    bins AS (SELECT pixel_id, target_month, split, CAST(y AS DOUBLE) AS y, [coalesce(x, 0) for x in [{_BINS}]] AS v FROM whole),
+    sums AS (SELECT f, edge, sum(y) FILTER (v[f] <= edge) AS s, count(*) FILTER (v[f] <= edge) AS n, sum(y) AS s_all, count(*) AS n_all FROM bins, range(1, 7) a(f), range(0, 15) b(edge) WHERE split = 'train' GROUP BY 1, 2),
+    best AS (SELECT f, edge, s / n AS low, (s_all - s) / (n_all - n) AS high FROM sums WHERE n BETWEEN 1 AND n_all - 1 ORDER BY s * s / n + (s_all - s) ** 2 / (n_all - n) DESC LIMIT 1)"""), "prediction")
+def m05_split(spark, sf):
+    """What one boosting round of depth 1 learns from lags in 16 bins: the split that leaves the least squared error."""
+    found = features.binned(features.complete(split(spark, sf), [*LAGS, "y"]).filter("split is not null"), LAGS)
+    found = features.feature_vector(found, LAGS)
+    model = models.boosted_trees(found.filter("split = 'train'"), iterations=1, depth=1)
+    return model.transform(found.filter("split = 'test'")).select("pixel_id", "target_month", "prediction")
+
+
 @query("m06_importance")
 def m06(spark, sf):
     train, test = prepared(spark, sf)
@@ -194,6 +224,19 @@ def m07(spark, sf):
     return _scored(models.grid_search(train).bestModel, test, "grid")
 
 
+@query("m07_grid_scores", cube_sql("SELECT reg::DOUBLE AS reg, net::DOUBLE AS net, CAST(avg(rmse) AS DECIMAL(38, 3))::DOUBLE AS rmse FROM errors GROUP BY 1, 2", WHOLE + """,
+    folds AS (SELECT precip_t1 AS x, y, ('0x' || substr(md5(pixel_id || ':' || target_month || ':1'), 1, 8))::BIGINT % 3 AS fold FROM whole WHERE split = 'train'),
+    fits AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, corr(x, y) AS r FROM (SELECT DISTINCT fold FROM folds) f JOIN folds t ON t.fold <> f.fold GROUP BY 1),
+    slopes AS (SELECT *, sign(r) * greatest(abs(r) - net * reg / sy, 0) / (1 + (1 - net) * reg / sy) * sy / sx AS b FROM fits, (VALUES (0), (10), (100)) a(reg), (VALUES (0), (0.5)) c(net)),
+    errors AS (SELECT reg, net, fold, sqrt(avg((y - my - b * (x - mx)) ** 2)) AS rmse FROM slopes JOIN folds USING (fold) GROUP BY 1, 2, 3)"""))
+def m07_scores(spark, sf):
+    """Every candidate's error over three folds by hash, for the last month's rain alone, where ridge and lasso have closed forms."""
+    found = features.complete(split(spark, sf), [*LAGS, "y"]).filter("split = 'train'")
+    found = features.feature_vector(features.fold(found, ["pixel_id", "target_month"]), ["precip_t1"])
+    scores = models.grid_scores(spark, models.grid_search(found, regs=(0.0, 10.0, 100.0), fold="fold"))
+    return scores.withColumn("rmse", F.col("rmse").cast("decimal(38,3)").cast("double"))
+
+
 @query("m08_contributions", cube_sql("SELECT pixel_id, target_month, 0.5 * (precip_t1 - a) AS shap_precip_t1, -2.0 * (vci_t1 - b) AS shap_vci_t1 FROM parts, (SELECT avg(precip_t1) AS a, avg(vci_t1) AS b FROM parts WHERE split = 'train') WHERE split = 'test'", EX), "shap_precip_t1 shap_vci_t1")
 def m08(spark, sf):
     both, columns = split(spark, sf), ["precip_t1", "vci_t1"]
@@ -267,14 +310,16 @@ def m11(spark, sf):
     return models.observation_weights(examples(spark, sf), below=700.0).select("pixel_id", "target_month", "weight")
 
 
-@query("m12_saved_model")
+@query("m12_saved_model", cube_sql(f"SELECT pixel_id, target_month, y, CAST(b[1] + {' + '.join(f'b[{k + 2}] * {c}' for k, c in enumerate(LAGS))} AS DECIMAL(38, 2))::DOUBLE AS prediction FROM whole, solved WHERE split = 'test'", GRAM + "," + _solved("63, 64")), "y")
 def m12(spark, sf):
+    """Predictions to two places, as two ways to solve the same equations agree to about six."""
     from pyspark.ml.regression import LinearRegressionModel
 
     train, test = prepared(spark, sf)
     path = scratch_folder(spark)
     models.save_model(models.linear(train), path)
-    return LinearRegressionModel.load(path).transform(test).select("pixel_id", "target_month", "y", "prediction")
+    found = LinearRegressionModel.load(path).transform(test)
+    return found.select("pixel_id", "target_month", "y", F.col("prediction").cast("decimal(38,2)").cast("double").alias("prediction"))
 
 
 @query("m13_contribution_summary", cube_sql("SELECT CAST(m AS INTEGER) AS month, variable, avg(abs(v)) AS mean_abs, avg(v) AS mean FROM (SELECT month(target_month) AS m, 'precip_t1' AS variable, 0.5 * (precip_t1 - a) AS v FROM t UNION ALL SELECT month(target_month), 'vci_t1', -2.0 * (vci_t1 - b) FROM t) GROUP BY 1, 2",
@@ -288,19 +333,19 @@ def m13(spark, sf):
 # scores
 
 
-@query("r01_evaluate", cube_sql(f"SELECT strftime(time, '%Y-%m') AS period, {RMSE} AS rmse, {R2} AS r2 FROM p GROUP BY 1 UNION ALL SELECT 'total', {RMSE}, {R2} FROM p", PREDS + ", p AS (SELECT * FROM pairs WHERE model = 'climatology')"), "rmse r2")
+@query("r01_evaluate", cube_sql(f"SELECT model, strftime(time, '%Y-%m') AS period, {RMSE} AS rmse, {R2} AS r2 FROM pairs GROUP BY 1, 2 UNION ALL SELECT model, 'total', {RMSE}, {R2} FROM pairs GROUP BY 1", PREDS), "rmse r2")
 def r01(spark, sf):
-    return evaluate.evaluate(modelled(spark, sf).filter("model = 'climatology'"), "y", "preds")
+    return evaluate.evaluate(modelled(spark, sf), "y", "preds", by=("model",))
 
 
-@query("r02_spatial_rmse", cube_sql("SELECT pixel_id, CASE WHEN NOT arg_min(preds IS NULL, time) THEN sqrt(coalesce(sum((y - preds) ** 2), 0) / any_value(t)) END AS rmse FROM p, (SELECT count(DISTINCT time) AS t FROM p) GROUP BY 1", PREDS + ", p AS (SELECT * FROM preds WHERE model = 'persistence')"), "rmse")
+@query("r02_spatial_rmse", cube_sql("SELECT model, pixel_id, CASE WHEN NOT arg_min(preds IS NULL, time) THEN sqrt(coalesce(sum((y - preds) ** 2), 0) / any_value(t)) END AS rmse FROM preds p JOIN (SELECT model, count(DISTINCT time) AS t FROM preds GROUP BY 1) USING (model) GROUP BY 1, 2", PREDS), "rmse")
 def r02(spark, sf):
-    return evaluate.spatial_rmse(modelled(spark, sf).filter("model = 'persistence'"), "y", "preds", KEY)
+    return evaluate.spatial_rmse(modelled(spark, sf), "y", "preds", ["pixel_id"], by=("model",))
 
 
-@query("r03_spatial_r2", cube_sql("SELECT pixel_id, 1 - sum((y - preds) ** 2) / nullif(sum((y - c) ** 2), 0) AS r2 FROM p, (SELECT avg(preds) AS c FROM p) GROUP BY 1", PREDS + ", p AS (SELECT * FROM preds WHERE model = 'persistence')"), "r2")
+@query("r03_spatial_r2", cube_sql("SELECT model, pixel_id, 1 - sum((y - preds) ** 2) / nullif(sum((y - c) ** 2), 0) AS r2 FROM preds p JOIN (SELECT model, avg(preds) AS c FROM preds GROUP BY 1) USING (model) GROUP BY 1, 2", PREDS), "r2")
 def r03(spark, sf):
-    return evaluate.spatial_r2(modelled(spark, sf).filter("model = 'persistence'"), "y", "preds", KEY)
+    return evaluate.spatial_r2(modelled(spark, sf), "y", "preds", ["pixel_id"], by=("model",))
 
 
 @query("r04_nse", cube_sql(f"SELECT model, pixel_id, {R2} AS nse, {RMSE} AS rmse FROM pairs GROUP BY 1, 2", PREDS), "nse rmse")
