@@ -69,7 +69,8 @@ def nearest_time(df: DataFrame, other: DataFrame, values: list[str], keys=PIXEL,
 def surrounding(df: DataFrame, value: str, reach: int = 1, time: str = "time", complete: bool = True) -> DataFrame:
     """``lat_{i}_lon_{j}_{value}``: the value i cells back along lat and j along lon. With ``complete``, cells that lack one go.
 
-    Each row goes to the cells beside it along lon; what has gathered there is read by windows along lat.
+    Each row goes to the cells beside it along lon; what has gathered there is read by windows along lat. A cell has one row for each time: of several,
+    the least by its columns in order stays, and their largest value is what neighbours see.
     """
     reaches = range(-reach, reach + 1)
     shifts = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if (i, j) != (0, 0)]
@@ -78,7 +79,7 @@ def surrounding(df: DataFrame, value: str, reach: int = 1, time: str = "time", c
     sent = df.select("lat_idx", "lon_idx", F.col(time).alias("_t"), F.col(value).alias("_v"), row.alias("_row"), moved)
     sent = sent.withColumns({"lon_idx": F.col("lon_idx") + F.col("_j"), "_row": F.when(F.col("_j") == 0, F.col("_row"))})
     beside = [F.max(F.when(F.col("_j") == j, F.col("_v"))).alias(f"_{j}") for j in reaches]
-    found = sent.groupBy("lon_idx", "_t", "lat_idx").agg(F.first("_row", ignorenulls=True).alias("_row"), *beside)
+    found = sent.groupBy("lon_idx", "_t", "lat_idx").agg(F.min("_row").alias("_row"), *beside)
     along = Window.partitionBy("lon_idx", "_t").orderBy("lat_idx")
     names = {(i, j): f"lat_{i}_lon_{j}_{value}" for i, j in shifts}
     found = found.select("_row", *[F.max(f"_{j}").over(along.rangeBetween(-i, -i)).alias(n) for (i, j), n in names.items()])

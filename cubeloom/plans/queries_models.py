@@ -128,35 +128,63 @@ def _scored(model, test, name):
     return evaluate.scores(model.transform(test), "y", "prediction", [F.lit(name).alias("model")], ("rmse", "mae", "r2", "n"))
 
 
-_ALL = ["1", *LAGS, "y"]
 WHOLE = EX + f", whole AS (SELECT * FROM parts WHERE split IS NOT NULL AND y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in LAGS)})"
-#: Each subset's columns are eliminated one after the other (Gauss and Jordan) from the sums of products of the training rows; its error comes from those of the test rows.
-GRAM = WHOLE + f""",
-    grams AS (SELECT split, count(*) AS n, [{', '.join('[' + ', '.join(f'sum({a} * {b})::DOUBLE' for b in _ALL) + ']' for a in _ALL)}] AS g FROM whole GROUP BY 1)"""
 _PIVOT = "[CASE WHEN i = k THEN [x / a[k][k] for x in a[i]] ELSE [a[i][j] - a[i][k] * a[k][j] / a[k][k] for j in range(1, {w})] END for i in range(1, {h})]"
 
 
-def _solved(masks: str) -> str:
-    """``mask, b``: intercept and weights of the lags whose bits the mask has."""
+def _solved(masks: str, columns: list[str], source: str = "whole") -> str:
+    """``grams``: sums of products of the constant, the columns and y; ``solved``: ``mask, b``, intercept and weights of the columns whose bits the mask has.
+
+    Each mask's columns are eliminated one after the other (Gauss and Jordan) from the sums of the training rows.
+    """
+    d, every = len(columns), ["1", *columns, "y"]
     return f"""
+    grams AS (SELECT split, count(*) AS n, [{', '.join('[' + ', '.join(f'sum({a} * {b})::DOUBLE' for b in every) + ']' for a in every)}] AS g FROM {source} GROUP BY 1),
     solved AS (
         WITH RECURSIVE s(mask, k, a) AS (
-            SELECT mask, 1, (SELECT g[1:7] FROM grams WHERE split = 'train') FROM range({masks}) r(mask)
+            SELECT mask, 1, (SELECT g[1:{d + 1}] FROM grams WHERE split = 'train') FROM {masks} r(mask)
             UNION ALL
-            SELECT mask, k + 1, CASE WHEN k = 1 OR (mask >> (k - 2)) & 1 = 1 THEN {_PIVOT.format(w=9, h=8)} ELSE a END FROM s WHERE k <= 7)
-        SELECT mask, [CASE WHEN i = 1 OR (mask >> (i - 2)) & 1 = 1 THEN a[i][8] ELSE 0 END for i in range(1, 8)] AS b FROM s WHERE k = 8)"""
+            SELECT mask, k + 1, CASE WHEN k = 1 OR (mask >> (k - 2)) & 1 = 1 THEN {_PIVOT.format(w=d + 3, h=d + 2)} ELSE a END FROM s WHERE k <= {d + 1})
+        SELECT mask, [CASE WHEN i = 1 OR (mask >> (i - 2)) & 1 = 1 THEN a[i][{d + 2}] ELSE 0 END for i in range(1, {d + 2})] AS b FROM s WHERE k = {d + 2})"""
 
 
-@query("g12_feature_subsets", cube_sql("SELECT model, sqrt(greatest(sse, 0) / n) AS rmse, 1 - sse / (g[8][8] - g[1][8] * g[1][8] / n) AS r2, n FROM errors", GRAM + "," + _solved("1, 64") + f""",
+def _subset_errors(d: int, name: str) -> str:
+    """Errors of each mask's fit, from the sums of the test rows."""
+    y, places = d + 2, f"range(1, {d + 2})"
+    return f"""
     errors AS (
-        SELECT array_to_string([c for c in [CASE WHEN (mask >> i) & 1 = 1 THEN {LAGS}[i + 1] END for i in range(6)] if c IS NOT NULL], '+') AS model, n, g,
-            g[8][8] - 2 * list_sum([b[i] * g[i][8] for i in range(1, 8)]) + list_sum([b[i] * list_sum([b[j] * g[i][j] for j in range(1, 8)]) for i in range(1, 8)]) AS sse
-        FROM solved, grams WHERE split = 'test')"""), "rmse r2")
+        SELECT {name} AS model, n, g[{y}][{y}] - g[1][{y}] * g[1][{y}] / n AS sst,
+            g[{y}][{y}] - 2 * list_sum([b[i] * g[i][{y}] for i in {places}]) + list_sum([b[i] * list_sum([b[j] * g[i][j] for j in {places}]) for i in {places}]) AS sse
+        FROM solved, grams WHERE split = 'test')"""
+
+
+_SUBSETS = "SELECT model, sqrt(greatest(sse, 0) / n) AS rmse, 1 - sse / sst AS r2, n FROM errors"
+
+
+@query("g12_feature_subsets", cube_sql(_SUBSETS, ",".join([WHOLE, _solved("range(1, 64)", LAGS),
+    _subset_errors(6, f"array_to_string([c for c in [CASE WHEN (mask >> i) & 1 = 1 THEN {LAGS}[i + 1] END for i in range(6)] if c IS NOT NULL], '+')")])), "rmse r2")
 def g12(spark, sf):
     """All 63 subsets of six lags, from one aggregate."""
     return features.subset_scores(split(spark, sf), {c: [c] for c in LAGS})
 
 
+_STATIC = ["precip_pixel_mean_norm", "vci_pixel_mean_norm"]
+_GROUPS = {"autoregressive": LAGS[:P], "dynamic": LAGS[P:], "static": _STATIC}
+_GROUP_BITS = (7, 56, 192)
+
+
+@query("g12_feature_groups", cube_sql(_SUBSETS, ",".join([WHOLE, """
+    cells AS (SELECT pixel_id, avg(precip) AS p, avg(vci) AS v FROM dense WHERE year(time) < 2000 GROUP BY 1),
+    norms AS (SELECT pixel_id, (p - avg(p) OVER ()) / stddev_pop(p) OVER () AS precip_pixel_mean_norm, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS vci_pixel_mean_norm FROM cells),
+    wide AS (SELECT * FROM whole JOIN norms USING (pixel_id))""",
+    _solved("(VALUES (7), (56), (63), (192), (199), (248), (255))", [*LAGS, *_STATIC], "wide"),
+    _subset_errors(8, f"array_to_string([c for c in [CASE WHEN mask & {list(_GROUP_BITS)}[i] > 0 THEN {list(_GROUPS)}[i] END for i in range(1, 4)] if c IS NOT NULL], '+')")])), "rmse r2")
+def g12_groups(spark, sf):
+    """What the target's own past, the other variable's past and what is fixed for a cell each add: all combinations of the three."""
+    static = features.static_features(dense(spark, sf), ["precip", "vci"], [2000], KEY).select("pixel_id", *_STATIC)
+    return features.subset_scores(split(spark, sf).join(static, "pixel_id"), _GROUPS)
+
+
 @query("g13_training_periods", cube_sql("SELECT CAST(year AS INTEGER) AS year, tercile, role FROM roles WHERE role IS NOT NULL", """
     medians AS (SELECT year, median(m) AS m FROM (SELECT pixel_id, year(time) AS year, median(vci) AS m FROM dense GROUP BY 1, 2) GROUP BY 1),
     terciles AS (SELECT year, ['low', 'med', 'high'][CAST(ntile(3) OVER (ORDER BY m NULLS FIRST, year) AS INTEGER)] AS tercile, ('0x' || substr(md5(year || ':1'), 1, 8))::BIGINT AS o FROM medians),
@@ -310,7 +338,7 @@ def m11(spark, sf):
     return models.observation_weights(examples(spark, sf), below=700.0).select("pixel_id", "target_month", "weight")
 
 
-@query("m12_saved_model", cube_sql(f"SELECT pixel_id, target_month, y, CAST(b[1] + {' + '.join(f'b[{k + 2}] * {c}' for k, c in enumerate(LAGS))} AS DECIMAL(38, 2))::DOUBLE AS prediction FROM whole, solved WHERE split = 'test'", GRAM + "," + _solved("63, 64")), "y")
+@query("m12_saved_model", cube_sql(f"SELECT pixel_id, target_month, y, CAST(b[1] + {' + '.join(f'b[{k + 2}] * {c}' for k, c in enumerate(LAGS))} AS DECIMAL(38, 2))::DOUBLE AS prediction FROM whole, solved WHERE split = 'test'", WHOLE + "," + _solved("(VALUES (63))", LAGS)), "y")
 def m12(spark, sf):
     """Predictions to two places, as two ways to solve the same equations agree to about six."""
     from pyspark.ml.regression import LinearRegressionModel
@@ -630,16 +658,28 @@ def s01(spark, sf):
 _LINES = "lines AS (SELECT CAST(l_suppkey % 25 AS INTEGER) AS pixel_id, last_day(l_shipdate) AS time, CAST(l_quantity AS DOUBLE) AS quantity, year(l_shipdate) = 1996 AND l_linenumber = 1 AS held FROM lineitem)"
 
 
-@query("s01_final_means", f"WITH {_LINES} SELECT pixel_id, time, avg(quantity) FILTER (NOT held) AS mean, count(quantity) FILTER (NOT held) AS n, count(*) FILTER (held) AS late FROM lines WHERE time <= (SELECT max(time) - 40 FROM lines) GROUP BY 1, 2", "mean")
-def s01_final(spark, sf):
-    """Rows up to 1999 arrive first; after the stream was started again the rest, and with it the first lines of 1996, too late for their months."""
+def final_means(spark, sf):
+    """Raw files, their schema and final means. Rows up to 1999 arrive first; after the stream was started again the rest, and with it the first lines of 1996, too late for their months."""
     folder = scratch_folder(spark)
     rows = cubes.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 25).cast("int").alias("pixel_id"), F.to_date("l_shipdate").alias("time"), F.col("l_quantity").cast("double").alias("quantity"), ((F.year("l_shipdate") == 1996) & (F.col("l_linenumber") == 1)).alias("held"))
     second = (F.year("time") > 1999) | F.col("held")
+    schema = rows.drop("held").schema
     for part in (~second, second):
         rows.filter(part).drop("held").write.mode("append").parquet(f"{folder}/raw")
-        ingest.start_final_means(spark, f"{folder}/raw", rows.drop("held").schema, f"{folder}/final", f"{folder}/seen", "quantity", files_each=1000).awaitTermination()
-    return ingest.late_rows(spark, f"{folder}/raw", rows.drop("held").schema, f"{folder}/final")
+        ingest.start_final_means(spark, f"{folder}/raw", schema, f"{folder}/final", f"{folder}/seen", "quantity", files_each=1000).awaitTermination()
+    return f"{folder}/raw", schema, f"{folder}/final"
+
+
+@query("s01_final_means", f"WITH {_LINES} SELECT pixel_id, time, avg(quantity) FILTER (NOT held) AS mean, count(quantity) FILTER (NOT held) AS n, count(*) FILTER (held) AS late FROM lines WHERE time <= (SELECT max(time) - 40 FROM lines) GROUP BY 1, 2", "mean")
+def s01_final(spark, sf):
+    return ingest.late_rows(spark, *final_means(spark, sf))
+
+
+@query("s01_amended_means", f"WITH {_LINES} SELECT pixel_id, time, avg(quantity) AS mean, count(quantity) AS n, count(*) FILTER (held) > 0 AS amended FROM lines WHERE time <= (SELECT max(time) - 40 FROM lines) GROUP BY 1, 2", "mean")
+def s01_amended(spark, sf):
+    """s01_final_means with the late rows merged into the months that had been given out."""
+    raw, schema, final = final_means(spark, sf)
+    return ingest.amended_means(spark, raw, schema, final, "quantity")
 
 
 _COMPLETE = f"""{EX}, complete AS (SELECT a.* FROM parts a LEFT JOIN parts b ON b.pixel_id = a.pixel_id AND b.split = a.split AND year(b.target_month) = year(a.target_month) - 1 AND month(b.target_month) = month(a.target_month)

@@ -2,7 +2,7 @@
 
 Every batch of new files is added to sums and counts by cell and month, which are stored by batch number, so that a batch
 that runs twice replaces itself. Means read from the sums equal those of a batch job over the same files, however late a
-file comes; the watermark variant gives each month once it can no longer change.
+file comes; the watermark variant gives each month once it can no longer change, and what comes too late for that can be merged in afterwards.
 """
 
 from __future__ import annotations
@@ -62,3 +62,17 @@ def late_rows(spark: SparkSession, raw: str, schema: StructType, folder: str, ke
     came = spark.read.schema(schema).parquet(raw).groupBy(*keys, F.last_day(time).alias(time)).agg(F.count("*").alias("_came"))
     closed = came.join(F.broadcast(last), F.col(time) <= F.col("_last")).join(final, [*keys, time], "left")
     return closed.select(*keys, time, "mean", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.col("_came") - F.coalesce("rows", F.lit(0))).cast("long").alias("late"))
+
+
+def amended_means(spark: SparkSession, raw: str, schema: StructType, folder: str, value: str, keys=("pixel_id",), time: str = "time") -> DataFrame:
+    """``keys, time, mean, n, amended``: the months that start_final_means() has given out, those with late rows computed again from all their rows.
+
+    Only rows of amended months are aggregated; what was given out in time is taken as it stands. The folder isn't changed, so a reader of the first
+    edition and one of the amended means can work side by side.
+    """
+    given = late_rows(spark, raw, schema, folder, keys, time)
+    late = given.filter("late > 0").select(*keys, time)
+    rows = spark.read.schema(schema).parquet(raw).withColumn(time, F.last_day(time))
+    again = rows.join(late, [*keys, time], "left_semi").groupBy(*keys, time).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    kept = given.filter("late = 0").select(*keys, time, "mean", "n", F.lit(False).alias("amended"))
+    return kept.unionByName(again.withColumn("amended", F.lit(True)))

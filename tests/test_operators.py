@@ -394,6 +394,26 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert got == {(0, 1): (1.0, 2, 1), **{(0, m): (float(m), 2, 0) for m in range(2, 7)}, (1, 2): (None, 0, 0), (2, 2): (None, 0, 1)}
 
 
+def test_late_rows_are_merged(spark, tmp_path):
+    day = lambda m, d: date(2000, m, d)
+    first = [(0, day(m, d), float(m)) for m in range(1, 7) for d in (1, 15)]
+    late = [(0, day(1, 20), 99.0), (2, day(2, 1), 5.0), (0, day(3, 2), None), (0, day(8, 5), 1.0)]
+    for part in (first, late):
+        df = spark.createDataFrame(part, "pixel_id int, time date, v double")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/raw")
+        ingest.start_final_means(spark, f"{tmp_path}/raw", df.schema, f"{tmp_path}/final", f"{tmp_path}/seen", "v").awaitTermination()
+    got = {(r.pixel_id, r.time.month): (r["mean"], r.n, r.amended) for r in ingest.amended_means(spark, f"{tmp_path}/raw", df.schema, f"{tmp_path}/final", "v").collect()}
+    assert got == {(0, 1): (101 / 3, 3, True), (2, 2): (5.0, 1, True), (0, 3): (3.0, 2, True), **{(0, m): (float(m), 2, False) for m in (2, 4, 5, 6)}}
+
+
+def test_neighbours_of_repeated_rows(spark):
+    rows = [(i, j, date(2000, 1, 31), float(10 * i + j)) for i in range(3) for j in range(3)] + [(1, 1, date(2000, 1, 31), 50.0)] * 2
+    for n in (1, 6):
+        found = joins.surrounding(spark.createDataFrame(rows, "lat_idx int, lon_idx int, time date, v double").repartition(n), "v", complete=False)
+        found = {(r.lat_idx, r.lon_idx): r for r in found.collect()}
+        assert len(found) == 9 and found[1, 1].v == 11.0 and found[2, 2]["lat_1_lon_1_v"] == 50.0
+
+
 def test_labels_matched_by_region(spark):
     rows = [(k, k % 2, (k // 2 + k % 2) % 3, (k // 2) % 3) for k in range(120)]
     df = spark.createDataFrame(rows, "id int, region int, k long, r long")
