@@ -19,6 +19,24 @@ import numpy as np
 
 _LAST = np.int64(1) << 46
 _FEW = 32
+_SHORT = 1 << 14
+
+
+def _sorting(keys: np.ndarray) -> np.ndarray:
+    """The order of keys that are not negative, that of arrival among equal ones. Where key and place fit in one number, these
+    numbers are sorted, which takes a fraction of sorting places by their keys."""
+    n = len(keys)
+    bits = n.bit_length()
+    if not n or int(keys.max()) >> 63 - bits:
+        return np.argsort(keys, kind="stable")
+    return np.sort(keys.astype(np.int64) << bits | np.arange(n)) & (1 << bits) - 1
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value, the first aside, differs from the one before it; the first always does."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
 
 
 class DiskQueue:
@@ -35,9 +53,12 @@ class DiskQueue:
 
     @staticmethod
     def _split(rows: np.ndarray, bucket: np.ndarray, into: list[list], first: int) -> None:
+        if bucket[0] == bucket[-1] and (bucket == bucket[0]).all():
+            into[int(bucket[0]) - first].append(rows)
+            return
         order = np.argsort(bucket.astype(np.int16), kind="stable")
         bucket, rows = bucket[order], rows[order]
-        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+        edges = np.flatnonzero(_changes(bucket)).tolist()
         for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
             into[int(bucket[a]) - first].append(rows[a:b])
 
@@ -119,13 +140,13 @@ class Prefixes:
         if len(at):
             behind = np.full(len(prefix) + 1, cap, np.int64)
             behind[:-1] = np.minimum.accumulate(prefix[::-1])[::-1]
-            order = np.argsort(symbol, kind="stable")
+            order = _sorting(symbol)
             s, i = symbol[order], at[order]
-            again = s[1:] == s[:-1]
+            first = _changes(s)
+            again = ~first[1:]
             found = np.zeros(len(at), np.int64)
             if again.any():
                 found[1:][again] = 1 + _range_least(prefix, i[:-1][again] + 1, i[1:][again])
-            first = np.append(True, ~again)
             c = s[first]
             stamp = self.stamp[c]
             since = np.minimum(self.low[c], ahead[i[first]])
@@ -134,7 +155,7 @@ class Prefixes:
                 least = np.append(self.least, cap)[later]
                 since = np.minimum(since, least)
             found[first] = np.where(stamp < 0, 0, 1 + since)
-            last = np.append(~again, True)
+            last = np.append(first[1:], True)
             self.low[s[last]] = behind[i[last] + 1]
             self.stamp[s[last]] = self.batch
             out[order] = np.minimum(found, cap)
@@ -153,6 +174,13 @@ def _range_least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.
     level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
     out = np.empty(len(first), np.int64)
     table = values.astype(np.int16 if values.max(initial=0) < 1 << 15 else np.int64)
+    if len(values) <= _SHORT:  # the tables of all levels at once
+        tables = np.empty((int(level.max()) + 1, len(table)), table.dtype)
+        tables[0] = table
+        for k in range(1, len(tables)):
+            half = 1 << k - 1
+            np.minimum(tables[k - 1, :-half], tables[k - 1, half:], out=tables[k, :-half])
+        return np.minimum(tables[level, first], tables[level, last - (1 << level.astype(np.int64)) + 1])
     for k in range(int(level.max()) + 1):
         mine = np.flatnonzero(level == k)
         if len(mine):
@@ -180,21 +208,25 @@ def _induce(
     for bucket in range(queue.size):
         key, place, prefix = queue.pop(bucket)
         while len(key):
-            order = np.argsort(key, kind="stable")
-            key, place, prefix = key[order], place[order], prefix[order]
+            if (key[1:] < key[:-1]).any():
+                order = _sorting(key)
+                key, place, prefix = key[order], place[order], prefix[order]
             before = place - 1
             induces = wanted[before] & (place > 0)
             new = np.where(induces, keys(before), _LAST)
-            late = key[1:] > np.minimum.accumulate(new)[:-1]
-            n = int(np.argmax(late)) + 1 if late.any() else len(key)
+            n = len(key)
+            if new.min() < key[-1]:
+                late = key[1:] > np.minimum.accumulate(new)[:-1]
+                n = int(np.argmax(late)) + 1 if late.any() else n
             took, at, here = key[:n], place[:n], prefix[:n]
             own = took & 1 == 0
             chosen = np.flatnonzero(induces[:n])
             new, before = new[chosen], before[chosen]
             if carry:
                 # a seed after what was induced with its symbol: as far as both go on with the symbol
-                met = np.append(last[0], took[:-1]) == took - 1
-                met &= ~own
+                met = ~own
+                met[0] &= took[0] - last[0] == 1
+                met[1:] &= took[1:] - took[:-1] == 1
                 if met.any():
                     other = np.append(last[1], at[:-1])[met]
                     here[met] = np.minimum(np.minimum(run[at[met]], run[other]), cap)
@@ -205,10 +237,14 @@ def _induce(
                 more = np.zeros(len(new), np.int64)
             out.append(at[own])
             near = new >> queue.shift == bucket
-            queue.push(new[~near], before[~near], more[~near])
-            key = np.concatenate([key[n:], new[near]])
-            place = np.concatenate([place[n:], before[near]])
-            prefix = np.concatenate([prefix[n:], more[near]])
+            key, place, prefix = key[n:], place[n:], prefix[n:]
+            if near.any():
+                key = np.concatenate([key, new[near]])
+                place = np.concatenate([place, before[near]])
+                prefix = np.concatenate([prefix, more[near]])
+                far = ~near
+                new, before, more = new[far], before[far], more[far]
+            queue.push(new, before, more)
     queue.close()
     nothing = np.zeros(0, np.int64)
     return np.concatenate(out) if out else nothing, (np.concatenate(shared) if shared else nothing) if carry else None
@@ -274,7 +310,9 @@ def _names(text: np.ndarray, rising: np.ndarray, seeds: np.ndarray) -> np.ndarra
         rank[rows[order]] = r + np.maximum.accumulate(np.where(new, np.arange(len(r)), 0)) - first
         again = rows[order][tied]
         rows = np.sort(again[seeds[again] + done < ends[again]])
-    return np.unique(rank, return_inverse=True)[1]
+    used = np.zeros(len(rank), bool)
+    used[rank] = True
+    return (np.cumsum(used) - 1)[rank]
 
 
 def suffix_order(text: np.ndarray, memory: int = 1 << 21, cap: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +355,7 @@ def suffix_order(text: np.ndarray, memory: int = 1 << 21, cap: int = 0) -> tuple
     risen, of_risen = _induce(text, rising, falling[::-1], top, False, memory, back, run, cap)
     risen = risen[::-1]
     both = np.concatenate([[n - 1], falling, risen])
-    order = np.argsort(2 * text[both].astype(np.int64) + rising[both], kind="stable")
+    order = _sorting(2 * text[both].astype(np.int64) + rising[both])
     shared = np.zeros(n, np.int64)
     if cap:
         shared = np.concatenate([[0], of_falling, [0] * min(len(risen), 1), of_risen[:0:-1]])[order]
