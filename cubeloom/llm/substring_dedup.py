@@ -188,7 +188,7 @@ def repeated_parts(units: DataFrame, length: int, shard_bytes: int, crowd_bytes:
     )
     texts = stored(texts)
     # a repeated string reaches so far to both sides of its anchor that one of four contexts is repeated too
-    contexts = texts.mapInArrow(_contexts(length, salt), "anchor long, piece long, context long")
+    contexts = stored(texts.mapInArrow(_contexts(length, salt), "anchor long, piece long, context long"))
     met = contexts.groupBy("anchor", "context").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).filter("p != q")
     met = contexts.join(met.select("anchor", "context"), ["anchor", "context"]).select("anchor", "piece").distinct()
     texts = stored(texts.join(met, ["anchor", "piece"], "left_semi"))
