@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import Workspace, free_name, stored
+from .session import Workspace, few, free_name, stored
 from .words import Slice, mix, slices, windows
 
 WORDS = 5
@@ -401,13 +401,14 @@ def jaccard_components(
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(both.filter("counted")))
     # equal sets are one, with a number of its own
     equal = table(sets.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("low")).withColumn("rep", F.monotonically_increasing_id()))
-    members = stored(sets.drop("sketch").join(equal, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", "rep", "low"))
-    stands = equal.filter("low is not null").withColumnRenamed("low", "doc_id")
-    known = stands.join(sets, ["doc_id", "n_shingles", "k1", "k2"]).selectExpr("rep id", "n_shingles n", "k1 key", "sketch", "doc_id low")
+    few_equal = few(equal)
+    members = stored(sets.drop("sketch").join(few_equal, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", "rep", "low"))
+    stands = few_equal.filter("low is not null").withColumnRenamed("low", "doc_id")
+    known = sets.join(few(stands, equal), ["doc_id", "n_shingles", "k1", "k2"]).selectExpr("rep id", "n_shingles n", "k1 key", "sketch", "doc_id low")
     known = table(known.dropDuplicates(["id"]))  # rows that repeat id and set
     # an id with several texts is one document: its sets are linked, whatever they hold
     several = members.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last")
-    several = table(several.join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").filter("a < b").select("a", "b").distinct())
+    several = table(several)
     total = members.agg(F.sum("n_shingles").alias("all"), F.max("n_shingles").alias("most")).first()
     levels = Levels(num, den, total["most"] or 0)
     buckets = max(16, -(-(total["all"] or 0) // 1_000_000))
@@ -415,31 +416,48 @@ def jaccard_components(
     blocks = rows.select("text").mapInArrow(_groups(levels, buckets, order), _PACKED)
     shared = table(blocks.groupBy("bucket").applyInArrow(_shared(num, den), _MEMBERS))
 
-    linked = None if several.isEmpty() else several
-    labels = None if linked is None else connected_components(linked)
+    # the component of each id that has links, of which None are known yet
+    labels = None
+    if not several.isEmpty():
+        labels = connected_components(members.selectExpr("doc_id", "rep b").join(few(several), "doc_id").select("a", "b"))
 
     def link(candidates: DataFrame) -> None:
-        """Adds those pairs of ids ``a, b`` that are similar enough to the links, and finds the components anew."""
-        nonlocal linked, labels
+        """Adds those pairs of ids ``a, b`` that are similar enough to the links: the components they connect are joined."""
+        nonlocal labels
+        candidates = table(candidates)
+        if labels is not None and candidates.isEmpty():
+            return
         one, two = (known.selectExpr(f"id {x}", f"n n_{x}", f"sketch sketch_{x}") for x in "ab")
-        sketched = candidates.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        sketched = one.join(few(candidates), "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         likely = table(sketched.mapInArrow(_not_ruled_out(num, den), "a long, b long, n_a long, n_b long"))
         if labels is not None and likely.isEmpty():
             return
-        held = segments(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), fragments)
-        meet = likely.select("a", "b").join(held.selectExpr("id a", "fragment", "keys keys_a"), "a")
+        held = segments(likely.select(F.explode(F.array("a", "b")).alias("id")), fragments)
+        meet = held.selectExpr("id a", "fragment", "keys keys_a").join(few(likely.select("a", "b")), "a")
         meet = meet.join(held.selectExpr("id b", "fragment", "keys keys_b"), ["b", "fragment"])
         partial = meet.select("a", "b", "fragment", F.size(F.array_intersect("keys_a", "keys_b")).cast("long").alias("overlap"))
         summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("o"))
-        found = likely.join(summed, ["a", "b"]).filter(f"o * {den} >= (n_a + n_b - o) * {num}").select("a", "b")
-        found = table(found if linked is None else linked.unionByName(found))
-        if linked is None or found.count() > linked.count():
-            linked, labels = found, connected_components(found)
+        found = summed.join(few(likely), ["a", "b"]).filter(f"o * {den} >= (n_a + n_b - o) * {num}").select("a", "b")
+        if labels is None:
+            labels = connected_components(found)
+            return
+        few_labels = few(labels)
+        for x in "ab":
+            found = found.join(few_labels.selectExpr(f"id {x}", f"component component_{x}"), x, "left")
+        found = table(found.selectExpr("coalesce(component_a, a) a", "coalesce(component_b, b) b").filter("a != b"))
+        if found.isEmpty():
+            return
+        above = connected_components(found)
+        few_above = few(above)
+        new = above.join(few_labels.select("id"), "id", "left_anti")
+        old = labels.join(few_above.selectExpr("id component", "component top"), "component", "left").selectExpr("id", "coalesce(top, component) component")
+        labels = table(old.unionByName(new))
 
     def segments(ids: DataFrame, parts: int) -> DataFrame:
-        ids = table(ids.join(known.selectExpr("id", "low doc_id", "key"), "id"))
-        few = F.broadcast(ids) if ids.count() <= _FEW_IDS else ids
-        texts = rows.join(few, "doc_id").select("id", "text", "key")
+        """For each of the ids, which may repeat, what each fragment of the order has of its set."""
+        ids = table(known.selectExpr("id", "low doc_id", "key").join(few(ids), "id", "left_semi"))
+        sent = F.broadcast(ids) if ids.count() <= _FEW_IDS else ids
+        texts = rows.join(sent, "doc_id").select("id", "text", "key")
         return table(texts.mapInArrow(_segments(parts, order), "id long, fragment int, keys array<long>").groupBy("id", "fragment").agg(F.first("keys").alias("keys")))
 
     def pairs(a: str, b: str) -> list[Column]:
@@ -448,39 +466,39 @@ def jaccard_components(
     # the head of each group against its other members
     head = shared.filter(f"(key != head_key or n != head_n) and n * {den} >= head_n * {num} and head_n * {den} >= n * {num}")
     head = head.select("key", "n", "head_key", "head_n").distinct()
-    ids = known.select("id", "n", "key")
+    ids = few(known.select("id", "n", "key"))
     head = head.join(ids, ["key", "n"]).join(ids.selectExpr("id hub", "key head_key", "n head_n"), ["head_key", "head_n"])
     link(head.select(*pairs("id", "hub")).filter("a < b").distinct())
 
     def mixed(grouped: DataFrame, by: list[str]) -> DataFrame:
         """The groups that still hold several components: their members, with component and size."""
-        named = grouped.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = grouped.join(few(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
         seen = named.groupBy(*by).agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        return table(named.join(seen.filter("low < high").drop("low", "high"), by))
+        return table(named.join(few(table(seen.filter("low < high").drop("low", "high"))), by))
 
     def across(grouped: DataFrame, by: list[str]) -> DataFrame:
         """Pairs of members that may be linked, and would link two components."""
         sides = [grouped.select(*by, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "place"))) for x in "ab"]
-        met = sides[0].join(sides[1], by).filter("id_a < id_b and component_a != component_b")
+        met = sides[0].join(few(sides[1], grouped), by).filter("id_a < id_b and component_a != component_b")
         met = met.filter(_may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), num, den))
         return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
     joined = shared.filter("members > 2").join(ids, ["key", "n"]).select("sign", "id", "n", F.lit(0).alias("place")).distinct()
-    open_ = mixed(joined, ["sign"])
+    open_ = mixed(table(joined), ["sign"])
     link(across(open_.filter(F.col("size") <= _LARGE), ["sign"]))
 
     open_ = mixed(open_.filter(F.col("size") > _LARGE).select("sign", "id", "n"), ["sign"])
     if not open_.isEmpty():
         # the hub of a group is the member that is in most groups; in an order of the group's own, what the hub lacks comes first
         often = open_.groupBy("id").agg(F.count("*").alias("groups"))
-        hubs = open_.join(often, "id").groupBy("sign").agg(F.max(F.struct("groups", "id")).alias("hub"))
-        owned = table(open_.join(hubs.select("sign", F.col("hub.id").alias("hub")), "sign").select("hub", "id", "n").distinct())
-        whole = segments(owned.select("id").unionByName(owned.select(F.col("hub").alias("id"))).distinct(), 2)
+        hubs = open_.join(few(often, open_), "id").groupBy("sign").agg(F.max(F.struct("groups", "id")).alias("hub"))
+        owned = table(open_.join(few(hubs.select("sign", F.col("hub.id").alias("hub")), open_), "sign").select("hub", "id", "n").distinct())
+        whole = segments(owned.select("id").unionByName(owned.select(F.col("hub").alias("id"))), 2)
         whole = table(whole.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys")))
         own = owned.join(whole, "id").join(whole.selectExpr("id hub", "keys hub_keys"), "hub")
         first = F.concat(F.array_except("keys", "hub_keys"), F.array_intersect("keys", "hub_keys"))
         # with no member smaller than `least`, the first shingle in common is one of the first (den n - num least) / (num + den) + 1
-        own = own.join(owned.groupBy("hub").agg(F.min("n").alias("least")), "hub")
+        own = own.join(few(owned.groupBy("hub").agg(F.min("n").alias("least")), owned), "hub")
         least = F.expr(f"greatest(least, (n * {num} + {den - 1}) div {den})")
         lead = F.floor((F.col("n") * den - least * num) / (num + den) + 1).cast("int")
         dealt = table(own.select("hub", "id", "n", F.posexplode(F.slice(first, F.lit(1), lead)).alias("place", "sign")))
@@ -490,15 +508,15 @@ def jaccard_components(
                 found = across(open_, ["hub", "sign"])
             else:  # first, the member in which the shingle comes earliest
                 leads = open_.groupBy("hub", "sign").agg(F.min(F.struct("place", "id", "n", "component")).alias("h"))
-                met = open_.join(leads, ["hub", "sign"]).filter("id != h.id and component != h.component")
+                met = open_.join(few(leads, open_), ["hub", "sign"]).filter("id != h.id and component != h.component")
                 met = met.filter(_may_link(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"), num, den))
                 found = met.select(*pairs("id", "h.id")).distinct()
             link(found)
-    lows = labels.join(known.select("id", "low"), "id")
+    lows = table(known.select("id", "low").join(few(labels), "id"))
     lowest = lows.groupBy("component").agg(F.min("low").alias("lowest"))
-    labels = stored(lows.join(lowest, "component").selectExpr("id rep", "lowest component"))
+    labels = stored(lows.join(few(lowest, lows), "component").selectExpr("id rep", "lowest component"))
     work.drop()
-    return members.join(labels, "rep", "left").select(
+    return members.join(few(labels), "rep", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "low")).alias("component_id"),

@@ -157,3 +157,12 @@ def test_ids_with_several_texts(spark):
             seen.setdefault(r.doc_id, set()).add(r.component_id)
         assert seen == want
     assert jaccard_components(spark.createDataFrame([(1, base[0]), (1, base[1])], "doc_id long, text string")).select("component_id").distinct().count() == 1
+
+
+def test_tables_too_large_to_send(spark, monkeypatch):
+    """The same links where the tables meet in shuffles."""
+    import random
+
+    monkeypatch.setattr("cubeloom.llm.session.FEW", 0)
+    rows = make(random.Random(3), n_base=6)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
