@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import Workspace, few, free_name, stored
+from .session import Workspace, few, free_name, release_caches, stored
 from .words import Slice, mix, slices, windows
 
 WORDS = 5
@@ -203,6 +203,7 @@ _SETS = "counted boolean, doc_id long, n_shingles long, k1 long, k2 long, sketch
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text; and, marked as counted, the shingles that have the share of a frequent one in a block of texts (k1:
     the shingle, n_shingles: how often), equal sets counted once."""
+    release_caches()
     names = ["counted", "doc_id", "n_shingles", "k1", "k2", "sketch"]
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -290,6 +291,7 @@ def _groups(levels: Levels, buckets: int, order):
             yield pa.RecordBatch.from_pydict(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         parts, held, seen = [], 0, set()
         for batch in batches:
             for s in slices(batch.column(0), lower=True):
@@ -317,6 +319,7 @@ def _shared(num: int, den: int):
     the group, very large where some of it isn't here. The sizes of a group of two must allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
+        release_caches()
         out, here, more = [], [], []
         for row in table.to_pylist():
             columns = [_unplane(row[name], kind) for name, kind in _ROWS]
@@ -362,6 +365,7 @@ def _segments(fragments: int, order):
     """Segments of those of the texts that hold the set of the given key: the keys that each fragment of the order has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             for s in slices(batch.column(1), lower=True):
                 texts, found = shingles(s)

@@ -9,7 +9,6 @@ still open when a task ends is packed once more in the same way, together with t
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import stored
+from .session import stored, worker_cache
 
 SCHEMA = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -142,7 +141,7 @@ class CachedIds(dict):
         return b"".join(itemgetter(*chunks)(self)) if len(chunks) > 1 else self[chunks[0]] if chunks else b""
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def worker_ids(path: str) -> CachedIds:
     """One cache for all tasks of a Python worker."""
     return CachedIds(path)

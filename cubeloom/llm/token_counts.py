@@ -12,7 +12,6 @@ most ``table`` rows, however large the corpus is).
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, worker_cache
 
 #: The library's sign for a space.
 SPACE = "\u2581"
@@ -108,7 +107,7 @@ class UnitLengths:
         ]
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def worker_lengths(path: str) -> UnitLengths:
     """One cache for all tasks of a Python worker."""
     return UnitLengths(path)

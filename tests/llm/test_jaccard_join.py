@@ -166,3 +166,30 @@ def test_tables_too_large_to_send(spark, monkeypatch):
     monkeypatch.setattr("cubeloom.llm.session.FEW", 0)
     rows = make(random.Random(3), n_base=6)
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+
+
+def test_tasks_release_the_caches_of_other_operators():
+    """A Python worker that has packed or counted tokens doesn't hold their tokenizers beside the join's sets."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from cubeloom.llm import jaccard_join as jj
+    from cubeloom.llm.packing import worker_ids
+    from cubeloom.llm.token_counts import worker_lengths
+
+    class Sent:
+        value = jj.Order(jj.np.zeros(0, jj.np.uint64), jj.np.zeros(0, jj.np.int64))
+
+    ids, texts = pa.array([1, 2]), pa.array(["a b c d e f", "a b c d e g"])
+    sets = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
+    (packed,) = jj._groups(jj.Levels(4, 5, 2), 1, Sent)(iter([sets.select([1])]))
+    for task in (
+        lambda: list(jj._sets(iter([sets]))),
+        lambda: list(jj._groups(jj.Levels(4, 5, 2), 1, Sent)(iter([sets.select([1])]))),
+        lambda: jj._shared(4, 5)(pa.Table.from_batches([packed])),
+        lambda: list(jj._segments(4, Sent)(iter([pa.RecordBatch.from_arrays([ids, texts, ids], ["id", "text", "key"])]))),
+    ):
+        worker_ids(public_tokenizers.path("word_bpe_49k.json"))
+        worker_lengths(public_tokenizers.path("piece_bpe_32k.model"))
+        task()
+        assert worker_ids.cache_info().currsize == worker_lengths.cache_info().currsize == 0
