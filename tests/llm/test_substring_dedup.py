@@ -5,10 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cubeloom.llm.substring_dedup import remove_repeats
+from cubeloom.llm.substring_dedup import PARTS, _contexts, pieces, remove_repeats
 from cubeloom.llm.suffix_sort import DiskQueue, repeated_starts, suffix_order
+from cubeloom.llm.words import slices
 
 
 def brute(rows, length):
@@ -127,3 +129,64 @@ def test_repeated_starts():
         count = Counter(p[i : i + 8] for p in pieces for i in range(len(p) - 7))
         want = [[i for i in range(len(p) - 7) if count[p[i : i + 8]] > 1] for p in pieces]
         assert [a.tolist() for a in repeated_starts(pieces, 8)] == want
+
+
+def test_order_of_some_suffixes():
+    rng = random.Random(9)
+    for t in range(300):
+        n, k = rng.choice([1, 2, 3, 5, 10, 40, 200]), rng.choice([1, 2, 3, 26])
+        x = [rng.randrange(1, k + 1) for _ in range(n)] * rng.choice([1, 1, 3]) + [0]
+        cap, share = rng.choice([1, 3, 8, 400]), rng.choice([0, 0.1, 0.5])
+        wanted = np.array([rng.random() < share if t % 2 else i // 7 % 4 == 0 for i in range(len(x))])
+        want = [i for i in sorted(range(len(x)), key=lambda i: x[i:]) if wanted[i]]
+        order, shared = suffix_order(np.array(x), rng.choice([5, 50, 1 << 20]), cap, wanted)
+        assert order.tolist() == want, t
+        for a, b, s in zip(want, want[1:], shared[1:].tolist(), strict=False):
+            agree = next((q for q in range(cap) if max(a, b) + q >= len(x) or x[a + q] != x[b + q]), cap)
+            assert s == agree
+
+
+def test_only_starts_of_strings_are_sorted():
+    """Of pieces of 500 bytes, the first 101 start a string of 400: the queues take these and few others, not all suffixes."""
+    rng = np.random.default_rng(6)
+    part = rng.integers(97, 123, 430).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 70).astype(np.uint8).tobytes() + part for _ in range(40)]
+    pushed, push = [], DiskQueue.push
+    try:
+        DiskQueue.push = lambda self, key, *more: (pushed.append(len(key)), push(self, key, *more))[1]
+        found = repeated_starts(texts, 400, memory=2000)
+    finally:
+        DiskQueue.push = push
+    assert all(x.tolist()[-31:] == list(range(70, 101)) for x in found)
+    assert sum(pushed) < 0.8 * sum(map(len, texts))  # 2.6 times as many as bytes where all are sorted
+
+
+def test_contexts_lie_around_the_anchor_only():
+    """A text that repeats its anchor's bytes has contexts for the parts of its starts, not for each place of those bytes."""
+    rng = random.Random(10)
+    unit = "".join(rng.choice("abcdefghij") for _ in range(40))
+    text = "".join(rng.choice("klmnopqrst") for _ in range(100)) + unit * 20
+    (s,) = slices(pa.array([text]))
+    found = pieces(s, 400)
+    kinds = np.unique(found[5], return_index=True)[1]  # equal pieces are counted and kept once
+    _, a, b, place, anchor, piece = (x[kinds] for x in found)
+    own = [text.encode()[x : y + 400] for x, y in zip(a, b, strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(place), pa.array(own)], names=["anchor", "piece", "place", "bytes"])
+    (out,) = _contexts(400)(iter([batch]))
+    assert max(Counter(out.column("piece").to_pylist()).values()) <= PARTS
+    size = (400 - 32) // PARTS
+    starts = [(k, min((p - d) // size, PARTS - 1)) for k, x, y, p in zip(piece.view(np.int64).tolist(), a, b, place, strict=True) for d in range(y - x + 1)]
+    assert set(starts) == set(zip(out.column("piece").to_pylist(), out.column("part").to_pylist(), strict=True))
+
+
+@pytest.mark.parametrize("length", [32, 75])
+def test_other_lengths(spark, length):
+    rng = random.Random(length)
+    make = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passages = [make(n) for n in (length, length + 3, 2 * length)]
+    rows = []
+    for k in range(40):
+        p = rng.choice(passages)
+        rows.append((k, make(rng.randrange(100)) + p[rng.randrange(5) :] + make(rng.randrange(100)) + rng.choice(["", p])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert found(df, length=length, crowd_bytes=2000, shard_bytes=5000, memory=500) == brute(rows, length)
