@@ -190,3 +190,17 @@ def test_other_lengths(spark, length):
         rows.append((k, make(rng.randrange(100)) + p[rng.randrange(5) :] + make(rng.randrange(100)) + rng.choice(["", p])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert found(df, length=length, crowd_bytes=2000, shard_bytes=5000, memory=500) == brute(rows, length)
+
+
+def test_queues_spill_at_the_default_share():
+    """With room for an eighth of a shard's suffixes, of which about a fifth start a string, the queues still go to disk."""
+    rng = np.random.default_rng(12)
+    part = rng.integers(97, 123, 430).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 70).astype(np.uint8).tobytes() + part for _ in range(80)]
+    spilled, spill = [], DiskQueue._spill
+    try:
+        DiskQueue._spill = lambda self: (spilled.append(self.held), spill(self))[1]
+        found = repeated_starts(texts, 400, memory=sum(map(len, texts)) // 8)
+    finally:
+        DiskQueue._spill = spill
+    assert spilled and all(x.tolist()[-31:] == list(range(70, 101)) for x in found)
