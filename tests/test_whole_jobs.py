@@ -30,3 +30,12 @@ def test_weeks_of_late_years(spark):
     name = spark.createDataFrame([("VHP.G04.C07.NC.P10000035.VH.nc",)], "a string")
     first = name.select(F.year(cal.time_of_file(F.col("a"), "week")).alias("y"), F.month(cal.time_of_file(F.col("a"), "week")).alias("m")).first()
     assert (first.y, first.m) == (10000, 8)
+
+
+def test_layers_merge_when_limits_leave_a_cell_nothing(spark, tmp_path):
+    lines = [(25, 900.0, 0.05, 7.0), (1, 60000.0, 0.05, 7.0), (2, 900.0, 0.07, 7.0), (3, 60000.0, 0.07, 7.0), (None, 900.0, 0.05, 7.0)]  # cells 1 to 3 fail by one limit, the other, and both
+    rows = spark.createDataFrame(lines, "l_suppkey bigint, l_extendedprice double, l_discount double, l_quantity double")
+    rows.withColumn("l_shipdate", F.lit("1998-03-05").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["a03_merge_layers"](spark, str(tmp_path))
+    assert found.columns == ["pixel_id", "time", "precip", "vci"]
+    assert [tuple(r) for r in found.collect()] == [(0, date(1998, 3, 31), 7.0, 50.0)]
