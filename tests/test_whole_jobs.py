@@ -39,3 +39,11 @@ def test_layers_merge_when_limits_leave_a_cell_nothing(spark, tmp_path):
     found = QUERIES["a03_merge_layers"](spark, str(tmp_path))
     assert found.columns == ["pixel_id", "time", "precip", "vci"]
     assert [tuple(r) for r in found.collect()] == [(0, date(1998, 3, 31), 7.0, 50.0)]
+
+
+def test_evaporation_keeps_every_latitude(spark, tmp_path):
+    rows = (0, 29, 30, 99, 6000)  # row k of users lies at latitude 9 - k; the box ended at -20
+    events = [(15 * k + lon, 1.0 * k) for k in rows for lon in range(15)]
+    spark.createDataFrame(events, "user_id bigint, value double").withColumn("ts", F.lit("2024-01-05 10:00:00").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r.lat_idx, r.lon_idx, r.time, r.E) for r in QUERIES["p06_evaporation"](spark, str(tmp_path)).collect()}
+    assert found == {(9 - k, lon, date(2024, 1, 31), 1.0 * k) for k in rows for lon in range(2, 11)}
